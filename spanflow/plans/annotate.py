@@ -15,9 +15,10 @@ from ..operators import frames as R
 from ..sources import audio
 
 
-def score(frames: DataFrame, predict_fn, batch: int = 256, context: str = "context") -> DataFrame:
-    """probs of each frame's context by a predictor: predict_fn() gives a function of a (n, size) array to (n, classes)."""
-    run = predict_batch_udf(predict_fn, return_type=T.ArrayType(T.DoubleType()), batch_size=batch, input_tensor_shapes=None)
+def score(frames: DataFrame, predict_fn, size: int, batch: int = 256, context: str = "context") -> DataFrame:
+    """probs of each frame's context, `size` numbers in all, by a predictor: predict_fn() gives a function of a (n, size)
+    array to (n, classes)."""
+    run = predict_batch_udf(predict_fn, return_type=T.ArrayType(T.DoubleType()), batch_size=batch, input_tensor_shapes=[[size]])
     return frames.withColumn("_x", F.flatten(context)).withColumn("probs", run("_x")).drop("_x")
 
 
@@ -54,7 +55,7 @@ def annotate(spark: SparkSession, path: str, predict_fn, init: list, trans: list
     feats = audio.logmel(audio.read_samples(spark, path, strict=False), rate, win, hop, n_mels)
     flat = feats.select("rec_id", "frame_idx", F.posexplode("feat").alias("bin", "value"))
     normed = R.normalize_rolling(flat, norm, first="copy", keys=("rec_id", "bin")).groupBy("rec_id", "frame_idx").agg(F.transform(F.array_sort(F.collect_list(F.struct("bin", F.coalesce("value", F.lit(0.0)).alias("v")))), lambda x: x["v"]).alias("feat"))
-    scored = score(R.stack_context(normed, context, keys=("rec_id",)), predict_fn)
+    scored = score(R.stack_context(normed, context, keys=("rec_id",)), predict_fn, (2 * context + 1) * n_mels)
     states = decode.viterbi(scored, init, trans)
     found = R.runs(states, "state")
     # the first output frame is the centre of the first full context
