@@ -68,24 +68,28 @@ class SubwordModel:
         self.classes, self.vectors, self.weights, self.bias, self.orders = classes, vectors, weights, bias, orders
 
     @classmethod
-    def train(cls, rows: list[tuple], epochs: int = 5, rate: float = 0.5, seed: int = 7, orders: tuple = ORDERS) -> SubwordModel:
-        """rows: (id, label, text); orders: of the character n-grams beside the words. The vectors and the softmax learn together, one document at a time."""
+    def train(cls, rows: list[tuple], least_steps: int = 5000, rate: float = 0.5, seed: int = 7, orders: tuple = ORDERS) -> SubwordModel:
+        """rows: (id, label, text); orders: of the character n-grams beside the words; least_steps: the rows are gone through
+        so often that this many steps are made, 3 times at least and 40 at most. The vectors and the softmax learn together, one document at a time."""
         classes = sorted({label for _, label, _ in rows}) or [0, 1]
         rng = np.random.default_rng(seed)
         vectors = rng.uniform(-1 / DIM, 1 / DIM, (_SLOTS, DIM)).astype(np.float32)
         weights, bias = np.zeros((DIM, len(classes)), np.float32), np.zeros(len(classes), np.float32)
         share = np.array([sum(label == c for _, label, _ in rows) for c in classes], float)
         bias[:] = np.log(np.maximum(share, 1) / max(1, share.sum()))
-        bags = [(*tokens_of(text, orders), classes.index(label)) for _, label, text in rows]
+        bags = []
+        for _, label, text in rows:
+            slots, count = tokens_of(text, orders)
+            bags.append((slots.astype(np.int32), (count / max(1, count.sum())).astype(np.float32), classes.index(label)))
+        epochs = min(40, max(3, -(-least_steps // max(1, len(bags)))))
         steps, done = max(1, epochs * len(bags)), 0
         for _ in range(epochs):
             for i in rng.permutation(len(bags)):
-                slots, count, y = bags[i]
+                slots, part, y = bags[i]
                 if not len(slots):
                     continue
                 lr = rate * (1 - done / steps)
                 done += 1
-                part = (count / count.sum()).astype(np.float32)
                 mean = part @ vectors[slots]
                 z = mean @ weights + bias
                 p = np.exp(z - z.max())
