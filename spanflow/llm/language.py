@@ -74,8 +74,11 @@ class CrossParser:
         self.tables = []
         for k in self.languages:
             table = suffix_automaton([0 if c == " " else place.get(c, ALPHABET - 1) for c in plain[k]], ALPHABET)
-            root = np.where(table[0] < 0, 0, table[0]) | _BREAK  # a symbol that the language never had is a phrase of its own
-            self.tables.append(np.where(table < 0, root[None, :], table).ravel())
+            # every step from state 0 starts a phrase; a symbol that the language never had is one of its own and leads back there
+            root = np.where(table[0] < 0, 0, table[0]) | _BREAK
+            table = np.where(table < 0, root[None, :], table)
+            table[0] = root
+            self.tables.append(table.ravel())
         self._symbol = None
 
     def _symbols(self) -> np.ndarray:
@@ -116,7 +119,7 @@ class CrossParser:
             start, length = start[order], length[order]
             lanes = np.searchsorted(-length, -np.arange(1, BLOCK + 1), "right")  # blocks that have a t-th symbol
             for k, table in enumerate(self.tables):
-                state, breaks = np.zeros(len(doc), np.int32), np.ones(len(doc), np.int32)
+                state, breaks = np.zeros(len(doc), np.int32), np.zeros(len(doc), np.int32)
                 for t in range(int(length[0])):
                     m = lanes[t]
                     after = table[state[:m] * ALPHABET + symbol[start[:m] + t]]
