@@ -25,21 +25,21 @@ FAMILIES = (
     ("agpl-3.0", "affero", 10, rf"(?:gnu )?affero general public licen[sc]e{_V} 3(?: 0)?{_LATER}"),
     ("agpl-1.0", "affero", 10, rf"affero general public licen[sc]e{_V} 1(?: 0)?"),
     ("agpl", "affero", 30, r"(?:gnu )?affero general public licen[sc]e"),
-    ("agpl-3.0", "agpl", 12, rf"(?:gnu )?agpl(?:v3|{_V} 3(?: 0)?)(?: only| or later)?"),
+    ("agpl-3.0", "agpl", 12, rf"(?:gnu )?agpl(?: ?v3(?: 0)?|{_V} 3(?: 0)?)(?: only| or later)?"),
     ("agpl", "agpl", 32, r"(?:gnu )?agpl"),
     ("lgpl-3.0", "lesser", 10, rf"(?:gnu )?lesser general public licen[sc]e{_V} 3(?: 0)?{_LATER}"),
     ("lgpl-2.1", "lesser", 10, rf"(?:gnu )?lesser general public licen[sc]e{_V} 2 1{_LATER}"),
     ("lgpl", "lesser", 30, r"(?:gnu )?lesser general public licen[sc]e"),
     ("lgpl-2.0", "library general", 10, rf"(?:gnu )?library general public licen[sc]e(?:{_V} 2(?: 0)?)?"),
-    ("lgpl-3.0", "lgpl", 12, rf"(?:gnu )?lgpl(?:v3|{_V} 3(?: 0)?)(?: only| or later)?"),
-    ("lgpl-2.1", "lgpl", 12, rf"(?:gnu )?lgpl(?:v2 1|{_V} 2 1)(?: only| or later)?"),
+    ("lgpl-3.0", "lgpl", 12, rf"(?:gnu )?lgpl(?: ?v3(?: 0)?|{_V} 3(?: 0)?)(?: only| or later)?"),
+    ("lgpl-2.1", "lgpl", 12, rf"(?:gnu )?lgpl(?: ?v2 1|{_V} 2 1)(?: only| or later)?"),
     ("lgpl", "lgpl", 32, r"(?:gnu )?lgpl"),
     ("gpl-3.0", "general public", 14, rf"(?:gnu )?general public licen[sc]e{_V} 3(?: 0)?{_LATER}"),
     ("gpl-2.0", "general public", 14, rf"(?:gnu )?general public licen[sc]e{_V} 2(?: 0)?{_LATER}"),
     ("gpl-1.0", "general public", 14, rf"(?:gnu )?general public licen[sc]e{_V} 1(?: 0)?{_LATER}"),
     ("gpl", "general public", 34, r"(?:gnu )?general public licen[sc]e"),
-    ("gpl-3.0", "gpl", 16, rf"(?:gnu )?gpl(?:v3|{_V} 3(?: 0)?)(?: only| or later)?"),
-    ("gpl-2.0", "gpl", 16, rf"(?:gnu )?gpl(?:v2|{_V} 2(?: 0)?)(?: only| or later)?"),
+    ("gpl-3.0", "gpl", 16, rf"(?:gnu )?gpl(?: ?v3(?: 0)?|{_V} 3(?: 0)?)(?: only| or later)?"),
+    ("gpl-2.0", "gpl", 16, rf"(?:gnu )?gpl(?: ?v2(?: 0)?|{_V} 2(?: 0)?)(?: only| or later)?"),
     ("gfdl-1.3", "free documentation", 12, rf"(?:gnu )?free documentation licen[sc]e{_V} 1 3"),
     ("gfdl-1.2", "free documentation", 12, rf"(?:gnu )?free documentation licen[sc]e{_V} 1 2"),
     ("gfdl", "free documentation", 30, r"(?:gnu )?free documentation licen[sc]e"),
