@@ -74,6 +74,7 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     made = materialise(unit_digests(_rows(docs).withColumn("text", F.coalesce("text", F.lit("")))))
     # a digest's first document; a row a key and task goes through the shuffle, however often a unit repeats
     first = made.where(~F.col("own")).groupBy("hi", "lo").agg(F.min("doc_id").alias("first_doc"), F.count(F.lit(1)).alias("n")).where("n > 1").select("hi", "lo", "first_doc")
+    first = materialise(first)  # the join then has plain shuffles on both sides, so that Spark can split a unit that stands everywhere
     repeats = made.join(first, ["hi", "lo"], "left").where("own or first_doc < doc_id")
 
     per_row = repeats.groupBy("row").agg(F.first("doc_id", True).alias("doc_id"), F.sum("words").alias("n"), F.array_sort(F.collect_set(F.struct("idx", "start", "end", "words", "first_doc"))).alias("units")).where(F.col("n") >= min_words)
