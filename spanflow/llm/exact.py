@@ -130,6 +130,7 @@ def _dedup(rows: DataFrame) -> DataFrame:
     strangers = found.where(~F.col("member")).select("sha", "keep", "n")
     settled = materialise(members.unionByName(strangers))
     whole = _groups(past, shards).select("sha", "keep", "n").unionByName(settled).groupBy("sha").agg(F.min("keep").alias("keep_id"), F.sum("n").alias("group_size"))
+    whole = materialise(whole)  # the join then has plain shuffles on both sides, so that Spark can split a large group
     return rows.join(whole, "sha").select(
         "doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex("sha")).alias("text_sha256")
     )
