@@ -83,7 +83,7 @@ def test_audio_catalogue_and_features(spark, tmp_path):
     assert audio.audio_catalog(spark, str(tmp_path), strict=False).where("problem is not null").count() == 1
     (tmp_path / "d.sph").write_bytes(b"NIST_1A\n   1024\nsample_count -i 80\nchannel_count -i 2\nsample_rate -i 8000\nend_head\n".ljust(1024))
     assert audio.audio_catalog(spark, str(tmp_path), "sph").first().samples == 80
-    tiers = annotate.annotate(spark, str(tmp_path), annotate.predictor_of(np.zeros((3, 3 * 64)), np.array([0.0, 1.0, 0.0])), [1 / 3] * 3, [[0.8, 0.1, 0.1]] * 3, norm=20, context=1).collect()
+    tiers = annotate.annotate(spark, str(tmp_path), annotate.predictor_of(np.zeros((3, 3 * 64)), np.array([0.0, 1.0, 0.0])), [1 / 3] * 3, [[0.8, 0.1, 0.1], [0.1, 0.8, 0.1], [0.1, 0.1, 0.8]], norm=20, context=1).collect()
     assert {(r.rec_id, r.tier, r.start) for r in tiers} == {("a", "single", 26), ("b", "single", 26)}
 
 
