@@ -85,6 +85,14 @@ def test_near_against_all_pairs(spark, sample, size, similarity):
     assert got == want
 
 
+@pytest.mark.parametrize("order", ["shuffled", "falling"])
+def test_components_of_long_chains(spark, order):
+    ids = [0, *range(999, 0, -1)] if order == "falling" else np.random.default_rng(1).permutation(1000).tolist()
+    links = spark.createDataFrame([*zip(ids, ids[1:]), (2001, 2000)], "a long, b long")
+    got = {r.id: r.comp for r in near.components(links).collect()}
+    assert got == dict.fromkeys(range(1000), 0) | {2000: 2000, 2001: 2000}
+
+
 def test_near_odd_rows(docs, empty):
     got = defaultdict(set)
     for r in near.near_duplicates(docs, 3, 0.85).collect():
