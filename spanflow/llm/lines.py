@@ -51,12 +51,11 @@ def unit_digests(docs: DataFrame) -> DataFrame:
             cols: list[list] = [[] for _ in range(8)]
             for row, doc, text in zip(pdf["row"], pdf["doc_id"], pdf["text"], strict=True):
                 seen = set()
-                for i, (start, end, words, plain) in enumerate(units(text)):
-                    if words:
-                        d = _digest(plain)
-                        for col, x in zip(cols, (row, doc, i, start, end, words, d, d in seen), strict=True):
-                            col.append(x)
-                        seen.add(d)
+                for i, (start, end, words, plain) in enumerate(u for u in units(text) if u[2]):  # blank units break no run
+                    d = _digest(plain)
+                    for col, x in zip(cols, (row, doc, i, start, end, words, d, d in seen), strict=True):
+                        col.append(x)
+                    seen.add(d)
             digest = np.array(cols[6], np.int64).reshape(-1, 2)
             yield pd.DataFrame({"row": cols[0], "doc_id": pd.array(cols[1], "Int64"), "idx": cols[2], "start": cols[3], "end": cols[4], "words": cols[5], "hi": digest[:, 0], "lo": digest[:, 1], "own": cols[7]})
 

@@ -144,3 +144,9 @@ def test_lines_odd_rows(docs, empty):
         by[r.doc_id].append((r.text, r.n_removed))
     assert by[1] == [("a b c d e", 0)] and by[5] == [("", 10)] and by[9] == [("", 9)] * 2 and by[2] == [(None, 0)] and by[None] == [("a b c d e", 0)]
     assert lines.dedup_passages(empty).count() == 0
+
+
+def test_lines_parted_by_blank_lines(spark):
+    passage = "\n\n".join(f"Line {i} of a notice" for i in range(12)) + "\n"
+    df = spark.createDataFrame([(1, f"One.\n\n{passage}\nend one"), (2, f"Two.\n \n{passage}\nend two")], "doc_id long, text string")
+    assert {r.doc_id: r.text for r in lines.dedup_passages(df).collect()} == {1: f"One.\n\n{passage}\nend one", 2: "Two.\n \n\nend two"}
