@@ -6,6 +6,11 @@ occurs in a document of smaller doc_id, or earlier in its own document, is a rep
 removed where they stand in a run of neighbouring repeats of at least `min_words` words, so that short formulas stay
 where they are. Spans are given in code points of the original text.
 
+Units miss a passage whose ends are glued to another text. So grams of GRAM words are compared as well: of every GRAM
+neighbouring grams the one of the smallest hash is an anchor, whatever stands around them, so that any passage of
+2 * GRAM - 1 words shares an anchor with its earlier copy. Around anchors that several documents hold, every gram is
+compared, and all that occur in a document of smaller doc_id are removed: the passage up to its very ends.
+
 Defined cases: a null text counts as empty and stays without units; rows with a null doc_id keep their text and take
 nothing from others, but lose what they repeat within themselves; rows that share a doc_id share its rank, and take
 nothing from each other; an empty table gives an empty result; only doc_id and text are read.
@@ -21,9 +26,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import batches, codes, materialise, span_hashes, spans
 
-MIN_WORDS = 25
+MIN_WORDS, GRAM = 25, 25
 _BORDER = re.compile(r"[.!?]+(?=\s)[^\S\n]*\n?|\n")
 
 
@@ -89,6 +94,90 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     return per_row.select("row", "doc_id", spans.alias("spans")).where(F.size("spans") > 0)
 
 
+_BLANK = np.array([*range(9, 14), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000], np.uint32)
+
+
+def grams(texts: list[str]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(starts of words, ends of words, hashes of the grams that begin at each word but the last GRAM - 1) of each text.
+
+    Capital letters A-Z and of Latin-1 count as small ones."""
+    out = []
+    for a, b in batches(texts):
+        code, ends = codes(texts[a:b])
+        big = (code >= 65) & (code <= 90) | (code >= 0xC0) & (code <= 0xDE) & (code != 0xD7)
+        low = np.where(big, code + 32, code).astype(np.uint32)
+        inside = ~np.isin(code, _BLANK)
+        start, end = spans(inside)
+        border = np.unique(ends[1:-1])
+        border = border[(border > 0) & (border < len(code))]
+        border = border[inside[border] & inside[border - 1]]
+        start, end = np.sort(np.concatenate((start, border))), np.sort(np.concatenate((end, border)))
+        word = span_hashes(low, start, end)
+        first = np.searchsorted(start, ends)
+        for i in range(b - a):
+            w = word[first[i] : first[i + 1]]
+            at = np.arange(max(0, len(w) - GRAM + 1))
+            hashes = span_hashes(w, at, at + GRAM) if len(at) else np.zeros(0, np.uint64)
+            out.append((start[first[i] : first[i + 1]] - ends[i], end[first[i] : first[i + 1]] - ends[i], hashes))
+    return out
+
+
+def anchors(hashes: np.ndarray) -> np.ndarray:
+    """Places of the smallest hash of every GRAM neighbouring ones."""
+    if len(hashes) < GRAM:
+        return np.zeros(0, np.int64)
+    least = np.lib.stride_tricks.sliding_window_view(hashes, GRAM).argmin(1) + np.arange(len(hashes) - GRAM + 1)
+    return np.unique(least)
+
+
+def _gram_rows(docs: DataFrame, around: bool) -> DataFrame:
+    """row, doc_id, at, start, end, hash of the anchors or, where docs has a column `places`, of all grams around those."""
+
+    def run(frames):
+        for pdf in frames:
+            cols: list[list] = [[np.zeros(0, np.int64)] for _ in range(5)]
+            docs_: list = []
+            for i, (start, end, hashes) in enumerate(grams(pdf["text"].tolist())):
+                if around:
+                    near = (np.asarray(pdf["places"].iloc[i], np.int64)[:, None] + np.arange(1 - GRAM, GRAM)).ravel()
+                    at = np.unique(near[(near >= 0) & (near < len(hashes))])
+                else:
+                    at = anchors(hashes)
+                if len(at):
+                    for col, x in zip(cols, (np.full(len(at), pdf["row"].iloc[i], np.int64), at, start[at], end[at + GRAM - 1], hashes[at].view(np.int64)), strict=True):
+                        col.append(x)
+                    docs_ += [pdf["doc_id"].iloc[i]] * len(at)
+            row, at, start, end, hashes = map(np.concatenate, cols)
+            yield pd.DataFrame({"row": row, "doc_id": pd.array(docs_, "Int64"), "at": at, "start": start, "end": end, "hash": hashes})
+
+    return docs.mapInPandas(run, "row bigint, doc_id bigint, at int, start int, end int, hash bigint")
+
+
+def repeated_grams(docs: DataFrame) -> DataFrame:
+    """row, start, end, first_doc of the grams that occur in a document of smaller doc_id, around shared anchors."""
+    texts = _rows(docs).withColumn("text", F.coalesce("text", F.lit(""))).where("doc_id is not null")
+    made = materialise(_gram_rows(texts, False).select("row", "at", "hash", "doc_id"))
+    first = lambda df: materialise(df.groupBy("hash").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last")).where("first_doc < last").select("hash", "first_doc"))
+    places = made.join(first(made), "hash", "left_semi").groupBy("row").agg(F.collect_set("at").alias("places"))
+    every = materialise(_gram_rows(texts.join(places, "row"), True))
+    return every.join(first(every), "hash").where("first_doc < doc_id").select("row", "start", "end", "first_doc")
+
+
+def repeated_substrings(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """row, spans: as repeated_passages, and with the passages whose ends are glued to other text; words is null."""
+    unit = repeated_passages(docs, min_words).select("row", "doc_id", F.explode("spans").alias("s")).select("row", "s.start", "s.end", "s.first_doc")
+    both = unit.unionByName(repeated_grams(docs).select("row", "start", "end", "first_doc"))
+    zero = "cast(array() as array<struct<start:int,end:int,first_doc:bigint>>)"
+    merged = F.expr(f"""
+        aggregate(found, {zero}, (a, u) -> if(size(a) > 0 and u.start <= element_at(a, -1).end,
+            concat(slice(a, 1, size(a) - 1), array(named_struct('start', element_at(a, -1).start,
+                'end', greatest(element_at(a, -1).end, u.end), 'first_doc', least(element_at(a, -1).first_doc, u.first_doc)))),
+            concat(a, array(u))))
+    """)
+    spans_ = F.expr("transform(merged, x -> named_struct('start', x.start, 'end', x.end, 'words', cast(null as int), 'first_doc', x.first_doc))")
+    return both.groupBy("row").agg(F.array_sort(F.collect_set(F.struct("start", "end", "first_doc"))).alias("found")).select("row", merged.alias("merged")).select("row", spans_.alias("spans"))
+
+
 def remove_spans(docs: DataFrame, passages: DataFrame) -> DataFrame:
     """doc_id, text without the removed spans, spans (empty if none), n_removed (code points) of every row of docs."""
     joined = _rows(docs).join(passages.select("row", "spans"), "row", "left")
@@ -105,3 +194,8 @@ def remove_spans(docs: DataFrame, passages: DataFrame) -> DataFrame:
 def dedup_passages(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """Every row of docs without the passages that occur earlier: doc_id, text, spans, n_removed."""
     return remove_spans(docs, repeated_passages(docs, min_words))
+
+
+def dedup_substrings(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """As dedup_passages, and without any passage of 2 * GRAM - 1 words or more that stands in an earlier document."""
+    return remove_spans(docs, repeated_substrings(docs, min_words))

@@ -44,7 +44,7 @@ def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    done = lines.dedup_passages(_table(spark, sf_dir, "documents"))
+    done = lines.dedup_substrings(_table(spark, sf_dir, "documents"))
     return done.select(
         "doc_id",
         F.col("spans.start").alias("starts"),

@@ -150,3 +150,30 @@ def test_lines_parted_by_blank_lines(spark):
     passage = "\n\n".join(f"Line {i} of a notice" for i in range(12)) + "\n"
     df = spark.createDataFrame([(1, f"One.\n\n{passage}\nend one"), (2, f"Two.\n \n{passage}\nend two")], "doc_id long, text string")
     assert {r.doc_id: r.text for r in lines.dedup_passages(df).collect()} == {1: f"One.\n\n{passage}\nend one", 2: "Two.\n \n\nend two"}
+
+
+def test_substrings_against_windows(spark, sample, docs, empty):
+    """Every window of 50 words that stands in an earlier document is removed, glued ends and all, and no word that nothing earlier holds."""
+    rng = np.random.default_rng(3)
+    word = lambda n: [f"w{x}" for x in rng.integers(0, 10**6, n)]
+    passage = word(70)
+    rows = [(i, " ".join([*word(30), *passage[k : k + 60], *word(30)])) for i, k in enumerate((0, 10, 5))]
+    df = spark.createDataFrame([*rows, *((r.doc_id + 10, r.text) for r in sample.collect())], "doc_id long, text string")
+    texts, known = {r.doc_id: r.text for r in df.collect()}, {}
+    for i, t in sorted(texts.items()):
+        w = t.lower().split()
+        for k in range(len(w) - 49):
+            known.setdefault(tuple(w[k : k + 50]), i)
+    for r in lines.dedup_substrings(df).collect():
+        text = texts[r.doc_id]
+        gone = np.zeros(len(text) + 1, bool)
+        for s in r.spans:
+            gone[s.start : s.end] = True
+        at = [m.span() for m in re.finditer(r"\S+", text)]
+        w = text.lower().split()
+        for k in range(len(w) - 49):
+            if known[tuple(w[k : k + 50])] < r.doc_id:
+                assert gone[at[k][0] : at[k + 49][1]].all()
+        if r.doc_id < 3:
+            assert len(r.text.split()) == (120, 70, 60)[r.doc_id]
+    assert lines.dedup_substrings(docs, 3).count() == docs.count() and lines.dedup_substrings(empty).count() == 0
