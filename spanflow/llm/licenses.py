@@ -18,33 +18,33 @@ from pyspark.sql import functions as F
 #: Phrases whose places are counted, and their labels.
 BASE = (("under the mit license", "mit"), ("apache license version 2", "apache-2"), ("cc by nc", "cc-by-nc"))
 
-_V = r"(?: version| v)?"
+_V = r"(?: version)?(?: v ?| )"  # and the number: " 2", " version 2", " v2", " v 2"
 _LATER = r"(?: or(?: any)? later(?: version)?| or \(at your option\))?"
 #: Label, keyword, priority, expression of the licence's name in normalised words.
 FAMILIES = (
-    ("agpl-3.0", "affero", 10, rf"(?:gnu )?affero general public licen[sc]e{_V} 3(?: 0)?{_LATER}"),
-    ("agpl-1.0", "affero", 10, rf"affero general public licen[sc]e{_V} 1(?: 0)?"),
+    ("agpl-3.0", "affero", 10, rf"(?:gnu )?affero general public licen[sc]e{_V}3(?: 0)?{_LATER}"),
+    ("agpl-1.0", "affero", 10, rf"affero general public licen[sc]e{_V}1(?: 0)?"),
     ("agpl", "affero", 30, r"(?:gnu )?affero general public licen[sc]e"),
-    ("agpl-3.0", "agpl", 12, rf"(?:gnu )?agpl(?: ?v3(?: 0)?|{_V} 3(?: 0)?)(?: only| or later)?"),
+    ("agpl-3.0", "agpl", 12, rf"(?:gnu )?agpl(?: ?v3(?: 0)?|{_V}3(?: 0)?)(?: only| or later)?"),
     ("agpl", "agpl", 32, r"(?:gnu )?agpl"),
-    ("lgpl-3.0", "lesser", 10, rf"(?:gnu )?lesser general public licen[sc]e{_V} 3(?: 0)?{_LATER}"),
-    ("lgpl-2.1", "lesser", 10, rf"(?:gnu )?lesser general public licen[sc]e{_V} 2 1{_LATER}"),
+    ("lgpl-3.0", "lesser", 10, rf"(?:gnu )?lesser general public licen[sc]e{_V}3(?: 0)?{_LATER}"),
+    ("lgpl-2.1", "lesser", 10, rf"(?:gnu )?lesser general public licen[sc]e{_V}2 1{_LATER}"),
     ("lgpl", "lesser", 30, r"(?:gnu )?lesser general public licen[sc]e"),
-    ("lgpl-2.0", "library general", 10, rf"(?:gnu )?library general public licen[sc]e(?:{_V} 2(?: 0)?)?"),
-    ("lgpl-3.0", "lgpl", 12, rf"(?:gnu )?lgpl(?: ?v3(?: 0)?|{_V} 3(?: 0)?)(?: only| or later)?"),
-    ("lgpl-2.1", "lgpl", 12, rf"(?:gnu )?lgpl(?: ?v2 1|{_V} 2 1)(?: only| or later)?"),
+    ("lgpl-2.0", "library general", 10, rf"(?:gnu )?library general public licen[sc]e(?:{_V}2(?: 0)?)?"),
+    ("lgpl-3.0", "lgpl", 12, rf"(?:gnu )?lgpl(?: ?v3(?: 0)?|{_V}3(?: 0)?)(?: only| or later)?"),
+    ("lgpl-2.1", "lgpl", 12, rf"(?:gnu )?lgpl(?: ?v2 1|{_V}2 1)(?: only| or later)?"),
     ("lgpl", "lgpl", 32, r"(?:gnu )?lgpl"),
-    ("gpl-3.0", "general public", 14, rf"(?:gnu )?general public licen[sc]e{_V} 3(?: 0)?{_LATER}"),
-    ("gpl-2.0", "general public", 14, rf"(?:gnu )?general public licen[sc]e{_V} 2(?: 0)?{_LATER}"),
-    ("gpl-1.0", "general public", 14, rf"(?:gnu )?general public licen[sc]e{_V} 1(?: 0)?{_LATER}"),
+    ("gpl-3.0", "general public", 14, rf"(?:gnu )?general public licen[sc]e{_V}3(?: 0)?{_LATER}"),
+    ("gpl-2.0", "general public", 14, rf"(?:gnu )?general public licen[sc]e{_V}2(?: 0)?{_LATER}"),
+    ("gpl-1.0", "general public", 14, rf"(?:gnu )?general public licen[sc]e{_V}1(?: 0)?{_LATER}"),
     ("gpl", "general public", 34, r"(?:gnu )?general public licen[sc]e"),
-    ("gpl-3.0", "gpl", 16, rf"(?:gnu )?gpl(?: ?v3(?: 0)?|{_V} 3(?: 0)?)(?: only| or later)?"),
-    ("gpl-2.0", "gpl", 16, rf"(?:gnu )?gpl(?: ?v2(?: 0)?|{_V} 2(?: 0)?)(?: only| or later)?"),
-    ("gfdl-1.3", "free documentation", 12, rf"(?:gnu )?free documentation licen[sc]e{_V} 1 3"),
-    ("gfdl-1.2", "free documentation", 12, rf"(?:gnu )?free documentation licen[sc]e{_V} 1 2"),
+    ("gpl-3.0", "gpl", 16, rf"(?:gnu )?gpl(?: ?v3(?: 0)?|{_V}3(?: 0)?)(?: only| or later)?"),
+    ("gpl-2.0", "gpl", 16, rf"(?:gnu )?gpl(?: ?v2(?: 0)?|{_V}2(?: 0)?)(?: only| or later)?"),
+    ("gfdl-1.3", "free documentation", 12, rf"(?:gnu )?free documentation licen[sc]e{_V}1 3"),
+    ("gfdl-1.2", "free documentation", 12, rf"(?:gnu )?free documentation licen[sc]e{_V}1 2"),
     ("gfdl", "free documentation", 30, r"(?:gnu )?free documentation licen[sc]e"),
-    ("apache-2", "apache", 10, rf"apache(?: software)? licen[sc]e{_V} 2(?: 0)?"),
-    ("apache-1.1", "apache", 10, rf"apache(?: software)? licen[sc]e{_V} 1 1"),
+    ("apache-2", "apache", 10, rf"apache(?: software)? licen[sc]e{_V}2(?: 0)?"),
+    ("apache-1.1", "apache", 10, rf"apache(?: software)? licen[sc]e{_V}1 1"),
     ("apache", "apache", 30, r"apache(?: software)? licen[sc]e"),
     ("mit", "mit", 20, r"mit(?: x11)? licen[sc]e"),
     ("mit", "expat", 20, r"expat licen[sc]e"),
@@ -54,26 +54,26 @@ FAMILIES = (
     ("bsd-4-clause", "bsd", 10, r"(?:original bsd|bsd 4 clause|4 clause bsd|four clause bsd)(?: licen[sc]e)?"),
     ("0bsd", "bsd", 10, r"(?:0bsd|zero clause bsd|bsd zero clause)(?: licen[sc]e)?"),
     ("bsd", "bsd", 30, r"bsd(?: style)? licen[sc]e"),
-    ("mpl-2.0", "mozilla public", 10, rf"mozilla public licen[sc]e{_V} 2(?: 0)?"),
-    ("mpl-1.1", "mozilla public", 10, rf"mozilla public licen[sc]e{_V} 1 1"),
+    ("mpl-2.0", "mozilla public", 10, rf"mozilla public licen[sc]e{_V}2(?: 0)?"),
+    ("mpl-1.1", "mozilla public", 10, rf"mozilla public licen[sc]e{_V}1 1"),
     ("mpl", "mozilla public", 30, r"mozilla public licen[sc]e"),
-    ("mpl-2.0", "mpl", 14, rf"mpl{_V} 2(?: 0)?"),
-    ("epl-2.0", "eclipse public", 10, rf"eclipse public licen[sc]e{_V} 2(?: 0)?"),
-    ("epl-1.0", "eclipse public", 10, rf"eclipse public licen[sc]e{_V} 1(?: 0)?"),
+    ("mpl-2.0", "mpl", 14, rf"mpl(?: ?v2(?: 0)?|{_V}2(?: 0)?)"),
+    ("epl-2.0", "eclipse public", 10, rf"eclipse public licen[sc]e{_V}2(?: 0)?"),
+    ("epl-1.0", "eclipse public", 10, rf"eclipse public licen[sc]e{_V}1(?: 0)?"),
     ("epl", "eclipse public", 30, r"eclipse public licen[sc]e"),
-    ("cddl-1.0", "common development", 12, rf"common development and distribution licen[sc]e(?:{_V} 1(?: 0)?)?"),
-    ("eupl-1.2", "european union public", 12, rf"european union public licen[sc]e(?:{_V} 1 2)?"),
+    ("cddl-1.0", "common development", 12, rf"common development and distribution licen[sc]e(?:{_V}1(?: 0)?)?"),
+    ("eupl-1.2", "european union public", 12, rf"european union public licen[sc]e(?:{_V}1 2)?"),
     ("isc", "isc", 22, r"isc licen[sc]e"),
     ("zlib", "zlib", 22, r"zlib(?: libpng)? licen[sc]e"),
-    ("bsl-1.0", "boost", 12, rf"boost software licen[sc]e(?:{_V} 1(?: 0)?)?"),
-    ("artistic-2.0", "artistic", 12, rf"artistic licen[sc]e{_V} 2(?: 0)?"),
+    ("bsl-1.0", "boost", 12, rf"boost software licen[sc]e(?:{_V}1(?: 0)?)?"),
+    ("artistic-2.0", "artistic", 12, rf"artistic licen[sc]e{_V}2(?: 0)?"),
     ("artistic", "artistic", 30, r"artistic licen[sc]e"),
-    ("python-2.0", "python software", 12, rf"python software foundation licen[sc]e(?:{_V} 2(?: 0)?)?"),
+    ("python-2.0", "python software", 12, rf"python software foundation licen[sc]e(?:{_V}2(?: 0)?)?"),
     ("wtfpl", "wtfpl", 20, r"wtfpl"),
     ("unlicense", "unlicense", 20, r"(?:the )?unlicense"),
     ("ms-pl", "microsoft public", 12, r"microsoft public licen[sc]e"),
-    ("ofl-1.1", "open font", 12, rf"(?:sil )?open font licen[sc]e(?:{_V} 1 1)?"),
-    ("odbl-1.0", "open database", 12, rf"open database licen[sc]e(?:{_V} 1(?: 0)?)?"),
+    ("ofl-1.1", "open font", 12, rf"(?:sil )?open font licen[sc]e(?:{_V}1 1)?"),
+    ("odbl-1.0", "open database", 12, rf"open database licen[sc]e(?:{_V}1(?: 0)?)?"),
     ("odc-by-1.0", "open data commons", 12, r"open data commons attribution licen[sc]e"),
     ("openrail", "openrail", 12, r"(?:bigscience |creativeml )?openrail(?: m)?(?: licen[sc]e)?"),
     ("llama", "llama", 22, r"llama(?: \d)* community licen[sc]e"),

@@ -98,6 +98,14 @@ def test_language(sample, docs, empty):
     assert language.identify_language(empty, language.train_language(empty)).count() == 0
 
 
+def test_license_versions_written_with_v(spark):
+    names = {"apache-2": "Apache License {}2.0", "apache-1.1": "Apache Software License {}1.1", "agpl-3.0": "GNU Affero General Public License {}3", "agpl-1.0": "Affero General Public License {}1", "lgpl-3.0": "GNU Lesser General Public License {}3.0", "lgpl-2.1": "Lesser General Public License {}2.1", "lgpl-2.0": "Library General Public License {}2", "gpl-3.0": "GNU General Public License {}3", "gpl-2.0": "General Public License {}2.0", "gpl-1.0": "General Public License {}1", "gfdl-1.3": "GNU Free Documentation License {}1.3", "gfdl-1.2": "Free Documentation License {}1.2", "mpl-2.0": "Mozilla Public License {}2.0", "mpl-1.1": "Mozilla Public License {}1.1", "epl-2.0": "Eclipse Public License {}2.0", "epl-1.0": "Eclipse Public License {}1.0", "artistic-2.0": "Artistic License {}2.0"}
+    made = [(name.format(v), label) for label, name in names.items() for v in ("", "v", "V ", "version ")] + [("MPLv2", "mpl-2.0"), ("LGPL v2.1", "lgpl-2.1"), ("AGPLv3", "agpl-3.0")]
+    df = spark.createDataFrame([(i, f"Released under the {x}.") for i, (x, _) in enumerate(made)], "doc_id long, text string")
+    got = {r.doc_id: r.labels for r in licenses.scan_licenses(df).collect()}
+    assert [(x, got[i]) for i, (x, _) in enumerate(made)] == made
+
+
 def test_license_base_against_brute_force(spark, sample, docs, empty):
     made = [(1, "Under the MIT License, under THE mit  license!"), (2, "xunder the mit license"), (3, "Apache License, Version 2.0 and CC-BY-NC 4.0"), (4, "under the mit licenses"), (5, None), (6, "K under the mit license"), (7, "SPDX-License-Identifier: GPL v3 or later")]
     df = spark.createDataFrame(made, "doc_id long, text string").unionAll(sample.select(F.col("doc_id") + 100, "text")).unionAll(docs.select(F.col("doc_id") + 9000, "text"))
