@@ -4,198 +4,278 @@ A text is cut into units: its lines, and these at the ends of their sentences, s
 line is still found. Units are normalised (letter case, blanks) and known by a 128-bit digest. A unit whose digest
 occurs in a document of smaller doc_id, or earlier in its own document, is a repeat; the earliest stays. Repeats are
 removed where they stand in a run of neighbouring repeats of at least `min_words` words, so that short formulas stay
-where they are. Spans are given in code points of the original text.
+where they are; with min_words=1 every repeated unit goes. Spans are given in code points of the original text.
 
 Units miss a passage whose ends are glued to another text. So grams of GRAM words are compared as well: of every GRAM
 neighbouring grams the one of the smallest hash is an anchor, whatever stands around them, so that any passage of
-2 * GRAM - 1 words shares an anchor with its earlier copy. Around anchors that several documents hold, every gram is
-compared, and all that occur in a document of smaller doc_id are removed: the passage up to its very ends.
+2 * GRAM - 1 words shares an anchor with its earlier copy. Around shared anchors that no removed run of units covers,
+every gram is compared with those around the same anchors in the earliest document that holds them, and all that
+occur in a document of smaller doc_id are removed: the passage up to its very ends.
 
 Defined cases: a null text counts as empty and stays without units; rows with a null doc_id keep their text and take
 nothing from others, but lose what they repeat within themselves; rows that share a doc_id share its rank, and take
-nothing from each other; an empty table gives an empty result; only doc_id and text are read.
+nothing from each other; rows that repeat doc_id and text lose the same; doc_id must be an integer; an empty table
+gives an empty result; only doc_id and text are read.
 """
 
 from __future__ import annotations
 
-import re
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
-import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import batches, codes, materialise, span_hashes, spans
+from .common import batches, codes, materialise, mix, span_hashes, spans
 
 MIN_WORDS, GRAM = 25, 25
-_BORDER = re.compile(r"[.!?]+(?=\s)[^\S\n]*\n?|\n")
+_BLANK = np.array([*range(9, 14), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000], np.uint32)
+_tables: dict[str, np.ndarray] = {}
+KEY = ["doc_id", "row"]
+SPAN = T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("words", T.IntegerType()), T.StructField("first_doc", T.LongType())])
+
+
+def _lower(code: np.ndarray) -> np.ndarray:
+    """Small letters for capital ones, where both are one code point below 65,536."""
+    if "lower" not in _tables:
+        small = [chr(x).lower() for x in range(1 << 16)]
+        _tables["lower"] = np.array([ord(c) if len(c) == 1 else x for x, c in enumerate(small)], np.uint32)
+    return np.where(code < 1 << 16, _tables["lower"][np.minimum(code, 0xFFFF)], code)
+
+
+class Words(NamedTuple):
+    """Words and units of some texts end to end: places are in their joined code points, texts begin at `ends`."""
+
+    ends: np.ndarray  # where texts begin, and the end
+    start: np.ndarray
+    end: np.ndarray
+    first: np.ndarray  # number of each text's first word, and of all
+    hash: np.ndarray
+    unit: np.ndarray  # number of each unit's first word
+    unit_start: np.ndarray
+    unit_end: np.ndarray
+    unit_doc: np.ndarray
+
+
+def words_of(texts: list[str]) -> Words:
+    """A unit ends at a word whose last sign is one of .!? and at a line's end. It holds the blanks after it, to the end of
+    the line, and those before it on its own line; blank lines lie between units."""
+    code, ends = codes(texts)
+    inside = ~np.isin(code, _BLANK)
+    start, end = spans(inside)
+    border = np.unique(ends[1:-1])
+    border = border[(border > 0) & (border < len(code))]
+    border = border[inside[border] & inside[border - 1]]
+    start, end = np.sort(np.concatenate((start, border))), np.sort(np.concatenate((end, border)))
+    first = np.searchsorted(start, ends)
+    n = len(start)
+    lines = np.flatnonzero(code == 10)
+    new = np.zeros(n, bool)  # words that begin a unit
+    new[first[:-1][first[:-1] < n]] = True
+    if n:
+        stop = np.isin(code[end - 1], np.array([33, 46, 63], np.uint32))
+        upto = np.searchsorted(lines, start)
+        new[1:] |= stop[:-1] | (upto[1:] > np.searchsorted(lines, end[:-1]))
+    unit = np.flatnonzero(new)
+    doc = np.searchsorted(first, unit, "right") - 1
+    last = np.append(unit[1:], n)[: len(unit)] - 1  # last word of each unit
+    gap0 = np.where(unit == first[doc], ends[doc], end[np.maximum(unit - 1, 0)]) if n else np.zeros(0, np.int64)
+    gap1 = np.where(last + 1 == first[doc + 1], ends[doc + 1], start[np.minimum(last + 1, n - 1)]) if n else np.zeros(0, np.int64)
+    before = np.searchsorted(lines, start[unit]) - 1  # the last line end before it, and the first after it
+    after = np.searchsorted(lines, end[last])
+    padded = np.append(lines, [-1, len(code) + 1])
+    unit_start = np.where((before >= 0) & (padded[before] >= gap0), padded[before] + 1, np.where(unit == first[doc], gap0, start[unit]))
+    unit_end = np.where(padded[np.minimum(after, len(lines) + 1)] < gap1, padded[np.minimum(after, len(lines) + 1)] + 1, gap1)
+    unit_end = np.where(after < len(lines), unit_end, gap1)
+    return Words(ends, start, end, first, span_hashes(_lower(code), start, end), unit, unit_start, unit_end, doc)
+
+
+def units(text: str) -> list[tuple[int, int, int]]:
+    """(start, end, words) of the units of one text."""
+    w = words_of([text])
+    return list(zip(w.unit_start.tolist(), w.unit_end.tolist(), np.diff(np.append(w.unit, len(w.start)))[: len(w.unit)].tolist(), strict=True))
+
+
+def anchors(hashes: np.ndarray) -> np.ndarray:
+    """Places of the smallest hash of every GRAM neighbouring ones."""
+    if len(hashes) < GRAM:
+        return np.zeros(0, np.int64)
+    return np.unique(np.lib.stride_tricks.sliding_window_view(hashes, GRAM).argmin(1) + np.arange(len(hashes) - GRAM + 1))
 
 
-def units(text: str) -> list[tuple[int, int, int, str]]:
-    """(start, end, words, normalised text) of the units, which lie end to end over the whole text."""
-    out, at = [], 0
-    for end in [*(m.end() for m in _BORDER.finditer(text)), len(text)]:
-        if end > at:
-            word = text[at:end].lower().split()
-            out.append((at, end, len(word), " ".join(word)))
-            at = end
-    return out
+def _grams(w: Words, i: int) -> np.ndarray:
+    """Hashes of the grams that begin at each word of a text but the last GRAM - 1."""
+    mine = w.hash[w.first[i] : w.first[i + 1]]
+    at = np.arange(max(0, len(mine) - GRAM + 1))
+    return span_hashes(mine, at, at + GRAM) if len(at) else np.zeros(0, np.uint64)
 
 
-def _digest(unit: str) -> tuple[int, int]:
-    x = xxhash.xxh3_128_intdigest(unit)
-    return (x >> 64) - (1 << 63), (x & ((1 << 64) - 1)) - (1 << 63)
+PARTS = "row bigint, doc_id bigint, at int, word int, words int, hi bigint, lo bigint, own boolean"
 
 
-def unit_digests(docs: DataFrame) -> DataFrame:
-    """A row for each unit: row (a hash of doc_id and text, as in _rows()), doc_id, idx, start, end, words, hi, lo, own (repeats an earlier unit of its row)."""
+def unit_digests(docs: DataFrame, with_anchors: bool = True) -> DataFrame:
+    """A row for each unit: at (its number), word (its first), words, digest, own (repeats an earlier unit of its row); and
+    for each anchor: at and word (the gram's first word), words (the text's, negative), digest."""
 
     def run(frames):
         for pdf in frames:
-            cols: list[list] = [[] for _ in range(8)]
-            for row, doc, text in zip(pdf["row"], pdf["doc_id"], pdf["text"], strict=True):
-                seen = set()
-                for i, (start, end, words, plain) in enumerate(u for u in units(text) if u[2]):  # blank units break no run
-                    d = _digest(plain)
-                    for col, x in zip(cols, (row, doc, i, start, end, words, d, d in seen), strict=True):
-                        col.append(x)
-                    seen.add(d)
-            digest = np.array(cols[6], np.int64).reshape(-1, 2)
-            yield pd.DataFrame({"row": cols[0], "doc_id": pd.array(cols[1], "Int64"), "idx": cols[2], "start": cols[3], "end": cols[4], "words": cols[5], "hi": digest[:, 0], "lo": digest[:, 1], "own": cols[7]})
-
-    return docs.mapInPandas(run, "row bigint, doc_id bigint, idx int, start int, end int, words int, hi bigint, lo bigint, own boolean")
+            texts, row = pdf["text"].tolist(), pdf["row"].to_numpy(np.int64)
+            null = pdf["doc_id"].isna().to_numpy()
+            ids = pdf["doc_id"].fillna(0).to_numpy(np.int64)
+            for a, b in batches(texts):
+                w = words_of(texts[a:b])
+                last = np.append(w.unit[1:], len(w.start))[: len(w.unit)]
+                hi, lo = span_hashes(w.hash, w.unit, last), span_hashes(mix(w.hash ^ np.uint64(0x5851F42D4C957F2D)), w.unit, last)
+                # the first place of each digest in its text
+                same = np.lexsort((np.arange(len(hi)), lo, hi, w.unit_doc))
+                own = np.zeros(len(hi), bool)
+                own[same[1:]] = (w.unit_doc[same[1:]] == w.unit_doc[same[:-1]]) & (hi[same[1:]] == hi[same[:-1]]) & (lo[same[1:]] == lo[same[:-1]])
+                doc = w.unit_doc
+                number = np.arange(len(hi)) - np.searchsorted(doc, doc)
+                word = w.unit - w.first[doc]
+                parts = [(doc, number, word, last - w.unit, hi, lo, own)]
+                for i in range(b - a) if with_anchors else ():
+                    if not null[a + i]:
+                        h = _grams(w, i)
+                        at = anchors(h)
+                        if len(at):
+                            parts.append((np.full(len(at), i), at, at, np.full(len(at), -(w.first[i + 1] - w.first[i])), h[at], mix(h[at] + np.uint64(1)), np.zeros(len(at), bool)))
+                doc, number, word, size, hi, lo, own = (np.concatenate(x) for x in zip(*parts, strict=True))
+                yield pd.DataFrame({"row": row[a + doc], "doc_id": pd.arrays.IntegerArray(ids[a + doc], null[a + doc]), "at": number, "word": word, "words": size, "hi": hi.view(np.int64), "lo": lo.view(np.int64), "own": own})
+
+    return docs.mapInPandas(run, PARTS)
 
 
 def _rows(docs: DataFrame) -> DataFrame:
-    """Rows that repeat both doc_id and text share the key, and so what is removed from them."""
-    key = F.xxhash64("doc_id", "text")
-    return docs.select(key.alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text")
+    """A row is known by its doc_id and a hash of its text: rows that repeat both lose the same."""
+    if not isinstance(docs.schema["doc_id"].dataType, T.IntegralType):
+        raise TypeError("doc_id must be an integer")
+    return docs.select(F.xxhash64("text").alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text")
 
 
-def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """row, doc_id, spans (array of start, end, words, first_doc: the smallest id among those its units come from)."""
-    made = materialise(unit_digests(_rows(docs).withColumn("text", F.coalesce("text", F.lit("")))))
-    # a digest's first document; a row a key and task goes through the shuffle, however often a unit repeats
-    first = made.where(~F.col("own")).groupBy("hi", "lo").agg(F.min("doc_id").alias("first_doc"), F.count(F.lit(1)).alias("n")).where("n > 1").select("hi", "lo", "first_doc")
-    first = materialise(first)  # the join then has plain shuffles on both sides, so that Spark can split a unit that stands everywhere
-    repeats = made.join(first, ["hi", "lo"], "left").where("own or first_doc < doc_id")
-
-    per_row = repeats.groupBy("row").agg(F.first("doc_id", True).alias("doc_id"), F.sum("words").alias("n"), F.array_sort(F.collect_set(F.struct("idx", "start", "end", "words", "first_doc"))).alias("units")).where(F.col("n") >= min_words)
-    zero = "cast(array() as array<struct<idx:int,start:int,end:int,words:int,first_doc:bigint>>)"
-    merged = F.expr(f"""
-        aggregate(units, {zero}, (a, u) -> if(size(a) > 0 and u.idx = element_at(a, -1).idx + 1,
-            concat(slice(a, 1, size(a) - 1), array(named_struct('idx', u.idx, 'start', element_at(a, -1).start, 'end', u.end,
-                'words', element_at(a, -1).words + u.words, 'first_doc', least(element_at(a, -1).first_doc, u.first_doc)))),
-            concat(a, array(u))))
-    """)
-    long = F.filter(merged, lambda x: x["words"] >= min_words)
-    spans = F.transform(long, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["words"].alias("words"), x["first_doc"].alias("first_doc")))
-    return per_row.select("row", "doc_id", spans.alias("spans")).where(F.size("spans") > 0)
+def _full(texts: DataFrame) -> DataFrame:
+    return texts.withColumn("text", F.coalesce("text", F.lit("")))
 
 
-_BLANK = np.array([*range(9, 14), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000], np.uint32)
+def _repeats(made: DataFrame) -> DataFrame:
+    """The rows of `made` that repeat something, with first_doc: the digest's first document. Anchors of that document, too."""
+    # a row a key and task goes through the shuffle, however often a unit repeats
+    first = made.where(~F.col("own")).groupBy("hi", "lo").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last")).where("first_doc < last").select("hi", "lo", "first_doc")
+    first = materialise(first)  # the join then has plain shuffles on both sides, so that Spark can split a unit that stands everywhere
+    return materialise(made.join(first, ["hi", "lo"], "left").where("own or first_doc < doc_id or (words < 0 and first_doc = doc_id)").drop("lo"))
 
 
-def grams(texts: list[str]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(starts of words, ends of words, hashes of the grams that begin at each word but the last GRAM - 1) of each text.
-
-    Capital letters A-Z and of Latin-1 count as small ones."""
-    out = []
-    for a, b in batches(texts):
-        code, ends = codes(texts[a:b])
-        big = (code >= 65) & (code <= 90) | (code >= 0xC0) & (code <= 0xDE) & (code != 0xD7)
-        low = np.where(big, code + 32, code).astype(np.uint32)
-        inside = ~np.isin(code, _BLANK)
-        start, end = spans(inside)
-        border = np.unique(ends[1:-1])
-        border = border[(border > 0) & (border < len(code))]
-        border = border[inside[border] & inside[border - 1]]
-        start, end = np.sort(np.concatenate((start, border))), np.sort(np.concatenate((end, border)))
-        word = span_hashes(low, start, end)
-        first = np.searchsorted(start, ends)
-        for i in range(b - a):
-            w = word[first[i] : first[i + 1]]
-            at = np.arange(max(0, len(w) - GRAM + 1))
-            hashes = span_hashes(w, at, at + GRAM) if len(at) else np.zeros(0, np.uint64)
-            out.append((start[first[i] : first[i + 1]] - ends[i], end[first[i] : first[i + 1]] - ends[i], hashes))
-    return out
+def _runs(found: DataFrame, min_words: int) -> DataFrame:
+    """KEY, a, b (words), words, first_doc of the runs of neighbouring repeated units that are long enough."""
+    w = Window.partitionBy(*KEY).orderBy("at")
+    numbered = found.where("words > 0").withColumns({"_run": F.col("at") - F.dense_rank().over(w), "_again": F.coalesce(F.lag("at").over(w) == F.col("at"), F.lit(False))})
+    runs = numbered.groupBy(*KEY, "_run").agg(F.min("word").alias("a"), F.max(F.col("word") + F.col("words")).alias("b"), F.sum(F.when(~F.col("_again"), F.col("words"))).cast("int").alias("words"), F.min("first_doc").alias("first_doc"))
+    return runs.where(F.col("words") >= min_words).drop("_run")
 
 
-def anchors(hashes: np.ndarray) -> np.ndarray:
-    """Places of the smallest hash of every GRAM neighbouring ones."""
-    if len(hashes) < GRAM:
-        return np.zeros(0, np.int64)
-    least = np.lib.stride_tricks.sliding_window_view(hashes, GRAM).argmin(1) + np.arange(len(hashes) - GRAM + 1)
-    return np.unique(least)
+def _open_anchors(found: DataFrame, runs: DataFrame) -> DataFrame:
+    """KEY, at: shared anchors with words around them that no run covers, and the same anchors in their first document."""
+    shared = found.where("words < 0")
+    around = shared.where("first_doc < doc_id").select(*KEY, F.greatest(F.lit(0), F.col("at") - (GRAM - 1)).alias("a"), F.least(F.col("at") + (2 * GRAM - 1), -F.col("words")).alias("b"), F.lit(1).alias("_kind"), "at", "hi")
+    both = runs.select(*KEY, "a", "b", F.lit(0).alias("_kind"), F.lit(None).cast("int").alias("at"), F.lit(None).cast("long").alias("hi")).unionByName(around)
+    w = Window.partitionBy(*KEY).orderBy("a", "_kind").rowsBetween(Window.unboundedPreceding, 0)
+    asked = both.withColumn("_to", F.max(F.when(F.col("_kind") == 0, F.col("b"))).over(w)).where("_kind = 1 and (_to is null or _to < b)")
+    asked = materialise(asked.select(*KEY, "at", "hi"))
+    sources = shared.where("first_doc = doc_id").join(asked.select("hi").distinct(), "hi", "left_semi").select(*KEY, "at")
+    return asked.select(*KEY, "at").unionByName(sources)
 
 
-def _gram_rows(docs: DataFrame, around: bool) -> DataFrame:
-    """row, doc_id, at, start, end, hash of the anchors or, where docs has a column `places`, of all grams around those."""
+def _gram_rows(joined: DataFrame) -> DataFrame:
+    """KEY, at, hash of all grams around the places."""
 
     def run(frames):
         for pdf in frames:
-            cols: list[list] = [[np.zeros(0, np.int64)] for _ in range(5)]
-            docs_: list = []
-            for i, (start, end, hashes) in enumerate(grams(pdf["text"].tolist())):
-                if around:
-                    near = (np.asarray(pdf["places"].iloc[i], np.int64)[:, None] + np.arange(1 - GRAM, GRAM)).ravel()
-                    at = np.unique(near[(near >= 0) & (near < len(hashes))])
-                else:
-                    at = anchors(hashes)
-                if len(at):
-                    for col, x in zip(cols, (np.full(len(at), pdf["row"].iloc[i], np.int64), at, start[at], end[at + GRAM - 1], hashes[at].view(np.int64)), strict=True):
-                        col.append(x)
-                    docs_ += [pdf["doc_id"].iloc[i]] * len(at)
-            row, at, start, end, hashes = map(np.concatenate, cols)
-            yield pd.DataFrame({"row": row, "doc_id": pd.array(docs_, "Int64"), "at": at, "start": start, "end": end, "hash": hashes})
-
-    return docs.mapInPandas(run, "row bigint, doc_id bigint, at int, start int, end int, hash bigint")
-
-
-def repeated_grams(docs: DataFrame) -> DataFrame:
-    """row, start, end, first_doc of the grams that occur in a document of smaller doc_id, around shared anchors."""
-    texts = _rows(docs).withColumn("text", F.coalesce("text", F.lit(""))).where("doc_id is not null")
-    made = materialise(_gram_rows(texts, False).select("row", "at", "hash", "doc_id"))
-    first = lambda df: materialise(df.groupBy("hash").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last")).where("first_doc < last").select("hash", "first_doc"))
-    places = made.join(first(made), "hash", "left_semi").groupBy("row").agg(F.collect_set("at").alias("places"))
-    every = materialise(_gram_rows(texts.join(places, "row"), True))
-    return every.join(first(every), "hash").where("first_doc < doc_id").select("row", "start", "end", "first_doc")
-
-
-def repeated_substrings(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """row, spans: as repeated_passages, and with the passages whose ends are glued to other text; words is null."""
-    unit = repeated_passages(docs, min_words).select("row", "doc_id", F.explode("spans").alias("s")).select("row", "s.start", "s.end", "s.first_doc")
-    both = unit.unionByName(repeated_grams(docs).select("row", "start", "end", "first_doc"))
-    zero = "cast(array() as array<struct<start:int,end:int,first_doc:bigint>>)"
-    merged = F.expr(f"""
-        aggregate(found, {zero}, (a, u) -> if(size(a) > 0 and u.start <= element_at(a, -1).end,
-            concat(slice(a, 1, size(a) - 1), array(named_struct('start', element_at(a, -1).start,
-                'end', greatest(element_at(a, -1).end, u.end), 'first_doc', least(element_at(a, -1).first_doc, u.first_doc)))),
-            concat(a, array(u))))
-    """)
-    spans_ = F.expr("transform(merged, x -> named_struct('start', x.start, 'end', x.end, 'words', cast(null as int), 'first_doc', x.first_doc))")
-    return both.groupBy("row").agg(F.array_sort(F.collect_set(F.struct("start", "end", "first_doc"))).alias("found")).select("row", merged.alias("merged")).select("row", spans_.alias("spans"))
-
-
-def remove_spans(docs: DataFrame, passages: DataFrame) -> DataFrame:
-    """doc_id, text without the removed spans, spans (empty if none), n_removed (code points) of every row of docs."""
-    joined = _rows(docs).join(passages.select("row", "spans"), "row", "left")
-    empty = F.expr("cast(array() as array<struct<start:int,end:int,words:int,first_doc:bigint>>)")
-    kept = F.expr("""
-        aggregate(coalesce(spans, array()), struct(0 as at, '' as out),
-            (a, s) -> struct(s.end as at, concat(a.out, substring(text, a.at + 1, s.start - a.at)) as out),
-            a -> concat(a.out, substring(text, a.at + 1)))
-    """)
-    removed = F.aggregate(F.coalesce("spans", empty), F.lit(0), lambda a, s: a + s["end"] - s["start"])
-    return joined.select("doc_id", F.when(F.col("spans").isNull(), F.col("text")).otherwise(kept).alias("text"), F.coalesce("spans", empty).alias("spans"), removed.cast("long").alias("n_removed"))
+            texts = pdf["text"].tolist()
+            for a, b in batches(texts):
+                w, parts = words_of(texts[a:b]), [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64))]
+                for i in range(b - a):
+                    h = _grams(w, i)
+                    near = (np.asarray(pdf["places"].iloc[a + i], np.int64)[:, None] + np.arange(1 - GRAM, GRAM)).ravel()
+                    at = np.unique(near[(near >= 0) & (near < len(h))])
+                    parts.append((np.full(len(at), a + i), at, h[at]))
+                i, at, h = (np.concatenate(x) for x in zip(*parts, strict=True))
+                yield pd.DataFrame({"doc_id": pdf["doc_id"].to_numpy(np.int64)[i], "row": pdf["row"].to_numpy(np.int64)[i], "at": at, "hash": h.view(np.int64)})
+
+    return joined.where("places is not null").select("doc_id", "row", "text", "places").mapInPandas(run, "doc_id bigint, row bigint, at int, hash bigint")
+
+
+def _gram_runs(joined: DataFrame) -> DataFrame:
+    """KEY, more: runs (a, b, first_doc) of grams that occur in a document of smaller doc_id."""
+    every = materialise(_gram_rows(joined))
+    first = materialise(every.groupBy("hash").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last")).where("first_doc < last").select("hash", "first_doc"))
+    hits = every.join(first, "hash").where("first_doc < doc_id")
+    w = Window.partitionBy(*KEY).orderBy("at")
+    far = F.coalesce((F.col("at") > F.lag("at").over(w) + GRAM).cast("int"), F.lit(0))
+    runs = hits.withColumn("_far", far).withColumn("_run", F.sum("_far").over(w)).groupBy(*KEY, "_run").agg(F.min("at").alias("a"), (F.max("at") + GRAM).alias("b"), F.min("first_doc").alias("first_doc"))
+    return runs.groupBy(*KEY).agg(F.collect_list(F.struct("a", "b", "first_doc")).alias("more"))
+
+
+def _cut(text: str, runs: list, more: list) -> tuple[str, list]:
+    """The text without the passages, and these as (start, end, words, first_doc); words is null where grams had a part."""
+    w = words_of([text])
+    found = []
+    for r in runs:
+        k = np.searchsorted(w.unit, [r["a"], r["b"] - 1], "right") - 1
+        found.append((int(w.unit_start[k[0]]), int(w.unit_end[k[1]]), r["words"], r["first_doc"]))
+    found += [(int(w.start[r["a"]]), int(w.end[r["b"] - 1]), None, r["first_doc"]) for r in more]
+    out: list[tuple] = []
+    for s, e, n, d in sorted(found, key=lambda x: x[:2]):
+        if out and s <= out[-1][1]:
+            had = out[-1]
+            out[-1] = (had[0], max(had[1], e), had[2] if e <= had[1] else None, min((x for x in (had[3], d) if x is not None), default=None))
+        else:
+            out.append((s, e, n, d))
+    at, kept = 0, []
+    for s, e, *_ in out:
+        kept.append(text[at:s])
+        at = e
+    return "".join([*kept, text[at:]]), out
+
+
+def _removed(joined: DataFrame) -> DataFrame:
+    """doc_id, text without the removed spans, spans (empty if none), n_removed (code points). Rows without any passage don't go to Python."""
+
+    @F.pandas_udf(T.StructType([T.StructField("text", T.StringType()), T.StructField("spans", T.ArrayType(SPAN))]))
+    def cut(text: pd.Series, runs: pd.Series, more: pd.Series) -> pd.DataFrame:
+        some = lambda x: [] if x is None else list(x)
+        rows = [(None, []) if t is None else _cut(t, some(r), some(m)) for t, r, m in zip(text, runs, more, strict=True)]
+        return pd.DataFrame({"text": [r[0] for r in rows], "spans": [[dict(zip(SPAN.names, x, strict=True)) for x in r[1]] for r in rows]})
+
+    plain = joined.where("runs is null and more is null").select("doc_id", "text", F.array().cast(T.ArrayType(SPAN)).alias("spans"))
+    done = joined.where("runs is not null or more is not null").withColumn("_x", cut("text", "runs", "more")).select("doc_id", "_x.text", "_x.spans")
+    return plain.unionByName(done).withColumn("n_removed", F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + (s["end"] - s["start"])))
+
+
+def _joined(docs: DataFrame, info: DataFrame) -> DataFrame:
+    a, b = _rows(docs).alias("a"), info.alias("b")
+    rest = [F.col(f"b.{c}") for c in info.columns if c not in KEY]
+    return a.join(b, F.col("a.row").eqNullSafe(F.col("b.row")) & F.col("a.doc_id").eqNullSafe(F.col("b.doc_id")), "left").select("a.doc_id", "a.row", "a.text", *rest)
 
 
 def dedup_passages(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """Every row of docs without the passages that occur earlier: doc_id, text, spans, n_removed."""
-    return remove_spans(docs, repeated_passages(docs, min_words))
+    """Every row of docs without the units that occur earlier: doc_id, text, spans, n_removed."""
+    runs = _runs(_repeats(materialise(unit_digests(_full(_rows(docs)), False))), min_words)
+    per_row = runs.groupBy(*KEY).agg(F.collect_list(F.struct("a", "b", "words", "first_doc")).alias("runs"))
+    return _removed(materialise(_joined(docs, per_row)).withColumn("more", F.lit(None).cast("array<struct<a:int,b:int,first_doc:bigint>>")))
 
 
 def dedup_substrings(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """As dedup_passages, and without any passage of 2 * GRAM - 1 words or more that stands in an earlier document."""
-    return remove_spans(docs, repeated_substrings(docs, min_words))
+    found = _repeats(materialise(unit_digests(_full(_rows(docs)))))
+    runs = materialise(_runs(found, min_words))
+    run = F.struct("a", "b", "words", "first_doc")
+    info = runs.select(*KEY, run.alias("run"), F.lit(None).cast("int").alias("at")).unionByName(_open_anchors(found, runs).select(*KEY, F.lit(None).cast("struct<a:int,b:int,words:int,first_doc:bigint>").alias("run"), "at"))
+    some = lambda c: F.when(F.size(c) > 0, F.col(c))
+    info = info.groupBy(*KEY).agg(F.collect_list("run").alias("runs"), F.collect_set("at").alias("places")).withColumns({"runs": some("runs"), "places": some("places")})
+    joined = materialise(_joined(docs, info))
+    more = _gram_runs(joined)
+    closed = joined.where("places is null").withColumn("more", F.lit(None).cast("array<struct<a:int,b:int,first_doc:bigint>>"))
+    asked = joined.where("places is not null").join(more, KEY, "left")
+    return _removed(closed.unionByName(asked).drop("places"))
