@@ -8,7 +8,8 @@ are members take the winner's locator; the others are grouped among themselves.
 
 Defined cases: a null text counts as empty; runs of blank characters count as one space; a null doc_id loses against
 any other and a group of none but null ids keeps a null locator; rows that repeat both doc_id and text share their
-fate; an empty history or empty new rows are fine; only doc_id and text are read.
+fate; an empty history or empty new rows are fine; doc_id must be an integer (another type is an error); only doc_id and
+text are read.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import materialise
 
@@ -117,6 +119,8 @@ def exact_dedup(new: DataFrame, history: DataFrame) -> DataFrame:
 
 def exact_dedup_at(docs: DataFrame, old: Column) -> DataFrame:
     """The same where `old` marks the history's rows within one table, which is then read once."""
+    if not isinstance(docs.schema["doc_id"].dataType, T.IntegralType):
+        raise TypeError("doc_id must be an integer")
     digest = F.unhex(F.sha2(normalised().cast("binary"), 256))
     return _dedup(materialise(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(old, F.lit(False)).alias("old"), digest.alias("sha"))))
 
