@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
+from collections import Counter
+from collections.abc import Callable, Iterable
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Rows in an Arrow batch, so that a batch of very long texts still fits a Python worker.
@@ -13,19 +16,23 @@ BATCH_ROWS = 400
 
 
 def tune(spark: SparkSession) -> SparkSession:
-    """Bounds the Arrow batches of the Python stages by rows and, where Spark knows it, by bytes."""
+    """Bounds the Arrow batches of the Python stages by rows and, where Spark knows it, by bytes; a finished query's shuffle
+    files go at once, since every step that others build on is a written table."""
+    spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
     return spark
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; a local one is set only where the session names none."""
+    """The folder that all executors share, as the session names it. Only a local session may do without: it gets a
+    folder of its own, since its driver and executors are one process; on a cluster an unset folder is an error."""
     path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = "file:/tmp/checkpoints"
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path
+    if path:
+        return path
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return f"file:{tempfile.gettempdir()}/spanflow-{spark.sparkContext.applicationId}"
 
 
 def materialise(df: DataFrame) -> DataFrame:
@@ -36,29 +43,70 @@ def materialise(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def set_aside(df: DataFrame, names: Iterable[str]) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """df with the columns of these names renamed, and a function that gives a later table df's own columns back."""
+    taken, other = {*df.columns, *names}, {}
+    for c in df.columns:
+        if c in {*names}:
+            other[c] = next(x for k in range(len(taken) + 1) if (x := f"{c}_{k}") not in taken)
+            taken.add(other[c])
+    return df.withColumnsRenamed(other), lambda done: done.select(*(F.col(other.get(c, c)).alias(c) for c in df.columns))
+
+
 def held_out(doc_id: str | Column = "doc_id") -> Column:
     """True for the fold that no model learns from: crc32 of the id as text, modulo 5, is 0."""
     key = F.col(doc_id) if isinstance(doc_id, str) else doc_id
     return F.coalesce(F.crc32(key.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def sample_texts(docs: DataFrame, labelled: DataFrame, label: str, limits: dict | int) -> list[tuple]:
-    """(doc_id, label, text) of a bounded, seeded sample of `labelled` (doc_id, label), in the order of a hash.
+def _luck(key: str = "doc_id") -> Column:
+    """A number in [0, 1) that a hash of the id gives."""
+    return F.xxhash64(F.col(key).cast("string")).bitwiseAND(F.lit((1 << 40) - 1)) / F.lit(float(1 << 40))
 
-    limits: rows in all, or rows for each label value. Only ids are ranked; the texts of the at most
-    `limits` chosen ids are then fetched by a join whose broadcast side has that bound."""
-    keyed = labelled.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull()).select("doc_id", label)
-    rank = lambda df, n: df.orderBy(F.xxhash64("doc_id"), "doc_id", label).limit(n)
-    if isinstance(limits, int):
-        chosen = rank(keyed, limits).collect()
-    else:
-        chosen = [r for value, n in limits.items() for r in rank(keyed.where(F.col(label) == value), n).collect()]
+
+def _texts_of(docs: DataFrame, chosen: list, schema) -> list[tuple]:
+    """(doc_id, label, text) of the chosen (doc_id, label), by a join whose broadcast side is as small as that list."""
     if not chosen:
         return []
-    spark = docs.sparkSession
-    ids = spark.createDataFrame([(r[0], r[1]) for r in chosen], keyed.schema)
+    ids = docs.sparkSession.createDataFrame([(r[0], r[1]) for r in chosen], schema).withColumnRenamed(schema[1].name, "_label")
     found = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(ids), "doc_id")
-    return sorted((r["doc_id"], r[label], r["text"]) for r in found.collect())
+    return sorted((r["doc_id"], r["_label"], r["text"]) for r in found.select("doc_id", "_label", "text").collect())
+
+
+def sample_texts(docs: DataFrame, labelled: DataFrame, label: str, rows: int) -> list[tuple]:
+    """(doc_id, label, text) of at most `rows` rows of `labelled` (doc_id, label), the first in the order of a hash.
+
+    Only ids are ranked; the texts of the chosen ones are then fetched."""
+    keyed = labelled.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull()).select("doc_id", label)
+    return _texts_of(docs, keyed.orderBy(_luck(), "doc_id", label).limit(rows).collect(), keyed.schema)
+
+
+def sample_each(docs: DataFrame, labelled: DataFrame, label: str, rows: int, max_labels: int) -> list[tuple]:
+    """The same with at most `rows` rows of every label. More than `max_labels` labels are an error: none is left out.
+
+    One pass counts the labels, a second ranks only rows whose hash is below a bound that about twice as many as
+    wanted pass, so that no label's rows meet in one task; a label of which too few pass is ranked in full."""
+    keyed = labelled.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull()).select("doc_id", F.col(label).alias("_label"))
+    counts = keyed.groupBy("_label").agg(F.count(F.lit(1)).alias("n")).limit(max_labels + 1).collect()
+    if len(counts) > max_labels:
+        raise ValueError(f"{label} has more than {max_labels} values; raise the limit or group them")
+    if not counts:
+        return []
+    spark = docs.sparkSession
+
+    def ranked(bounds: list[tuple]) -> list:
+        kind = keyed.schema["_label"].dataType.simpleString()
+        bound = spark.createDataFrame(bounds, f"_label {kind}, _bound double")  # a row a label, max_labels at most
+        order = Window.partitionBy("_label").orderBy("_luck", "doc_id")
+        near = keyed.withColumn("_luck", _luck()).join(F.broadcast(bound), "_label").where("_luck < _bound")
+        return near.withColumn("_k", F.row_number().over(order)).where(F.col("_k") <= rows).select("doc_id", "_label").collect()
+
+    chosen = ranked([(r["_label"], (2 * rows + 40) / r["n"]) for r in counts])
+    have = Counter(r["_label"] for r in chosen)
+    if short := [(r["_label"], 2.0) for r in counts if have[r["_label"]] < min(rows, r["n"])]:
+        again = {x for x, _ in short}
+        chosen = [r for r in chosen if r["_label"] not in again] + ranked(short)
+    return _texts_of(docs, chosen, keyed.schema)
 
 
 def batches(texts: list[str], chars: int = 1 << 21):

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import batches, codes, held_out, sample_texts, span_hashes, spans
+from .common import batches, codes, held_out, sample_texts, set_aside, span_hashes, spans
 
 BITS, DIM, ORDERS, LAGS = 17, 8, (2, 3, 4), (1, 2, 3, 4)
 _SLOTS = (1 << BITS) + 1024
@@ -162,6 +162,12 @@ def score_quality(docs: DataFrame, model: SubwordModel, threshold: float = 0.3)
     return docs.mapInPandas(run, schema)
 
 
+def good_rows(docs: DataFrame, model: SubwordModel, threshold: float = 0.3) -> DataFrame:
+    """The rows of docs that are predicted to be of class 1, with their own columns and values, whatever their names."""
+    renamed, own = set_aside(docs, ("score", "predicted"))
+    return own(score_quality(renamed, model, threshold).where("predicted = 1"))
+
+
 def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
     """doc_id, held_out, score, predicted of every row of docs; the text itself doesn't leave the scoring stage."""
     model = train_quality(docs, labels)

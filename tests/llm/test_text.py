@@ -2,9 +2,10 @@ import re
 import zlib
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
-from spanflow.llm import html, language, licenses, media, mixing, packing, quality
+from spanflow.llm import common, language, licenses, media, mixing, packing, quality
 
 
 def test_quality_held_out(spark, sample, docs, empty):
@@ -30,40 +31,6 @@ def test_quality_logits_equal_the_mean_of_vectors():
         assert np.isclose(z[1] - z[0], own[1] - own[0], atol=1e-4)
 
 
-def test_html_template_and_labelled_pages(spark):
-    model = html.TreeModel(html.labelled_pages(300))
-    page = '<html><head><title>t</title><script>var a="</p>"</script></head><body><nav><ul><li><a href="/">Home</a></li></ul></nav><div class="cookie-notice">We use cookies.</div><article><h1>A title</h1><p>First  text<br>goes &amp; on here, as it does.<p>Second one is here too.</p><ul><li>An item of it</li></ul></article><section id="comments"><div class="comment"><p>I liked it very much.</p></div></section><form><p>Sign up now.</p></form><footer>&copy; me</footer></body></html>'
-    assert model.extract([page]) == ["A title\n\nFirst text goes & on here, as it does.\n\nSecond one is here too.\n\nAn item of it"]
-    df = spark.createDataFrame([(1, page, "x"), (2, None, "x"), (3, "", "x"), (4, "<p", "x"), (5, "<div " * 3000, "x"), (6, "<b>" * 3000 + "z", None)], "page_id long, html string, text string")
-    got = {r.page_id: r for r in html.extract_main_text(df, model).collect()}
-    assert got[2].text == got[3].text == "" and got[1].n_chars == len(got[1].text) and len(got) == 6
-    held = html.labelled_pages(60, seed=99)
-    right = wrong = 0
-    for text in held:
-        tree = html.parse(text)
-        label = [0] * len(tree.parent)
-        for i in range(1, len(label)):
-            label[i] = int(tree.mark[i] == "1") if tree.mark[i] else label[tree.parent[i]]
-        for i, p in enumerate(model.marginals([tree])[0]):
-            if tree.text[i] is not None:
-                right, wrong = right + ((p > 0.5) == label[i]), wrong + ((p > 0.5) != label[i])
-    assert right > 0.95 * (right + wrong)
-
-
-def test_messages_give_exact_marginals():
-    tree = html.parse("<div><p>a<p>b</div>")
-    model = html.TreeModel(html.labelled_pages(30), steps=5)
-    n = len(tree.parent)
-    odds = [sum(model.weight.get(f, 0) for f in fs) for fs in tree.features]
-    total, each = 0.0, np.zeros(n)
-    for bits in range(1 << n):
-        y = [bits >> i & 1 for i in range(n)]
-        w = np.exp(sum(o for o, b in zip(odds, y, strict=True) if b) + sum(model.pair[y[tree.parent[i]], y[i]] for i in range(1, n)))
-        total += w
-        each += w * np.array(y)
-    assert np.allclose(model.marginals([tree])[0], each / total)
-
-
 def test_media_round_trip(spark, docs):
     df = docs.select("doc_id", F.coalesce("text", F.lit("")).cast("binary").alias("payload"), F.lit(1).alias("wav"))
     for r, t in zip(media.fingerprint(df).orderBy("doc_id").collect(), docs.orderBy("doc_id").collect(), strict=True):
@@ -90,6 +57,27 @@ def test_cross_parsing_against_substring_search():
         assert model.phrases([text])[0][0, k] == n
 
 
+def test_letters_beyond_the_table_are_letters():
+    rng = np.random.default_rng(0)
+    word = lambda lo: "".join(chr(x) for x in rng.integers(lo, lo + 1500, 2))
+    words = {"x": [word(0x4E00) for _ in range(300)], "y": [word(0x5200) for _ in range(300)]}  # scripts that share letters
+    text = lambda k, n: " ".join(rng.choice(words[k], n))
+    model = language.CrossParser({k: text(k, 4000) for k in words} | {"z": "plain words of few letters " * 50})
+    assert model.unknown > 900 > model.dense
+    got = model.predict([text("x", 20), text("y", 20), "words of letters", "\U00031350\U00031351", "12 --"])[0]
+    assert got[:3] == ["x", "y", "z"] and got[3] != "und" and got[4] == "und"
+    source = language._plain("".join(words["x"][:50]))
+    small = language.CrossParser({"x": source})
+    asked = language._plain(text("x", 30))
+    i = n = 0
+    while i < len(asked):
+        j = i + 1
+        while j <= len(asked) and asked[i:j] in source:
+            j += 1
+        i, n = max(i + 1, j - 1), n + 1
+    assert small.phrases([asked])[0][0, 0] == n
+
+
 def test_language(sample, docs, empty):
     got = language.identify_language(sample, language.train_language(sample)).join(sample.select("doc_id", "lang"), "doc_id").where("held_out").collect()
     assert sum(r.lang_pred == r.lang for r in got) >= 0.95 * len(got)
@@ -189,6 +177,45 @@ def test_mixing_reaches_targets(sample, docs, empty):
     assert all(r.rate >= 0 and abs(r.copies - r.rate) < 1 for r in rows)
     more = mixing.mix(sample, sample.select("doc_id", "lang"), "lang", budget=None, least=1.0)
     assert more.where("copies < 1").count() == 0
-    assert mixing.repeat_rows(more, sample.columns).columns == sample.columns
+    again = mixing.mix_rows(sample.withColumn("copies", F.lit("mine")), sample.select("doc_id", "lang"), "lang", budget=None, least=1.0)
+    assert again.columns == [*sample.columns, "copies"] and again.where("copies <> 'mine' or rate <> 'x'").count() == 0
+    assert again.select("doc_id").distinct().count() == sample.count()
     assert mixing.mix(docs, docs.select("doc_id", "lang"), "lang").count() == 12
     assert mixing.mix(empty, empty.select("doc_id", "lang"), "lang").count() == 0
+    for kind in ("int", "string"):  # labels that look like classes of another model
+        numbers = sample.select("doc_id", (F.col("lang") == "en").cast("int").cast(kind).alias("y"))
+        got = mixing.mix(sample, numbers, "y", {0: 0.7, 1: 0.3})
+        assert {r.domain for r in got.collect()} == {"0", "1"} and got.agg(F.sum("copies")).first()[0] > 150
+    with pytest.raises(ValueError, match="xx"):
+        mixing.mix(sample, sample.select("doc_id", "lang"), "lang", {"en": 1, "xx": 1})
+    with pytest.raises(ValueError, match="values"):
+        mixing.train_domains(sample, sample.select("doc_id", "lang"), "lang", max_domains=3)
+    with pytest.raises(mixing.NotConverged):
+        mixing.mix(sample, sample.select("doc_id", "lang"), "lang", want, max_steps=1)
+
+
+@pytest.mark.parametrize("least,budget", [(0.0, 1.0), (1.0, 1.0), (0.5, 1.2)])
+def test_rates_against_plain_projected_gradient(spark, least, budget):
+    rng = np.random.default_rng(4)
+    p, t = rng.dirichlet([0.4] * 3, 60), rng.integers(0, 50, 60)
+    df = spark.createDataFrame([(i, int(n), x.tolist()) for i, (n, x) in enumerate(zip(t, p, strict=True))], "doc_id long, n_tokens long, posteriors array<double>")
+    rated, fit = mixing.fit_rates(df, {"a": 0.6, "b": 0.3, "c": 0.1}, ["a", "b", "c"], budget, least, close=1e-7, flat=1e-7, max_steps=3000)
+    share, target = t @ p / t.sum(), np.array([0.6, 0.3, 0.1]) * budget
+    r = np.full(60, max(1.0, least))
+    for _ in range(60000):
+        r = np.maximum(least, r - p @ ((t * r @ p / t.sum() - target) / share))
+    squares = lambda x: (((t * x @ p / t.sum() - target) ** 2) / share).sum()
+    got = np.array([x.rate for x in rated.orderBy("doc_id").collect()])
+    assert fit.converged and got.min() >= least and squares(got) <= squares(r) + 1e-8
+    assert np.allclose(t * got @ p / t.sum(), t * r @ p / t.sum(), atol=1e-4)  # the totals of the optimum are unique
+
+
+def test_sample_of_each_label(spark):
+    df = spark.createDataFrame([(i, f"t{i}", "ab"[i % 3 == 0]) for i in range(3000)] + [(7, "t7", "c")] * 50 + [(None, "n", "d")], "doc_id long, text string, y string")
+    got = common.sample_each(df, df.select("doc_id", "y"), "y", 20, 10)
+    import collections
+
+    assert {k: v for k, v in collections.Counter(y for _, y, _ in got).items() if k != "c"} == {"a": 20, "b": 20}
+    luck = {r[0]: r[1] for r in df.where("doc_id is not null").select("doc_id", common._luck()).collect()}
+    for y, ids in (("a", [i for i in range(3000) if i % 3]), ("b", range(0, 3000, 3))):
+        assert {i for i, z, _ in got if z == y} == {*sorted(ids, key=lambda i: luck[i])[:20]}
