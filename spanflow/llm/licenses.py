@@ -1,7 +1,8 @@
 """License scans by ordered signature rules, with DataFrame functions only.
 
-A text is brought to lower-case words with one blank before and after each. A rule is a regular expression over such
-words with a keyword, a label and a priority; rules are tried only where their keyword occurs, and the keywords only
+A text is brought to lower-case words with one blank before and after each. Rules are the hand-written sentences of
+licence texts and notices, each with its own expression, and hand-written names of licences in a few hand-written
+contexts. A rule is a regular expression over such words with a keyword, a label and a priority; rules are tried only where their keyword occurs, and the keywords only
 where the text has one of a few anchors. Of two detections the one inside the other is dropped; on equal places the
 better (smaller) priority stays, then the earlier rule.
 
@@ -94,6 +95,111 @@ FAMILIES = (
     ("proprietary", "all rights reserved", 44, r"all rights reserved"),
     ("proprietary", "proprietary", 44, r"proprietary(?: and confidential| licen[sc]e| software)"),
 )
+#: Sentences by which a licence's text or notice is known, whatever it is called: label, keyword, priority, expression, confidence.
+NOTICES = (
+    ("mit", "hereby granted", 2, r"permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files", 0.97),
+    ("mit", "deal in the software", 6, r"deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicen[sc]e and or sell copies", 0.95),
+    ("mit", "substantial portions", 8, r"the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software", 0.9),
+    ("x11", "advertising or otherwise", 6, r"the name of [a-z0-9 ]{1,60} shall not be used in advertising or otherwise to promote the sale use or other dealings in this software", 0.93),
+    ("mit-0", "mit", 4, r"mit no attribution|mit 0 licen[sc]e", 0.92),
+    ("bsl-1.0", "hereby granted", 2, r"permission is hereby granted free of charge to any person or organi[sz]ation obtaining a copy of the software and accompanying documentation covered by this licen[sc]e", 0.97),
+    ("unicode", "data files", 4, r"permission is hereby granted free of charge to any person obtaining a copy of the unicode data files", 0.97),
+    ("isc", "fee is hereby", 4, r"permission to use copy modify and (?:or )?distribute this software for any purpose with or without fee is hereby granted provided that", 0.96),
+    ("0bsd", "fee is hereby", 6, r"permission to use copy modify and (?:or )?distribute this software for any purpose with or without fee is hereby granted(?! provided)", 0.93),
+    ("ntp", "fee is hereby", 5, r"permission to use copy modify and distribute this software and its documentation for any purpose with or without fee is hereby granted", 0.93),
+    ("hpnd", "without fee", 7, r"permission to use copy modify distribute and sell this software and its documentation for any purpose is hereby granted without fee", 0.93),
+    ("postgresql", "without a written agreement", 4, r"without fee and without a written agreement is hereby granted", 0.95),
+    ("bsd", "source and binary forms", 12, r"redistribution and use in source and binary forms with or without modification are permitted provided that", 0.9),
+    ("bsd-3-clause", "endorse or promote", 6, r"neither the names? of [a-z0-9 ]{1,80} may be used to endorse or promote products derived from this software without specific prior written permission", 0.93),
+    ("bsd-3-clause", "endorse or promote", 8, r"the name of the author may not be used to endorse or promote products derived from this software", 0.88),
+    ("bsd-4-clause", "advertising materials", 4, r"all advertising materials mentioning features or use of this software must display the following acknowledg[e]?ment", 0.96),
+    ("bsd-3-clause-clear", "patent", 4, r"no express or implied licen[sc]es to any party s patent rights are granted by this licen[sc]e", 0.93),
+    ("apache-2", "you may not use this file", 2, r"licen[sc]ed under the apache licen[sc]e version 2 0 the licen[sc]e you may not use this file except in compliance with the licen[sc]e", 0.99),
+    ("apache-2", "you may not use this file", 6, r"you may not use this file except in compliance with the licen[sc]e you may obtain a copy of the licen[sc]e at (?:http|https) www apache org", 0.97),
+    ("apache-2", "apache org", 8, r"www apache org licen[sc]es licen[sc]e 2 0", 0.95),
+    ("apache-1.1", "apache software foundation", 6, r"this product includes software developed by the apache software foundation", 0.9),
+    ("gpl", "free software", 14, r"this (?:program|library|file|software|package) is free software you can redistribute it and or modify it under the terms of the gnu general public licen[sc]e", 0.9),
+    ("gpl-2.0", "free software foundation", 6, r"gnu general public licen[sc]e as published by the free software foundation (?:either )?version 2 of the licen[sc]e(?: or at your option any later version)?", 0.97),
+    ("gpl-3.0", "free software foundation", 6, r"gnu general public licen[sc]e as published by the free software foundation (?:either )?version 3 of the licen[sc]e(?: or at your option any later version)?", 0.97),
+    ("lgpl-2.1", "free software foundation", 6, r"gnu lesser general public licen[sc]e as published by the free software foundation (?:either )?version 2 1 of the licen[sc]e(?: or at your option any later version)?", 0.97),
+    ("lgpl-3.0", "free software foundation", 6, r"gnu lesser general public licen[sc]e as published by the free software foundation (?:either )?version 3 of the licen[sc]e(?: or at your option any later version)?", 0.97),
+    ("lgpl-2.0", "free software foundation", 6, r"gnu library general public licen[sc]e as published by the free software foundation (?:either )?version 2 of the licen[sc]e(?: or at your option any later version)?", 0.97),
+    ("agpl-3.0", "free software foundation", 5, r"gnu affero general public licen[sc]e as published by the free software foundation (?:either )?version 3 of the licen[sc]e(?: or at your option any later version)?", 0.97),
+    ("gpl", "gnu org", 16, r"www gnu org (?:licen[sc]es|copyleft)(?: gpl(?: html)?)?", 0.8),
+    ("lgpl-2.1", "gnu org", 8, r"www gnu org licen[sc]es (?:old licen[sc]es )?lgpl 2 1", 0.93),
+    ("gpl-3.0", "gnu org", 8, r"www gnu org licen[sc]es gpl 3 0", 0.93),
+    ("classpath-exception", "combined work", 4, r"linking this library statically or dynamically with other modules is making a combined work based on this library", 0.95),
+    ("gcc-exception", "runtime library", 6, r"gcc runtime library exception", 0.95),
+    ("gfdl", "front cover texts", 6, r"with no invariant sections no front cover texts and no back cover texts", 0.95),
+    ("mpl-2.0", "source code form", 2, r"this source code form is subject to the terms of the mozilla public licen[sc]e v 2 0", 0.99),
+    ("mpl-1.1", "mozilla public", 6, r"the contents of this file are subject to the mozilla public licen[sc]e version 1 1", 0.98),
+    ("mpl-1.0", "the contents of this file", 6, r"the contents of this file are subject to the mozilla public licen[sc]e version 1 0", 0.98),
+    ("mpl-2.0", "mozilla org", 8, r"mozilla org mpl 2 0", 0.95),
+    ("npl-1.1", "netscape public", 6, r"netscape public licen[sc]e(?: version 1 1)?", 0.93),
+    ("epl-2.0", "eclipse org", 6, r"www eclipse org legal epl (?:2 0|v20)", 0.96),
+    ("epl-1.0", "eclipse org", 6, r"www eclipse org legal epl v10", 0.96),
+    ("edl-1.0", "eclipse distribution", 6, r"eclipse distribution licen[sc]e(?: v 1 0| version 1 0)?", 0.93),
+    ("cpl-1.0", "common public", 8, r"common public licen[sc]e(?: version 1 0| v1 0)?", 0.92),
+    ("ipl-1.0", "ibm public", 8, r"ibm public licen[sc]e(?: version 1 0)?", 0.92),
+    ("cddl-1.0", "common development", 4, r"the contents of this file are subject to the terms of the common development and distribution licen[sc]e", 0.97),
+    ("cddl-1.1", "cddl", 8, r"cddl(?: version| v)? 1 1", 0.93),
+    ("cddl-1.0", "cddl", 10, r"cddl(?: version| v)? 1 0", 0.93),
+    ("osl-3.0", "open software license", 8, r"open software licen[sc]e(?: version| v)? 3 0", 0.95),
+    ("afl-3.0", "academic free", 8, r"academic free licen[sc]e(?: version| v)? 3 0", 0.95),
+    ("afl-2.1", "academic free", 8, r"academic free licen[sc]e(?: version| v)? 2 1", 0.95),
+    ("ecl-2.0", "educational community", 8, r"educational community licen[sc]e(?: version| v)? 2 0", 0.95),
+    ("upl-1.0", "universal permissive", 8, r"universal permissive licen[sc]e(?: version| v)?(?: 1 0)?", 0.95),
+    ("ncsa", "ncsa", 8, r"(?:university of illinois )?ncsa open source licen[sc]e", 0.95),
+    ("zlib", "altered source versions", 4, r"altered source versions must be plainly marked as such and must not be misrepresented as being the original software", 0.97),
+    ("libpng-2.0", "png reference library", 6, r"png reference library licen[sc]e(?: version 2)?", 0.95),
+    ("curl", "curl", 10, r"(?:the )?curl licen[sc]e", 0.92),
+    ("openssl", "openssl", 6, r"this product includes software developed by the openssl project", 0.96),
+    ("openssl", "openssl", 10, r"(?:dual )?openssl (?:and )?ssleay licen[sc]es?|openssl licen[sc]e", 0.93),
+    ("ijg", "independent jpeg group", 6, r"this software is based in part on the work of the independent jpeg group", 0.96),
+    ("freetype", "freetype", 8, r"(?:the )?freetype (?:project )?licen[sc]e", 0.94),
+    ("artistic-1.0", "artistic", 10, r"artistic licen[sc]e 1 0", 0.94),
+    ("perl", "perl itself", 6, r"(?:this (?:library|module|program) is free software you can redistribute it and or modify it )?under the same terms as perl itself", 0.94),
+    ("ruby", "ruby", 12, r"(?:under the )?ruby(?: s)? licen[sc]e", 0.9),
+    ("php-3.01", "php license", 8, r"php licen[sc]e(?: version| v)? 3 01", 0.96),
+    ("php", "php license", 20, r"php licen[sc]e", 0.88),
+    ("python-2.0", "psf license", 8, r"psf licen[sc]e(?: agreement)?(?: version 2)?", 0.93),
+    ("zpl-2.1", "zope public", 8, r"zope public licen[sc]e(?: zpl)?(?: version| v)? 2 1", 0.95),
+    ("w3c", "w3c", 8, r"w3c(?: r)? software (?:notice and )?licen[sc]e", 0.94),
+    ("lppl-1.3c", "latex project public", 8, r"latex project public licen[sc]e(?: version 1 3c?)?", 0.95),
+    ("wtfpl", "what the fuck", 4, r"do what the fuck you want to(?: public licen[sc]e)?", 0.97),
+    ("unlicense", "unencumbered software", 2, r"this is free and unencumbered software released into the public domain", 0.99),
+    ("unlicense", "unlicense org", 6, r"unlicense org", 0.93),
+    ("cc0-1.0", "creativecommons org", 4, r"creativecommons org publicdomain zero 1 0", 0.98),
+    ("cc-by-nc-sa", "creativecommons org", 2, r"creativecommons org licen[sc]es by nc sa \d \d", 0.98),
+    ("cc-by-nc-nd", "creativecommons org", 2, r"creativecommons org licen[sc]es by nc nd \d \d", 0.98),
+    ("cc-by-nc", "creativecommons org", 4, r"creativecommons org licen[sc]es by nc \d \d", 0.98),
+    ("cc-by-sa", "creativecommons org", 4, r"creativecommons org licen[sc]es by sa \d \d", 0.98),
+    ("cc-by-nd", "creativecommons org", 4, r"creativecommons org licen[sc]es by nd \d \d", 0.98),
+    ("cc-by", "creativecommons org", 6, r"creativecommons org licen[sc]es by \d \d", 0.98),
+    ("cc0-1.0", "waived all copyright", 4, r"waived all copyright and related or neighbou?ring rights to this work", 0.96),
+    ("ofl-1.1", "reserved font name", 4, r"with reserved font name", 0.95),
+    ("ofl-1.1", "scripts sil org", 6, r"scripts sil org ofl", 0.95),
+    ("odbl-1.0", "open data commons", 8, r"open data commons open database licen[sc]e", 0.96),
+    ("odbl-1.0", "opendatacommons", 8, r"opendatacommons org licen[sc]es odbl", 0.96),
+    ("pddl-1.0", "public domain dedication", 8, r"public domain dedication and licen[sc]e", 0.95),
+    ("pddl-1.0", "opendatacommons", 8, r"opendatacommons org licen[sc]es pddl", 0.95),
+    ("cdla-permissive-2.0", "community data license", 8, r"community data licen[sc]e agreement permissive(?: version)?(?: 2 0)?", 0.95),
+    ("ms-pl", "ms pl", 14, r"ms pl", 0.88),
+    ("ms-rl", "microsoft reciprocal", 8, r"microsoft reciprocal licen[sc]e", 0.95),
+    ("sspl-1.0", "server side public", 6, r"server side public licen[sc]e(?: version 1)?", 0.96),
+    ("elastic-2.0", "elastic license", 8, r"elastic licen[sc]e(?: version)?(?: 2 0)?", 0.95),
+    ("busl-1.1", "business source", 6, r"business source licen[sc]e(?: version)?(?: 1 1)?", 0.96),
+    ("commons-clause", "commons clause", 6, r"commons clause(?: licen[sc]e condition v1 0)?", 0.94),
+    ("gemma", "gemma", 14, r"gemma terms of use", 0.94),
+    ("responsible-ai", "responsible ai", 10, r"responsible ai (?:source code )?licen[sc]es?", 0.92),
+    ("jrl", "research purposes only", 14, r"for (?:internal )?(?:non commercial |academic )?research purposes only", 0.85),
+    ("non-commercial", "non commercial use", 20, r"for (?:personal and )?non commercial use only", 0.85),
+    ("all-permissive", "in any medium", 8, r"copying and distribution of this file with or without modification are permitted in any medium without royalty", 0.95),
+    ("beerware", "beer ware", 4, r"the beer ware licen[sc]e", 0.96),
+    ("json", "good not evil", 4, r"the software shall be used for good not evil", 0.97),
+    ("proprietary", "proprietary", 30, r"confidential and proprietary (?:information|trade secrets?) of", 0.85),
+    ("proprietary", "written consent", 40, r"may not be reproduced (?:or distributed )?without (?:the )?(?:prior |express )*written consent", 0.8),
+)
 #: How a text says that a name is its licence; the name stands at {}. The number is added to the priority, the last is the confidence.
 CONTEXTS = (
     (r"(?:licen[sc]ed|released|distributed|published|made available|available|provided) (?:to you )?(?:under|by|with) (?:the )?(?:terms (?:and conditions )?of (?:the )?)?{}(?: licen[sc]e)?", -4, 0.98),
@@ -102,13 +208,19 @@ CONTEXTS = (
     (r"licen[sc]e (?:is )?(?:the )?{}", 0, 0.9),
     (r"{}", 4, 0.8),
 )
-#: A text without any of these has no detection: each name above has one of them in it.
-ANCHORS = ("licen", "gpl", "bsd", "mpl", "wtfpl", "openrail", "cc0", "cc by", "creative commons", "public domain", "all rights reserved", "proprietary")
+#: A text without any of these has no detection: each rule above has one of them in it, in its keyword or its name.
+ANCHORS = (
+    "licen", "gpl", "bsd", "mpl", "wtfpl", "openrail", "cc0", "cc by", "creative commons", "creativecommons", "public domain", "publicdomain", "all rights reserved", "proprietary",
+    "hereby", "permission", "copyright notice", "redistribut", "free software", "this software", "original software", "distribution", "mit no attribution", "www ", "mozilla org", "combined work",
+    "runtime library", "cover texts", "cddl", "perl itself", "what the fuck", "waived all", "reserved font name", "scripts sil", "ms pl", "commons clause", "gemma", "purposes only", "use only", "software developed", "good not evil", "written consent",
+)
 
 
 def rules() -> list[tuple]:
-    """(number, keyword, label, priority, confidence, expression): every family in every context, in order."""
-    made = []
+    """(number, keyword, label, priority, confidence, expression): the notices, then every family in every context, in order."""
+    made: list[tuple] = []
+    for label, keyword, priority, text, confidence in NOTICES:
+        made.append((len(made), keyword, label, priority, confidence, f" (?:{text})(?= )"))
     for label, keyword, priority, name in FAMILIES:
         for context, shift, confidence in CONTEXTS:
             made.append((len(made), keyword, label, priority + shift, confidence, f" {context.replace('{}', f'(?:{name})')}(?= )"))
