@@ -4,7 +4,12 @@ Documents become ids of a byte-level BPE vocabulary, each with an end id. Full w
 themselves; what is left of each document is packed: a seed's window is filled by those unused documents of its shard
 that a BM25 inverted index ranks highest for the seed, the last of them cut where the window is full, its rest being
 the next seed. Document frequencies and the mean length are counted over all documents; a shard is a bounded block of
-rows of one partition, and the window that is open at the end of a shard goes on in the next.
+rows that resemble each other, and the window that is open at the end of a shard goes on in the next.
+
+Which rows make a shard is decided by content, not by their place in the table: a row's key is a weighted sample of its
+terms (of all terms the ones with the smallest exponential draws, which depend on the term alone, at a rate that grows
+with rarity), so that two rows are the likelier to share terms of the key the more rare terms they share. Rows are dealt
+into partitions and sorted by key; a key that many rows have is split by a hash of the id.
 
 Ids are computed once and kept in the shared folder as 16-bit numbers. Sequence numbers hold the partition and a count.
 
@@ -26,6 +31,7 @@ from pyspark.sql import functions as F
 from .common import batches, codes, materialise, span_hashes
 
 WINDOW, END, SHARD, K1, B = 1024, 0, 512, 1.2, 0.75
+KEY_TERMS, KEY_SHARE = 4, 0.005
 CACHE = 1_500_000
 
 
@@ -149,6 +155,40 @@ def term_counts(tokens: DataFrame) -> tuple[np.ndarray, int, float]:
     return df, docs, (counted.get(-2) or 0) / max(1, docs)
 
 
+def draws(df: np.ndarray, docs: int, seed: int = 7) -> np.ndarray:
+    """A draw for each id: exponential, at the rate of its squared weight; infinite for ids that fewer than `KEY_SHARE` of all
+    documents have, or only one, or over half."""
+    weight = np.where(df >= max(2, KEY_SHARE * docs), np.maximum(0, np.log((docs - df + 0.5) / (df + 0.5))) ** 2, 0)
+    u = np.random.default_rng(seed).random(len(df))
+    return np.where(weight > 0, -np.log(u) / np.maximum(weight, 1e-9), np.inf)
+
+
+def content_key(ids: np.ndarray, draw: np.ndarray) -> int:
+    """The terms of the smallest draws, the smallest first, as one number of 16 bits a term."""
+    term = np.unique(ids)
+    mine = draw[term]
+    few = np.argpartition(mine, KEY_TERMS)[:KEY_TERMS] if len(term) > KEY_TERMS else np.arange(len(term))
+    few = few[np.argsort(mine[few], kind="stable")]
+    key = 0
+    for i in few[np.isfinite(mine[few])].tolist():
+        key = key << 16 | int(term[i])
+    return (key << 16 * (KEY_TERMS - int(np.isfinite(mine[few]).sum()))) - (1 << 63)
+
+
+def by_content(tokens: DataFrame, df: np.ndarray, n: int) -> DataFrame:
+    """tokens dealt into partitions and sorted so that rows of similar content are neighbours."""
+    shipped = tokens.sparkSession.sparkContext.broadcast(draws(df, n))
+
+    def run(frames):
+        for pdf in frames:
+            yield pdf.assign(key=[content_key(np.frombuffer(raw, "<u2"), shipped.value) for raw in pdf["ids"]])
+
+    kind = tokens.schema["doc_id"].dataType.simpleString()
+    keyed = tokens.mapInPandas(run, f"doc_id {kind}, ids binary, key bigint").withColumn("luck", F.xxhash64("doc_id"))
+    keyed = materialise(keyed)  # the ranges are then found from two columns of a written table
+    return keyed.repartitionByRange("key", "luck").sortWithinPartitions("key", "luck", F.xxhash64("ids")).select("doc_id", "ids")
+
+
 class Shard:
     """BM25 inverted index of a block of documents."""
 
@@ -242,7 +282,7 @@ def pack(docs: DataFrame, window: int = WINDOW, vocabulary: str | None = None) -
             yield _frame(held, docs, out)
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return tokens.mapInPandas(run, f"doc_id {kind}, start bigint, length bigint, ids binary, doc_tokens bigint, sequence_id bigint, offset bigint")
+    return by_content(tokens, df, n).mapInPandas(run, f"doc_id {kind}, start bigint, length bigint, ids binary, doc_tokens bigint, sequence_id bigint, offset bigint")
 
 
 def _frame(held: list, docs: list[np.ndarray], out: list[tuple]) -> pd.DataFrame:
