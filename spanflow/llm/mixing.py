@@ -153,7 +153,7 @@ def mix_report(docs: DataFrame, labelled: DataFrame, label: str, weights: dict |
     model = train_domains(docs, labelled, label)
     domains = model.classes if model else ["all"]
     members = materialise(memberships(docs, model, columns))
-    rated, fit = fit_rates(members, weights if model else None, domains, budget, least, close, max_steps)
+    rated, fit = fit_rates(members, weights if model else None, domains, budget, least, close=close, max_steps=max_steps)
     luck = (F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(seed)).bitwiseAND(F.lit((1 << 40) - 1))) / F.lit(float(1 << 40))
     top = F.array_position("posteriors", F.array_max("posteriors")).cast("int")
     return rated.withColumn("domain", F.element_at(F.array(*(F.lit(str(d)) for d in domains)), top)).withColumn(

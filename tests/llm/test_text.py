@@ -1,5 +1,6 @@
 import re
 import zlib
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
@@ -114,6 +115,55 @@ def test_license_base_against_brute_force(spark, sample, docs, empty):
     assert licenses.scan_licenses(empty).count() == 0
 
 
+def scanned(text):
+    """Detections (start, end, label, rule) by a plain scan: every rule on every text, no keywords, no gate."""
+    norm = re.sub(r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", " ", f" {text or ''} ".lower())
+    found = []
+    for number, _, label, priority, _, regex in licenses.rules():
+        for m in re.finditer(regex, norm):
+            at = norm[: m.start()].count(" ")
+            found.append((at, at + m[0].count(" "), priority, number, label))
+    inside = lambda a, b: b[0] <= a[0] and a[1] <= b[1] and ((b[1] - b[0]) > (a[1] - a[0]) or b[2:4] < a[2:4])
+    return sorted((a[0], a[1], a[4], a[3]) for a in found if not any(inside(a, b) for b in found))
+
+
+def example(expression):
+    """A text that an expression matches: the first branch of each choice, letters for classes, optional parts left out."""
+    import re._constants as c
+    import re._parser as parser
+
+    def one(parts):
+        out = ""
+        for op, arg in parts:
+            if op is c.LITERAL:
+                out += chr(arg)
+            elif op is c.IN:
+                kind, value = arg[0]
+                out += "0" if kind is c.CATEGORY else chr(value if kind is c.LITERAL else value[0])
+            elif op is c.BRANCH:
+                out += one(arg[1][0])
+            elif op is c.SUBPATTERN:
+                out += one(arg[3])
+            elif op is c.MAX_REPEAT:
+                out += one(arg[2]) * arg[0]
+        return out
+
+    return one(parser.parse(expression))
+
+
+def test_detections_against_a_plain_scan(spark, sample):
+    rules = licenses.rules()
+    assert len(licenses.NOTICES) + len(licenses.FAMILIES) >= 170 and len({r[5] for r in rules}) == len(rules)
+    own = [f"x {example(r[5])} y" for r in rules]  # every rule is tried and found
+    mixed = [" and ".join(own[k : k + 4]).upper() for k in range(0, len(own), 7)] + [f"({'; '.join(own[k::60])})" for k in range(20)]
+    texts = own + mixed + [r.text for r in sample.limit(100).collect()]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: sorted((d.start, d.end, d.label, d.rule) for d in r.detections) for r in licenses.scan_licenses(df).collect()}
+    for i, text in enumerate(texts):
+        assert got[i] == scanned(text), text[:200]
+    assert all(any(a <= 1 and e > 1 for a, e, *_ in got[i]) for i in range(len(own)))
+
+
 def test_suppression_keeps_the_wider(spark):
     df = spark.createDataFrame([(1, "released under the GNU Affero General Public License version 3")], "doc_id long, text string")
     r = licenses.scan_licenses(df).first()
@@ -155,6 +205,88 @@ def test_packing(sample, docs, empty):
     assert packing.pack(empty).count() == 0
 
 
+def bm25(docs, idf, mean, query, i):
+    n = {t: docs[i].count(t) for t in {*docs[query]} & {*docs[i]}}
+    return sum(idf[t] * c * 2.2 / (c + 1.2 * (0.25 + 0.75 * len(docs[i]) / mean)) for t, c in n.items())
+
+
+def test_windows_are_filled_by_the_best_unused_neighbours(spark):
+    """The same sequences as a plain greedy fill that scores every pair by the formula."""
+    rng = np.random.default_rng(5)
+    words = [f"w{x}" for x in range(60)]
+    rows = [(i, " ".join(rng.choice(words, rng.integers(1, 40)))) for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    got = packing.pack(df, 64).collect()
+    ids = {i: packing.encoder(None).encode([t])[0].tolist() + [0] for i, t in rows}
+    n = Counter(t for x in ids.values() for t in {*x})
+    idf = defaultdict(float, {t: max(0.0, np.log((60 - c + 0.5) / (c + 0.5))) for t, c in n.items()})
+    mean = sum(map(len, ids.values())) / 60
+    counts = np.zeros(1 << 16)
+    counts[[*n]] = [*n.values()]
+    draw = packing.draws(counts, 60)
+    luck = {r.doc_id: r.h for r in df.select("doc_id", F.xxhash64("doc_id").alias("h")).collect()}
+    order = sorted(ids, key=lambda i: (packing.content_key(np.array(ids[i]), draw), luck[i]))
+    assert df.sparkSession.conf.get("spark.sql.shuffle.partitions") == "4"
+    whole, want = [], []
+    docs = [ids[i] for i in order]
+    left = {k: len(x) % 64 for k, x in enumerate(docs) if len(x) % 64}
+    window, used, seed = [], 64, None
+    while left:
+        ranked = sorted(left, key=lambda k: (-round(bm25(docs, idf, mean, seed, k), 4), k)) if seed is not None else [min(left)]
+        for k in ranked:
+            if used == 64:
+                want.append(window := [])
+                used, seed = 0, k
+            rest, size = left.pop(k), 0
+            size = min(rest, 64 - used)
+            window.append((order[k], size))
+            used, seed = used + size, k if seed is None else seed
+            if size < rest:
+                want.append(window := [(order[k], rest - size)])
+                used, seed = rest - size, k
+                break
+            if used == 64:
+                seed = None
+                break
+    sequences = defaultdict(list)
+    for r in sorted(got, key=lambda r: r.offset):
+        sequences[r.sequence_id].append((r.doc_id, r.length))
+    whole = [x for x in sequences.values() if x[0][1] == 64 and len(x) == 1]
+    assert sorted([*want, *(x for x in whole if x not in want)]) == sorted(sequences.values())
+
+
+def test_neighbours_beat_file_order(spark):
+    docs = common.tune(spark).read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").orderBy("doc_id").coalesce(1)
+    rows = packing.pack(docs).collect()
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    ids = dict(zip(texts, (x.tolist() for x in packing.encoder(None).encode([*texts.values()])), strict=True))
+    n = Counter(t for x in ids.values() for t in {*x})
+    idf = {t: max(0.0, np.log((1000 - c + 0.5) / (c + 0.5))) for t, c in n.items()}
+    mean = sum(map(len, ids.values())) / len(ids)
+    sequences = defaultdict(list)
+    for r in sorted(rows, key=lambda r: r.offset):
+        sequences[r.sequence_id].append(r.doc_id)
+    pairs = [(x[0], y) for x in sequences.values() for y in x[1:]]
+    names = sorted(ids)
+    score = lambda found: np.mean([bm25(ids, idf, mean, a, b) for a, b in found])
+    assert score(pairs[:400]) > 1.3 * score(list(zip(names, names[1:]))[:400])
+
+
+def test_rows_of_a_content_are_neighbours():
+    """Weighted samples agree as often as the weights of two rows' terms overlap."""
+    rng = np.random.default_rng(1)
+    df = rng.integers(1, 400, 1 << 16)
+    a = rng.choice(1 << 16, 300, False)
+    b = np.concatenate((a[:200], rng.choice(1 << 16, 100, False)))
+    same = 0
+    for seed in range(300):
+        draw = packing.draws(df, 1000, seed)
+        same += (packing.content_key(a, draw) + (1 << 63)) >> 48 == (packing.content_key(b, draw) + (1 << 63)) >> 48
+    weight = np.where(df >= 5, np.maximum(0, np.log((1000 - df + 0.5) / (df + 0.5))) ** 2, 0)
+    overlap = weight[np.intersect1d(a, b)].sum() / weight[np.union1d(a, b)].sum()
+    assert abs(same / 300 - overlap) < 0.1
+
+
 def test_index_scores_against_the_formula():
     docs = [np.array(x, np.uint16) for x in ([1, 2, 2, 3], [2, 3, 4], [5, 6])]
     idf = np.zeros(1 << 16, np.float32)
@@ -213,9 +345,7 @@ def test_rates_against_plain_projected_gradient(spark, least, budget):
 def test_sample_of_each_label(spark):
     df = spark.createDataFrame([(i, f"t{i}", "ab"[i % 3 == 0]) for i in range(3000)] + [(7, "t7", "c")] * 50 + [(None, "n", "d")], "doc_id long, text string, y string")
     got = common.sample_each(df, df.select("doc_id", "y"), "y", 20, 10)
-    import collections
-
-    assert {k: v for k, v in collections.Counter(y for _, y, _ in got).items() if k != "c"} == {"a": 20, "b": 20}
+    assert {k: v for k, v in Counter(y for _, y, _ in got).items() if k != "c"} == {"a": 20, "b": 20}
     luck = {r[0]: r[1] for r in df.where("doc_id is not null").select("doc_id", common._luck()).collect()}
     for y, ids in (("a", [i for i in range(3000) if i % 3]), ("b", range(0, 3000, 3))):
         assert {i for i, z, _ in got if z == y} == {*sorted(ids, key=lambda i: luck[i])[:20]}
