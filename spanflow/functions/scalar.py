@@ -15,19 +15,22 @@ def argmax(a) -> Column:
     return (F.array_position(_c(a), F.array_max(_c(a))) - 1).cast("int")
 
 
-def one_hot(cls, n: int) -> Column:
-    """n doubles, 1 at the class; a class outside is an error."""
+def one_hot(cls, n=None) -> Column:
+    """n doubles, 1 at the class; a class outside is an error. n: a number or a column; not given, one more than the class."""
     c = _c(cls)
-    hot = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: (i == c).cast("double"))
-    return F.when((c >= n) | (c < 0), F.raise_error(F.concat(F.lit("class out of range: "), c.cast("string")))).otherwise(hot)
+    size = c + 1 if n is None else F.lit(n) if isinstance(n, int) else _c(n)
+    hot = F.transform(F.sequence(F.lit(0), F.greatest(size, F.lit(1)) - 1), lambda i: (i == c).cast("double"))
+    return F.when((c >= size) | (c < 0), F.raise_error(F.concat(F.lit("class out of range: "), c.cast("string")))).otherwise(hot)
 
 
 from_one_hot = argmax
 
 
-def clock_seconds(x) -> Column:
-    """Seconds of 'hh:mm:ss[.,]fff', 'mm:ss' or plain seconds."""
-    parts = F.split(F.replace(_c(x), F.lit(","), F.lit(".")), ":")
+def clock_seconds(x, *more) -> Column:
+    """Seconds of 'hh:mm:ss[.,]fff', 'mm:ss' or plain seconds, or of two or three columns (h, m, s) or (m, s)."""
+    if more:
+        x = F.array(*(_c(c).cast("double") for c in (x, *more)))
+    parts = F.split(F.replace(_c(x).cast("string"), F.lit(","), F.lit(".")), ":") if not more else x
     return F.aggregate(parts, F.lit(0.0), lambda a, p: a * 60 + p.cast("double"))
 
 

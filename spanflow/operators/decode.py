@@ -4,15 +4,18 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import scalar as fn
 
-def priors_from_segments(segments: DataFrame, state: str = "label", keys: tuple = (), round_to_int: bool = False) -> tuple[DataFrame, DataFrame]:
+
+def priors_from_segments(segments: DataFrame, state: str | Column = "label", keys: tuple = (), round_to_int: bool = False) -> tuple[DataFrame, DataFrame]:
     """(states: keys, state, init, prior), (transitions: keys, from_state, to_state, n), without expanding segments to ticks:
-    between neighbouring segments one transition each, within a segment one less than its ticks."""
+    between neighbouring segments one transition each, within a segment one less than its ticks. state: a column or any
+    expression."""
     ticks = F.col("end") - F.col("start")
-    df = segments.select("rec_id", *keys, "start", "end", F.col(state).alias("state"), (F.rint(ticks) if round_to_int else ticks).alias("_d"))
+    df = segments.select("rec_id", *keys, "start", "end", (F.col(state) if isinstance(state, str) else state).alias("state"), (F.rint(ticks) if round_to_int else ticks).alias("_d"))
     w = Window.partitionBy("rec_id").orderBy("start", "end")
     df = df.withColumns({"_next": F.lead("state").over(w), "_first": (F.row_number().over(w) == 1).cast("long")})
     states = df.groupBy(*keys, "state").agg(F.sum("_first").alias("init"), F.sum("_d").alias("prior"))
@@ -46,14 +49,20 @@ def normalize_priors(states: DataFrame, moves: DataFrame, keys: tuple = ()) -> t
     return states.withColumns({"init": share("init"), "prior": share("prior")}), moves.withColumn("p", share("n", "from_state"))
 
 
-def merge_posteriors(posteriors: DataFrame, weights: DataFrame | None = None) -> DataFrame:
-    """rec_id, frame_idx, probs: the predictors' weighted sum, normalised. weights: (predictor[, class], weight)."""
-    df = posteriors.select("rec_id", "frame_idx", "predictor", F.posexplode("probs").alias("class", "p"))
+def merge_posteriors(posteriors: DataFrame, weights: DataFrame | None = None, merge=None) -> DataFrame:
+    """rec_id, frame_idx, probs: the predictors' weighted sum, normalised, in one shuffle. weights: (predictor[, class], weight);
+    a predictor without a weight is an error. merge: a function of the array of the predictors' arrays to one array, in
+    place of the sum."""
+    df = posteriors.select("rec_id", "frame_idx", "predictor", "probs")
     if weights is not None:
-        df = df.join(weights, [c for c in ("predictor", "class") if c in weights.columns]).withColumn("p", F.col("p") * F.col("weight"))
-    sums = df.groupBy("rec_id", "frame_idx", "class").agg(F.sum("p").alias("p"))
-    rows = sums.groupBy("rec_id", "frame_idx").agg(F.array_sort(F.collect_list(F.struct("class", "p"))).alias("_v"), F.sum("p").alias("_t"))
-    return rows.select("rec_id", "frame_idx", F.transform("_v", lambda x: F.try_divide(x["p"], F.col("_t"))).alias("probs"))
+        by_class = "class" in weights.columns
+        w = weights.groupBy("predictor").agg(F.array_sort(F.collect_list(F.struct(*(["class"] if by_class else []), "weight")))["weight"].alias("_w"))
+        known = F.when(F.col("_w").isNull(), F.raise_error(F.concat(F.lit("no weight for predictor "), F.col("predictor").cast("string")))).otherwise(F.col("_w"))
+        scaled = F.zip_with("probs", "_w", lambda p, x: p * x) if by_class else F.transform("probs", lambda p: p * F.col("_w")[0])
+        df = df.join(w, "predictor", "left").withColumn("_w", known).withColumn("probs", scaled)
+    rows = df.groupBy("rec_id", "frame_idx").agg(F.array_sort(F.collect_list(F.struct("predictor", "probs")))["probs"].alias("_v"))
+    plain = lambda v: F.aggregate(F.slice(v, 2, F.size(v)), v[0], lambda a, x: F.zip_with(a, x, lambda p, q: p + q))
+    return rows.withColumn("_m", (merge or plain)(F.col("_v"))).select("rec_id", "frame_idx", fn.normalize("_m").alias("probs"))
 
 
 def best_path(probs: np.ndarray, init: np.ndarray, trans: np.ndarray, amin: float = 1e-15, scale: np.ndarray | None = None) -> np.ndarray:

@@ -27,6 +27,14 @@ def check_frames(frames: DataFrame, catalog: DataFrame, hop: int, win: int) -> D
     return have.join(want, "rec_id", "full_outer").where("not (n <=> want)")
 
 
+def check_chunks(chunked: DataFrame, size: int, keys: tuple = ("rec_id", "chunk_id"), feat: str | None = None, dims: int | None = None) -> DataFrame:
+    """keys, n and problem: chunks that don't hold `size` rows in unbroken order, or rows of other than `dims` numbers."""
+    wide = F.count_if(F.size(feat) != dims) if feat and dims else F.lit(0)
+    per = chunked.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), (F.max("frame_idx") - F.min("frame_idx") + 1).alias("_span"), wide.alias("_wide"))
+    faults = F.array(F.when(F.col("n") != size, "size"), F.when(F.col("_span") != F.col("n"), "gap"), F.when(F.col("_wide") > 0, "dimensions"))
+    return per.select(*keys, "n", F.explode(F.filter(faults, lambda x: x.isNotNull())).alias("problem"))
+
+
 def check_recordings(catalog: DataFrame, segments: DataFrame, samples: DataFrame | None = None, rate: int = 8000, channels: int = 1, tolerance: float = 1e-3) -> DataFrame:
     """rec_id and check: a row for each check that a recording fails."""
     ends = segments.groupBy("rec_id").agg(F.max(F.col("end") / F.col("rate")).alias("_end"))
@@ -61,10 +69,11 @@ def labels_as(df: DataFrame, kind: str, column: str = "label") -> DataFrame:
     return df.withColumn(column, F.col(column).cast(kind))
 
 
-def runs(frames: DataFrame, key: str | Column, keep: str = "keys", label: str | None = None, min_start: int = 0, rec: str = "rec_id", order: str = "frame_idx") -> DataFrame:
-    """Runs of neighbouring frames with equal keys: rec, run, start, end, and key, labels, or both.
-
-    The key may be a column or any expression, also of arrays."""
+def runs(frames: DataFrame, key: str | Column, keep: str = "keys", label: str | None = None, min_start: int = 0, rate: int | None = None, rec: str = "rec_id", order: str = "frame_idx") -> DataFrame:
+    """Runs of neighbouring frames with equal keys: rec, run, start, end, and key, labels, or both; with a rate, which must be a
+    whole number, also that. The key may be a column or any expression, also of arrays."""
+    if rate is not None and (rate != int(rate) or rate <= 0):
+        raise ValueError("the rate must be a whole number above 0")
     w = Window.partitionBy(rec).orderBy(order)
     df = frames.withColumn("_key", F.col(key) if isinstance(key, str) else key).withColumn("_at", F.row_number().over(w) - 1 + min_start)
     first = F.lag("_at").over(w).isNull() | ~F.col("_key").eqNullSafe(F.lag("_key").over(w))
@@ -74,7 +83,8 @@ def runs(frames: DataFrame, key: str | Column, keep: str = "keys", label: str |
         parts.append(F.first("_key").alias("key"))
     if keep in ("labels", "both"):
         parts.append(F.transform(F.array_sort(F.collect_list(F.struct("_at", F.col(label or order).alias("x")))), lambda x: x["x"]).alias("labels"))
-    return df.groupBy(rec, "run").agg(*parts)
+    done = df.groupBy(rec, "run").agg(*parts)
+    return done if rate is None else done.withColumn("rate", F.lit(int(rate)).cast("long"))
 
 
 def stack_context(frames: DataFrame, c: int, keys: tuple = ("rec_id", "chunk_id"), feat: str = "feat") -> DataFrame:
@@ -84,18 +94,24 @@ def stack_context(frames: DataFrame, c: int, keys: tuple = ("rec_id", "chunk_id"
 
 
 def rolling(df: DataFrame, fn, win: int, step: int = 1, keys: tuple = ("rec_id",), order: str = "frame_idx", name: str = "value") -> DataFrame:
-    """fn (an aggregate expression) over full windows that start at each step-th row."""
+    """fn (an aggregate expression, or several by name) over full windows that start at each step-th row."""
     w = Window.partitionBy(*keys).orderBy(order)
     full = w.rowsBetween(0, win - 1)
-    out = df.withColumns({name: fn.over(full), "_n": F.count(F.lit(1)).over(full), "_i": F.row_number().over(w) - 1})
+    made = fn if isinstance(fn, dict) else {name: fn}
+    out = df.withColumns({**{k: f.over(full) for k, f in made.items()}, "_n": F.count(F.lit(1)).over(full), "_i": F.row_number().over(w) - 1})
     return out.where((F.col("_n") == win) & (F.col("_i") % step == 0)).drop("_n", "_i")
 
 
-def windows(values: str | Column, win: int, step: int) -> Column:
-    """Strided windows of an array: (n - win) // step + 1 of them; a window longer than the array is an error."""
+def windows(values: str | Column, win: int | tuple, step: int | tuple) -> Column:
+    """Strided windows of an array: (n - win) // step + 1 of them; a window longer than the array is an error. With several
+    numbers, windows of nested arrays: by the first over the outer array, by the others over what is in it, each window
+    holding the windows of its rows."""
     v = F.col(values) if isinstance(values, str) else values
-    cut = F.transform(F.sequence(F.lit(0), F.size(v) - win, F.lit(step)), lambda i: F.slice(v, i + 1, win))
-    return F.when(F.size(v) < win, F.raise_error(F.lit("the window is longer than the data"))).otherwise(cut)
+    wins, steps = (win if isinstance(win, tuple) else (win,)), (step if isinstance(step, tuple) else (step,))
+    if len(wins) > 1:
+        v = F.transform(v, lambda row: windows(row, wins[1:], steps[1:]))
+    cut = F.transform(F.sequence(F.lit(0), F.size(v) - wins[0], F.lit(steps[0])), lambda i: F.slice(v, i + 1, wins[0]))
+    return F.when(F.size(v) < wins[0], F.raise_error(F.lit("the window is longer than the data"))).otherwise(cut)
 
 
 def normalize_rolling(frames: DataFrame, win: int, std: bool = True, first: str | tuple = "skip", column: str = "value", keys: tuple = ("rec_id",), order: str = "frame_idx") -> DataFrame:
@@ -144,9 +160,12 @@ def normalize_chunk(frames: DataFrame, std: bool = False, keys: tuple = ("rec_id
     return frames.join(figures, list(keys)).withColumn(feat, F.zip_with(feat, "_f", one)).drop("_f")
 
 
-def window_label(frames: DataFrame, ctx: int, how: str = "dominant", n: int = 3, keys: tuple = ("rec_id",), cls: str = "class") -> DataFrame:
-    """window_class of the frames from ctx before to ctx after: the most frequent (of equal ones the lowest), highest, or centre's."""
+def window_label(frames: DataFrame, ctx: int, how: str | Column = "dominant", n: int = 3, keys: tuple = ("rec_id",), cls: str = "class") -> DataFrame:
+    """window_class of the frames from ctx before to ctx after: the most frequent (of equal ones the lowest), highest, or centre's,
+    or what an aggregate expression makes of the window."""
     w = Window.partitionBy(*keys).orderBy("frame_idx").rowsBetween(-ctx, ctx)
+    if isinstance(how, Column):
+        return frames.withColumn("window_class", how.over(w))
     if how == "centre":
         return frames.withColumn("window_class", F.col(cls))
     if how == "max":

@@ -89,21 +89,35 @@ def _buckets(lo: Column, hi: Column, width: float) -> Column:
 def flatten(segments: DataFrame, label: str = "label", width: float | None = None) -> DataFrame:
     """rec_id, start, end, seg_idxs and labels (both in segment order, empty in gaps) of each piece between boundaries.
 
-    Needs seg_idx. width: pieces and segments are matched within buckets of so many ticks, for very long recordings."""
-    pieces = boundaries(segments).withColumn("_p", F.struct("start", "end"))
-    segs = segments.select("rec_id", F.col("start").alias("_s"), F.col("end").alias("_e"), "seg_idx", F.col(label).alias("_label")).where("_e > _s")
-    keys = ["rec_id"]
-    if width:
-        keys.append("_bucket")
-        pieces = pieces.withColumn("_bucket", F.floor(F.col("start") / width).cast("long"))
-        segs = segs.withColumn("_bucket", F.explode(_buckets(F.col("_s"), F.col("_e"), width)))
-    a, b = pieces.alias("a"), segs.alias("b")
-    same = F.lit(True)
-    for k in keys:
-        same = same & (F.col(f"a.{k}") == F.col(f"b.{k}"))
-    met = a.join(b, same & (F.col("b._s") <= F.col("a.start")) & (F.col("b._e") >= F.col("a.end")), "left")
-    rows = F.array_sort(F.filter(F.collect_list(F.struct(F.col("b._s").alias("s"), F.col("b._e").alias("e"), F.col("b.seg_idx").alias("i"), F.col("b._label").alias("label"))), lambda x: x["i"].isNotNull()))
-    done = met.groupBy(F.col("a.rec_id").alias("rec_id"), F.col("a.start").alias("start"), F.col("a.end").alias("end")).agg(rows.alias("_rows"))
+    Starts and ends are ranked in one sorted pass; a segment then covers the pieces from the rank of its start to that of
+    its end, so no two segments are compared, and the work is that of the result. Needs seg_idx; segments that don't last
+    are left out. width: each stretch of so many ticks is worked on by itself, for very long recordings."""
+    segs = segments.where("end > start").select("rec_id", F.col("start").alias("s"), F.col("end").alias("e"), F.col("seg_idx").alias("i"), F.col(label).alias("label"))
+    # a segment's end may be the border of the bucket after its last one, where it is a boundary, too
+    number = lambda c: F.floor(F.col(c) / width).cast("long")
+    segs = segs.withColumn("_b", F.explode(F.sequence(number("s"), number("e"))) if width else F.lit(0).cast("long"))
+    here = lambda c: (F.col("_b") == number(c)) if width else F.lit(True)
+    event = lambda t, kind: F.struct(t.alias("t"), F.lit(kind).alias("kind"))
+    events = segs.withColumn("_x", F.explode(F.array(event(F.when(here("s"), F.col("s")), 0), event(F.when(here("e"), F.col("e")), 1)))).select("rec_id", "_b", "s", "e", "i", "label", "_x.t", "_x.kind")
+    w = Window.partitionBy("rec_id", "_b").orderBy("t")
+    new = (F.col("t").isNotNull() & (F.lag("t").over(w).isNull() | (F.lag("t").over(w) != F.col("t")))).cast("int")
+    ranked = events.withColumn("_new", new).withColumn("_r", F.sum("_new").over(w))
+    whole = Window.partitionBy("rec_id", "_b")
+    ranked = ranked.withColumn("_n", F.max("_r").over(whole))
+    # the first boundary of each rank stands for the piece that it begins
+    pieces = ranked.where("_new = 1").select("rec_id", "_b", F.col("_r").alias("_p"), F.col("t").alias("start"), F.lit(None).cast(ranked.select(F.struct("s", "e", "i", "label").alias("x")).schema["x"].dataType).alias("_seg"))
+    covers = ranked.groupBy("rec_id", "_b", "s", "e", "i", "label").agg(F.max(F.when((F.col("kind") == 0) & F.col("t").isNotNull(), F.col("_r"))).alias("_from"), F.max(F.when((F.col("kind") == 1) & F.col("t").isNotNull(), F.col("_r"))).alias("_to"), F.max("_n").alias("_n"))
+    covers = covers.withColumns({"_from": F.coalesce("_from", F.lit(1).cast("long")), "_to": F.coalesce(F.col("_to") - 1, F.col("_n"))}).where("_from <= _to")
+    members = covers.select("rec_id", "_b", F.explode(F.sequence("_from", "_to")).alias("_p"), F.lit(None).cast(segs.schema["s"].dataType).alias("start"), F.struct("s", "e", "i", "label").alias("_seg"))
+    rows = pieces.unionByName(members).groupBy("rec_id", "_b", "_p").agg(F.max("start").alias("start"), F.array_sort(F.collect_list("_seg")).alias("_rows"))
+    if width:  # a bucket's last piece ends where the next bucket with a boundary begins
+        first = rows.groupBy("rec_id", "_b").agg(F.min("start").alias("_f"))
+        following = first.select("rec_id", "_b", F.lead("_f").over(Window.partitionBy("rec_id").orderBy("_b")).alias("_next"))
+        rows = rows.join(following, ["rec_id", "_b"])
+    else:
+        rows = rows.withColumn("_next", F.lit(None).cast(segs.schema["s"].dataType))
+    end = F.coalesce(F.lead("start").over(Window.partitionBy("rec_id", "_b").orderBy("_p")), F.col("_next"))
+    done = rows.withColumn("end", end).where(F.col("end").isNotNull())
     return done.select("rec_id", "start", "end", F.col("_rows.i").alias("seg_idxs"), F.col("_rows.label").alias("labels"))
 
 
@@ -140,13 +154,14 @@ def overlay(left: DataFrame, right: DataFrame) -> DataFrame:
     return runs.groupBy("rec_id", "_run", "a", "b").agg(F.min("t").alias("start"), F.max("e").alias("end")).select("rec_id", "start", "end", "a", "b")
 
 
-def labels_at(points: DataFrame, segments: DataFrame, label: str = "label", width: float | None = None, digits: int = 10) -> DataFrame:
-    """points (rec_id, t, ...) with labels: those of all segments that cover t, in segment order; empty if none does.
+def labels_at(points: DataFrame, segments: DataFrame, label: str = "label", width: float | None = None, digits: int = 10, default: list | None = None, strict: bool = False) -> DataFrame:
+    """points (rec_id, t, ...) with labels: those of all segments that cover t, in segment order; `default` (empty unless
+    given) if none does, or an error if strict. Equal points are looked up once and all keep their rows.
 
     width: points and segments meet within buckets of so many ticks, so that a long recording is not one large group."""
     keys = ["rec_id"]
-    p = points.withColumn("_t", F.bround("t", digits)).withColumn("_row", F.struct(*points.columns))
-    s = segments.select("rec_id", F.bround("start", digits).alias("_s"), F.bround("end", digits).alias("_e"), "seg_idx", F.col(label).alias("_label")).where("_e > _s")
+    p = points.select("rec_id", F.bround(F.col("t").cast("double"), digits).alias("_t")).where("rec_id is not null and _t is not null").distinct()
+    s = segments.select("rec_id", F.bround(F.col("start").cast("double"), digits).alias("_s"), F.bround(F.col("end").cast("double"), digits).alias("_e"), "seg_idx", F.col(label).alias("_label")).where("_e > _s")
     if width:
         keys.append("_bucket")
         p = p.withColumn("_bucket", F.floor(F.col("_t") / width).cast("long"))
@@ -155,9 +170,12 @@ def labels_at(points: DataFrame, segments: DataFrame, label: str = "label", widt
     on = (F.col("b._s") <= F.col("a._t")) & (F.col("a._t") < F.col("b._e"))
     for k in keys:
         on = on & (F.col(f"a.{k}") == F.col(f"b.{k}"))
-    rows = F.array_sort(F.filter(F.collect_list(F.struct(F.col("b._s").alias("s"), F.col("b._e").alias("e"), F.col("b.seg_idx").alias("i"), F.col("b._label").alias("label"))), lambda x: x["s"].isNotNull()))
-    done = a.join(b, on, "left").groupBy(F.col("a._row").alias("_row")).agg(rows.alias("_rows"))
-    return done.select("_row.*", F.col("_rows.label").alias("labels"))
+    rows = F.array_sort(F.collect_list(F.struct(F.col("b._s").alias("s"), F.col("b._e").alias("e"), F.col("b.seg_idx").alias("i"), F.col("b._label").alias("label"))))
+    found = a.join(b, on).groupBy(F.col("a.rec_id").alias("rec_id"), F.col("a._t").alias("_t")).agg(rows.alias("_rows")).select("rec_id", "_t", F.col("_rows.label").alias("labels"))
+    none = F.array(*map(F.lit, default or [])).cast(found.schema["labels"].dataType)
+    none = F.raise_error(F.lit("a point lies outside of all segments")).cast(found.schema["labels"].dataType) if strict else none
+    tagged = points.drop("labels").withColumn("_t", F.bround(F.col("t").cast("double"), digits))
+    return tagged.join(found, ["rec_id", "_t"], "left").withColumn("labels", F.when(F.col("labels").isNull(), none).otherwise(F.col("labels"))).drop("_t")
 
 
 def label_at(points: DataFrame, segments: DataFrame, label: str = "label", default=None, strict: bool = False) -> DataFrame:
@@ -198,18 +216,21 @@ def pair_recordings(catalog: DataFrame, segments: DataFrame, key: str = "rec_id"
     return a.join(b, key, "full_outer").select(key, F.when(F.col("_b").isNull(), "left_only").when(F.col("_a").isNull(), "right_only").otherwise("both").alias("status"))
 
 
-def pick_recordings(df: DataFrame, ids: list | None = None, groups: list | None = None, at: tuple | None = None, strict: bool = True) -> DataFrame:
-    """Rows of recordings by id, by group, or by place (lo, hi) among the sorted ids; strict: an unknown id is an error."""
+def pick_recordings(df: DataFrame, ids: list | None = None, groups: list | None = None, at: tuple | None = None, groups_at: tuple | None = None, column: str = "rec_id", strict: bool = True) -> DataFrame:
+    """Rows of recordings by id, by group, or by place (lo, hi) among the sorted ids or groups; strict: an unknown id is an
+    error. column: what counts as a recording, so that conversations can be picked in the same way."""
     spark, out = df.sparkSession, df
-    for column, wanted in (("rec_id", ids), ("group_id", groups)):
+    for c, wanted in ((column, ids), ("group_id", groups)):
         if wanted is not None:
-            if strict and (unknown := missing_from(spark.createDataFrame([(x,) for x in wanted], df.select(column).schema), df, column).limit(5).collect()):
-                raise ValueError(f"unknown {column}: {[r[0] for r in unknown]}")
-            out = out.where(F.col(column).isin(list(wanted)))
-    if at is not None:
-        lo, hi = at
-        chosen = out.select("rec_id").distinct().orderBy("rec_id").limit(hi).withColumn("_k", F.row_number().over(Window.orderBy("rec_id"))).where(F.col("_k") > lo).select("rec_id")
-        out = out.join(chosen, "rec_id", "left_semi")
+            if strict and (unknown := missing_from(spark.createDataFrame([(x,) for x in wanted], df.select(c).schema), df, c).limit(5).collect()):
+                raise ValueError(f"unknown {c}: {[r[0] for r in unknown]}")
+            out = out.where(F.col(c).isin(list(wanted)))
+    for c, place in (("group_id", groups_at), (column, at)):
+        if place is not None:
+            lo, hi = place
+            # no more than hi ids are ranked
+            chosen = out.select(c).distinct().orderBy(c).limit(hi).withColumn("_k", F.row_number().over(Window.orderBy(c))).where(F.col("_k") > lo).select(c)
+            out = out.join(chosen, c, "left_semi")
     return out
 
 
@@ -219,6 +240,14 @@ def head_recordings(df: DataFrame, n: int, last: bool = False) -> DataFrame:
     return df.join(df.select("rec_id").distinct().orderBy(order).limit(n), "rec_id", "left_semi")
 
 
+def union_ids(*parts: DataFrame, key: str = "rec_id") -> DataFrame:
+    """Distinct keys that any of the parts has."""
+    keys = parts[0].select(key)
+    for p in parts[1:]:
+        keys = keys.unionAll(p.select(key))
+    return keys.distinct()
+
+
 def check_disjoint(*parts: DataFrame, key: str = "rec_id") -> DataFrame:
     """Keys that more than one part has."""
     keys = [p.select(key).distinct() for p in parts]

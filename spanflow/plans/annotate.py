@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.functions import array_to_vector, predict_batch_udf, vector_to_array
@@ -48,19 +50,28 @@ def predictor_of(weights: np.ndarray, bias: np.ndarray):
     return make
 
 
-def annotate(spark: SparkSession, path: str, predict_fn, init: list, trans: list, rate: int = 8000, win: int = 256, hop: int = 80, n_mels: int = 64, norm: int = 2000, context: int = 10) -> DataFrame:
-    """rec_id, tier, start, end (ms): features, rolling normalisation, contexts, scores, smoothing, runs, tiers.
+def annotate(spark: SparkSession, path: str, predict_fn, init: list, trans: list, rate: int = 8000, win: int = 256, hop: int = 80, n_mels: int = 64, norm: int = 2000, context: int = 10, weights: DataFrame | None = None, merge=None) -> DataFrame:
+    """rec_id, tier, start, end (ms), problem: features, rolling normalisation, contexts, scores, merging, smoothing, runs, tiers.
 
-    Files that can't be read are left out; audio_catalog(strict=False) names them."""
-    feats = audio.logmel(audio.read_samples(spark, path, strict=False), rate, win, hop, n_mels)
+    predict_fn: one predictor or a list of them, merged with `weights` or `merge` (see merge_posteriors). A file that can't
+    be read, or that has another rate, is one row that says its problem."""
+    sound = audio.read_samples(spark, path, strict=False)
+    wrong = F.concat(F.lit("rate is "), F.col("rate").cast("string"))
+    sound = sound.withColumn("problem", F.coalesce("problem", F.when(F.col("rate") != rate, wrong)))
+    failed = sound.where("problem is not null").groupBy("rec_id").agg(F.min("problem").alias("problem"))
+    feats = audio.logmel(sound.where("problem is null"), rate, win, hop, n_mels)
     flat = feats.select("rec_id", "frame_idx", F.posexplode("feat").alias("bin", "value"))
     normed = R.normalize_rolling(flat, norm, first="copy", keys=("rec_id", "bin")).groupBy("rec_id", "frame_idx").agg(F.transform(F.array_sort(F.collect_list(F.struct("bin", F.coalesce("value", F.lit(0.0)).alias("v")))), lambda x: x["v"]).alias("feat"))
-    scored = score(R.stack_context(normed, context, keys=("rec_id",)), predict_fn, (2 * context + 1) * n_mels)
+    stacked, size = R.stack_context(normed, context, keys=("rec_id",)), (2 * context + 1) * n_mels
+    many = predict_fn if isinstance(predict_fn, list) else [predict_fn]
+    scored = [score(stacked, f, size).select("rec_id", "frame_idx", F.lit(k).alias("predictor"), "probs") for k, f in enumerate(many)]
+    scored = scored[0] if len(many) == 1 else decode.merge_posteriors(reduce(DataFrame.unionByName, scored), weights, merge)
     states = decode.viterbi(scored, init, trans)
     found = R.runs(states, "state")
     # the first output frame is the centre of the first full context
     tick = lambda c: F.rint((F.col(c) + (win // 2 + context * hop) / hop) * 1000 * hop / rate).cast("long")
-    return found.select("rec_id", fn.tier_name("key").alias("tier"), tick("start").alias("start"), tick("end").alias("end"))
+    tiers = found.select("rec_id", fn.tier_name("key").alias("tier"), tick("start").alias("start"), tick("end").alias("end"))
+    return tiers.unionByName(failed, allowMissingColumns=True)
 
 
 def report(posteriors: DataFrame, truth: DataFrame, init: list, trans: list, nclasses: int = 3) -> DataFrame:

@@ -6,6 +6,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import scalar as fn
 from ..operators import segments as S
@@ -22,9 +23,10 @@ def _lines(spark: SparkSession, path: str, glob: str | None) -> DataFrame:
     return reader.text(path).select(F.trim("value").alias("line"), F.col("_metadata.file_path").alias("source"))
 
 
-def read_transcripts(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
+def read_transcripts(spark: SparkSession, path: str, glob: str | None = None, rec_id: Column | None = None) -> DataFrame:
     """Dialogue transcripts: lines `start end SPEAKER: words`. Blank lines and lines with # are left out; a speaker other
-    than A or B is an error; a file's rate is 10 to the most decimals in it; text after a second colon is lost."""
+    than A or B is an error; a file's rate is 10 to the most decimals in it; text after a second colon is lost. rec_id: an
+    expression of `source` (None: by the file's name)."""
     raw = _lines(spark, path, glob).where("line <> '' and line not like '#%'")
     g = lambda k: F.regexp_extract("line", r"^(\S+)\s+(\S+)\s+(\S+?):([^:]*)", k)
     df = raw.select("source", g(1).alias("s"), g(2).alias("e"), g(3).alias("spk"), F.trim(g(4)).alias("content"))
@@ -34,7 +36,7 @@ def read_transcripts(spark: SparkSession, path: str, glob: str | None = None) ->
     ticks = lambda c: F.concat(F.replace(F.col(c), F.lit("."), F.lit("")), F.expr(f"repeat('0', _d - length(regexp_extract({c}, '[.](\\\\d*)$', 1)))")).cast("long")
     speaker = F.when(F.col("spk") == "A", 0).when(F.col("spk") == "B", 1).otherwise(F.raise_error(F.concat(F.lit("unknown speaker: "), "spk")))
     return df.select(
-        fn.recording_id(F.element_at(F.split("source", "/"), -1)).alias("rec_id"), ticks("s").alias("start"), ticks("e").alias("end"), F.pow(F.lit(10), "_d").cast("long").alias("rate"),
+        (fn.recording_id(F.element_at(F.split("source", "/"), -1)) if rec_id is None else rec_id).alias("rec_id"), ticks("s").alias("start"), ticks("e").alias("end"), F.pow(F.lit(10), "_d").cast("long").alias("rate"),
         speaker.cast("string").alias("speaker"), "content", "source",
     )
 
@@ -51,11 +53,11 @@ def read_recordings(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def read_sample_labels(spark: SparkSession, path: str, sep: str = " ", rate: int = 16000, glob: str | None = None) -> DataFrame:
-    """Lines `start end words...` with ticks in samples."""
+def read_sample_labels(spark: SparkSession, path: str, sep: str = " ", rate: int = 16000, glob: str | None = None, rec_id: Column | None = None) -> DataFrame:
+    """Lines `start end words...` with ticks in samples. rec_id: as in read_transcripts()."""
     parts = F.split("line", rf"\Q{sep}\E")
     return _lines(spark, path, glob).where("line <> ''").select(
-        fn.file_stem("source").alias("rec_id"), parts[0].cast("long").alias("start"), parts[1].cast("long").alias("end"), F.lit(rate).cast("long").alias("rate"), F.array_join(F.slice(parts, 3, F.size(parts)), " ").alias("label"), "source"
+        (fn.file_stem("source") if rec_id is None else rec_id).alias("rec_id"), parts[0].cast("long").alias("start"), parts[1].cast("long").alias("end"), F.lit(rate).cast("long").alias("rate"), F.array_join(F.slice(parts, 3, F.size(parts)), " ").alias("label"), "source"
     )
 
 
@@ -65,10 +67,14 @@ MPEG7 = """
 """
 
 
-def read_mpeg7(spark: SparkSession, path: str, glob: str = "*.xml", strict: bool = True) -> DataFrame:
+def read_mpeg7(spark: SparkSession, path: str, glob: str = "*.xml", strict: bool = True, dialect: str | None = None) -> DataFrame:
     """AudioSegment elements that have a descriptor, with ticks at the least common multiple of their file's rates.
+    dialect: the prefix of the tags that count; without it any prefix does.
     Segments without a descriptor or of no length are left out; strict: a file without any is an error."""
     raw = spark.read.format("xml").option("rowTag", "AudioSegment").option("ignoreNamespace", "true").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").schema(MPEG7).load(path)
+    if dialect is not None:  # files that use the prefix at all; rowTag with a prefix and ignoreNamespace don't go together
+        tagged = spark.read.option("wholetext", "true").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").text(path)
+        raw = raw.join(tagged.where(F.contains("value", F.lit(f"<{dialect}:AudioSegment"))).select(F.col("_metadata.file_path").alias("_file")), F.col("_metadata.file_path") == F.col("_file"), "left_semi")
     df = raw.select("MediaTime", F.get("AudioDescriptor", F.lit(0)).alias("d"), F.col("_metadata.file_path").alias("source"))
     df = df.select("source", "d", fn.combine_time(fn.time_point("MediaTime.MediaTimePoint"), fn.duration("MediaTime.MediaDuration")).alias("t")).where("d is not null and t.end > t.start")
     rates = S.common_rate_of(df.select("source", F.col("t.rate").alias("rate")))
@@ -89,8 +95,10 @@ EAF = """
 """
 
 
-def read_eaf(spark: SparkSession, path: str, tiers: list | Column | None = None, glob: str = "*.eaf") -> DataFrame:
-    """Annotations of all tiers, of named ones (a missing name is an error), or of those a condition on `tier` allows."""
+def read_eaf(spark: SparkSession, path: str, tiers: list | Column | None = None, glob: str = "*.eaf", strict: bool = True, observation=None) -> DataFrame:
+    """Annotations of all tiers, of named ones (a missing name is an error), or of those a condition on `tier` allows. strict: a
+    file without a tier, or whose chosen tiers are all empty, is an error. An Observation gets the number of annotations that
+    don't last as `dropped`; they are left out."""
     raw = spark.read.format("xml").option("rowTag", "ANNOTATION_DOCUMENT").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").schema(EAF).load(path)
     slots = F.map_from_entries(F.transform("TIME_ORDER.TIME_SLOT", lambda s: F.struct(s["_TIME_SLOT_ID"], s["_TIME_VALUE"])))
     df = raw.select(F.col("_metadata.file_path").alias("source"), slots.alias("slots"), F.explode("TIER").alias("t"))
@@ -102,11 +110,16 @@ def read_eaf(spark: SparkSession, path: str, tiers: list | Column | None = None,
         df = df.where(F.col("tier").isin(tiers))
     elif tiers is not None:
         df = df.where(tiers)
+    if strict:
+        empty = raw.select(F.col("_metadata.file_path").alias("source")).join(df.where(F.size("t.ANNOTATION") > 0).select("source"), "source", "left_anti").limit(3).collect()
+        if empty:
+            raise ValueError(f"no annotation in {[r[0] for r in empty]}")
     df = df.withColumn("a", F.explode("t.ANNOTATION")).select("*", F.col("a.ALIGNABLE_ANNOTATION").alias("x"))
-    return df.select(
+    found = df.select(
         fn.file_stem("source").alias("rec_id"), F.col("slots")[F.col("x._TIME_SLOT_REF1")].alias("start"), F.col("slots")[F.col("x._TIME_SLOT_REF2")].alias("end"), F.lit(1000).cast("long").alias("rate"),
         "tier", F.col("t._ANNOTATOR").alias("annotator"), F.col("t._PARTICIPANT").alias("participant"), F.col("x.ANNOTATION_VALUE").alias("content"), "source",
-    ).where("end > start")
+    )
+    return S.drop_empty(found, observation)
 
 
 def read_annotations(spark: SparkSession, path: str) -> DataFrame:
@@ -127,7 +140,12 @@ def tier_rows(segments: DataFrame, tier: Column, label: str = "label") -> DataFr
     rate = segments.groupBy("rec_id").agg(F.first("rate").alias("rate"))
     df = pieces.select("rec_id", "start", "end", F.explode("labels").alias("label")).join(rate, "rec_id")
     ms = lambda c: F.rint(F.col(c) * 1000 / F.col("rate")).cast("long")
-    df = df.select("rec_id", tier.alias("tier"), ms("start").alias("start"), ms("end").alias("end"), F.col("label").cast("string").alias("content"))
+    df = df.select("rec_id", tier.alias("_t"), ms("start").alias("start"), ms("end").alias("end"), F.col("label").cast("string").alias("content"))
+    if isinstance(df.schema["_t"].dataType, T.StructType):
+        own = {f: F.col(f"_t.{f}") for f in ("tier", "annotator", "participant", "content") if f in df.schema["_t"].dataType.names}
+        df = df.withColumns(own).drop("_t")
+    else:
+        df = df.withColumnRenamed("_t", "tier")
     twice = F.count(F.lit(1)).over(Window.partitionBy("rec_id", "tier", "start", "end"))
     return df.withColumn("tier", F.when(twice > 1, F.raise_error(F.lit("two annotations of a tier in one place"))).otherwise(F.col("tier")))
 
@@ -145,8 +163,20 @@ def tier_documents(tiers: DataFrame, media: str | None = None) -> DataFrame:
     slot = F.format_string('<TIME_SLOT TIME_SLOT_ID="ts%d" TIME_VALUE="%d"/><TIME_SLOT TIME_SLOT_ID="ts%d" TIME_VALUE="%d"/>', 2 * F.col("k") - 1, F.col("start").cast("long"), 2 * F.col("k"), F.col("end").cast("long"))
     note = F.format_string('<ANNOTATION><ALIGNABLE_ANNOTATION ANNOTATION_ID="a%d" TIME_SLOT_REF1="ts%d" TIME_SLOT_REF2="ts%d"><ANNOTATION_VALUE>%s</ANNOTATION_VALUE></ALIGNABLE_ANNOTATION></ANNOTATION>', "k", 2 * F.col("k") - 1, 2 * F.col("k"), esc("content"))
     text = lambda c: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", c.alias("x")))), lambda x: x["x"]), "")
-    tier = df.groupBy("rec_id", "tier").agg(F.min("k").alias("k"), text(slot).alias("slots"), text(note).alias("notes"))
-    body = F.concat(F.lit('<TIER TIER_ID="'), esc("tier"), F.lit('" LINGUISTIC_TYPE_REF="default-lt">'), "notes", F.lit("</TIER>"))
+    told = [F.first(c, True).alias(c) for c in ("annotator", "participant") if c in tiers.columns]
+    tier = df.groupBy("rec_id", "tier").agg(*told, F.min("k").alias("k"), text(slot).alias("slots"), text(note).alias("notes"))
+    who = [F.when(F.col(c).isNotNull(), F.concat(F.lit(f' {c.upper()}="'), esc(c), F.lit('"'))).otherwise("") for c in ("annotator", "participant") if c in tiers.columns]
+    body = F.concat(F.lit('<TIER TIER_ID="'), esc("tier"), F.lit('"'), *who, F.lit(' LINGUISTIC_TYPE_REF="default-lt">'), "notes", F.lit("</TIER>"))
     docs = tier.groupBy("rec_id").agg(text(F.col("slots")).alias("slots"), text(body).alias("tiers"))
     head = f'<HEADER MEDIA_FILE="" TIME_UNITS="milliseconds">{f"<MEDIA_DESCRIPTOR MEDIA_URL={chr(34)}{media}{chr(34)}/>" if media else ""}</HEADER>'
     return docs.select("rec_id", F.concat(F.lit(f"<ANNOTATION_DOCUMENT>{head}<TIME_ORDER>"), "slots", F.lit("</TIME_ORDER>"), "tiers", F.lit("</ANNOTATION_DOCUMENT>")).alias("document"))
+
+
+def write_eaf(tiers: DataFrame, path: str, media: str | None = None, mode: str = "error") -> None:
+    """One ELAN file for each recording, in a folder of its own (rec_id=...) below path."""
+    tier_documents(tiers, media).select("rec_id", F.col("document").alias("value")).repartition("rec_id").write.mode(mode).partitionBy("rec_id").text(path)
+
+
+def folder_id(source: str = "source") -> Column:
+    """The recording of a file that was written into a folder of its own."""
+    return F.regexp_extract(source, r"rec_id=([^/]+)/", 1)

@@ -12,24 +12,44 @@ from pyspark.sql import functions as F
 CATALOG = "path string, format string, rate int, channels int, seconds double, samples bigint, problem string"
 
 
-def _wav_parts(raw: bytes) -> tuple[int, int, int, int, int]:
-    """(channels, rate, bits, first byte, bytes) of the data chunk; other chunks are skipped."""
+def _wav_parts(raw: bytes, whole: int | None = None) -> tuple[int, int, int, int, int, int]:
+    """(format, channels, rate, bits, first byte, bytes) of the data chunk; other chunks are skipped. A data chunk that says it
+    is longer than the file (`whole` bytes) ends with the file. Format 1 is whole numbers, 3 floating point."""
     if raw[:4] != b"RIFF" or raw[8:12] != b"WAVE":
         raise ValueError("not a WAV file")
-    at, fmt = 12, None
+    at, fmt, number = 12, None, lambda x: int.from_bytes(x, "little")
     while at + 8 <= len(raw):
-        name, size = raw[at : at + 4], int.from_bytes(raw[at + 4 : at + 8], "little")
+        name, size = raw[at : at + 4], number(raw[at + 4 : at + 8])
         if name == b"fmt ":
-            f = raw[at + 8 : at + 24]
-            fmt = int.from_bytes(f[2:4], "little"), int.from_bytes(f[4:8], "little"), int.from_bytes(f[14:16], "little")
+            f = raw[at + 8 : at + 8 + min(size, 40)]
+            kind = number(f[24:26]) if number(f[0:2]) == 0xFFFE else number(f[0:2])
+            fmt = kind, number(f[2:4]), number(f[4:8]), number(f[14:16])
+            if kind not in (1, 3) or fmt[3] not in ((8, 16, 24, 32) if kind == 1 else (32, 64)) or not fmt[1] or not fmt[2]:
+                raise ValueError(f"unknown WAV format: {fmt}")
         elif name == b"data":
             if fmt is None:
                 raise ValueError("no format before the data")
-            return (*fmt, at + 8, size)
+            return (*fmt, at + 8, min(size, max(0, (len(raw) if whole is None else whole) - at - 8)))
         at += 8 + size + size % 2
     raise ValueError("no data chunk")
 
 
+def pcm(data: bytes, bits: int, channels: int, kind: int = 1) -> np.ndarray:
+    """Samples in [-1, 1] by time and channel; a last incomplete sample is left out."""
+    width = bits // 8 * channels
+    data = data[: len(data) // width * width]
+    if kind == 3:
+        x = np.frombuffer(data, f"<f{bits // 8}").astype(float)
+    elif bits == 8:
+        x = np.frombuffer(data, np.uint8).astype(float) / 128 - 1
+    elif bits == 24:
+        b = np.frombuffer(data, np.uint8).reshape(-1, 3).astype(np.int32)
+        x = ((b[:, 0] | b[:, 1] << 8 | b[:, 2] << 16) << 8 >> 8) / float(1 << 23)
+    else:
+        x = np.frombuffer(data, f"<i{bits // 8}").astype(float) / (1 << (bits - 1))
+    return x.reshape(-1, channels)
+
+
 def _sphere(raw: bytes) -> tuple[int, int, int]:
     text = raw[:1024].decode("latin-1")
     field = lambda k: int(re.search(rf"^{k} -i (\d+)", text, re.M)[1])
@@ -39,20 +59,23 @@ def _sphere(raw: bytes) -> tuple[int, int, int]:
         raise ValueError("a header field is missing") from None
 
 
-def audio_catalog(spark: SparkSession, path: str, format: str = "wav", strict: bool = True) -> DataFrame:
-    """A row for each WAV or SPHERE file from its header; strict: a broken file is an error, else it is a row with a problem."""
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", f"*.{format}").load(path)
+def _files(spark: SparkSession, path: str, glob: str) -> DataFrame:
+    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(path)
+
+
+def catalog_of(files: DataFrame, format: str = "wav", strict: bool = True) -> DataFrame:
+    """A catalogue row for each row of files (path, length, head: the file's first bytes)."""
 
     def run(frames):
         for pdf in frames:
             rows = []
-            for p, content in zip(pdf["path"], pdf["content"], strict=True):
+            for p, length, head in zip(pdf["path"], pdf["length"], pdf["head"], strict=True):
                 try:
                     if format == "wav":
-                        channels, rate, bits, _, size = _wav_parts(content)
-                        n = size * 8 // bits // channels
+                        _, channels, rate, bits, _, size = _wav_parts(head, int(length))
+                        n = size // (bits // 8 * channels)
                     else:
-                        channels, rate, n = _sphere(content)
+                        channels, rate, n = _sphere(head)
                     rows.append((p, format, rate, channels, n / rate, n, None))
                 except (ValueError, ZeroDivisionError) as e:
                     if strict:
@@ -60,10 +83,17 @@ def audio_catalog(spark: SparkSession, path: str, format: str = "wav", strict: b
                     rows.append((p, format, None, None, None, None, str(e)))
             yield pd.DataFrame(rows, columns=["path", "format", "rate", "channels", "seconds", "samples", "problem"]).astype({"rate": "Int32", "channels": "Int32", "samples": "Int64"})
 
-    found = raw.select("path", "content").mapInPandas(run, CATALOG)
+    found = files.select("path", "length", "head").mapInPandas(run, CATALOG)
     return found.withColumn("rec_id", F.regexp_extract("path", r"([^/.]+)\.[^/]*$", 1))
 
 
+def audio_catalog(spark: SparkSession, path: str, format: str = "wav", strict: bool = True, head: int = 1 << 16) -> DataFrame:
+    """A row for each WAV or SPHERE file from its header; strict: a broken file is an error, else it is a row with a problem.
+
+    Only the first `head` bytes leave the reader; a WAV file whose data begin later is read whole by read_samples()."""
+    return catalog_of(_files(spark, path, f"*.{format}").select("path", "length", F.substring("content", 1, head).alias("head")), format, strict)
+
+
 def wav_header(content: str = "content"):
     """Struct (channels, rate, bits, samples) of a WAV file with a plain 44-byte header, in SQL alone."""
     number = lambda at, n: F.conv(F.hex(F.reverse(F.substring(F.col(content).cast("binary"), at + 1, n)) if n == 1 else F.concat(*(F.substring(content, at + k + 1, 1) for k in range(n - 1, -1, -1)))), 16, 10).cast("long")
@@ -71,32 +101,35 @@ def wav_header(content: str = "content"):
     return F.struct(channels.alias("channels"), number(24, 4).alias("rate"), bits.alias("bits"), F.floor(number(40, 4) * 8 / bits / channels).alias("samples"))
 
 
-def read_samples(spark: SparkSession, path: str, mono: bool = True, block: int = 1 << 16, strict: bool = True) -> DataFrame:
-    """rec_id, channel, block, rate, samples in [-1, 1]; mono: the mean of the channels, as channel 0; strict: a broken
-    file is an error, else it has no rows."""
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.wav").load(path)
+def samples_of(files: DataFrame, mono: bool = True, block: int = 1 << 16, strict: bool = True) -> DataFrame:
+    """rec_id, channel, block, rate, samples in [-1, 1] of the rows of files (path, content); mono: the mean of the channels, as
+    channel 0. strict: a broken file is an error, else it is one row without samples that says its problem."""
 
     def run(frames):
         for pdf in frames:
             for p, content in zip(pdf["path"], pdf["content"], strict=True):
                 try:
-                    channels, rate, bits, at, size = _wav_parts(content)
-                except ValueError:
+                    kind, channels, rate, bits, at, size = _wav_parts(content)
+                    x = pcm(content[at : at + size], bits, channels, kind)
+                except ValueError as e:
                     if strict:
                         raise
+                    yield pd.DataFrame({"path": [p], "channel": pd.array([None], "Int32"), "block": pd.array([None], "Int32"), "rate": pd.array([None], "Int32"), "samples": [None], "problem": [str(e)]})
                     continue
-                data = content[at : at + size]
-                x = np.frombuffer(data, np.uint8).astype(float) / 128 - 1 if bits == 8 else np.frombuffer(data, f"<i{bits // 8}").astype(float) / (1 << (bits - 1))
-                x = x[: len(x) // channels * channels].reshape(-1, channels)
                 x = x.mean(1, keepdims=True) if mono else x
                 for c in range(x.shape[1]):
                     for k in range(0, len(x), block):
-                        yield pd.DataFrame({"path": [p], "channel": [c], "block": [k // block], "rate": [rate], "samples": [x[k : k + block, c]]})
+                        yield pd.DataFrame({"path": [p], "channel": [c], "block": [k // block], "rate": [rate], "samples": [x[k : k + block, c]], "problem": [None]})
 
-    found = raw.select("path", "content").mapInPandas(run, "path string, channel int, block int, rate int, samples array<double>")
+    found = files.select("path", "content").mapInPandas(run, "path string, channel int, block int, rate int, samples array<double>, problem string")
     return found.withColumn("rec_id", F.regexp_extract("path", r"([^/.]+)\.[^/]*$", 1))
 
 
+def read_samples(spark: SparkSession, path: str, mono: bool = True, block: int = 1 << 16, strict: bool = True) -> DataFrame:
+    """samples_of() the WAV files below path."""
+    return samples_of(_files(spark, path, "*.wav"), mono, block, strict)
+
+
 def mel_bank(rate: int, n_fft: int, n_mels: int) -> np.ndarray:
     """Triangular filters of equal area: the scale is linear below 1 kHz and logarithmic above."""
     step, knee = 200 / 3, 1000 / (200 / 3)

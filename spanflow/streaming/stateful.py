@@ -72,7 +72,7 @@ def normalize_rolling_stream(frames: DataFrame, win: int, column: str = "value",
         y = view[:, -1] - view.mean(1)
         if std:
             s = view.std(1)
-            y = np.divide(y, s, out=np.full(len(y), np.nan), where=s > 0)
+            y = pd.array([a / b if b > 0 else None for a, b in zip(y.tolist(), s.tolist(), strict=True)], "Float64")  # null, as in the batch form
         at = pdf["frame_idx"].to_numpy()[len(pdf) - len(y) :]
         yield pd.DataFrame({"rec_id": names[0], "frame_idx": at, column: y})
 

@@ -4,6 +4,7 @@ import wave
 import numpy as np
 import pytest
 from pyspark.errors import PySparkException
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from spanflow.operators import decode
@@ -83,8 +84,55 @@ def test_audio_catalogue_and_features(spark, tmp_path):
     assert audio.audio_catalog(spark, str(tmp_path), strict=False).where("problem is not null").count() == 1
     (tmp_path / "d.sph").write_bytes(b"NIST_1A\n   1024\nsample_count -i 80\nchannel_count -i 2\nsample_rate -i 8000\nend_head\n".ljust(1024))
     assert audio.audio_catalog(spark, str(tmp_path), "sph").first().samples == 80
-    tiers = annotate.annotate(spark, str(tmp_path), annotate.predictor_of(np.zeros((3, 3 * 64)), np.array([0.0, 1.0, 0.0])), [1 / 3] * 3, [[0.8, 0.1, 0.1], [0.1, 0.8, 0.1], [0.1, 0.1, 0.8]], norm=20, context=1).collect()
-    assert {(r.rec_id, r.tier, r.start) for r in tiers} == {("a", "single", 26), ("b", "single", 26)}
+    rows = annotate.annotate(spark, str(tmp_path), annotate.predictor_of(np.zeros((3, 3 * 64)), np.array([0.0, 1.0, 0.0])), [1 / 3] * 3, [[0.8, 0.1, 0.1], [0.1, 0.8, 0.1], [0.1, 0.1, 0.8]], norm=20, context=1).collect()
+    assert {(r.rec_id, r.tier, r.start) for r in rows if r.tier} == {("a", "single", 26), ("b", "single", 26)}
+    assert [(r.rec_id, r.problem) for r in rows if r.problem] == [("c", "not a WAV file")]
+    two = [annotate.predictor_of(np.zeros((3, 3 * 64)), np.array(b)) for b in ([0.0, 1.0, 0.0], [9.0, 0.0, 0.0])]
+    last = annotate.annotate(spark, str(tmp_path), two, [1 / 3] * 3, [[0.8, 0.1, 0.1], [0.1, 0.8, 0.1], [0.1, 0.1, 0.8]], norm=20, context=1, merge=lambda v: v[1]).collect()
+    assert {r.tier for r in last if r.tier} == {"none"}
+
+
+@pytest.mark.parametrize("bits,kind", [(8, 1), (16, 1), (24, 1), (32, 1), (32, 3), (64, 3)])
+def test_sample_formats(bits, kind):
+    x = np.array([[0.5, -0.25], [-1.0, 0.75], [0.0, 0.125]])
+    if kind == 3:
+        raw = x.astype(f"<f{bits // 8}").tobytes()
+    elif bits == 8:
+        raw = (x * 128 + 128).astype(np.uint8).tobytes()
+    else:
+        raw = b"".join(int(v).to_bytes(bits // 8, "little", signed=True) for v in (x * (1 << (bits - 1))).ravel())
+    head = b"fmt " + (16).to_bytes(4, "little") + kind.to_bytes(2, "little") + (2).to_bytes(2, "little") + (8000).to_bytes(4, "little") + bytes(6) + bits.to_bytes(2, "little")
+    for size, cut in ((len(raw), 0), (len(raw) + 999, 0), (len(raw), 1)):  # whole, longer than the file, cut within a sample
+        body = raw[: len(raw) - cut]
+        wav_ = b"RIFF" + bytes(4) + b"WAVE" + b"LIST" + (3).to_bytes(4, "little") + bytes(4) + head + b"data" + size.to_bytes(4, "little") + body
+        kind_, channels, rate, bits_, at, n = audio._wav_parts(wav_)
+        got = audio.pcm(wav_[at : at + n], bits_, channels, kind_)
+        assert (channels, rate) == (2, 8000) and np.allclose(got, x[: len(body) // (bits // 4)])
+
+
+def test_unknown_formats_are_errors():
+    head = b"RIFF" + bytes(4) + b"WAVEfmt " + (16).to_bytes(4, "little")
+    for kind, channels, bits in ((7, 1, 8), (1, 0, 16), (1, 1, 12), (3, 1, 16)):
+        with pytest.raises(ValueError):
+            audio._wav_parts(head + kind.to_bytes(2, "little") + channels.to_bytes(2, "little") + (8000).to_bytes(4, "little") + bytes(6) + bits.to_bytes(2, "little") + b"data" + bytes(4))
+
+
+def test_eaf_without_annotations(spark, tmp_path):
+    tier = '<TIER TIER_ID="{}" ANNOTATOR="me" PARTICIPANT="you">{}</TIER>'
+    note = '<ANNOTATION><ALIGNABLE_ANNOTATION ANNOTATION_ID="{0}" TIME_SLOT_REF1="{1}" TIME_SLOT_REF2="{2}"><ANNOTATION_VALUE>{0}</ANNOTATION_VALUE></ALIGNABLE_ANNOTATION></ANNOTATION>'
+    slots = "".join(f'<TIME_SLOT TIME_SLOT_ID="ts{k}" TIME_VALUE="{k * 10}"/>' for k in range(4))
+    page = lambda *tiers: f"<ANNOTATION_DOCUMENT><TIME_ORDER>{slots}</TIME_ORDER>{''.join(tiers)}</ANNOTATION_DOCUMENT>"
+    (tmp_path / "a.eaf").write_text(page(tier.format("x", note.format("a1", "ts0", "ts2") + note.format("a2", "ts3", "ts3") + note.format("a3", "ts3", "ts1")), tier.format("y", "")))
+    watch = Observation()
+    got = A.read_eaf(spark, str(tmp_path), observation=watch).collect()
+    assert [(r.tier, r.annotator, r.participant, r.start, r.end) for r in got] == [("x", "me", "you", 0, 20)] and watch.get["dropped"] == 2
+    assert A.read_eaf(spark, str(tmp_path), F.col("tier") == "x").count() == 1
+    with pytest.raises(ValueError):
+        A.read_eaf(spark, str(tmp_path), ["y"])
+    (tmp_path / "b.eaf").write_text(page())
+    with pytest.raises(ValueError, match="b.eaf"):
+        A.read_eaf(spark, str(tmp_path)).collect()
+    assert A.read_eaf(spark, str(tmp_path), strict=False).count() == 1
 
 
 def test_stores(spark, tmp_path):
