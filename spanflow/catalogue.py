@@ -117,9 +117,9 @@ def turn_segments_rate(spark, d):
     return S.at_rate(turn_segments(spark, d), 100).select("rec_id", "turn", *_day("start", "end"))
 
 
-@query(f"WITH {CONV}, t AS (SELECT * FROM conv WHERE turn > 0) SELECT rec_id, CAST(min(s) - min(s) + 7 AS BIGINT) AS min_start, CAST(max(e) - min(s) + 7 AS BIGINT) AS max_end FROM t GROUP BY rec_id")
+@query(f"WITH {CONV}, t AS (SELECT rec_id, s + rec_id + 3 AS s, e + rec_id + 3 AS e FROM conv) SELECT rec_id, CAST(min(s) - min(s) + 7 AS BIGINT) AS min_start, CAST(max(e) - min(s) + 7 AS BIGINT) AS max_end FROM t GROUP BY rec_id")
 def turn_segments_shift(spark, d):
-    return S.extent(S.shift_to(turn_segments(spark, d).where("turn > 0"), 7)).select("rec_id", *_day("min_start", "max_end"))
+    return S.extent(S.shift_to(turn_segments(spark, d).withColumns({c: F.col(c) + F.col("rec_id") + 3 for c in ("start", "end")}), 7)).select("rec_id", *_day("min_start", "max_end"))
 
 
 @query(f"WITH {SEG0} SELECT rec_id, CAST(s AS BIGINT) AS start, CAST(e AS BIGINT) AS \"end\", 'end is not after start' AS problem FROM seg0 WHERE NOT e > s")
@@ -135,7 +135,7 @@ def slice_turns(spark, d):
 @query(f"""WITH {PIECES} SELECT p.rec_id, CAST(p.s AS BIGINT) AS start, CAST(p.e AS BIGINT) AS "end", count(g.s) AS n, coalesce(string_agg(g.label, ',' ORDER BY g.label), '') AS labels
     FROM pieces p LEFT JOIN seg g ON g.rec_id = p.rec_id AND g.s <= p.s AND g.e >= p.e GROUP BY p.rec_id, p.s, p.e""")
 def flatten_orders(spark, d):
-    return S.flatten(order_segments(spark, d)).select("rec_id", *_day("start", "end"), F.size("seg_idxs").cast("long").alias("n"), F.array_join(F.array_sort("labels"), ",").alias("labels"))
+    return S.flatten(order_segments(spark, d)).select("rec_id", *_day("start", "end"), F.size("seg_idxs").cast("long").alias("n"), F.array_join(F.sort_array("labels"), ",").alias("labels"))
 
 
 @query(f"""WITH {PIECES}, c AS (SELECT p.rec_id, p.s, p.e, count(g.s) AS n FROM pieces p LEFT JOIN seg g ON g.rec_id = p.rec_id AND g.s <= p.s AND g.e >= p.e GROUP BY p.rec_id, p.s, p.e)
@@ -173,7 +173,7 @@ def overlay_flags(spark, d):
 def labels_at_orders(spark, d):
     points = _read(spark, d, "orders").select("o_orderkey", F.col("o_custkey").alias("rec_id"), F.datediff(F.to_date("o_orderdate"), F.lit("1970-01-01").cast("date")).cast("double").alias("t"))
     done = S.labels_at(points, order_segments(spark, d), width=64)
-    return done.select("o_orderkey", F.size("labels").cast("long").alias("n"), F.array_join(F.array_sort("labels"), ",").alias("labels"))
+    return done.select("o_orderkey", F.size("labels").cast("long").alias("n"), F.array_join(F.sort_array("labels"), ",").alias("labels"))
 
 
 @query(f"""WITH {CONV}, k AS (SELECT DISTINCT rec_id FROM conv), pt AS (SELECT rec_id, unnest([0, 50, 100, 1000, 100000]) AS t FROM k)
@@ -200,13 +200,13 @@ def confusion_labels(spark, d):
     return evaluate.normalize_confusion(evaluate.confusion(pairs, nclasses=2)).select("true", "pred", "n", _r("precision"), _r("recall"))
 
 
-@query(f"""WITH {CONF}, b AS (SELECT source, quality AS t, toxic AS p FROM labels JOIN documents USING (doc_id)), u AS (SELECT source AS rec_id, t, p FROM b UNION ALL SELECT NULL, t, p FROM b),
-    c AS (SELECT rec_id, t, p, count(*) AS n FROM u GROUP BY ALL), k AS (SELECT DISTINCT rec_id, g.t, g.p FROM u CROSS JOIN g), f AS (SELECT k.*, coalesce(n, 0) AS n FROM k LEFT JOIN c ON c.rec_id IS NOT DISTINCT FROM k.rec_id AND c.t = k.t AND c.p = k.p)
-    SELECT rec_id, t AS "true", p AS pred, n, round(CAST(n AS DOUBLE) / nullif(sum(n) OVER (PARTITION BY rec_id, p), 0), 4) AS precision, round(CAST(n AS DOUBLE) / nullif(sum(n) OVER (PARTITION BY rec_id, t), 0), 4) AS recall FROM f""")
+@query(f"""WITH {CONF}, b AS (SELECT nullif(length(source) % 5, 1) AS rec_id, quality AS t, toxic AS p FROM labels JOIN documents USING (doc_id)), u AS (SELECT false AS is_total, rec_id, t, p FROM b UNION ALL SELECT true, NULL, t, p FROM b),
+    c AS (SELECT is_total, rec_id, t, p, count(*) AS n FROM u GROUP BY ALL), k AS (SELECT DISTINCT is_total, rec_id, g.t, g.p FROM u CROSS JOIN g), f AS (SELECT k.*, coalesce(n, 0) AS n FROM k LEFT JOIN c ON c.is_total = k.is_total AND c.rec_id IS NOT DISTINCT FROM k.rec_id AND c.t = k.t AND c.p = k.p)
+    SELECT is_total, CAST(rec_id AS BIGINT) AS rec_id, t AS "true", p AS pred, n, round(CAST(n AS DOUBLE) / nullif(sum(n) OVER (PARTITION BY is_total, rec_id, p), 0), 4) AS precision, round(CAST(n AS DOUBLE) / nullif(sum(n) OVER (PARTITION BY is_total, rec_id, t), 0), 4) AS recall FROM f""")
 def confusion_by_source(spark, d):
-    rows = _read(spark, d, "labels").join(_read(spark, d, "documents").select("doc_id", F.col("source").alias("rec_id")), "doc_id")
+    rows = _read(spark, d, "labels").join(_read(spark, d, "documents").select("doc_id", F.nullif(F.length("source") % 5, F.lit(1)).cast("long").alias("rec_id")), "doc_id")
     done = evaluate.evaluate(rows.select("rec_id", F.col("quality").alias("true"), F.col("toxic").alias("pred")), nclasses=2)
-    return done.select("rec_id", "true", "pred", "n", _r("precision"), _r("recall"))
+    return done.select("is_total", "rec_id", "true", "pred", "n", _r("precision"), _r("recall"))
 
 
 @query("SELECT event_type AS class, count(*) AS n, round(CAST(count(*) AS DOUBLE) / sum(count(*)) OVER (), 4) AS share FROM events GROUP BY event_type")
@@ -268,9 +268,8 @@ def with_metadata(spark, d):
 @query(f"""WITH {EV}, w AS (SELECT rec_id, frame_idx, round(avg(value) OVER w, 4) AS mean, round(max(value) OVER w, 4) AS most, count(*) OVER w AS n FROM ev WINDOW w AS (PARTITION BY rec_id ORDER BY frame_idx ROWS BETWEEN CURRENT ROW AND 4 FOLLOWING))
     SELECT rec_id, frame_idx, mean, most FROM w WHERE n = 5 AND frame_idx % 2 = 0""")
 def rolling_stats(spark, d):
-    df = event_frames(spark, d)
-    mean = R.rolling(df, F.avg("value"), 5, 2, name="mean").select("rec_id", "frame_idx", _r("mean"))
-    return mean.join(R.rolling(df, F.max("value"), 5, 2, name="most").select("rec_id", "frame_idx", _r("most")), ["rec_id", "frame_idx"])
+    df = R.rolling(event_frames(spark, d), {"mean": F.avg("value"), "most": F.max("value")}, 5, 2)
+    return df.select("rec_id", "frame_idx", _r("mean"), _r("most"))
 
 
 @query(f"""WITH {EV}, w AS (SELECT *, avg(value) OVER w AS m, stddev_pop(value) OVER w AS sd, count(*) OVER w AS n FROM ev WINDOW w AS (PARTITION BY rec_id ORDER BY frame_idx ROWS BETWEEN 9 PRECEDING AND CURRENT ROW))
@@ -368,19 +367,42 @@ def merge_posteriors(spark, d):
     return done.select("rec_id", "frame_idx", *(_r(F.col("probs")[i], f"p{i + 1}") for i in range(3)))
 
 
-@query()
+VITERBI = P3.format(1, 2, 3) + """, p AS (SELECT rec_id, frame_idx, v[1] / (v[1] + v[2] + v[3]) / {0} AS a0, v[2] / (v[1] + v[2] + v[3]) / {1} AS b0, v[3] / (v[1] + v[2] + v[3]) / {2} AS c0 FROM p0),
+    o AS (SELECT rec_id, frame_idx, ln(greatest(1e-15, a0 / (a0 + b0 + c0))) AS a, ln(greatest(1e-15, b0 / (a0 + b0 + c0))) AS b, ln(greatest(1e-15, c0 / (a0 + b0 + c0))) AS c FROM p),
+    w AS (SELECT rec_id, CAST(frame_idx AS BIGINT) AS t, ln(0.6) + a AS x, ln(0.2) + b AS y, ln(0.2) + c AS z, [0] AS px, [1] AS py, [2] AS pz FROM o WHERE frame_idx = 0 UNION ALL
+        SELECT w.rec_id, t + 1, a + greatest(x + ln(0.8), y + ln(0.1), z + ln(0.1)), b + greatest(x + ln(0.1), y + ln(0.8), z + ln(0.1)), c + greatest(x + ln(0.1), y + ln(0.1), z + ln(0.8)),
+        list_append(CASE WHEN x + ln(0.8) >= y + ln(0.1) AND x + ln(0.8) >= z + ln(0.1) THEN px WHEN y >= z THEN py ELSE pz END, 0),
+        list_append(CASE WHEN x + ln(0.1) >= y + ln(0.8) AND x >= z THEN px WHEN y + ln(0.8) >= z + ln(0.1) THEN py ELSE pz END, 1),
+        list_append(CASE WHEN x >= y AND x + ln(0.1) >= z + ln(0.8) THEN px WHEN y + ln(0.1) >= z + ln(0.8) THEN py ELSE pz END, 2)
+        FROM w JOIN o ON o.rec_id = w.rec_id AND o.frame_idx = w.t + 1),
+    e AS (SELECT rec_id, CASE WHEN x >= y AND x >= z THEN px WHEN y >= z THEN py ELSE pz END AS path FROM w QUALIFY t = max(t) OVER (PARTITION BY rec_id)),
+    s AS (SELECT rec_id, unnest(path) AS state, generate_subscripts(path, 1) - 1 AS frame_idx FROM e)"""
+
+
+@query(f"WITH RECURSIVE {VITERBI.format(1, 1, 1)} SELECT rec_id, frame_idx, CAST(state AS BIGINT) AS state FROM s")
 def viterbi_states(spark, d):
     stay = [[0.8, 0.1, 0.1], [0.1, 0.8, 0.1], [0.1, 0.1, 0.8]]
     return decode.viterbi(_posteriors(spark, d).where("predictor = 0"), [0.6, 0.2, 0.2], stay)
 
 
-@query()
+@query(f"WITH RECURSIVE {VITERBI.format(0.5, 0.3, 0.2)} SELECT rec_id, frame_idx, CAST(state AS BIGINT) AS state FROM s")
+def viterbi_scaled(spark, d):
+    stay = [[0.8, 0.1, 0.1], [0.1, 0.8, 0.1], [0.1, 0.1, 0.8]]
+    return decode.viterbi(_posteriors(spark, d).where("predictor = 0"), [0.6, 0.2, 0.2], stay, scale_priors=[0.5, 0.3, 0.2])
+
+
+@query(f"""WITH RECURSIVE {VITERBI.format(1, 1, 1)}, y AS (SELECT s.rec_id, emb.class % 3 AS t, s.state AS sm, CASE WHEN a >= b AND a >= c THEN 0 WHEN b >= c THEN 1 ELSE 2 END AS rw FROM s JOIN o USING (rec_id, frame_idx) JOIN emb USING (rec_id, frame_idx)),
+    u AS (SELECT 'raw' AS variant, rec_id, t, rw AS p FROM y UNION ALL SELECT 'smoothed', rec_id, t, sm FROM y), u2 AS (SELECT variant, false AS is_total, rec_id, t, p FROM u UNION ALL SELECT variant, true, NULL, t, p FROM u),
+    k AS (SELECT DISTINCT variant, is_total, rec_id, g.t, h.p FROM u2 CROSS JOIN (SELECT unnest([0, 1, 2]) AS t) g CROSS JOIN (SELECT unnest([0, 1, 2]) AS p) h), n AS (SELECT variant, is_total, rec_id, t, p, count(*) AS n FROM u2 GROUP BY ALL),
+    f AS (SELECT k.*, coalesce(n.n, 0) AS n FROM k LEFT JOIN n ON n.variant = k.variant AND n.is_total = k.is_total AND n.rec_id IS NOT DISTINCT FROM k.rec_id AND n.t = k.t AND n.p = k.p)
+    SELECT variant, is_total, rec_id, t AS "true", p AS pred, n, round(CAST(n AS DOUBLE) / nullif(sum(n) OVER (PARTITION BY variant, is_total, rec_id, p), 0), 4) AS precision, round(CAST(n AS DOUBLE) / nullif(sum(n) OVER (PARTITION BY variant, is_total, rec_id, t), 0), 4) AS recall FROM f""")
 def smoothing_report(spark, d):
     from .plans.annotate import report
 
     stay = [[0.8, 0.1, 0.1], [0.1, 0.8, 0.1], [0.1, 0.1, 0.8]]
     truth = embedding_frames(spark, d).select("rec_id", "frame_idx", (F.col("class") % 3).cast("int").alias("true"))
-    return report(_posteriors(spark, d).where("predictor = 0"), truth, [0.6, 0.2, 0.2], stay)
+    done = report(_posteriors(spark, d).where("predictor = 0"), truth, [0.6, 0.2, 0.2], stay)
+    return done.select("variant", "is_total", "rec_id", "true", "pred", "n", _r("precision"), _r("recall"))
 
 
 @query(f"WITH {EMB}, p AS (SELECT rec_id, frame_idx, embedding[1] AS a, embedding[2] AS b FROM emb) SELECT rec_id, frame_idx, false AS swapped, round(a, 4) AS a, round(b, 4) AS b FROM p UNION ALL SELECT rec_id, frame_idx, true, round(b, 4), round(a, 4) FROM p")
@@ -430,12 +452,13 @@ def shared_keys(spark, d):
     return S.check_disjoint(_read(spark, d, "supplier").select(F.col("s_nationkey").alias("key")), _read(spark, d, "customer").select(F.col("c_nationkey").alias("key")), key="key")
 
 
-@query()
+@query(f"""WITH {EV} SELECT rec_id, frame_idx, CAST(row_number() OVER (PARTITION BY rec_id, frame_idx // 16 ORDER BY md5('7:' || rec_id || ':' || (frame_idx // 16) || ':' || frame_idx)) - 1 AS INTEGER) AS row_pos FROM ev""")
 def seeded_shuffle(spark, d):
     return sampling.shuffle_rows(R.assign_chunks(event_frames(spark, d), 16), 7).select("rec_id", "frame_idx", "row_pos")
 
 
-@query()
+@query(f"""WITH {EV}, c AS (SELECT DISTINCT rec_id, frame_idx // 16 AS chunk_id FROM ev), p AS (SELECT c.*, pass FROM c CROSS JOIN (SELECT unnest([0, 1]) AS pass)),
+    n AS (SELECT *, row_number() OVER (PARTITION BY pass ORDER BY md5('7:' || pass || ':' || rec_id || ':' || chunk_id)) - 1 AS chunk_pos FROM p) SELECT pass, rec_id, chunk_id, CAST(chunk_pos AS INTEGER) AS chunk_pos FROM n WHERE pass > 0 OR chunk_pos >= 5""")
 def batch_plan(spark, d):
     return sampling.batch_plan(R.assign_chunks(event_frames(spark, d), 16), 2, 7, start=(0, 5))
 
@@ -460,5 +483,8 @@ def logmel_events(spark, d):
     from .sources.audio import logmel
 
     df = event_frames(spark, d).withColumn("block", F.floor(F.col("frame_idx") / 64))
-    rows = F.transform(F.array_sort(F.collect_list(F.struct("frame_idx", F.col("value").alias("v")))), lambda x: x["v"])
+    rows = F.transform(F.sort_array(F.collect_list(F.struct("frame_idx", F.col("value").alias("v")))), lambda x: x["v"])
     return logmel(df.groupBy("rec_id", "block").agg(rows.alias("samples")), 8000, 32, 8, 8)
+
+
+from . import catalogue_files, catalogue_more  # noqa: E402,F401 - they add their queries

@@ -56,11 +56,11 @@ def merge_posteriors(posteriors: DataFrame, weights: DataFrame | None = None, me
     df = posteriors.select("rec_id", "frame_idx", "predictor", "probs")
     if weights is not None:
         by_class = "class" in weights.columns
-        w = weights.groupBy("predictor").agg(F.array_sort(F.collect_list(F.struct(*(["class"] if by_class else []), "weight")))["weight"].alias("_w"))
+        w = weights.groupBy("predictor").agg(F.sort_array(F.collect_list(F.struct(*(["class"] if by_class else []), "weight")))["weight"].alias("_w"))
         known = F.when(F.col("_w").isNull(), F.raise_error(F.concat(F.lit("no weight for predictor "), F.col("predictor").cast("string")))).otherwise(F.col("_w"))
         scaled = F.zip_with("probs", "_w", lambda p, x: p * x) if by_class else F.transform("probs", lambda p: p * F.col("_w")[0])
         df = df.join(w, "predictor", "left").withColumn("_w", known).withColumn("probs", scaled)
-    rows = df.groupBy("rec_id", "frame_idx").agg(F.array_sort(F.collect_list(F.struct("predictor", "probs")))["probs"].alias("_v"))
+    rows = df.groupBy("rec_id", "frame_idx").agg(F.sort_array(F.collect_list(F.struct("predictor", "probs")))["probs"].alias("_v"))
     plain = lambda v: F.aggregate(F.slice(v, 2, F.size(v)), v[0], lambda a, x: F.zip_with(a, x, lambda p, q: p + q))
     return rows.withColumn("_m", (merge or plain)(F.col("_v"))).select("rec_id", "frame_idx", fn.normalize("_m").alias("probs"))
 

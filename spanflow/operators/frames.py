@@ -82,7 +82,7 @@ def runs(frames: DataFrame, key: str | Column, keep: str = "keys", label: str |
     if keep in ("keys", "both"):
         parts.append(F.first("_key").alias("key"))
     if keep in ("labels", "both"):
-        parts.append(F.transform(F.array_sort(F.collect_list(F.struct("_at", F.col(label or order).alias("x")))), lambda x: x["x"]).alias("labels"))
+        parts.append(F.transform(F.sort_array(F.collect_list(F.struct("_at", F.col(label or order).alias("x")))), lambda x: x["x"]).alias("labels"))
     done = df.groupBy(rec, "run").agg(*parts)
     return done if rate is None else done.withColumn("rate", F.lit(int(rate)).cast("long"))
 
@@ -155,7 +155,7 @@ def normalize_chunk(frames: DataFrame, std: bool = False, keys: tuple = ("rec_id
     """Vectors less their chunk's mean, bin by bin, and by the population deviation if asked. One grouped pass gives the
     chunks' figures, which are joined back; a deviation of 0 gives null."""
     parts = frames.select(*keys, F.posexplode(feat).alias("bin", "x")).groupBy(*keys, "bin").agg(F.avg("x").alias("m"), F.stddev_pop("x").alias("s"))
-    figures = parts.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("bin", "m", "s"))).alias("_f"))
+    figures = parts.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("bin", "m", "s"))).alias("_f"))
     one = (lambda x, f: F.try_divide(x - f["m"], f["s"])) if std else (lambda x, f: x - f["m"])
     return frames.join(figures, list(keys)).withColumn(feat, F.zip_with(feat, "_f", one)).drop("_f")
 

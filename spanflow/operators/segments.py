@@ -104,12 +104,16 @@ def flatten(segments: DataFrame, label: str = "label", width: float | None = Non
     ranked = events.withColumn("_new", new).withColumn("_r", F.sum("_new").over(w))
     whole = Window.partitionBy("rec_id", "_b")
     ranked = ranked.withColumn("_n", F.max("_r").over(whole))
-    # the first boundary of each rank stands for the piece that it begins
-    pieces = ranked.where("_new = 1").select("rec_id", "_b", F.col("_r").alias("_p"), F.col("t").alias("start"), F.lit(None).cast(ranked.select(F.struct("s", "e", "i", "label").alias("x")).schema["x"].dataType).alias("_seg"))
-    covers = ranked.groupBy("rec_id", "_b", "s", "e", "i", "label").agg(F.max(F.when((F.col("kind") == 0) & F.col("t").isNotNull(), F.col("_r"))).alias("_from"), F.max(F.when((F.col("kind") == 1) & F.col("t").isNotNull(), F.col("_r"))).alias("_to"), F.max("_n").alias("_n"))
-    covers = covers.withColumns({"_from": F.coalesce("_from", F.lit(1).cast("long")), "_to": F.coalesce(F.col("_to") - 1, F.col("_n"))}).where("_from <= _to")
-    members = covers.select("rec_id", "_b", F.explode(F.sequence("_from", "_to")).alias("_p"), F.lit(None).cast(segs.schema["s"].dataType).alias("start"), F.struct("s", "e", "i", "label").alias("_seg"))
-    rows = pieces.unionByName(members).groupBy("rec_id", "_b", "_p").agg(F.max("start").alias("start"), F.array_sort(F.collect_list("_seg")).alias("_rows"))
+    at = lambda kind: F.max(F.when((F.col("kind") == kind) & F.col("t").isNotNull(), F.col("_r")))
+    covers = ranked.groupBy("rec_id", "_b", "s", "e", "i", "label").agg(at(0).alias("_from"), at(1).alias("_to"), F.max("_n").alias("_n"))
+    # a row for each piece that a segment covers, which tells the piece's start where the segment begins there, and one that tells where it ends
+    first, last = F.coalesce("_from", F.lit(1).cast("long")), F.coalesce(F.col("_to") - 1, F.col("_n"))
+    seg, none = F.struct("s", "e", "i", "label"), F.lit(None)
+    inside = F.when(first <= last, F.transform(F.sequence(first, F.greatest(first, last)), lambda r: F.struct(r.alias("p"), F.when(r == F.col("_from"), F.col("s")).alias("start"), seg.alias("seg"))))
+    ends = F.when(F.col("_to").isNotNull(), F.array(F.struct(F.col("_to").alias("p"), F.col("e").alias("start"), F.when(none.isNotNull(), seg).alias("seg"))))
+    empty = F.slice(F.array(F.struct(first.alias("p"), F.col("s").alias("start"), seg.alias("seg"))), 1, 0)
+    members = covers.select("rec_id", "_b", F.inline(F.concat(F.coalesce(inside, empty), F.coalesce(ends, empty))))
+    rows = members.groupBy("rec_id", "_b", F.col("p").alias("_p")).agg(F.max("start").alias("start"), F.sort_array(F.collect_list("seg")).alias("_rows"))
     if width:  # a bucket's last piece ends where the next bucket with a boundary begins
         first = rows.groupBy("rec_id", "_b").agg(F.min("start").alias("_f"))
         following = first.select("rec_id", "_b", F.lead("_f").over(Window.partitionBy("rec_id").orderBy("_b")).alias("_next"))
@@ -170,7 +174,7 @@ def labels_at(points: DataFrame, segments: DataFrame, label: str = "label", widt
     on = (F.col("b._s") <= F.col("a._t")) & (F.col("a._t") < F.col("b._e"))
     for k in keys:
         on = on & (F.col(f"a.{k}") == F.col(f"b.{k}"))
-    rows = F.array_sort(F.collect_list(F.struct(F.col("b._s").alias("s"), F.col("b._e").alias("e"), F.col("b.seg_idx").alias("i"), F.col("b._label").alias("label"))))
+    rows = F.sort_array(F.collect_list(F.struct(F.col("b._s").alias("s"), F.col("b._e").alias("e"), F.col("b.seg_idx").alias("i"), F.col("b._label").alias("label"))))
     found = a.join(b, on).groupBy(F.col("a.rec_id").alias("rec_id"), F.col("a._t").alias("_t")).agg(rows.alias("_rows")).select("rec_id", "_t", F.col("_rows.label").alias("labels"))
     none = F.array(*map(F.lit, default or [])).cast(found.schema["labels"].dataType)
     none = F.raise_error(F.lit("a point lies outside of all segments")).cast(found.schema["labels"].dataType) if strict else none

@@ -61,7 +61,7 @@ def annotate(spark: SparkSession, path: str, predict_fn, init: list, trans: list
     failed = sound.where("problem is not null").groupBy("rec_id").agg(F.min("problem").alias("problem"))
     feats = audio.logmel(sound.where("problem is null"), rate, win, hop, n_mels)
     flat = feats.select("rec_id", "frame_idx", F.posexplode("feat").alias("bin", "value"))
-    normed = R.normalize_rolling(flat, norm, first="copy", keys=("rec_id", "bin")).groupBy("rec_id", "frame_idx").agg(F.transform(F.array_sort(F.collect_list(F.struct("bin", F.coalesce("value", F.lit(0.0)).alias("v")))), lambda x: x["v"]).alias("feat"))
+    normed = R.normalize_rolling(flat, norm, first="copy", keys=("rec_id", "bin")).groupBy("rec_id", "frame_idx").agg(F.transform(F.sort_array(F.collect_list(F.struct("bin", F.coalesce("value", F.lit(0.0)).alias("v")))), lambda x: x["v"]).alias("feat"))
     stacked, size = R.stack_context(normed, context, keys=("rec_id",)), (2 * context + 1) * n_mels
     many = predict_fn if isinstance(predict_fn, list) else [predict_fn]
     scored = [score(stacked, f, size).select("rec_id", "frame_idx", F.lit(k).alias("predictor"), "probs") for k, f in enumerate(many)]

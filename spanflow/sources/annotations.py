@@ -71,11 +71,11 @@ def read_mpeg7(spark: SparkSession, path: str, glob: str = "*.xml", strict: bool
     """AudioSegment elements that have a descriptor, with ticks at the least common multiple of their file's rates.
     dialect: the prefix of the tags that count; without it any prefix does.
     Segments without a descriptor or of no length are left out; strict: a file without any is an error."""
-    raw = spark.read.format("xml").option("rowTag", "AudioSegment").option("ignoreNamespace", "true").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").schema(MPEG7).load(path)
+    raw = spark.read.format("xml").option("rowTag", "AudioSegment").option("ignoreNamespace", "true").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").schema(MPEG7).load(path).withColumn("source", F.col("_metadata.file_path"))
     if dialect is not None:  # files that use the prefix at all; rowTag with a prefix and ignoreNamespace don't go together
         tagged = spark.read.option("wholetext", "true").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").text(path)
-        raw = raw.join(tagged.where(F.contains("value", F.lit(f"<{dialect}:AudioSegment"))).select(F.col("_metadata.file_path").alias("_file")), F.col("_metadata.file_path") == F.col("_file"), "left_semi")
-    df = raw.select("MediaTime", F.get("AudioDescriptor", F.lit(0)).alias("d"), F.col("_metadata.file_path").alias("source"))
+        raw = raw.join(tagged.where(F.contains("value", F.lit(f"<{dialect}:AudioSegment"))).select(F.col("_metadata.file_path").alias("source")), "source", "left_semi")
+    df = raw.select("MediaTime", F.get("AudioDescriptor", F.lit(0)).alias("d"), "source")
     df = df.select("source", "d", fn.combine_time(fn.time_point("MediaTime.MediaTimePoint"), fn.duration("MediaTime.MediaDuration")).alias("t")).where("d is not null and t.end > t.start")
     rates = S.common_rate_of(df.select("source", F.col("t.rate").alias("rate")))
     by = F.col("common") / F.col("t.rate")
@@ -162,7 +162,7 @@ def tier_documents(tiers: DataFrame, media: str | None = None) -> DataFrame:
     df = tiers.withColumn("k", F.row_number().over(w))
     slot = F.format_string('<TIME_SLOT TIME_SLOT_ID="ts%d" TIME_VALUE="%d"/><TIME_SLOT TIME_SLOT_ID="ts%d" TIME_VALUE="%d"/>', 2 * F.col("k") - 1, F.col("start").cast("long"), 2 * F.col("k"), F.col("end").cast("long"))
     note = F.format_string('<ANNOTATION><ALIGNABLE_ANNOTATION ANNOTATION_ID="a%d" TIME_SLOT_REF1="ts%d" TIME_SLOT_REF2="ts%d"><ANNOTATION_VALUE>%s</ANNOTATION_VALUE></ALIGNABLE_ANNOTATION></ANNOTATION>', "k", 2 * F.col("k") - 1, 2 * F.col("k"), esc("content"))
-    text = lambda c: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", c.alias("x")))), lambda x: x["x"]), "")
+    text = lambda c: F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("k", c.alias("x")))), lambda x: x["x"]), "")
     told = [F.first(c, True).alias(c) for c in ("annotator", "participant") if c in tiers.columns]
     tier = df.groupBy("rec_id", "tier").agg(*told, F.min("k").alias("k"), text(slot).alias("slots"), text(note).alias("notes"))
     who = [F.when(F.col(c).isNotNull(), F.concat(F.lit(f' {c.upper()}="'), esc(c), F.lit('"'))).otherwise("") for c in ("annotator", "participant") if c in tiers.columns]

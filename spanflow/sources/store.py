@@ -2,11 +2,24 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 
+def scratch(spark: SparkSession) -> str:
+    """A new folder below the one that all executors share. Only a local session may do without that."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        shared = f"file:{tempfile.gettempdir()}/spanflow-{spark.sparkContext.applicationId}"
+    return f"{shared}/store-{uuid.uuid4().hex}"
+
+
 def write_frames(frames: DataFrame, path: str, mode: str = "error") -> None:
     """Frames by split and group, a recording's frames together and in order."""
     frames.repartitionByRange("split", "group_id", "rec_id").sortWithinPartitions("split", "group_id", "rec_id", "frame_idx").write.mode(mode).partitionBy("split", "group_id").parquet(path)
