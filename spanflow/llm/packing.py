@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches, codes, materialise, span_hashes
+from .common import batches, codes, discard, materialise, span_hashes
 
 WINDOW, END, SHARD, K1, B = 1024, 0, 512, 1.2, 0.75
 KEY_TERMS, KEY_SHARE = 4, 0.005
@@ -176,7 +176,7 @@ def content_key(ids: np.ndarray, draw: np.ndarray) -> int:
 
 
 def by_content(tokens: DataFrame, df: np.ndarray, n: int) -> DataFrame:
-    """tokens dealt into partitions and sorted so that rows of similar content are neighbours."""
+    """tokens, a written table that is deleted then, dealt into partitions and sorted so that rows of similar content are neighbours."""
     shipped = tokens.sparkSession.sparkContext.broadcast(draws(df, n))
 
     def run(frames):
@@ -186,6 +186,7 @@ def by_content(tokens: DataFrame, df: np.ndarray, n: int) -> DataFrame:
     kind = tokens.schema["doc_id"].dataType.simpleString()
     keyed = tokens.mapInPandas(run, f"doc_id {kind}, ids binary, key bigint").withColumn("luck", F.xxhash64("doc_id"))
     keyed = materialise(keyed)  # the ranges are then found from two columns of a written table
+    discard(tokens)
     return keyed.repartitionByRange("key", "luck").sortWithinPartitions("key", "luck", F.xxhash64("ids")).select("doc_id", "ids")
 
 
