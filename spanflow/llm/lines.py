@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import batches, codes, materialise, mix, span_hashes, spans
+from .common import batches, codes, discard, materialise, mix, span_hashes, spans
 
 MIN_WORDS, GRAM = 25, 25
 _BLANK = np.array([*range(9, 14), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000], np.uint32)
@@ -160,11 +160,13 @@ def _full(texts: DataFrame) -> DataFrame:
 
 
 def _repeats(made: DataFrame) -> DataFrame:
-    """The rows of `made` that repeat something, with first_doc: the digest's first document. Anchors of that document, too."""
+    """The rows of `made`, a written table that is deleted then, that repeat something, with first_doc: the digest's first document. Anchors of that document, too."""
     # a row a key and task goes through the shuffle, however often a unit repeats
     first = made.where(~F.col("own")).groupBy("hi", "lo").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last")).where("first_doc < last").select("hi", "lo", "first_doc")
     first = materialise(first)  # the join then has plain shuffles on both sides, so that Spark can split a unit that stands everywhere
-    return materialise(made.join(first, ["hi", "lo"], "left").where("own or first_doc < doc_id or (words < 0 and first_doc = doc_id)").drop("lo"))
+    found = materialise(made.join(first, ["hi", "lo"], "left").where("own or first_doc < doc_id or (words < 0 and first_doc = doc_id)").drop("lo"))
+    discard(made, first)
+    return found
 
 
 def _runs(found: DataFrame, min_words: int) -> DataFrame:
