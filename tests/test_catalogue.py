@@ -10,7 +10,7 @@ DATA = "/root/testdata/sf0.001"
 
 
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
-@pytest.mark.parametrize("name", ["event_runs", "transition_priors", "flatten_orders", "overlay_flags", "labels_at_orders", "turn_at_offset", "confusion_by_source", "subsample_runs", "overlap_chunks", "merge_posteriors"])
+@pytest.mark.parametrize("name", ["event_runs", "transition_priors", "flatten_orders", "overlay_flags", "labels_at_orders", "turn_at_offset", "confusion_by_source", "subsample_runs", "overlap_chunks", "merge_posteriors", "calls_read", "mpeg7_read", "eaf_round_trip", "viterbi_states", "batch_plan", "labels_at_repeated_points", "runs_streamed"])
 def test_query_matches_sql(spark, name):
     import duckdb
 
