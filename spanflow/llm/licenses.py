@@ -243,6 +243,17 @@ def _blanks(x: Column) -> Column:
     return (F.length(x) - F.length(F.replace(x, F.lit(" "), F.lit("")))).cast("long")
 
 
+HIT, BLOCK = "struct<start:int,neg:int,priority:int,rule:int,label:string,confidence:double>", 256
+
+
+def _scan(items: str, state: str, step: str, made: str) -> str:
+    """SQL of the array of all that `made`, an array of hits, gives for the items p in order, while the state y.s goes on by
+    `step`. Items come in blocks, so that a long result isn't copied for each of them. items: a name, as it occurs often."""
+    blocks = f"transform(sequence(0, cast(greatest(0, size({items}) - 1) div {BLOCK} as int)), k -> slice({items}, k * {BLOCK} + 1, {BLOCK}))"
+    one = f"aggregate(c, struct(a.s as s, cast(array() as array<{HIT}>) as out), (y, p) -> struct({step} as s, concat(y.out, {made}) as out))"
+    return f"aggregate({blocks}, struct({state} as s, cast(array() as array<array<{HIT}>>) as out), (a, c) -> transform(array({one}), i -> struct(i.s as s, concat(a.out, array(i.out)) as out))[0], a -> flatten(a.out))"
+
+
 def scan_licenses(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, detections of every row.
 
@@ -268,20 +279,14 @@ def scan_licenses(docs: DataFrame) -> DataFrame:
     for a in ANCHORS:
         gate = gate | F.contains(norm, F.lit(a))
     blanks = "cast(length({0}) - length(replace({0}, ' ', '')) as int)"
-    hits = f"""
-        flatten(transform(
-            filter(transform(flatten(transform(filter(_rules, g -> contains(_norm, g.keyword)), g -> g.rules)), r -> struct(r as r, regexp_extract_all(_norm, r.regex, 0) as m)), x -> size(x.m) > 0),
-            x -> aggregate(
-                transform(x.m, (m, k) -> struct(k as k, {blanks.format('m')} as n)),
-                struct(split(_norm, x.r.regex, -1) as parts, 0 as at, cast(array() as array<struct<start:int,end:int,priority:int,rule:int,label:string,confidence:double>>) as out),
-                (a, m) -> struct(a.parts as parts, a.at + {blanks.format("a.parts[m.k]")} + m.n as at,
-                                 concat(a.out, array(struct(a.at + {blanks.format("a.parts[m.k]")} as start, a.at + {blanks.format("a.parts[m.k]")} + m.n as end, x.r.priority as priority, x.r.rule as rule, x.r.label as label, x.r.confidence as confidence))) as out),
-                a -> a.out)))
-    """
-    kept = """
-        array_sort(filter(_hits, a -> not exists(_hits, b -> b.start <= a.start and b.end >= a.end and
-            (b.end - b.start > a.end - a.start or b.priority < a.priority or (b.priority = a.priority and b.rule < a.rule)))))
-    """
+    found = "transform(flatten(transform(filter(_rules, g -> contains(_norm, g.keyword)), g -> g.rules)), r -> struct(r as r, regexp_extract_all(_norm, r.regex, 0) as m))"
+    # for each place of a rule the words between it and the place before, and its own
+    sizes = f"zip_with(slice(split(_norm, x.r.regex, -1), 1, size(x.m)), x.m, (p, m) -> struct({blanks.format('p')} as gap, {blanks.format('m')} as n))"
+    place = "array(struct(y.s + p.gap as start, -(y.s + p.gap + p.n) as neg, x.r.priority as priority, x.r.rule as rule, x.r.label as label, x.r.confidence as confidence))"
+    hits = f"flatten(transform(transform(filter({found}, x -> size(x.m) > 0), x -> struct(x.r as r, {sizes} as w)), x -> {_scan('x.w', '0', 'y.s + p.gap + p.n', place)}))"
+    # in the order of start, longer ones first, then priority and rule, a detection lies inside an earlier one if it ends no later than any of those
+    kept = _scan("_hits", "-1", "greatest(y.s, -p.neg)", f"case when -p.neg > y.s then array(p) else cast(array() as array<{HIT}>) end")
+    kept = f"case when _hits is not null then transform({kept}, x -> struct(x.start as start, -x.neg as end, x.priority as priority, x.rule as rule, x.label as label, x.confidence as confidence)) end"
     base = F.array_sort(F.filter(F.array(*(F.when(p[0] > 0, F.lit(label)) for p, (_, label) in zip(places, BASE, strict=True))), lambda x: x.isNotNull()))
     df = df.select(
         "doc_id",
@@ -293,7 +298,7 @@ def scan_licenses(docs: DataFrame) -> DataFrame:
         _once(F.when(gate, norm)).alias("_norm"),
     )
     df = df.withColumn("_rules", F.when(F.col("_norm").isNotNull(), literal))
-    df = df.select("doc_id", "n_words", "n_base", "first_word", "last_word", "_base", _once(F.expr(f"case when _norm is not null then {hits} end")).alias("_hits"))
+    df = df.select("doc_id", "n_words", "n_base", "first_word", "last_word", "_base", _once(F.expr(f"case when _norm is not null then array_sort({hits}) end")).alias("_hits"))
     df = df.withColumn("detections", F.coalesce(F.expr(kept), F.expr("cast(array() as array<struct<start:int,end:int,priority:int,rule:int,label:string,confidence:double>>)")))
     found = F.col("detections")
     return df.select(

@@ -349,3 +349,12 @@ def test_sample_of_each_label(spark):
     luck = {r[0]: r[1] for r in df.where("doc_id is not null").select("doc_id", common._luck()).collect()}
     for y, ids in (("a", [i for i in range(3000) if i % 3]), ("b", range(0, 3000, 3))):
         assert {i for i, z, _ in got if z == y} == {*sorted(ids, key=lambda i: luck[i])[:20]}
+
+
+def test_license_scan_of_a_text_full_of_licences(spark):
+    n = 4000
+    text = " ".join(f"this text {i} is under the mit license and gnu general public license version 3 or later" for i in range(n))
+    r = licenses.scan_licenses(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    assert r.n_base == n and r.labels == "gpl-3.0,mit"
+    places = [(d.start, d.end) for d in r.detections]
+    assert places == [x for i in range(n) for x in ((17 * i + 4, 17 * i + 8), (17 * i + 9, 17 * i + 17))]
