@@ -405,10 +405,12 @@ def smoothing_report(spark, d):
     return done.select("variant", "is_total", "rec_id", "true", "pred", "n", _r("precision"), _r("recall"))
 
 
-@query(f"WITH {EMB}, p AS (SELECT rec_id, frame_idx, embedding[1] AS a, embedding[2] AS b FROM emb) SELECT rec_id, frame_idx, false AS swapped, round(a, 4) AS a, round(b, 4) AS b FROM p UNION ALL SELECT rec_id, frame_idx, true, round(b, 4), round(a, 4) FROM p")
+@query(f"WITH {EMB}, i AS (SELECT *, unnest(generate_series(0, len(embedding) // 2 - 1)) AS i FROM emb), p AS (SELECT rec_id, frame_idx, CAST(i AS INTEGER) AS pair, CAST(embedding[2 * i + 1] AS DOUBLE) AS a, CAST(embedding[2 * i + 2] AS DOUBLE) AS b FROM i) SELECT rec_id, frame_idx, pair, false AS swapped, round(a, 4) + 0.0 AS a, round(b, 4) + 0.0 AS b FROM p UNION ALL SELECT rec_id, frame_idx, pair, true, round(b, 4) + 0.0, round(a, 4) + 0.0 FROM p")
 def channel_swap(spark, d):
-    two = embedding_frames(spark, d).withColumn("feat", F.slice("feat", 1, 2))
-    return R.with_swapped(two).select("rec_id", "frame_idx", "swapped", _r(F.col("feat")[0], "a"), _r(F.col("feat")[1], "b"))
+    """Neighbouring numbers of a vector are the two channels, so that all of it is read."""
+    pairs = F.transform(F.sequence(F.lit(0), F.floor(F.size("feat") / 2).cast("int") - 1), lambda i: F.slice("feat", i * 2 + 1, 2))
+    two = embedding_frames(spark, d).select("rec_id", "frame_idx", F.posexplode(pairs).alias("pair", "feat"))
+    return R.with_swapped(two).select("rec_id", "frame_idx", "pair", "swapped", _r(F.col("feat")[0], "a"), _r(F.col("feat")[1], "b"))
 
 
 @query("""SELECT p_partkey, least(greatest(p_size, 10), 40) AS clipped, CAST(floor(p_size / 7) AS BIGINT) AS floored, CASE WHEN p_size = 0 THEN 0 ELSE lcm(p_size, 12) END AS multiple, round(log10(greatest(1e-8, p_retailprice)), 4) AS logged,

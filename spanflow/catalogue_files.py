@@ -123,10 +123,10 @@ def _wavs(spark, d, payload):
     return _read(spark, d, "conversations").select(F.concat(F.lit("/x/"), "conv_id", F.lit("-"), "turn", F.lit(".wav")).alias("path"), F.concat(head, payload).alias("content"))
 
 
-@query("SELECT conv_id || '-' || turn AS rec_id, 8000 AS rate, CAST(turn % 2 + 1 AS INTEGER) AS channels, CAST(strlen(text) // (turn % 2 + 1) AS BIGINT) AS samples, round((strlen(text) // (turn % 2 + 1)) / 8000.0, 4) AS seconds FROM conversations")
+@query("SELECT conv_id || '-' || turn AS rec_id, 8000 AS rate, CAST(turn % 2 + 1 AS INTEGER) AS channels, CAST(strlen(text) // (turn % 2 + 1) AS BIGINT) AS samples, round((strlen(text) // (turn % 2 + 1)) / 8000.0, 7) AS seconds FROM conversations")
 def wav_catalogue(spark, d):
     files = _wavs(spark, d, F.col("text").cast("binary")).select("path", F.length("content").alias("length"), F.substring("content", 1, 64).alias("head"))
-    return audio.catalog_of(files).select("rec_id", "rate", "channels", "samples", _r("seconds"))
+    return audio.catalog_of(files).select("rec_id", "rate", "channels", "samples", _r("seconds", n=7))
 
 
 @query("SELECT conv_id || '-' || turn AS rec_id, 8000 AS rate, CAST(turn % 2 + 1 AS INTEGER) AS channels, CAST(strlen(text) // (turn % 2 + 1) AS BIGINT) AS samples FROM conversations")
@@ -135,11 +135,11 @@ def wav_headers_in_sql(spark, d):
     return _wavs(spark, d, F.col("text").cast("binary")).select(F.regexp_extract("path", "([^/.]+)[.]wav", 1).alias("rec_id"), h["rate"].cast("int").alias("rate"), h["channels"].cast("int").alias("channels"), h["samples"].cast("long").alias("samples"))
 
 
-@query("SELECT CAST(doc_id AS VARCHAR) AS rec_id, 16000 AS rate, 2 AS channels, CAST(n_chars AS BIGINT) AS samples, round(n_chars / 16000.0, 4) AS seconds FROM documents")
+@query("SELECT CAST(doc_id AS VARCHAR) AS rec_id, 16000 AS rate, 2 AS channels, CAST(n_chars AS BIGINT) AS samples, round(n_chars / 16000.0, 7) AS seconds FROM documents")
 def sphere_catalogue(spark, d):
     head = F.rpad(F.format_string("NIST_1A\n   1024\nsample_count -i %d\nchannel_count -i 2\nsample_rate -i 16000\nend_head\n", "n_chars"), 1024, " ")
     files = _read(spark, d, "documents").select(F.concat(F.lit("/x/"), "doc_id", F.lit(".sph")).alias("path"), F.lit(1024).alias("length"), head.cast("binary").alias("head"))
-    return audio.catalog_of(files, "sph").select("rec_id", "rate", "channels", "samples", _r("seconds"))
+    return audio.catalog_of(files, "sph").select("rec_id", "rate", "channels", "samples", _r("seconds", n=7))
 
 
 @query("""WITH b AS (SELECT conv_id || '-' || turn AS rec_id, turn, unnest(string_split(role || 'xy' || turn, '')) AS c, generate_subscripts(string_split(role || 'xy' || turn, ''), 1) - 1 AS i, length(role || 'xy' || turn) // (turn % 2 + 1) * (turn % 2 + 1) AS n FROM conversations)
