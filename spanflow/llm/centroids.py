@@ -40,7 +40,7 @@ class Simplex:
         self.pivots, self.base = pivots[:1], np.zeros((0, 0))
         for p in pivots[1:]:
             apex = self.apexes(self.squares(p[None]))[0]
-            if apex[-1] ** 2 > 1e-9 * max(1.0, float(apex @ apex)):  # it stands above the simplex so far
+            if apex[-1] ** 2 > 1e-4 * max(1.0, float(apex @ apex)):  # it stands well above the simplex so far, or rounding would grow
                 n = len(self.base)
                 grown = np.zeros((n + 1, n + 1))
                 grown[:n, :n] = self.base
@@ -77,8 +77,8 @@ def nearest(rows: np.ndarray, apexes: np.ndarray, centroids: np.ndarray, tops: n
     """The nearest centroid of each integer row (of equally near ones the first), and the squared distance."""
     low, high = bounds(apexes, tops)
     best = high.min(1)
-    # rounding of the apexes is far below this part of the largest terms
-    slack = 1e-9 * ((apexes**2).sum(1) + (tops**2).sum(1).max()) + 1e-6
+    # an altitude near 0 is a root of a difference, so its rounding may reach a millionth of the vector's length
+    slack = 1e-5 * ((apexes**2).sum(1) + (tops**2).sum(1).max()) + 1e-6
     row, cand = np.nonzero(low <= (best + slack)[:, None])
     exact = ((rows[row] - centroids[cand]) ** 2).sum(1)
     begin = np.searchsorted(row, np.arange(len(rows)))
@@ -122,7 +122,9 @@ def _matrix(column: pa.Array, kind) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(kind).reshape(len(column), -1)
 
 
-def cluster_vectors(vectors: DataFrame, clusters: int = CLUSTERS, rounds: int = ROUNDS, dims: int = DIMS, scale: int = SCALE, seed: int = SEED, pivots: int = PIVOTS) -> tuple[DataFrame, np.ndarray]:
+def cluster_vectors(
+    vectors: DataFrame, clusters: int = CLUSTERS, rounds: int = ROUNDS, dims: int = DIMS, scale: int = SCALE, seed: int = SEED, pivots: int = PIVOTS
+) -> tuple[DataFrame, np.ndarray]:
     """(vec_id, cluster, distance) of every kept vector after the last round, and the final centroids."""
     spark = vectors.sparkSession
     kept = integer_vectors(vectors, dims, scale)
