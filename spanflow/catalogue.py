@@ -286,7 +286,7 @@ def rescale_minmax(spark, d):
 @query(f"""WITH {EMB}, x AS (SELECT rec_id, frame_idx, frame_idx // 20 AS chunk_id, unnest(generate_series(1, 64)) AS bin, unnest(embedding) AS v FROM emb),
     n AS (SELECT *, CAST(v AS DOUBLE) - avg(CAST(v AS DOUBLE)) OVER (PARTITION BY rec_id, chunk_id, bin) AS c FROM x) SELECT rec_id, frame_idx, chunk_id, round(sum(c * bin), 3) + 0.0 AS checksum FROM n GROUP BY rec_id, frame_idx, chunk_id""")
 def chunk_norm(spark, d):
-    df = R.normalize_chunk(R.assign_chunks(embedding_frames(spark, d), 20))
+    df = R.normalize_chunk(R.assign_chunks(embedding_frames(spark, d), 20), dims=64)
     check = F.aggregate(F.transform("feat", lambda x, i: x * (i + 1)), F.lit(0.0), lambda a, x: a + x)
     return df.select("rec_id", "frame_idx", "chunk_id", _r(check, "checksum", 3))
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import blocks as B
 from . import segments as S
 
 
@@ -69,21 +70,35 @@ def labels_as(df: DataFrame, kind: str, column: str = "label") -> DataFrame:
     return df.withColumn(column, F.col(column).cast(kind))
 
 
-def runs(frames: DataFrame, key: str | Column, keep: str = "keys", label: str | None = None, min_start: int = 0, rate: int | None = None, rec: str = "rec_id", order: str = "frame_idx") -> DataFrame:
+def runs(
+    frames: DataFrame, key: str | Column, keep: str = "keys", label: str | None = None, min_start: int = 0, rate: int | None = None, rec: str = "rec_id", order: str = "frame_idx", size: int = B.SIZE
+) -> DataFrame:
     """Runs of neighbouring frames with equal keys: rec, run, start, end, and key, labels, or both; with a rate, which must be a
-    whole number, also that. The key may be a column or any expression, also of arrays."""
+    whole number, also that. The key may be a column or any expression, also of arrays.
+
+    Blocks of `size` numbers of `order` are cut into runs by themselves; a table of their first and last keys, frames and
+    runs then tells which runs go on over a border and how many came before."""
     if rate is not None and (rate != int(rate) or rate <= 0):
         raise ValueError("the rate must be a whole number above 0")
-    w = Window.partitionBy(rec).orderBy(order)
-    df = frames.withColumn("_key", F.col(key) if isinstance(key, str) else key).withColumn("_at", F.row_number().over(w) - 1 + min_start)
-    first = F.lag("_at").over(w).isNull() | ~F.col("_key").eqNullSafe(F.lag("_key").over(w))
-    df = df.withColumn("_new", first.cast("int")).withColumn("run", F.sum("_new").over(w) - 1)
-    parts = [F.min("_at").cast("long").alias("start"), (F.max("_at") + 1).cast("long").alias("end")]
-    if keep in ("keys", "both"):
-        parts.append(F.first("_key").alias("key"))
-    if keep in ("labels", "both"):
-        parts.append(F.transform(F.sort_array(F.collect_list(F.struct("_at", F.col(label or order).alias("x")))), lambda x: x["x"]).alias("labels"))
-    done = df.groupBy(rec, "run").agg(*parts)
+    w = Window.partitionBy(rec, "_b").orderBy(order)
+    df = frames.withColumn("_key", F.col(key) if isinstance(key, str) else key).withColumn("_b", B.block_of(order, size))
+    df = df.withColumn("_k", F.row_number().over(w) - 1)
+    first = (F.col("_k") == 0) | ~F.col("_key").eqNullSafe(F.lag("_key").over(w))
+    df = df.withColumn("_run", F.sum(first.cast("int")).over(w))
+    labels = [F.sort_array(F.collect_list(F.struct("_k", F.col(label or order).alias("x"))))["x"].alias("labels")] if keep in ("labels", "both") else []
+    parts = df.groupBy(rec, "_b", "_run").agg(F.min("_k").alias("_s"), F.max("_k").alias("_e"), F.first("_key").alias("_key"), *labels)
+    head = parts.groupBy(rec, "_b").agg((F.max("_e") + 1).alias("_n"), F.max("_run").alias("_m"), F.min_by("_key", "_run").alias("_head"), F.max_by("_key", "_run").alias("_tail"))
+    over = Window.partitionBy(rec).orderBy("_b")
+    goes_on = F.lag("_m").over(over).isNotNull() & F.lag("_tail").over(over).eqNullSafe(F.col("_head"))
+    head = head.withColumn("_on", goes_on.cast("int")).withColumn("_more", F.col("_m") - F.col("_on"))
+    head = B.before(head, [rec], _frames="_n", _runs="_more").select(rec, "_b", "_on", "_frames", "_runs")
+    placed = parts.join(head, [rec, "_b"]).select(
+        rec, (F.col("_runs") + F.col("_run") - F.col("_on") - 1).alias("run"), (F.col("_frames") + F.col("_s") + min_start).alias("_s"), (F.col("_frames") + F.col("_e") + 1 + min_start).alias("_e"), "_key", *(["labels"] if labels else [])
+    )
+    kept = [F.first("_key").alias("key")] if keep in ("keys", "both") else []
+    if labels:
+        kept.append(F.flatten(F.sort_array(F.collect_list(F.struct("_s", "labels")))["labels"]).alias("labels"))
+    done = placed.groupBy(rec, "run").agg(F.min("_s").cast("long").alias("start"), F.max("_e").cast("long").alias("end"), *kept)
     return done if rate is None else done.withColumn("rate", F.lit(int(rate)).cast("long"))
 
 
@@ -93,13 +108,15 @@ def stack_context(frames: DataFrame, c: int, keys: tuple = ("rec_id", "chunk_id"
     return frames.withColumn("context", F.collect_list(feat).over(w)).where(F.size("context") == 2 * c + 1)
 
 
-def rolling(df: DataFrame, fn, win: int, step: int = 1, keys: tuple = ("rec_id",), order: str = "frame_idx", name: str = "value") -> DataFrame:
-    """fn (an aggregate expression, or several by name) over full windows that start at each step-th row."""
-    w = Window.partitionBy(*keys).orderBy(order)
-    full = w.rowsBetween(0, win - 1)
+def rolling(df: DataFrame, fn, win: int, step: int = 1, keys: tuple = ("rec_id",), order: str = "frame_idx", name: str = "value", size: int = B.SIZE) -> DataFrame:
+    """fn (an aggregate expression, or several by name) over full windows that start at each step-th row.
+
+    Rows are worked on in blocks of `size` places, with the win - 1 rows after each block."""
+    placed = B.with_halo(B.with_positions(df, keys, order, size), "_at", size, ahead=win - 1)
+    full = Window.partitionBy(*keys, "_b").orderBy("_at").rowsBetween(0, win - 1)
     made = fn if isinstance(fn, dict) else {name: fn}
-    out = df.withColumns({**{k: f.over(full) for k, f in made.items()}, "_n": F.count(F.lit(1)).over(full), "_i": F.row_number().over(w) - 1})
-    return out.where((F.col("_n") == win) & (F.col("_i") % step == 0)).drop("_n", "_i")
+    out = placed.withColumns({**{k: f.over(full) for k, f in made.items()}, "_n": F.count(F.lit(1)).over(full)})
+    return out.where((F.col("_n") == win) & F.col("_own") & (F.col("_at") % step == 0)).drop("_n", "_at", "_b", "_own")
 
 
 def windows(values: str | Column, win: int | tuple, step: int | tuple) -> Column:
@@ -114,22 +131,27 @@ def windows(values: str | Column, win: int | tuple, step: int | tuple) -> Column
     return F.when(F.size(v) < wins[0], F.raise_error(F.lit("the window is longer than the data"))).otherwise(cut)
 
 
-def normalize_rolling(frames: DataFrame, win: int, std: bool = True, first: str | tuple = "skip", column: str = "value", keys: tuple = ("rec_id",), order: str = "frame_idx") -> DataFrame:
+def normalize_rolling(
+    frames: DataFrame, win: int, std: bool = True, first: str | tuple = "skip", column: str = "value", keys: tuple = ("rec_id",), order: str = "frame_idx", size: int = B.SIZE
+) -> DataFrame:
     """Value less the mean of the last `win` rows, by their population deviation. The first win - 1 rows are dropped
-    (skip), take the first full window's figures (copy), or given ones (mean, variance). A deviation of 0 gives null."""
-    w = Window.partitionBy(*keys).orderBy(order)
-    last = w.rowsBetween(-(win - 1), 0)
-    df = frames.withColumns({"_n": F.count(F.lit(1)).over(last), "_m": F.avg(column).over(last), "_s": F.stddev_pop(column).over(last)})
-    full = F.col("_n") == win
+    (skip), take the first full window's figures (copy), or given ones (mean, variance). A deviation of 0 gives null.
+
+    Rows are worked on in blocks of `size` places, with the win - 1 rows before each block."""
+    placed = B.with_halo(B.with_positions(frames, keys, order, size), "_at", size, back=win - 1)
+    last = Window.partitionBy(*keys, "_b").orderBy("_at").rowsBetween(-(win - 1), 0)
+    df = placed.withColumns({"_m": F.avg(column).over(last), "_s": F.stddev_pop(column).over(last)}).where("_own")
+    full = F.col("_at") >= win - 1
     if first == "skip":
         df = df.where(full)
     elif first == "copy":
-        every = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-        df = df.withColumns({"_m": F.when(full, F.col("_m")).otherwise(F.first(F.when(full, F.col("_m")), True).over(every)), "_s": F.when(full, F.col("_s")).otherwise(F.first(F.when(full, F.col("_s")), True).over(every))})
+        figures = df.where(F.col("_at") == win - 1).select(*keys, F.col("_m").alias("_m0"), F.col("_s").alias("_s0"))
+        early = df.where(~full).join(figures, list(keys), "left").withColumns({"_m": F.col("_m0"), "_s": F.col("_s0")}).drop("_m0", "_s0")
+        df = df.where(full).unionByName(early)
     else:
         df = df.withColumns({"_m": F.when(full, F.col("_m")).otherwise(F.lit(float(first[0]))), "_s": F.when(full, F.col("_s")).otherwise(F.lit(float(first[1]) ** 0.5))})
     centred = F.col(column) - F.col("_m")
-    return df.withColumn(column, F.try_divide(centred, F.col("_s")) if std else centred).drop("_n", "_m", "_s")
+    return df.withColumn(column, F.try_divide(centred, F.col("_s")) if std else centred).drop("_at", "_b", "_own", "_m", "_s")
 
 
 def assign_chunks(frames: DataFrame, size: int, overlap: int = 0, drop_tail: bool = True, rec: str = "rec_id") -> DataFrame:
@@ -138,12 +160,12 @@ def assign_chunks(frames: DataFrame, size: int, overlap: int = 0, drop_tail: boo
     if not overlap:
         return frames.withColumn("chunk_id", F.floor(F.col("frame_idx") / size)).withColumn("chunk_start", F.col("chunk_id") * size)
     step, i = size - overlap, F.col("frame_idx")
-    df = frames.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(rec)))
     low, high = F.greatest(F.lit(0).cast("long"), F.ceil((i - size + 1) / step)), F.floor(i / step)
-    df = df.where(low <= high).withColumn("chunk_id", F.explode(F.sequence(low, high)))
+    df = frames
     if drop_tail:
-        df = df.where(F.col("chunk_id") * step + size <= F.col("_n"))
-    return df.withColumn("chunk_start", F.col("chunk_id") * step).drop("_n")
+        df = df.join(frames.groupBy(rec).agg(F.count(F.lit(1)).alias("_n")), rec)
+    df = df.where(low <= high).withColumn("chunk_id", F.explode(F.sequence(low, high))).withColumn("chunk_start", F.col("chunk_id") * step)
+    return df.where(F.col("chunk_start") + size <= F.col("_n")).drop("_n") if drop_tail else df
 
 
 def skip_overlap(frames: DataFrame, overlap: int, context: int) -> DataFrame:
@@ -151,13 +173,19 @@ def skip_overlap(frames: DataFrame, overlap: int, context: int) -> DataFrame:
     return frames.where((F.col("chunk_id") == 0) | (F.col("frame_idx") - F.col("chunk_start") >= max(0, overlap - 2 * context)))
 
 
-def normalize_chunk(frames: DataFrame, std: bool = False, keys: tuple = ("rec_id", "chunk_id"), feat: str = "feat") -> DataFrame:
-    """Vectors less their chunk's mean, bin by bin, and by the population deviation if asked. One grouped pass gives the
-    chunks' figures, which are joined back; a deviation of 0 gives null."""
+def normalize_chunk(frames: DataFrame, std: bool = False, keys: tuple = ("rec_id", "chunk_id"), feat: str = "feat", dims: int | None = None) -> DataFrame:
+    """Vectors less their chunk's mean, bin by bin, and by the population deviation if asked; a deviation of 0 gives null.
+
+    dims, the length of all vectors, lets one shuffle do: the figures are window aggregates over a chunk's rows. Without it
+    one grouped pass over bins gives the figures, which are joined back."""
+    one = (lambda x, m, s: F.try_divide(x - m, s)) if std else (lambda x, m, s: x - m)
+    if dims:
+        w = Window.partitionBy(*keys)
+        bins = [F.col(feat)[i] for i in range(dims)]
+        return frames.withColumn(feat, F.array(*(one(x, F.avg(x).over(w), F.stddev_pop(x).over(w) if std else None) for x in bins)))
     parts = frames.select(*keys, F.posexplode(feat).alias("bin", "x")).groupBy(*keys, "bin").agg(F.avg("x").alias("m"), F.stddev_pop("x").alias("s"))
     figures = parts.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("bin", "m", "s"))).alias("_f"))
-    one = (lambda x, f: F.try_divide(x - f["m"], f["s"])) if std else (lambda x, f: x - f["m"])
-    return frames.join(figures, list(keys)).withColumn(feat, F.zip_with(feat, "_f", one)).drop("_f")
+    return frames.join(figures, list(keys)).withColumn(feat, F.zip_with(feat, "_f", lambda x, f: one(x, f["m"], f["s"]))).drop("_f")
 
 
 def window_label(frames: DataFrame, ctx: int, how: str | Column = "dominant", n: int = 3, keys: tuple = ("rec_id",), cls: str = "class") -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import blocks as B
+
 
 def _order(*more: str):
     return [F.col("start"), F.col("end"), *map(F.col, more)]
@@ -80,48 +82,47 @@ def boundaries(segments: DataFrame) -> DataFrame:
     return cuts.withColumn("end", F.lead("start").over(Window.partitionBy("rec_id").orderBy("start"))).where(F.col("end").isNotNull())
 
 
-def _buckets(lo: Column, hi: Column, width: float) -> Column:
-    """Numbers of the buckets that [lo, hi) touches."""
-    first = F.floor(lo / width).cast("long")
-    return F.sequence(first, F.greatest(first, (F.ceil(hi / width) - 1).cast("long")))
-
-
 def flatten(segments: DataFrame, label: str = "label", width: float | None = None) -> DataFrame:
-    """rec_id, start, end, seg_idxs and labels (both in segment order, empty in gaps) of each piece between boundaries.
+    """rec_id, start, end, seg_idxs and labels (both in order of seg_idx, empty in gaps) of each piece between boundaries.
 
     Starts and ends are ranked in one sorted pass; a segment then covers the pieces from the rank of its start to that of
-    its end, so no two segments are compared, and the work is that of the result. Needs seg_idx; segments that don't last
-    are left out. width: each stretch of so many ticks is worked on by itself, for very long recordings."""
+    its end, so no two segments are compared, and the work is that of the result. Segments that don't last are left out.
+    Recordings are worked on in stretches, of `width` ticks or else so that each has a bounded number of segments; a segment
+    is in each stretch that it touches, and a stretch's last piece ends where the next one with a boundary begins."""
     segs = segments.where("end > start").select("rec_id", F.col("start").alias("s"), F.col("end").alias("e"), F.col("seg_idx").alias("i"), F.col(label).alias("label"))
-    # a segment's end may be the border of the bucket after its last one, where it is a boundary, too
-    number = lambda c: F.floor(F.col(c) / width).cast("long")
-    segs = segs.withColumn("_b", F.explode(F.sequence(number("s"), number("e"))) if width else F.lit(0).cast("long"))
-    here = lambda c: (F.col("_b") == number(c)) if width else F.lit(True)
-    event = lambda t, kind: F.struct(t.alias("t"), F.lit(kind).alias("kind"))
-    events = segs.withColumn("_x", F.explode(F.array(event(F.when(here("s"), F.col("s")), 0), event(F.when(here("e"), F.col("e")), 1)))).select("rec_id", "_b", "s", "e", "i", "label", "_x.t", "_x.kind")
-    w = Window.partitionBy("rec_id", "_b").orderBy("t")
-    new = (F.col("t").isNotNull() & (F.lag("t").over(w).isNull() | (F.lag("t").over(w) != F.col("t")))).cast("int")
-    ranked = events.withColumn("_new", new).withColumn("_r", F.sum("_new").over(w))
-    whole = Window.partitionBy("rec_id", "_b")
-    ranked = ranked.withColumn("_n", F.max("_r").over(whole))
-    at = lambda kind: F.max(F.when((F.col("kind") == kind) & F.col("t").isNotNull(), F.col("_r")))
-    covers = ranked.groupBy("rec_id", "_b", "s", "e", "i", "label").agg(at(0).alias("_from"), at(1).alias("_to"), F.max("_n").alias("_n"))
+    segs = B.with_stretches(segs, ["rec_id"], F.col("s"), F.col("e"), width)
+    first, last = B.stretch_of(F.col("s")), B.stretch_of(F.col("e"))
+    segs = segs.withColumns({"_f": first, "_l": last}).withColumn("_b", F.explode(F.sequence("_f", "_l")))
+    # an end of -1 lies before the stretch and has rank 0; one of 1 lies after it and ends after its last piece
+    none = F.lit(None)
+    edge = lambda at, side, kind, name: F.struct(at.alias("t"), side.alias("side"), F.lit(kind).alias("kind"), name.alias("label"))
+    starts_here, ends_here = F.col("_b") == F.col("_f"), F.col("_b") == F.col("_l")
+    edges = F.array(
+        edge(F.when(starts_here, F.col("s")), F.when(starts_here, 0).otherwise(-1), 0, F.col("label")),
+        edge(F.when(ends_here, F.col("e")), F.when(ends_here, 0).otherwise(1), 1, F.when(none.isNotNull(), F.col("label"))),
+    )
+    events = segs.select("rec_id", "_b", "i", F.inline(edges)).repartition("rec_id", "_b")
+    w = Window.partitionBy("rec_id", "_b").orderBy("side", "t")
+    new = (F.col("side") == 0) & ~F.lag("t").over(w).eqNullSafe(F.col("t"))
+    ranked = events.withColumn("_new", new.cast("int")).withColumn("_r", F.sum("_new").over(w))
+    of = lambda kind, x: F.max(F.when(F.col("kind") == kind, x))
+    real = F.when(F.col("side") == 0, F.col("t"))
+    covers = ranked.groupBy("rec_id", "_b", "i").agg(
+        of(0, F.col("_r")).alias("_from"), of(1, F.col("_r") + (F.col("side") == 1).cast("int")).alias("_to"), of(0, real).alias("s"), of(1, real).alias("e"), F.first("label", ignorenulls=True).alias("label")
+    )
     # a row for each piece that a segment covers, which tells the piece's start where the segment begins there, and one that tells where it ends
-    first, last = F.coalesce("_from", F.lit(1).cast("long")), F.coalesce(F.col("_to") - 1, F.col("_n"))
-    seg, none = F.struct("s", "e", "i", "label"), F.lit(None)
-    inside = F.when(first <= last, F.transform(F.sequence(first, F.greatest(first, last)), lambda r: F.struct(r.alias("p"), F.when(r == F.col("_from"), F.col("s")).alias("start"), seg.alias("seg"))))
-    ends = F.when(F.col("_to").isNotNull(), F.array(F.struct(F.col("_to").alias("p"), F.col("e").alias("start"), F.when(none.isNotNull(), seg).alias("seg"))))
-    empty = F.slice(F.array(F.struct(first.alias("p"), F.col("s").alias("start"), seg.alias("seg"))), 1, 0)
-    members = covers.select("rec_id", "_b", F.inline(F.concat(F.coalesce(inside, empty), F.coalesce(ends, empty))))
+    lo, hi = F.greatest(F.col("_from"), F.lit(1)), F.col("_to") - 1
+    seg = F.struct("i", "label")
+    piece = lambda p, start, x: F.struct(p.cast("long").alias("p"), start.alias("start"), x.alias("seg"))
+    inside = F.transform(F.sequence(lo, F.greatest(lo, hi)), lambda r: piece(r, F.when(r == F.col("_from"), F.col("s")), seg))
+    ends = F.array(piece(F.col("_to"), F.col("e"), F.when(none.isNotNull(), seg)))
+    empty = F.slice(inside, 1, 0)
+    members = covers.select("rec_id", "_b", F.inline(F.concat(F.when(lo <= hi, inside).otherwise(empty), F.when(F.col("e").isNotNull(), ends).otherwise(empty))))
     rows = members.groupBy("rec_id", "_b", F.col("p").alias("_p")).agg(F.max("start").alias("start"), F.sort_array(F.collect_list("seg")).alias("_rows"))
-    if width:  # a bucket's last piece ends where the next bucket with a boundary begins
-        first = rows.groupBy("rec_id", "_b").agg(F.min("start").alias("_f"))
-        following = first.select("rec_id", "_b", F.lead("_f").over(Window.partitionBy("rec_id").orderBy("_b")).alias("_next"))
-        rows = rows.join(following, ["rec_id", "_b"])
-    else:
-        rows = rows.withColumn("_next", F.lit(None).cast(segs.schema["s"].dataType))
-    end = F.coalesce(F.lead("start").over(Window.partitionBy("rec_id", "_b").orderBy("_p")), F.col("_next"))
-    done = rows.withColumn("end", end).where(F.col("end").isNotNull())
+    heads = ranked.where("side = 0").groupBy("rec_id", "_b").agg(F.min("t").alias("_t"))
+    heads = heads.select("rec_id", "_b", F.lead("_t").over(Window.partitionBy("rec_id").orderBy("_b")).alias("_next")).where("_next is not null")
+    after = F.lead("start").over(Window.partitionBy("rec_id", "_b").orderBy("_p"))
+    done = rows.withColumn("_end", after).join(heads, ["rec_id", "_b"], "left").withColumn("end", F.coalesce("_end", "_next")).where("start is not null and end is not null")
     return done.select("rec_id", "start", "end", F.col("_rows.i").alias("seg_idxs"), F.col("_rows.label").alias("labels"))
 
 
@@ -134,10 +135,25 @@ def concurrency(segments: DataFrame) -> DataFrame:
 
 
 def active_speakers(segments: DataFrame, speakers: list, speaker: str = "speaker") -> DataFrame:
-    """rec_id, start, end, active (0 or 1 for each of the speakers) and doubled (someone is annotated twice) of each piece."""
-    pieces = flatten(segments, speaker)
-    flags = F.array(*(F.array_contains("labels", F.lit(s)).cast("int") for s in speakers))
-    return pieces.select("rec_id", "start", "end", flags.alias("active"), (F.size("labels") > F.size(F.array_distinct("labels"))).alias("doubled"))
+    """rec_id, start, end, active (0 or 1 for each of the speakers) and doubled (someone is annotated twice, also someone
+    who isn't among the speakers) of each piece. A sweep: each boundary adds and takes away speakers; no lists are made."""
+    segs = segments.where("end > start").select("rec_id", "start", "end", F.col(speaker).alias("_who"))
+    edge = lambda t, d: F.struct(t.alias("t"), F.lit(d).alias("d"))
+    steps = segs.select("rec_id", "_who", F.inline(F.array(edge(F.col("start"), 1), edge(F.col("end"), -1))))
+    counts = [F.sum(F.when(F.col("_who") == F.lit(s), F.col("d")).otherwise(0)) for s in speakers]
+    known = F.coalesce(F.col("_who").isin(list(speakers)), F.lit(False))
+    # someone annotated twice: of speakers seen in the counts, of others by their own running counts
+    own = Window.partitionBy("rec_id", "_who").orderBy("t")
+    others = steps.where(~known & F.col("_who").isNotNull()).groupBy("rec_id", "_who", "t").agg(F.sum("d").alias("d"))
+    twice = others.withColumn("_n", F.sum("d").over(own)).withColumn("_was", F.coalesce(F.lag("_n").over(own), F.lit(0)))
+    twice = twice.select("rec_id", "t", ((F.col("_n") > 1).cast("int") - (F.col("_was") > 1).cast("int")).alias("x")).where("x != 0")
+    both = steps.select("rec_id", "t", "_who", "d", F.lit(0).alias("x")).unionByName(twice.withColumns({"_who": F.lit(None).cast(steps.schema["_who"].dataType), "d": F.lit(0)}))
+    sums = both.groupBy("rec_id", "t").agg(*(c.alias(f"c{k}") for k, c in enumerate(counts)), F.sum("x").alias("x"))
+    w = Window.partitionBy("rec_id").orderBy("t")
+    run = sums.select("rec_id", F.col("t").alias("start"), F.lead("t").over(w).alias("end"), *(F.sum(f"c{k}").over(w).alias(f"c{k}") for k in range(len(speakers))), F.sum("x").over(w).alias("x")).where("end is not null")
+    now = [F.col(f"c{k}") for k in range(len(speakers))]
+    doubled = F.greatest(F.lit(0).cast("long"), F.col("x"), *(c - 1 for c in now)) > 0
+    return run.select("rec_id", "start", "end", F.array(*((c > 0).cast("int") for c in now)).alias("active"), doubled.alias("doubled"))
 
 
 def overlay(left: DataFrame, right: DataFrame) -> DataFrame:
@@ -158,39 +174,57 @@ def overlay(left: DataFrame, right: DataFrame) -> DataFrame:
     return runs.groupBy("rec_id", "_run", "a", "b").agg(F.min("t").alias("start"), F.max("e").alias("end")).select("rec_id", "start", "end", "a", "b")
 
 
-def labels_at(points: DataFrame, segments: DataFrame, label: str = "label", width: float | None = None, digits: int = 10, default: list | None = None, strict: bool = False) -> DataFrame:
-    """points (rec_id, t, ...) with labels: those of all segments that cover t, in segment order; `default` (empty unless
-    given) if none does, or an error if strict. Equal points are looked up once and all keep their rows.
-
-    width: points and segments meet within buckets of so many ticks, so that a long recording is not one large group."""
-    keys = ["rec_id"]
-    p = points.select("rec_id", F.bround(F.col("t").cast("double"), digits).alias("_t")).where("rec_id is not null and _t is not null").distinct()
-    s = segments.select("rec_id", F.bround(F.col("start").cast("double"), digits).alias("_s"), F.bround(F.col("end").cast("double"), digits).alias("_e"), "seg_idx", F.col(label).alias("_label")).where("_e > _s")
-    if width:
-        keys.append("_bucket")
-        p = p.withColumn("_bucket", F.floor(F.col("_t") / width).cast("long"))
-        s = s.withColumn("_bucket", F.explode(_buckets(F.col("_s"), F.col("_e"), width)))
-    a, b = p.alias("a"), s.alias("b")
-    on = (F.col("b._s") <= F.col("a._t")) & (F.col("a._t") < F.col("b._e"))
-    for k in keys:
-        on = on & (F.col(f"a.{k}") == F.col(f"b.{k}"))
-    rows = F.sort_array(F.collect_list(F.struct(F.col("b._s").alias("s"), F.col("b._e").alias("e"), F.col("b.seg_idx").alias("i"), F.col("b._label").alias("label"))))
-    found = a.join(b, on).groupBy(F.col("a.rec_id").alias("rec_id"), F.col("a._t").alias("_t")).agg(rows.alias("_rows")).select("rec_id", "_t", F.col("_rows.label").alias("labels"))
+def labels_at(
+    points: DataFrame, segments: DataFrame, label: str = "label", width: float | None = None, digits: int = 10, default: list | None = None, strict: bool = False
+) -> DataFrame:
+    """points (rec_id, t, ...) with labels: those of all segments that cover t, in order of start, end and seg_idx; `default`
+    (empty unless given) if none does, or an error if strict. Times are rounded to `digits` first; equal points are looked up
+    once and all keep their rows.
+
+    An as-of merge: distinct points are ranked, starts and ends learn how many points lie before them, and a segment then
+    meets the points of these ranks by equality, so the work is that of the result. The sorted pass is cut into stretches of
+    `width` ticks, or else such that each has a bounded number of points."""
+    rounded = lambda c: F.bround(F.col(c).cast("double"), digits)
+    p = points.select("rec_id", rounded("t").alias("t")).where("rec_id is not null and t is not null").distinct()
+    p = B.with_stretches(p, ["rec_id"], F.col("t"), F.col("t"), width)
+    extents = p.select("rec_id", "_lo", "_w", "_many").distinct()
+    s = segments.select("rec_id", rounded("start").alias("s"), rounded("end").alias("e"), F.col("seg_idx").alias("i"), F.col(label).alias("label")).where("e > s")
+    edge = lambda t, kind: F.struct(F.col(t).alias("t"), F.lit(kind).alias("kind"))
+    edges = s.join(extents, "rec_id").select("rec_id", "_lo", "_w", "_many", F.struct("s", "e", "i", "label").alias("seg"), F.inline(F.array(edge("s", 0), edge("e", 1))))
+    events = edges.unionByName(p.withColumns({"kind": F.lit(2), "seg": F.lit(None).cast(edges.schema["seg"].dataType)}))
+    events = events.withColumn("_b", B.stretch_of(F.col("t"))).select("rec_id", "_b", "t", "kind", "seg").repartition("rec_id", "_b")
+    is_point = (F.col("kind") == 2).cast("int")
+    w = Window.partitionBy("rec_id", "_b").orderBy("t", "kind").rowsBetween(Window.unboundedPreceding, 0)
+    many = B.before(events.groupBy("rec_id", "_b").agg(F.sum(is_point).alias("_n")), ["rec_id"], _before="_n").drop("_n")
+    ranked = events.withColumn("_k", F.sum(is_point).over(w)).join(many, ["rec_id", "_b"]).withColumn("_r", F.col("_before") + F.col("_k"))
+    side = lambda kind: F.max(F.when(F.col("kind") == kind, F.col("_r")))
+    covers = ranked.where("kind < 2").groupBy("rec_id", "seg").agg(side(0).alias("_lo"), side(1).alias("_hi"), F.count_if(F.col("kind") == 0).cast("int").alias("_times")).where("_hi > _lo")
+    met = covers.select("rec_id", "seg", F.explode(F.flatten(F.array_repeat(F.sequence(F.col("_lo") + 1, "_hi"), F.col("_times")))).alias("_r"))
+    found = met.groupBy("rec_id", "_r").agg(F.sort_array(F.collect_list("seg"))["label"].alias("labels"))
+    found = ranked.where("kind = 2").select("rec_id", "_r", F.col("t").alias("_t")).join(found, ["rec_id", "_r"]).drop("_r")
     none = F.array(*map(F.lit, default or [])).cast(found.schema["labels"].dataType)
     none = F.raise_error(F.lit("a point lies outside of all segments")).cast(found.schema["labels"].dataType) if strict else none
-    tagged = points.drop("labels").withColumn("_t", F.bround(F.col("t").cast("double"), digits))
+    tagged = points.drop("labels").withColumn("_t", rounded("t"))
     return tagged.join(found, ["rec_id", "_t"], "left").withColumn("labels", F.when(F.col("labels").isNull(), none).otherwise(F.col("labels"))).drop("_t")
 
 
-def label_at(points: DataFrame, segments: DataFrame, label: str = "label", default=None, strict: bool = False) -> DataFrame:
-    """points with the label of the one segment of a contiguous annotation that holds t: one sorted pass, no range join."""
-    tagged = segments.select("rec_id", F.col("start").cast("double").alias("_t"), F.lit(0).alias("_kind"), F.struct(F.col(label).alias("label"), F.col("end").cast("double").alias("end")).alias("_seg"))
-    asked = points.select("rec_id", F.col("t").cast("double").alias("_t"), F.lit(1).alias("_kind"), F.struct(*points.columns).alias("_row"))
-    w = Window.partitionBy("rec_id").orderBy("_t", "_kind").rowsBetween(Window.unboundedPreceding, 0)
-    both = tagged.unionByName(asked, allowMissingColumns=True).withColumn("_at", F.last("_seg", ignorenulls=True).over(w)).where("_kind = 1")
-    inside = F.col("_at").isNotNull() & (F.col("_t") < F.col("_at.end"))
+def label_at(points: DataFrame, segments: DataFrame, label: str = "label", default=None, strict: bool = False, width: float | None = None, digits: int = 10) -> DataFrame:
+    """points with the label of the one segment of a contiguous annotation that holds t, times rounded to `digits` first; an
+    as-of merge in stretches of `width` ticks, or else such that each has a bounded number of rows. The last segment before a
+    stretch is carried over its border."""
+    rounded = lambda c: F.bround(F.col(c).cast("double"), digits)
+    tagged = segments.where("rec_id is not null").select("rec_id", rounded("start").alias("_t"), F.lit(0).alias("_kind"), F.struct(rounded("start").alias("start"), rounded("end").alias("end"), F.col(label).alias("label")).alias("_seg"))
+    asked = points.select("rec_id", rounded("t").alias("_t"), F.lit(1).alias("_kind"), F.struct(*points.columns).alias("_row"))
+    both = B.with_stretches(tagged.unionByName(asked, allowMissingColumns=True).withColumn("_key", F.coalesce(F.col("rec_id").cast("string"), F.lit(""))), ["_key"], F.col("_t"), F.col("_t"), width)
+    both = both.withColumn("_b", F.coalesce(B.stretch_of(F.col("_t")), F.lit(0).cast("long"))).drop("_lo", "_w", "_many").repartition("_key", "_b")
+    w = Window.partitionBy("_key", "_b").orderBy("_t", "_kind").rowsBetween(Window.unboundedPreceding, 0)
+    over = Window.partitionBy("_key").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    carried = both.groupBy("_key", "_b").agg(F.max_by("_seg", F.when(F.col("_kind") == 0, F.col("_t"))).alias("_last"))
+    carried = carried.select("_key", "_b", F.last("_last", ignorenulls=True).over(over).alias("_carried"))
+    found = both.withColumn("_at", F.last("_seg", ignorenulls=True).over(w)).where("_kind = 1").join(carried, ["_key", "_b"]).withColumn("_at", F.coalesce("_at", "_carried"))
+    inside = F.col("_at").isNotNull() & F.col("rec_id").isNotNull() & (F.col("_t") < F.col("_at.end"))
     outside = F.raise_error(F.lit("a point lies outside of the annotation")) if strict else F.lit(default)
-    return both.select("_row.*", F.when(inside, F.col("_at.label")).otherwise(outside).alias("label"))
+    return found.select("_row.*", F.when(inside, F.col("_at.label")).otherwise(outside).alias("label"))
 
 
 def speakers_of(segments: DataFrame, *attributes: str) -> DataFrame:
@@ -214,10 +248,14 @@ def missing_from(a: DataFrame, b: DataFrame, *keys: str) -> DataFrame:
     return a.select(*keys).distinct().join(b.select(*keys), list(keys), "left_anti")
 
 
-def pair_recordings(catalog: DataFrame, segments: DataFrame, key: str = "rec_id") -> DataFrame:
-    """Every key of either side with status both, left_only or right_only."""
-    a, b = catalog.select(key).distinct().withColumn("_a", F.lit(1)), segments.select(key).distinct().withColumn("_b", F.lit(1))
-    return a.join(b, key, "full_outer").select(key, F.when(F.col("_b").isNull(), "left_only").when(F.col("_a").isNull(), "right_only").otherwise("both").alias("status"))
+def pair_recordings(catalog: DataFrame, segments: DataFrame, key: str = "rec_id", counts: bool = False) -> DataFrame:
+    """Every key of either side with status both, left_only or right_only; with counts also n_left and n_right, and the status
+    mismatch where both have the key but not equally often."""
+    a, b = (df.groupBy(key).agg(F.count(F.lit(1)).alias(n)) for df, n in ((catalog, "n_left"), (segments, "n_right")))
+    uneven = F.col("n_left") != F.col("n_right") if counts else F.lit(False)
+    status = F.when(F.col("n_right").isNull(), "left_only").when(F.col("n_left").isNull(), "right_only").when(uneven, "mismatch").otherwise("both")
+    number = [F.coalesce(n, F.lit(0).cast("long")).alias(n) for n in ("n_left", "n_right")] if counts else []
+    return a.join(b, key, "full_outer").select(key, status.alias("status"), *number)
 
 
 def pick_recordings(df: DataFrame, ids: list | None = None, groups: list | None = None, at: tuple | None = None, groups_at: tuple | None = None, column: str = "rec_id", strict: bool = True) -> DataFrame:
