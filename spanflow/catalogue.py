@@ -135,7 +135,7 @@ def slice_turns(spark, d):
 @query(f"""WITH {PIECES} SELECT p.rec_id, CAST(p.s AS BIGINT) AS start, CAST(p.e AS BIGINT) AS "end", count(g.s) AS n, coalesce(string_agg(g.label, ',' ORDER BY g.label), '') AS labels
     FROM pieces p LEFT JOIN seg g ON g.rec_id = p.rec_id AND g.s <= p.s AND g.e >= p.e GROUP BY p.rec_id, p.s, p.e""")
 def flatten_orders(spark, d):
-    return S.flatten(order_segments(spark, d)).select("rec_id", *_day("start", "end"), F.size("seg_idxs").cast("long").alias("n"), F.array_join(F.sort_array("labels"), ",").alias("labels"))
+    return S.flatten(order_segments(spark, d), width=1024).select("rec_id", *_day("start", "end"), F.size("seg_idxs").cast("long").alias("n"), F.array_join(F.sort_array("labels"), ",").alias("labels"))
 
 
 @query(f"""WITH {PIECES}, c AS (SELECT p.rec_id, p.s, p.e, count(g.s) AS n FROM pieces p LEFT JOIN seg g ON g.rec_id = p.rec_id AND g.s <= p.s AND g.e >= p.e GROUP BY p.rec_id, p.s, p.e)
@@ -172,7 +172,7 @@ def overlay_flags(spark, d):
     SELECT pt.o_orderkey, count(g.s) AS n, coalesce(string_agg(g.label, ',' ORDER BY g.label), '') AS labels FROM pt LEFT JOIN seg g ON g.rec_id = pt.rec_id AND g.s <= pt.t AND pt.t < g.e GROUP BY pt.o_orderkey""")
 def labels_at_orders(spark, d):
     points = _read(spark, d, "orders").select("o_orderkey", F.col("o_custkey").alias("rec_id"), F.datediff(F.to_date("o_orderdate"), F.lit("1970-01-01").cast("date")).cast("double").alias("t"))
-    done = S.labels_at(points, order_segments(spark, d), width=64)
+    done = S.labels_at(points, order_segments(spark, d), width=1024)
     return done.select("o_orderkey", F.size("labels").cast("long").alias("n"), F.array_join(F.sort_array("labels"), ",").alias("labels"))
 
 

@@ -29,7 +29,7 @@ def before(per_block: DataFrame, keys: Sequence[str], **sums: str) -> DataFrame:
 def with_positions(df: DataFrame, keys: Sequence[str], order: str, size: int = SIZE, name: str = "_at", ties: Sequence[str] = ()) -> DataFrame:
     """The place of each row among those of its keys, from 0, in the order of a whole-number column: its place in its block
     and the number of rows in earlier blocks."""
-    cut = df.withColumn("_b", block_of(order, size))
+    cut = df.withColumn("_b", block_of(order, size)).repartition(*keys, "_b")  # both branches read this shuffle
     inside = cut.withColumn("_k", F.row_number().over(Window.partitionBy(*keys, "_b").orderBy(order, *ties)) - 1)
     offsets = before(cut.groupBy(*keys, "_b").agg(F.count(F.lit(1)).alias("_n")), keys, _before="_n").drop("_n")
     return inside.join(offsets, [*keys, "_b"]).withColumn(name, F.col("_before") + F.col("_k")).drop("_b", "_k", "_before")
@@ -48,19 +48,21 @@ def with_halo(df: DataFrame, place: str, size: int, back: int = 0, ahead: int =
 ROWS = 1 << 15
 
 
-def with_stretches(df: DataFrame, keys: Sequence[str], lo: Column, hi: Column, width: float | None = None, rows: int = ROWS) -> DataFrame:
+def with_stretches(df: DataFrame, keys: Sequence[str], lo: Column, hi: Column, width: float | None = None, rows: int | None = None) -> DataFrame:
     """df with `_lo`, `_w` and `_many`: where the stretches of its keys begin, how long they are and how many there are. With
-    a width, so long; else as many equal ones as the keys have multiples of `rows` rows, in most cases one."""
+    a width, all from 0 on and no bound; else as many equal ones as the keys have multiples of `rows` rows (ROWS unless
+    given), in most cases one, for which a count of df is joined back."""
+    if width:
+        return df.withColumns({"_lo": F.lit(0.0), "_w": F.lit(float(width)), "_many": F.lit(None).cast("long")})
     facts = df.groupBy(*keys).agg(F.min(lo).alias("_lo"), F.max(hi).alias("_hi"), F.count(F.lit(1)).alias("_rows"))
     span = F.greatest(F.col("_hi") - F.col("_lo"), F.lit(0)).cast("double")
-    if width:
-        facts = facts.withColumns({"_w": F.lit(float(width)), "_many": F.floor(span / width).cast("long") + 1})
-    else:
-        many = F.ceil(F.col("_rows") / rows).cast("long")
-        facts = facts.withColumns({"_many": many, "_w": F.when(span > 0, span / many).otherwise(1.0)})
+    many = F.ceil(F.col("_rows") / (rows or ROWS)).cast("long")
+    facts = facts.withColumns({"_many": many, "_w": F.when(span > 0, span / many).otherwise(1.0)})
     return df.join(facts.drop("_hi", "_rows"), list(keys))
 
 
 def stretch_of(at: Column) -> Column:
-    """The number of the stretch (from 0) in which `at` lies; what lies before all or after all is in the first or last."""
-    return F.greatest(F.lit(0).cast("long"), F.least(F.col("_many") - 1, F.floor((at - F.col("_lo")) / F.col("_w")).cast("long")))
+    """The number of the stretch in which `at` lies; of a bounded number of them the first or last holds what lies outside."""
+    number = F.floor((at - F.col("_lo")) / F.col("_w")).cast("long")
+    held = F.greatest(F.lit(0).cast("long"), F.least(F.col("_many") - 1, number))
+    return F.when(number.isNull() | F.col("_many").isNull(), number).otherwise(held)

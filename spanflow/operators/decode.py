@@ -30,6 +30,7 @@ def priors_from_segments(
     ticks = F.col("end") - F.col("start")
     block = B.block_of("start", width) if width else F.lit(0).cast("long")
     df = segments.select("rec_id", *keys, "start", "end", (F.col(state) if isinstance(state, str) else state).alias("state"), (F.rint(ticks) if round_to_int else ticks).alias("_d"), block.alias("_b"))
+    df = df.repartition("rec_id", "_b")  # all branches read this shuffle
     inner = df.withColumn("_next", F.lead("state").over(Window.partitionBy("rec_id", "_b").orderBy("start", "end", "state")))
     one = F.struct("start", "end", "state", *keys)
     ends = df.groupBy("rec_id", "_b").agg(F.min(one).alias("_head"), F.max(F.struct("start", "end", "state", *keys)).alias("_tail"))
@@ -48,7 +49,7 @@ def priors_from_frames(
 ) -> tuple[DataFrame, DataFrame]:
     """The same from frames; transitions only within a chunk, the first frame of each recording gives init. Chunks are worked
     on in blocks of `size` frame numbers; moves over the borders come from the blocks' first and last frames."""
-    df = frames.select(*dict.fromkeys([*chunk, *keys, order]), F.col(cls).alias("state")).withColumn("_b", B.block_of(order, size))
+    df = frames.select(*dict.fromkeys([*chunk, *keys, order]), F.col(cls).alias("state")).withColumn("_b", B.block_of(order, size)).repartition(*chunk, "_b")
     inner = df.withColumn("_next", F.lead("state").over(Window.partitionBy(*chunk, "_b").orderBy(order)))
     one = F.struct(order, "state", *(k for k in keys if k != order))
     ends = df.groupBy(*chunk, "_b").agg(F.min(one).alias("_head"), F.max(one).alias("_tail"))

@@ -81,24 +81,37 @@ def runs(
     if rate is not None and (rate != int(rate) or rate <= 0):
         raise ValueError("the rate must be a whole number above 0")
     w = Window.partitionBy(rec, "_b").orderBy(order)
-    df = frames.withColumn("_key", F.col(key) if isinstance(key, str) else key).withColumn("_b", B.block_of(order, size))
-    df = df.withColumn("_k", F.row_number().over(w) - 1)
-    first = (F.col("_k") == 0) | ~F.col("_key").eqNullSafe(F.lag("_key").over(w))
-    df = df.withColumn("_run", F.sum(first.cast("int")).over(w))
-    labels = [F.sort_array(F.collect_list(F.struct("_k", F.col(label or order).alias("x"))))["x"].alias("labels")] if keep in ("labels", "both") else []
-    parts = df.groupBy(rec, "_b", "_run").agg(F.min("_k").alias("_s"), F.max("_k").alias("_e"), F.first("_key").alias("_key"), *labels)
-    head = parts.groupBy(rec, "_b").agg((F.max("_e") + 1).alias("_n"), F.max("_run").alias("_m"), F.min_by("_key", "_run").alias("_head"), F.max_by("_key", "_run").alias("_tail"))
+    at = Window.partitionBy(rec, "_b").orderBy("_k")
+    listed = keep in ("labels", "both")
+    cols = [rec, order, (F.col(key) if isinstance(key, str) else key).alias("_key"), *([F.col(label or order).alias("_label")] if listed else [])]
+    df = frames.select(*cols).withColumn("_b", B.block_of(order, size)).withColumn("_k", F.row_number().over(w) - 1)
+    first = (F.col("_k") == 0) | ~F.col("_key").eqNullSafe(F.lag("_key").over(at))
+    df = df.withColumns({"_new": first, "_last": F.lead("_k").over(at).isNull()})
+    if listed:
+        df = df.withColumn("_run", F.sum(F.col("_new").cast("int")).over(at))
+        parts = df.groupBy(rec, "_b", "_run").agg(F.min("_k").alias("_k"), F.max(F.when(F.col("_last"), F.col("_k") + 1)).alias("_n"), F.first("_key").alias("_key"), F.sort_array(F.collect_list(F.struct("_k", "_label")))["_label"].alias("labels"))
+    else:  # a run's first row, and how many rows the block has with the last run's
+        df = df.where("_new or _last").withColumn("_n", F.coalesce(F.when(F.col("_last"), F.col("_k") + 1), F.when(F.lead("_new").over(at), F.lit(None)).otherwise(F.lead("_k").over(at) + 1)))
+        parts = df.where("_new").withColumn("_run", F.row_number().over(at)).select(rec, "_b", "_run", "_k", "_n", "_key")
+    parts = parts.where(F.col(rec).isNotNull() & F.col("_b").isNotNull()).repartition(rec, "_b")  # both branches read this shuffle
+    head = parts.groupBy(rec, "_b").agg(F.max("_n").alias("_frames"), F.max("_run").alias("_runs"), F.min_by("_key", "_run").alias("_head"), F.max_by("_key", "_run").alias("_tail"), F.min(F.when(F.col("_run") == 2, F.col("_k"))).alias("_second"))
     over = Window.partitionBy(rec).orderBy("_b")
-    goes_on = F.lag("_m").over(over).isNotNull() & F.lag("_tail").over(over).eqNullSafe(F.col("_head"))
-    head = head.withColumn("_on", goes_on.cast("int")).withColumn("_more", F.col("_m") - F.col("_on"))
-    head = B.before(head, [rec], _frames="_n", _runs="_more").select(rec, "_b", "_on", "_frames", "_runs")
-    placed = parts.join(head, [rec, "_b"]).select(
-        rec, (F.col("_runs") + F.col("_run") - F.col("_on") - 1).alias("run"), (F.col("_frames") + F.col("_s") + min_start).alias("_s"), (F.col("_frames") + F.col("_e") + 1 + min_start).alias("_e"), "_key", *(["labels"] if labels else [])
-    )
-    kept = [F.first("_key").alias("key")] if keep in ("keys", "both") else []
-    if labels:
-        kept.append(F.flatten(F.sort_array(F.collect_list(F.struct("_s", "labels")))["labels"]).alias("labels"))
-    done = placed.groupBy(rec, "run").agg(F.min("_s").cast("long").alias("start"), F.max("_e").cast("long").alias("end"), *kept)
+    goes_on = F.lag("_runs").over(over).isNotNull() & F.lag("_tail").over(over).eqNullSafe(F.col("_head"))
+    head = B.before(head.withColumn("_on", goes_on.cast("int")).withColumn("_more", F.col("_runs") - F.col("_on")), [rec], _past="_frames", _before="_more")
+    # where the run that is open at a block's end ends: at the first run that begins in a later block, or after the last frame
+    begins = F.col("_past") + F.when(F.col("_on") == 0, F.lit(0)).otherwise(F.col("_second"))
+    later = over.rowsBetween(1, Window.unboundedFollowing)
+    whole = F.max(F.col("_past") + F.col("_frames")).over(Window.partitionBy(rec))
+    head = head.withColumn("_begins", begins).withColumn("_until", F.coalesce(F.first("_begins", ignorenulls=True).over(later), whole))
+    placed = parts.join(head.select(rec, "_b", "_on", "_past", "_before", "_until"), [rec, "_b"])
+    run, start = F.col("_before") + F.col("_run") - F.col("_on") - 1, F.col("_past") + F.col("_k")
+    end = F.when(F.col("_n").isNotNull(), F.col("_until")).otherwise(F.col("_past") + F.lead("_k").over(Window.partitionBy(rec, "_b").orderBy("_run")))
+    placed = placed.select(rec, run.alias("run"), (start + min_start).cast("long").alias("start"), (end + min_start).cast("long").alias("end"), "_key", ((F.col("_run") == 1) & (F.col("_on") == 1)).alias("_more"), *(["labels"] if listed else []))
+    kept = [F.first("_key").alias("key")] if keep == "both" else []
+    if listed:
+        done = placed.groupBy(rec, "run").agg(F.min("start").alias("start"), F.max("end").alias("end"), *kept, F.flatten(F.sort_array(F.collect_list(F.struct("start", "labels")))["labels"]).alias("labels"))
+    else:
+        done = placed.where(~F.col("_more")).select(rec, "run", "start", "end", F.col("_key").alias("key"))
     return done if rate is None else done.withColumn("rate", F.lit(int(rate)).cast("long"))
 
 

@@ -119,7 +119,7 @@ def flatten(segments: DataFrame, label: str = "label", width: float | None = Non
     empty = F.slice(inside, 1, 0)
     members = covers.select("rec_id", "_b", F.inline(F.concat(F.when(lo <= hi, inside).otherwise(empty), F.when(F.col("e").isNotNull(), ends).otherwise(empty))))
     rows = members.groupBy("rec_id", "_b", F.col("p").alias("_p")).agg(F.max("start").alias("start"), F.sort_array(F.collect_list("seg")).alias("_rows"))
-    heads = ranked.where("side = 0").groupBy("rec_id", "_b").agg(F.min("t").alias("_t"))
+    heads = events.where("side = 0").groupBy("rec_id", "_b").agg(F.min("t").alias("_t"))
     heads = heads.select("rec_id", "_b", F.lead("_t").over(Window.partitionBy("rec_id").orderBy("_b")).alias("_next")).where("_next is not null")
     after = F.lead("start").over(Window.partitionBy("rec_id", "_b").orderBy("_p"))
     done = rows.withColumn("_end", after).join(heads, ["rec_id", "_b"], "left").withColumn("end", F.coalesce("_end", "_next")).where("start is not null and end is not null")
@@ -185,27 +185,36 @@ def labels_at(
     meets the points of these ranks by equality, so the work is that of the result. The sorted pass is cut into stretches of
     `width` ticks, or else such that each has a bounded number of points."""
     rounded = lambda c: F.bround(F.col(c).cast("double"), digits)
-    p = points.select("rec_id", rounded("t").alias("t")).where("rec_id is not null and t is not null").distinct()
-    p = B.with_stretches(p, ["rec_id"], F.col("t"), F.col("t"), width)
-    extents = p.select("rec_id", "_lo", "_w", "_many").distinct()
+    tagged = points.drop("labels").withColumn("_t", rounded("t"))
     s = segments.select("rec_id", rounded("start").alias("s"), rounded("end").alias("e"), F.col("seg_idx").alias("i"), F.col(label).alias("label")).where("e > s")
+    if width:
+        tagged, s = (B.with_stretches(df, ["rec_id"], None, None, width) for df in (tagged, s))
+    else:
+        asked = B.with_stretches(points.select("rec_id", rounded("t").alias("t")).where("t is not null"), ["rec_id"], F.col("t"), F.col("t"))
+        facts = asked.select("rec_id", "_lo", "_w", "_many").distinct()
+        tagged, s = tagged.join(facts, "rec_id", "left"), s.join(facts, "rec_id")
+    tagged = tagged.withColumn("_b", B.stretch_of(F.col("_t"))).drop("_lo", "_w", "_many")
     edge = lambda t, kind: F.struct(F.col(t).alias("t"), F.lit(kind).alias("kind"))
-    edges = s.join(extents, "rec_id").select("rec_id", "_lo", "_w", "_many", F.struct("s", "e", "i", "label").alias("seg"), F.inline(F.array(edge("s", 0), edge("e", 1))))
-    events = edges.unionByName(p.withColumns({"kind": F.lit(2), "seg": F.lit(None).cast(edges.schema["seg"].dataType)}))
-    events = events.withColumn("_b", B.stretch_of(F.col("t"))).select("rec_id", "_b", "t", "kind", "seg").repartition("rec_id", "_b")
-    is_point = (F.col("kind") == 2).cast("int")
-    w = Window.partitionBy("rec_id", "_b").orderBy("t", "kind").rowsBetween(Window.unboundedPreceding, 0)
-    many = B.before(events.groupBy("rec_id", "_b").agg(F.sum(is_point).alias("_n")), ["rec_id"], _before="_n").drop("_n")
-    ranked = events.withColumn("_k", F.sum(is_point).over(w)).join(many, ["rec_id", "_b"]).withColumn("_r", F.col("_before") + F.col("_k"))
+    edges = s.select("rec_id", "_lo", "_w", "_many", F.struct("s", "e", "i", "label").alias("seg"), F.inline(F.array(edge("s", 0), edge("e", 1))))
+    edges = edges.select("rec_id", B.stretch_of(F.col("t")).alias("_b"), "t", "kind", "seg")
+    dots = tagged.select("rec_id", "_b", F.col("_t").alias("t"), F.lit(2).alias("kind"), F.lit(None).cast(edges.schema["seg"].dataType).alias("seg")).where("rec_id is not null and t is not null")
+    events = edges.unionByName(dots).repartition("rec_id", "_b")
+    w = Window.partitionBy("rec_id", "_b").orderBy("t", "kind")
+    dot = F.col("kind") == 2
+    new = dot & ~(F.coalesce(F.lag("kind").over(w) == 2, F.lit(False)) & F.lag("t").over(w).eqNullSafe(F.col("t")))
+    many = B.before(events.groupBy("rec_id", "_b").agg(F.count_distinct(F.when(dot, F.col("t"))).alias("_n")), ["rec_id"], _before="_n").drop("_n")
+    ranked = events.withColumn("_new", new.cast("int")).withColumn("_k", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0))).where("kind < 2")
+    ranked = ranked.join(many, ["rec_id", "_b"]).withColumn("_r", F.col("_before") + F.col("_k"))
     side = lambda kind: F.max(F.when(F.col("kind") == kind, F.col("_r")))
-    covers = ranked.where("kind < 2").groupBy("rec_id", "seg").agg(side(0).alias("_lo"), side(1).alias("_hi"), F.count_if(F.col("kind") == 0).cast("int").alias("_times")).where("_hi > _lo")
+    covers = ranked.groupBy("rec_id", "seg").agg(side(0).alias("_lo"), side(1).alias("_hi"), F.count_if(F.col("kind") == 0).cast("int").alias("_times")).where("_hi > _lo")
     met = covers.select("rec_id", "seg", F.explode(F.flatten(F.array_repeat(F.sequence(F.col("_lo") + 1, "_hi"), F.col("_times")))).alias("_r"))
     found = met.groupBy("rec_id", "_r").agg(F.sort_array(F.collect_list("seg"))["label"].alias("labels"))
-    found = ranked.where("kind = 2").select("rec_id", "_r", F.col("t").alias("_t")).join(found, ["rec_id", "_r"]).drop("_r")
+    placed = tagged.withColumn("_k", F.dense_rank().over(Window.partitionBy("rec_id", "_b").orderBy("_t"))).join(many, ["rec_id", "_b"], "left")
+    placed = placed.withColumn("_r", F.when(F.col("_t").isNotNull(), F.col("_before") + F.col("_k")))
     none = F.array(*map(F.lit, default or [])).cast(found.schema["labels"].dataType)
     none = F.raise_error(F.lit("a point lies outside of all segments")).cast(found.schema["labels"].dataType) if strict else none
-    tagged = points.drop("labels").withColumn("_t", rounded("t"))
-    return tagged.join(found, ["rec_id", "_t"], "left").withColumn("labels", F.when(F.col("labels").isNull(), none).otherwise(F.col("labels"))).drop("_t")
+    done = placed.join(found, ["rec_id", "_r"], "left").withColumn("labels", F.when(F.col("labels").isNull(), none).otherwise(F.col("labels")))
+    return done.drop("_t", "_b", "_k", "_before", "_r")
 
 
 def label_at(points: DataFrame, segments: DataFrame, label: str = "label", default=None, strict: bool = False, width: float | None = None, digits: int = 10) -> DataFrame:

@@ -66,8 +66,9 @@ def median(df: DataFrame, value: str | Column, by: tuple = (), bins: int = 4096,
     names = [f"_k{i}" for i in range(len(by))]
     rows = df.select(*(F.col(k).alias(n) for k, n in zip(by, names, strict=True)), x.alias("_x"))
     groups = rows.select(*names).distinct() if names else df.sparkSession.range(1).select()
-    rows = rows.where(F.abs("_x") < float("inf"))  # not null nor NaN either
-    facts = rows.groupBy(*names).agg(F.count(F.lit(1)).alias("_n"), F.min("_x").alias("_lo"), F.max("_x").alias("_hi"))
+    # not null nor NaN either; equal values are one row, and all passes read this shuffle
+    rows = rows.where(F.abs("_x") < float("inf")).groupBy(*names, "_x").agg(F.count(F.lit(1)).alias("_c"))
+    facts = rows.groupBy(*names).agg(F.sum("_c").alias("_n"), F.min("_x").alias("_lo"), F.max("_x").alias("_hi"))
     wanted = F.array(F.floor((F.col("_n") - 1) / 2), F.floor(F.col("_n") / 2))  # ranks from 0
     goal = facts.where("_n > 0").select(*names, F.posexplode(wanted).alias("_which", "_rank"), "_lo", "_hi")
 
@@ -75,7 +76,7 @@ def median(df: DataFrame, value: str | Column, by: tuple = (), bins: int = 4096,
         on = (F.col("_x") >= F.col("_lo")) & (F.col("_x") <= F.col("_hi"))
         for k in names:
             on = on & F.col(f"r.{k}").eqNullSafe(F.col(f"g.{k}"))
-        return rows.alias("r").join(goal.alias("g"), on).select(*(F.col(f"g.{k}").alias(k) for k in names), "_which", "_rank", "_lo", "_hi", "_x")
+        return rows.alias("r").join(goal.alias("g"), on).select(*(F.col(f"g.{k}").alias(k) for k in names), "_which", "_rank", "_lo", "_hi", "_x", "_c")
 
     def hit(counts: DataFrame, order: str) -> DataFrame:
         """The rows of counts in which the wanted ranks lie, the ranks less what lies before."""
@@ -87,10 +88,9 @@ def median(df: DataFrame, value: str | Column, by: tuple = (), bins: int = 4096,
         # halves, so that bounds at both ends of the doubles don't overflow
         place = F.floor((F.col("_x") / 2 - F.col("_lo") / 2) / (F.col("_hi") / 2 - F.col("_lo") / 2) * bins)
         place = F.when(F.col("_hi") > F.col("_lo"), F.least(F.lit(bins - 1).cast("long"), place)).otherwise(F.lit(0).cast("long"))
-        counts = inside(goal).groupBy(*names, "_which", "_rank", place.alias("_bin")).agg(F.count(F.lit(1)).alias("_c"), F.min("_x").alias("_lo"), F.max("_x").alias("_hi"))
+        counts = inside(goal).groupBy(*names, "_which", "_rank", place.alias("_bin")).agg(F.sum("_c").alias("_c"), F.min("_x").alias("_lo"), F.max("_x").alias("_hi"))
         goal = hit(counts, "_bin").select(*names, "_which", "_rank", "_lo", "_hi")
-    last = inside(goal).groupBy(*names, "_which", "_rank", "_x").agg(F.count(F.lit(1)).alias("_c"))
-    found = hit(last, "_x").groupBy(*names).agg(F.sum(F.col("_x") / 2).alias("median"))
+    found = hit(inside(goal), "_x").groupBy(*names).agg(F.sum(F.col("_x") / 2).alias("median"))
     on = F.lit(True)
     for k in names:
         on = on & F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}"))

@@ -1,12 +1,21 @@
-"""Streams of frames, and operators that keep state by recording. Frames of a recording arrive in order."""
+"""Streams of frames, and operators that keep state by recording.
+
+Without a watermark the frames of a recording must arrive in order. With one (event time column, delay) they may be out of
+order: each waits in state until the watermark has passed its event time, and a timer at the recording's last event time
+ends what is still open. Frames later than the delay are dropped by Spark. Such streams keep more than one kind of state,
+for which Spark needs its RocksDB store: see use_rocksdb().
+"""
 
 from __future__ import annotations
 
+from collections import Counter
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor
 
 from ..operators.segments import with_recording
 
@@ -21,60 +30,144 @@ def _ordered(frames) -> pd.DataFrame:
     return pd.concat(list(frames), ignore_index=True).sort_values("frame_idx", ignore_index=True)
 
 
+def use_rocksdb(spark: SparkSession) -> None:
+    """Makes the session's new streams keep their state in RocksDB."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+
+
+class InOrder(StatefulProcessor):
+    """Hands a recording's frames on in order of frame_idx once the watermark has passed them.
+
+    work(carry, frames) takes the tuple of what was kept (None at first) and a list of (frame_idx, value), and returns what
+    to keep and rows to emit; end(carry) returns the rows that a recording's end emits."""
+
+    def __init__(self, held: str, carry: str, names: list[str], work, end=None):
+        self.held_schema, self.carry_schema, self.names, self.work, self.end = held, carry, names, work, end
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.held = handle.getMapState("held", "frame_idx bigint", self.held_schema)
+        self.carry = handle.getValueState("carry", self.carry_schema)
+        self.last = handle.getValueState("last", "ms bigint")
+
+    def _ripe(self, before: int | None) -> list[tuple]:
+        """Rows of the frames whose event time is before a time (None: all)."""
+        ready = sorted((k[0], v[0]) for k, v in self.held.iterator() if before is None or v[1] < before)
+        if not ready:
+            return []
+        kept, rows = self.work(self.carry.get() if self.carry.exists() else None, ready)
+        for k, _ in ready:
+            self.held.removeKey((k,))
+        self.carry.update(kept)
+        return rows
+
+    def _table(self, key, rows: list[tuple]) -> pd.DataFrame:
+        return pd.DataFrame([(key[0], *r) for r in rows], columns=["rec_id", *self.names])
+
+    def handleInputRows(self, key, rows, timerValues):
+        newest = self.last.get()[0] if self.last.exists() else None
+        for pdf in rows:
+            ms = pdf["event_time"].astype("datetime64[ms]").astype("int64")
+            for k, v, t in zip(pdf["frame_idx"].tolist(), pdf["value"].tolist(), ms.tolist(), strict=True):
+                self.held.updateValue((k,), (v, t))
+                if newest is None or t > newest:
+                    newest = t
+        for t in list(self.handle.listTimers()):
+            self.handle.deleteTimer(t)
+        self.last.update((newest,))
+        self.handle.registerTimer(newest + 1)  # fires when the watermark is past the last frame
+        yield self._table(key, self._ripe(timerValues.getCurrentWatermarkInMs()))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        rows = self._ripe(None)
+        if self.end:
+            rows += self.end(self.carry.get())
+            self.carry.clear()
+        self.held.clear()
+        self.last.clear()
+        yield self._table(key, rows)
+
+    def close(self) -> None:
+        pass
+
+
+def _in_order(frames: DataFrame, value: str, watermark: tuple, carry: str, out: str, work, end=None) -> DataFrame:
+    kind, rec = frames.schema[value].dataType.simpleString(), frames.schema["rec_id"].dataType.simpleString()
+    # names that Python takes for fields, which a column called class is not
+    rows = frames.withWatermark(*watermark).select("rec_id", "frame_idx", F.col(value).alias("value"), F.col(watermark[0]).alias("event_time"))
+    names = [part.strip().split(" ")[0] for part in out.split(",")]
+    step = InOrder(f"value {kind}, ms bigint", carry, names, work, end)
+    return rows.groupBy("rec_id").transformWithStateInPandas(step, f"rec_id {rec}, {out}", "Append", "EventTime")
+
+
 def runs_stream(frames: DataFrame, key: str = "class", watermark: tuple | None = None) -> DataFrame:
     """rec_id, start, end, key of each run as soon as its key changes; the open run is state: its key, start and end.
 
-    watermark: (event time column, delay); a recording's open run is closed once its time is past the watermark."""
+    watermark: (event time column, delay): frames may come out of order, and a recording's open run ends once the watermark
+    is past the recording's last frame."""
     kind, rec = frames.schema[key].dataType.simpleString(), frames.schema["rec_id"].dataType.simpleString()
-    df, rest = frames, ["rec_id", "frame_idx", key]
     if watermark:
-        df, rest = df.withWatermark(*watermark), [*rest, watermark[0]]
+
+        def work(carry, ready):
+            out = []
+            k, start, end = carry or (None, None, None)
+            for at, now in ready:
+                if start is None or now != k:
+                    if start is not None:
+                        out.append((start, end, k))
+                    k, start = now, at
+                end = at + 1
+            return (k, start, end), out
+
+        return _in_order(frames, key, watermark, f"key {kind}, start bigint, end bigint", f"start bigint, end bigint, key {kind}", work, lambda c: [(c[1], c[2], c[0])])
 
     def step(names, parts, state: GroupState):
         out: list[tuple] = []
-        if state.hasTimedOut:
-            k, start, end = state.get
-            out.append((names[0], start, end, k))
-            state.remove()
-        else:
-            k, start, end = state.get if state.exists else (None, None, None)
-            for pdf in parts:
-                pdf = pdf.sort_values("frame_idx")
-                for at, now in zip(pdf["frame_idx"].tolist(), pdf[key].tolist(), strict=True):
-                    if start is None or now != k:
-                        if start is not None:
-                            out.append((names[0], start, end, k))
-                        k, start = now, at
-                    end = at + 1
-            if start is not None:
-                state.update((k, start, end))
-                if watermark:
-                    state.setTimeoutTimestamp(state.getCurrentWatermarkMs() + 1)
+        k, start, end = state.get if state.exists else (None, None, None)
+        pdf = _ordered(parts)
+        for at, now in zip(pdf["frame_idx"].tolist(), pdf[key].tolist(), strict=True):
+            if start is None or now != k:
+                if start is not None:
+                    out.append((names[0], start, end, k))
+                k, start = now, at
+            end = at + 1
+        state.update((k, start, end))
         yield pd.DataFrame(out, columns=["rec_id", "start", "end", "key"])
 
-    wait = GroupStateTimeout.EventTimeTimeout if watermark else GroupStateTimeout.NoTimeout
-    return df.select(*rest).groupBy("rec_id").applyInPandasWithState(step, f"rec_id {rec}, start bigint, end bigint, key {kind}", f"key {kind}, start bigint, end bigint", "append", wait)
+    df = frames.select("rec_id", "frame_idx", key)
+    return df.groupBy("rec_id").applyInPandasWithState(step, f"rec_id {rec}, start bigint, end bigint, key {kind}", f"key {kind}, start bigint, end bigint", "append", GroupStateTimeout.NoTimeout)
+
+
+def _rolled(x: np.ndarray, win: int, std: bool):
+    """The last len(x) - win + 1 values less the mean of the win that end there, by their deviation; null where that is 0."""
+    view = np.lib.stride_tricks.sliding_window_view(x, win)
+    y = view[:, -1] - view.mean(1)
+    if std:
+        s = view.std(1)
+        return [float(a / b) if b > 0 else None for a, b in zip(y, s, strict=True)]
+    return y.tolist()
 
 
-def normalize_rolling_stream(frames: DataFrame, win: int, column: str = "value", std: bool = True) -> DataFrame:
+def normalize_rolling_stream(frames: DataFrame, win: int, column: str = "value", std: bool = True, watermark: tuple | None = None) -> DataFrame:
     """rec_id, frame_idx and the value less the mean of the last win rows, by their deviation; the state is the last win - 1 values."""
     rec = frames.schema["rec_id"].dataType.simpleString()
+    if watermark:
+
+        def work(carry, ready):
+            x = np.array([*(carry[0] if carry else []), *(v for _, v in ready)], float)
+            made = _rolled(x, win, std) if len(x) >= win else []
+            return (x[len(x) - min(len(x), win - 1) :].tolist(),), [(k, y) for (k, _), y in zip(ready[len(ready) - len(made) :], made, strict=True)]
+
+        return _in_order(frames, column, watermark, "tail array<double>", f"frame_idx bigint, {column} double", work)
 
     def step(names, parts, state: GroupState):
         pdf = _ordered(parts)
         before = np.array(state.get[0] if state.exists else [], float)
         x = np.concatenate((before, pdf[column].to_numpy(float)))
         state.update((x[len(x) - min(len(x), win - 1) :].tolist(),))
-        if len(x) < win:
-            yield pd.DataFrame({"rec_id": [], "frame_idx": [], column: []})
-            return
-        view = np.lib.stride_tricks.sliding_window_view(x, win)
-        y = view[:, -1] - view.mean(1)
-        if std:
-            s = view.std(1)
-            y = pd.array([a / b if b > 0 else None for a, b in zip(y.tolist(), s.tolist(), strict=True)], "Float64")  # null, as in the batch form
+        y = _rolled(x, win, std) if len(x) >= win else []
         at = pdf["frame_idx"].to_numpy()[len(pdf) - len(y) :]
-        yield pd.DataFrame({"rec_id": names[0], "frame_idx": at, column: y})
+        yield pd.DataFrame({"rec_id": [names[0]] * len(y), "frame_idx": at, column: pd.array(y, "Float64")})  # null, as in the batch form
 
     return frames.select("rec_id", "frame_idx", column).groupBy("rec_id").applyInPandasWithState(step, f"rec_id {rec}, frame_idx bigint, {column} double", "tail array<double>", "append", GroupStateTimeout.NoTimeout)
 
@@ -84,21 +177,26 @@ def class_counts_stream(frames: DataFrame, cls: str = "class") -> DataFrame:
     return frames.groupBy(cls).agg(F.count(F.lit(1)).alias("n"))
 
 
-def transitions_stream(frames: DataFrame, cls: str = "class") -> DataFrame:
+def transitions_stream(frames: DataFrame, cls: str = "class", watermark: tuple | None = None) -> DataFrame:
     """rec_id, from_state, to_state, n of each batch's transitions; the state is a recording's last class."""
-    rec = frames.schema["rec_id"].dataType.simpleString()
+    rec, kind = frames.schema["rec_id"].dataType.simpleString(), frames.schema[cls].dataType.simpleString()
+
+    def moves(classes: list) -> list[tuple]:
+        return [(a, b, n) for (a, b), n in Counter(zip(classes, classes[1:], strict=False)).items()]
+
+    if watermark:
+
+        def work(carry, ready):
+            classes = [*(carry or ()), *(v for _, v in ready)]
+            return (classes[-1],), moves(classes)
+
+        return _in_order(frames, cls, watermark, f"last {kind}", f"from_state {kind}, to_state {kind}, n bigint", work)
 
     def step(names, parts, state: GroupState):
-        classes = _ordered(parts)[cls].tolist()
-        if state.exists:
-            classes = [state.get[0], *classes]
+        classes = [*(state.get if state.exists else ()), *_ordered(parts)[cls].tolist()]
         state.update((classes[-1],))
-        pairs = pd.DataFrame({"from_state": classes[:-1], "to_state": classes[1:]})
-        n = pairs.groupby(["from_state", "to_state"]).size().reset_index(name="n")
-        n.insert(0, "rec_id", names[0])
-        yield n
+        yield pd.DataFrame([(names[0], *m) for m in moves(classes)], columns=["rec_id", "from_state", "to_state", "n"])
 
-    kind = frames.schema[cls].dataType.simpleString()
     return frames.select("rec_id", "frame_idx", cls).groupBy("rec_id").applyInPandasWithState(step, f"rec_id {rec}, from_state {kind}, to_state {kind}, n bigint", f"last {kind}", "append", GroupStateTimeout.NoTimeout)
 
 

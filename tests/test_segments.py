@@ -73,7 +73,8 @@ def test_flatten_against_brute_force(spark, width):
 
 def test_flatten_of_one_long_recording(spark):
     n = 200_000
-    df = spark.range(n).select(F.lit("a").alias("rec_id"), F.col("id").cast("double").alias("start"), (F.col("id") + 1.5).alias("end"), F.lit(1.0).alias("rate"), (F.col("id") % 5).cast("int").alias("label"), F.col("id").cast("int").alias("seg_idx"))
+    name = F.substring(F.concat(F.lit("a"), F.col("id").cast("string")), 1, 1)  # no literal, which would fold the join away
+    df = spark.range(n).select(name.alias("rec_id"), F.col("id").cast("double").alias("start"), (F.col("id") + 1.5).alias("end"), F.lit(1.0).alias("rate"), (F.col("id") % 5).cast("int").alias("label"), F.col("id").cast("int").alias("seg_idx"))
     for width in (None, 5000.0):
         flat = S.flatten(df, width=width)
         assert "BroadcastNestedLoop" not in flat._jdf.queryExecution().toString()
