@@ -144,7 +144,7 @@ NOTICES = (
     ("cddl-1.0", "common development", 4, r"the contents of this file are subject to the terms of the common development and distribution licen[sc]e", 0.97),
     ("cddl-1.1", "cddl", 8, r"cddl(?: version| v)? 1 1", 0.93),
     ("cddl-1.0", "cddl", 10, r"cddl(?: version| v)? 1 0", 0.93),
-    ("osl-3.0", "open software license", 8, r"open software licen[sc]e(?: version| v)? 3 0", 0.95),
+    ("osl-3.0", "open software", 8, r"open software licen[sc]e(?: version| v)? 3 0", 0.95),
     ("afl-3.0", "academic free", 8, r"academic free licen[sc]e(?: version| v)? 3 0", 0.95),
     ("afl-2.1", "academic free", 8, r"academic free licen[sc]e(?: version| v)? 2 1", 0.95),
     ("ecl-2.0", "educational community", 8, r"educational community licen[sc]e(?: version| v)? 2 0", 0.95),
@@ -160,9 +160,9 @@ NOTICES = (
     ("artistic-1.0", "artistic", 10, r"artistic licen[sc]e 1 0", 0.94),
     ("perl", "perl itself", 6, r"(?:this (?:library|module|program) is free software you can redistribute it and or modify it )?under the same terms as perl itself", 0.94),
     ("ruby", "ruby", 12, r"(?:under the )?ruby(?: s)? licen[sc]e", 0.9),
-    ("php-3.01", "php license", 8, r"php licen[sc]e(?: version| v)? 3 01", 0.96),
-    ("php", "php license", 20, r"php licen[sc]e", 0.88),
-    ("python-2.0", "psf license", 8, r"psf licen[sc]e(?: agreement)?(?: version 2)?", 0.93),
+    ("php-3.01", "php", 8, r"php licen[sc]e(?: version| v)? 3 01", 0.96),
+    ("php", "php", 20, r"php licen[sc]e", 0.88),
+    ("python-2.0", "psf", 8, r"psf licen[sc]e(?: agreement)?(?: version 2)?", 0.93),
     ("zpl-2.1", "zope public", 8, r"zope public licen[sc]e(?: zpl)?(?: version| v)? 2 1", 0.95),
     ("w3c", "w3c", 8, r"w3c(?: r)? software (?:notice and )?licen[sc]e", 0.94),
     ("lppl-1.3c", "latex project public", 8, r"latex project public licen[sc]e(?: version 1 3c?)?", 0.95),
@@ -183,11 +183,11 @@ NOTICES = (
     ("odbl-1.0", "opendatacommons", 8, r"opendatacommons org licen[sc]es odbl", 0.96),
     ("pddl-1.0", "public domain dedication", 8, r"public domain dedication and licen[sc]e", 0.95),
     ("pddl-1.0", "opendatacommons", 8, r"opendatacommons org licen[sc]es pddl", 0.95),
-    ("cdla-permissive-2.0", "community data license", 8, r"community data licen[sc]e agreement permissive(?: version)?(?: 2 0)?", 0.95),
+    ("cdla-permissive-2.0", "community data", 8, r"community data licen[sc]e agreement permissive(?: version)?(?: 2 0)?", 0.95),
     ("ms-pl", "ms pl", 14, r"ms pl", 0.88),
     ("ms-rl", "microsoft reciprocal", 8, r"microsoft reciprocal licen[sc]e", 0.95),
     ("sspl-1.0", "server side public", 6, r"server side public licen[sc]e(?: version 1)?", 0.96),
-    ("elastic-2.0", "elastic license", 8, r"elastic licen[sc]e(?: version)?(?: 2 0)?", 0.95),
+    ("elastic-2.0", "elastic", 8, r"elastic licen[sc]e(?: version)?(?: 2 0)?", 0.95),
     ("busl-1.1", "business source", 6, r"business source licen[sc]e(?: version)?(?: 1 1)?", 0.96),
     ("commons-clause", "commons clause", 6, r"commons clause(?: licen[sc]e condition v1 0)?", 0.94),
     ("gemma", "gemma", 14, r"gemma terms of use", 0.94),
