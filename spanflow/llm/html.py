@@ -46,9 +46,9 @@ CUES = frozenset(
     "sponsored comments comment reply related menu search home contact about next previous read more follow email posted says tags skip accept powered".split()
 )
 
-_QUOTED = 2048  # a quoted value may be longer; the tag then ends at the first >
+#: A quoted value ends at its quote, however far that is; where there is none, the tag ends at the first >.
 _TOKEN = re.compile(
-    rf"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/><]*)((?:[^>"'<]++|"[^"]{{0,{_QUOTED}}}+"|'[^']{{0,{_QUOTED}}}+')*+)>|<(/?)([a-zA-Z][^\s/><]*)([^>]*+)>|</?[a-zA-Z][^>]*\Z""", re.S
+    r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/><]*)((?:[^>"'<]++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/><]*)([^>]*+)>|</?[a-zA-Z][^>]*\Z""", re.S
 )
 _ATTRIBUTE = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""")
 _TOLD = re.compile(r"class|id|role|hidden|style|data-content", re.I)

@@ -127,3 +127,12 @@ def test_template_and_odd_pages(spark):
     assert got[1].text == "A title\n\nFirst text goes & on here, as it does.\n\nSecond one is here too.\n\nAn item of it"
     assert got[2].text == got[3].text == got[4].text == got[5].text == "" and got[1].n_chars == len(got[1].text) and len(got) == 6
     assert html.extract_main_text(df.limit(0)).count() == 0
+
+
+def test_attributes_of_any_length(spark):
+    """A quoted value ends at its quote, whatever it holds; none of it becomes text."""
+    value = "a > b, tail of the title " * 400
+    page = f"<body><article><p title=\"{value}\">The harbour was quiet when the boats came in, and nobody spoke for a while.</p><p data-x='{value}'>Later the lamps were lit along the quay, one after the other.</p></article></body>"
+    df = spark.createDataFrame([(1, "u", page)], "page_id long, url string, html string")
+    text = html.extract_main_text(df).first()["text"]
+    assert "tail of the title" not in text and text.startswith("The harbour was quiet")
