@@ -116,6 +116,7 @@ def fit_rates(members: DataFrame, weights: dict | None, domains: list, budget: f
     sought = there & (want > 0)
     scale = budget if budget is not None else 1.1 * float((share[sought] / want[sought]).max())
     target = want * scale
+    enough = np.where(target > 0, np.minimum(close, 0.01 * target), close)  # a small target is met to a hundredth of itself
 
     rows = members.withColumn("_state", F.struct(F.lit(max(1.0, least)).alias("rate"), F.lit(max(1.0, least)).alias("last")))
     pending: list[tuple[float, np.ndarray]] = []
@@ -125,7 +126,7 @@ def fit_rates(members: DataFrame, weights: dict | None, domains: list, budget: f
     gradient, steps = np.inf, 0
     while True:
         miss = np.where(there, (now - target) / np.maximum(share, 1e-12), 0)
-        done = np.abs(now - target).max() <= close
+        done = (np.abs(now - target) <= enough).all()
         if done or gradient <= flat or steps >= max_steps:
             fit = Fit(domains, share.tolist(), target.tolist(), now.tolist(), float(gradient), steps, bool(done or gradient <= flat))
             break
