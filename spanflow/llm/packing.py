@@ -33,6 +33,8 @@ from .common import batches, codes, discard, materialise, span_hashes
 WINDOW, END, SHARD, K1, B = 1024, 0, 512, 1.2, 0.75
 KEY_TERMS, KEY_SHARE = 4, 0.005
 CACHE = 1_500_000
+#: Fixed values of the vocabulary.
+MARKER, MARKER_ID = "<|endoftext|>", 50256
 
 
 class Encoder:
@@ -59,6 +61,21 @@ class Encoder:
         self.ids = np.zeros(0, np.uint16)
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids of each text; a marker of the vocabulary that stands in one is the marker's id, as in its tokenizer."""
+        marked = [i for i, x in enumerate(texts) if MARKER in x]
+        if not marked:
+            return self._texts(texts)
+        parts = [x.split(MARKER) for x in texts]
+        flat = iter(self._texts([p for x in parts for p in x]))
+        out = []
+        for x in parts:
+            own = [next(flat)]
+            for _ in x[1:]:
+                own += [np.array([MARKER_ID], np.uint16), next(flat)]
+            out.append(np.concatenate(own))
+        return out
+
+    def _texts(self, texts: list[str]) -> list[np.ndarray]:
         out: list = [None] * len(texts)
         easy = [i for i, x in enumerate(texts) if "'" not in x and (x.isascii() or len(x.encode("utf-8")) < 2 * len(x) and max(set(x)) < "\u0250")]
         for i in {*range(len(texts))}.difference(easy):

@@ -1,3 +1,4 @@
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -127,8 +128,9 @@ def scanned(text):
     return sorted((a[0], a[1], a[4], a[3]) for a in found if not any(inside(a, b) for b in found))
 
 
-def example(expression):
-    """A text that an expression matches: the first branch of each choice, letters for classes, optional parts left out."""
+def example(expression, rng=None):
+    """A text that an expression matches. Without rng: the first branch of each choice, the first sign of each class, optional
+    parts left out; else all of these by chance."""
     import re._constants as c
     import re._parser as parser
 
@@ -138,19 +140,35 @@ def example(expression):
             if op is c.LITERAL:
                 out += chr(arg)
             elif op is c.IN:
-                kind, value = arg[0]
+                kind, value = rng.choice(arg) if rng else arg[0]
                 out += "0" if kind is c.CATEGORY else chr(value if kind is c.LITERAL else value[0])
             elif op is c.BRANCH:
-                out += one(arg[1][0])
+                out += one(rng.choice(arg[1]) if rng else arg[1][0])
             elif op is c.SUBPATTERN:
                 out += one(arg[3])
             elif op is c.MAX_REPEAT:
-                out += one(arg[2]) * arg[0]
+                low, high = arg[0], min(arg[1], arg[0] + 2)
+                out += "".join(one(arg[2]) for _ in range(rng.randint(low, high) if rng else low))
         return out
 
     return one(parser.parse(expression))
 
 
+def test_keywords_stand_in_all_that_their_rules_match():
+    """No spelling of a rule is kept from it by its keyword or by the gate."""
+    rng = random.Random(8)
+    for number, keyword, *_, expression in licenses.rules():
+        for _ in range(60):
+            text = example(expression, rng) + " "
+            assert re.search(expression, text) and keyword in text and any(a in text for a in licenses.ANCHORS), (number, text)
+
+
+def test_british_spellings(spark):
+    names = {"PHP licence 3.01": "php-3.01", "the Elastic licence 2.0": "elastic-2.0", "PSF licence": "python-2.0", "Open Software Licence 3.0": "osl-3.0", "Community Data Licence Agreement Permissive 2.0": "cdla-permissive-2.0"}
+    df = spark.createDataFrame([(i, f"x {k} y") for i, k in enumerate(names)], "doc_id long, text string")
+    assert [r.labels for r in licenses.scan_licenses(df).orderBy("doc_id").collect()] == [*names.values()]
+
+
 def test_detections_against_a_plain_scan(spark, sample):
     rules = licenses.rules()
     assert len(licenses.NOTICES) + len(licenses.FAMILIES) >= 170 and len({r[5] for r in rules}) == len(rules)
@@ -175,7 +193,6 @@ def check_packing(rows, texts, window):
     from tokenizers import Tokenizer
 
     bpe = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    bpe.encode_special_tokens = True
     ids = [[*e.ids, 0] for e in bpe.encode_batch([t or "" for t in texts], add_special_tokens=False)]
     assert sum(r.length for r in rows) == sum(map(len, ids))
     whole = {}
@@ -205,6 +222,14 @@ def test_packing(sample, docs, empty):
     assert packing.pack(empty).count() == 0
 
 
+def test_packing_of_the_vocabularys_marker(spark):
+    """A marker in a text is the marker's id, as the tokenizer has it by default."""
+    texts = ["a<|endoftext|>b", "<|endoftext|>", "<|endoftext|><|endoftext|> it's é <|endoftext|>", "<|endoftext| >", "plain"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    ids, _ = check_packing(packing.pack(df, 16).collect(), texts, 16)
+    assert [x.count(50256) for x in ids] == [1, 1, 3, 0, 0]
+
+
 def bm25(docs, idf, mean, query, i):
     n = {t: docs[i].count(t) for t in {*docs[query]} & {*docs[i]}}
     return sum(idf[t] * c * 2.2 / (c + 1.2 * (0.25 + 0.75 * len(docs[i]) / mean)) for t, c in n.items())
@@ -300,6 +325,15 @@ def test_index_scores_against_the_formula():
         assert np.isclose(got[i], s)
 
 
+def test_mixing_meets_small_targets(spark):
+    """A domain with a share of 0.00002 and a target of 0.0001 gets its target, to a hundredth."""
+    rows = [(10**5, [1.0, 0.0, 0.0])] * 30 + [(10**5, [0.0, 1.0, 0.0])] * 20 + [(20, [0.0, 0.0, 1.0])] * 5
+    df = spark.createDataFrame(rows, "n_tokens long, posteriors array<double>")
+    rated, fit = mixing.fit_rates(df, {"a": 0.5, "b": 0.4999, "c": 0.0001}, ["a", "b", "c"], 1.0, 0.0)
+    got = rated.agg(*(F.sum(F.col("n_tokens") * F.col("rate") * F.col("posteriors")[i]).alias(f"t{i}") for i in range(3))).first()
+    assert fit.converged and all(abs(got[i] / 5000100 - w) <= min(1e-4, 0.01 * w) * 1.0001 for i, w in enumerate((0.5, 0.4999, 0.0001)))
+
+
 def test_mixing_reaches_targets(sample, docs, empty):
     want = {"en": 0.4, "fr": 0.3, "de": 0.2, "es": 0.1}
     rows = mixing.mix(sample, sample.select("doc_id", "lang"), "lang", want).collect()
