@@ -127,7 +127,7 @@ def exact_dedup_at(docs: DataFrame, old: Column) -> DataFrame:
 
 def _dedup(rows: DataFrame) -> DataFrame:
     past, fresh = rows.where("old"), rows.where(~F.col("old"))
-    shards = max(1, -(-past.count() // SHARD_ROWS))
+    shards = max(1, -(-rows.count() // SHARD_ROWS))  # both sides meet in them, and either may be the larger
     index = materialise(build_index(past, shards))
     found = look_up(index, _groups(fresh, shards))
     members = found.where("member").select("sha", F.least("keep", "winner").alias("keep"), "n")

@@ -3,8 +3,9 @@
 A text is cut into units: its lines, and these at the ends of their sentences, so that a passage set into another
 line is still found. Units are normalised (letter case, blanks) and known by a 128-bit digest. A unit whose digest
 occurs in a document of smaller doc_id, or earlier in its own document, is a repeat; the earliest stays. Repeats are
-removed where they stand in a run of neighbouring repeats of at least `min_words` words, so that short formulas stay
-where they are; with min_words=1 every repeated unit goes. Spans are given in code points of the original text.
+removed where they make up a whole line, which has a digest of its own and is a repeat of an earlier whole line of any
+length, or where they stand in a run of neighbouring repeats of at least `min_words` words, so that short sentences inside
+a line stay; with min_words=1 these go, too. Spans are given in code points of the original text.
 
 Units miss a passage whose ends are glued to another text. So grams of GRAM words are compared as well: of every GRAM
 neighbouring grams the one of the smallest hash is an anchor, whatever stands around them, so that any passage of
@@ -53,10 +54,12 @@ class Words(NamedTuple):
     end: np.ndarray
     first: np.ndarray  # number of each text's first word, and of all
     hash: np.ndarray
+    other: np.ndarray  # a second hash, of other numbers for the letters
     unit: np.ndarray  # number of each unit's first word
     unit_start: np.ndarray
     unit_end: np.ndarray
     unit_doc: np.ndarray
+    line: np.ndarray  # units that begin a line
 
 
 def words_of(texts: list[str]) -> Words:
@@ -72,12 +75,14 @@ def words_of(texts: list[str]) -> Words:
     first = np.searchsorted(start, ends)
     n = len(start)
     lines = np.flatnonzero(code == 10)
-    new = np.zeros(n, bool)  # words that begin a unit
-    new[first[:-1][first[:-1] < n]] = True
+    new, line = np.zeros(n, bool), np.zeros(n, bool)  # words that begin a unit, and a line
+    new[first[:-1][first[:-1] < n]] = line[first[:-1][first[:-1] < n]] = True
     if n:
         stop = np.isin(code[end - 1], np.array([33, 46, 63], np.uint32))
         upto = np.searchsorted(lines, start)
-        new[1:] |= stop[:-1] | (upto[1:] > np.searchsorted(lines, end[:-1]))
+        line[1:] |= upto[1:] > np.searchsorted(lines, end[:-1])
+        new |= line
+        new[1:] |= stop[:-1]
     unit = np.flatnonzero(new)
     doc = np.searchsorted(first, unit, "right") - 1
     last = np.append(unit[1:], n)[: len(unit)] - 1  # last word of each unit
@@ -89,7 +94,9 @@ def words_of(texts: list[str]) -> Words:
     unit_start = np.where((before >= 0) & (padded[before] >= gap0), padded[before] + 1, np.where(unit == first[doc], gap0, start[unit]))
     unit_end = np.where(padded[np.minimum(after, len(lines) + 1)] < gap1, padded[np.minimum(after, len(lines) + 1)] + 1, gap1)
     unit_end = np.where(after < len(lines), unit_end, gap1)
-    return Words(ends, start, end, first, span_hashes(_lower(code), start, end), unit, unit_start, unit_end, doc)
+    small = _lower(code)
+    other = mix(small.astype(np.uint64) ^ np.uint64(0x5851F42D4C957F2D))
+    return Words(ends, start, end, first, span_hashes(small, start, end), span_hashes(other, start, end), unit, unit_start, unit_end, doc, line[unit])
 
 
 def units(text: str) -> list[tuple[int, int, int]]:
@@ -105,19 +112,21 @@ def anchors(hashes: np.ndarray) -> np.ndarray:
     return np.unique(np.lib.stride_tricks.sliding_window_view(hashes, GRAM).argmin(1) + np.arange(len(hashes) - GRAM + 1))
 
 
-def _grams(w: Words, i: int) -> np.ndarray:
-    """Hashes of the grams that begin at each word of a text but the last GRAM - 1."""
-    mine = w.hash[w.first[i] : w.first[i + 1]]
-    at = np.arange(max(0, len(mine) - GRAM + 1))
-    return span_hashes(mine, at, at + GRAM) if len(at) else np.zeros(0, np.uint64)
+def _grams(w: Words, i: int) -> tuple[np.ndarray, np.ndarray]:
+    """Both hashes of the grams that begin at each word of a text but the last GRAM - 1."""
+    at = np.arange(max(0, int(w.first[i + 1] - w.first[i]) - GRAM + 1))
+    if not len(at):
+        return np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+    return tuple(span_hashes(x[w.first[i] : w.first[i + 1]], at, at + GRAM) for x in (w.hash, w.other))
 
 
-PARTS = "row bigint, doc_id bigint, at int, word int, words int, hi bigint, lo bigint, own boolean"
+PARTS = "row bigint, doc_id bigint, at int, word int, words int, hi bigint, lo bigint, own boolean, whole boolean"
+LINE = np.uint64(0xA24BAED4963EE407)  # tells the digests of lines from those of units
 
 
 def unit_digests(docs: DataFrame, with_anchors: bool = True) -> DataFrame:
-    """A row for each unit: at (its number), word (its first), words, digest, own (repeats an earlier unit of its row); and
-    for each anchor: at and word (the gram's first word), words (the text's, negative), digest."""
+    """A row for each unit: at (its number), word (its first), words, digest, own (repeats an earlier unit of its row); the same
+    for each line, of which `whole` is true, at its first unit; and for each anchor: at and word (the gram's first word), words (the text's, negative), digest."""
 
     def run(frames):
         for pdf in frames:
@@ -126,24 +135,26 @@ def unit_digests(docs: DataFrame, with_anchors: bool = True) -> DataFrame:
             ids = pdf["doc_id"].fillna(0).to_numpy(np.int64)
             for a, b in batches(texts):
                 w = words_of(texts[a:b])
-                last = np.append(w.unit[1:], len(w.start))[: len(w.unit)]
-                hi, lo = span_hashes(w.hash, w.unit, last), span_hashes(mix(w.hash ^ np.uint64(0x5851F42D4C957F2D)), w.unit, last)
+                begins = np.flatnonzero(w.line)
+                number = np.arange(len(w.unit)) - np.searchsorted(w.unit_doc, w.unit_doc)
+                until = lambda x: np.append(x[1:], len(w.start))[: len(x)]  # noqa: E731, B023
+                word, last = np.concatenate((w.unit, w.unit[begins])), np.concatenate((until(w.unit), until(w.unit[begins])))
+                doc, number = np.concatenate((w.unit_doc, w.unit_doc[begins])), np.concatenate((number, number[begins]))
+                whole = np.arange(len(word)) >= len(w.unit)
+                hi, lo = (np.where(whole, mix(h ^ LINE), h) for h in (span_hashes(w.hash, word, last), span_hashes(w.other, word, last)))
                 # the first place of each digest in its text
-                same = np.lexsort((np.arange(len(hi)), lo, hi, w.unit_doc))
+                same = np.lexsort((np.arange(len(hi)), lo, hi, doc))
                 own = np.zeros(len(hi), bool)
-                own[same[1:]] = (w.unit_doc[same[1:]] == w.unit_doc[same[:-1]]) & (hi[same[1:]] == hi[same[:-1]]) & (lo[same[1:]] == lo[same[:-1]])
-                doc = w.unit_doc
-                number = np.arange(len(hi)) - np.searchsorted(doc, doc)
-                word = w.unit - w.first[doc]
-                parts = [(doc, number, word, last - w.unit, hi, lo, own)]
+                own[same[1:]] = (doc[same[1:]] == doc[same[:-1]]) & (hi[same[1:]] == hi[same[:-1]]) & (lo[same[1:]] == lo[same[:-1]])
+                parts = [(doc, number, word - w.first[doc], last - word, hi, lo, own, whole)]
                 for i in range(b - a) if with_anchors else ():
                     if not null[a + i]:
-                        h = _grams(w, i)
+                        h, other = _grams(w, i)
                         at = anchors(h)
                         if len(at):
-                            parts.append((np.full(len(at), i), at, at, np.full(len(at), -(w.first[i + 1] - w.first[i])), h[at], mix(h[at] + np.uint64(1)), np.zeros(len(at), bool)))
-                doc, number, word, size, hi, lo, own = (np.concatenate(x) for x in zip(*parts, strict=True))
-                yield pd.DataFrame({"row": row[a + doc], "doc_id": pd.arrays.IntegerArray(ids[a + doc], null[a + doc]), "at": number, "word": word, "words": size, "hi": hi.view(np.int64), "lo": lo.view(np.int64), "own": own})
+                            parts.append((np.full(len(at), i), at, at, np.full(len(at), -(w.first[i + 1] - w.first[i])), h[at], other[at], *np.zeros((2, len(at)), bool)))
+                doc, number, word, size, hi, lo, own, whole = (np.concatenate(x) for x in zip(*parts, strict=True))
+                yield pd.DataFrame({"row": row[a + doc], "doc_id": pd.arrays.IntegerArray(ids[a + doc], null[a + doc]), "at": number, "word": word, "words": size, "hi": hi.view(np.int64), "lo": lo.view(np.int64), "own": own, "whole": whole})
 
     return docs.mapInPandas(run, PARTS)
 
@@ -170,11 +181,13 @@ def _repeats(made: DataFrame) -> DataFrame:
 
 
 def _runs(found: DataFrame, min_words: int) -> DataFrame:
-    """KEY, a, b (words), words, first_doc of the runs of neighbouring repeated units that are long enough."""
+    """KEY, a, b (words), words, first_doc of the repeated lines, and of the runs of neighbouring repeated units that are long
+    enough."""
     w = Window.partitionBy(*KEY).orderBy("at")
-    numbered = found.where("words > 0").withColumns({"_run": F.col("at") - F.dense_rank().over(w), "_again": F.coalesce(F.lag("at").over(w) == F.col("at"), F.lit(False))})
+    numbered = found.where("words > 0 and not whole").withColumns({"_run": F.col("at") - F.dense_rank().over(w), "_again": F.coalesce(F.lag("at").over(w) == F.col("at"), F.lit(False))})
     runs = numbered.groupBy(*KEY, "_run").agg(F.min("word").alias("a"), F.max(F.col("word") + F.col("words")).alias("b"), F.sum(F.when(~F.col("_again"), F.col("words"))).cast("int").alias("words"), F.min("first_doc").alias("first_doc"))
-    return runs.where(F.col("words") >= min_words).drop("_run")
+    lines = found.where("whole").select(*KEY, F.col("word").alias("a"), (F.col("word") + F.col("words")).alias("b"), "words", "first_doc")
+    return runs.where(F.col("words") >= min_words).drop("_run").unionByName(lines)
 
 
 def _open_anchors(found: DataFrame, runs: DataFrame) -> DataFrame:
@@ -190,29 +203,30 @@ def _open_anchors(found: DataFrame, runs: DataFrame) -> DataFrame:
 
 
 def _gram_rows(joined: DataFrame) -> DataFrame:
-    """KEY, at, hash of all grams around the places."""
+    """KEY, at, hash and other of all grams around the places."""
 
     def run(frames):
         for pdf in frames:
             texts = pdf["text"].tolist()
             for a, b in batches(texts):
-                w, parts = words_of(texts[a:b]), [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64))]
+                none = np.zeros(0, np.uint64)
+                w, parts = words_of(texts[a:b]), [(np.zeros(0, np.int64), np.zeros(0, np.int64), none, none)]
                 for i in range(b - a):
-                    h = _grams(w, i)
+                    h, other = _grams(w, i)
                     near = (np.asarray(pdf["places"].iloc[a + i], np.int64)[:, None] + np.arange(1 - GRAM, GRAM)).ravel()
                     at = np.unique(near[(near >= 0) & (near < len(h))])
-                    parts.append((np.full(len(at), a + i), at, h[at]))
-                i, at, h = (np.concatenate(x) for x in zip(*parts, strict=True))
-                yield pd.DataFrame({"doc_id": pdf["doc_id"].to_numpy(np.int64)[i], "row": pdf["row"].to_numpy(np.int64)[i], "at": at, "hash": h.view(np.int64)})
+                    parts.append((np.full(len(at), a + i), at, h[at], other[at]))
+                i, at, h, other = (np.concatenate(x) for x in zip(*parts, strict=True))
+                yield pd.DataFrame({"doc_id": pdf["doc_id"].to_numpy(np.int64)[i], "row": pdf["row"].to_numpy(np.int64)[i], "at": at, "hash": h.view(np.int64), "other": other.view(np.int64)})
 
-    return joined.where("places is not null").select("doc_id", "row", "text", "places").mapInPandas(run, "doc_id bigint, row bigint, at int, hash bigint")
+    return joined.where("places is not null").select("doc_id", "row", "text", "places").mapInPandas(run, "doc_id bigint, row bigint, at int, hash bigint, other bigint")
 
 
 def _gram_runs(joined: DataFrame) -> DataFrame:
     """KEY, more: runs (a, b, first_doc) of grams that occur in a document of smaller doc_id."""
     every = materialise(_gram_rows(joined))
-    first = materialise(every.groupBy("hash").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last")).where("first_doc < last").select("hash", "first_doc"))
-    hits = every.join(first, "hash").where("first_doc < doc_id")
+    first = materialise(every.groupBy("hash", "other").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last")).where("first_doc < last").select("hash", "other", "first_doc"))
+    hits = every.join(first, ["hash", "other"]).where("first_doc < doc_id")
     w = Window.partitionBy(*KEY).orderBy("at")
     far = F.coalesce((F.col("at") > F.lag("at").over(w) + GRAM).cast("int"), F.lit(0))
     runs = hits.withColumn("_far", far).withColumn("_run", F.sum("_far").over(w)).groupBy(*KEY, "_run").agg(F.min("at").alias("a"), (F.max("at") + GRAM).alias("b"), F.min("first_doc").alias("first_doc"))
@@ -225,15 +239,17 @@ def _cut(text: str, runs: list, more: list) -> tuple[str, list]:
     found = []
     for r in runs:
         k = np.searchsorted(w.unit, [r["a"], r["b"] - 1], "right") - 1
-        found.append((int(w.unit_start[k[0]]), int(w.unit_end[k[1]]), r["words"], r["first_doc"]))
-    found += [(int(w.start[r["a"]]), int(w.end[r["b"] - 1]), None, r["first_doc"]) for r in more]
+        found.append((int(w.unit_start[k[0]]), int(w.unit_end[k[1]]), False, r["first_doc"]))
+    found += [(int(w.start[r["a"]]), int(w.end[r["b"] - 1]), True, r["first_doc"]) for r in more]
     out: list[tuple] = []
-    for s, e, n, d in sorted(found, key=lambda x: x[:2]):
+    for s, e, glued, d in sorted(found, key=lambda x: x[:2]):
         if out and s <= out[-1][1]:
             had = out[-1]
-            out[-1] = (had[0], max(had[1], e), had[2] if e <= had[1] else None, min((x for x in (had[3], d) if x is not None), default=None))
+            out[-1] = (had[0], max(had[1], e), had[2] or (glued and e > had[1]), min((x for x in (had[3], d) if x is not None), default=None))
         else:
-            out.append((s, e, n, d))
+            out.append((s, e, glued, d))
+    many = lambda s, e: int(np.searchsorted(w.start, e) - np.searchsorted(w.start, s))
+    out = [(s, e, None if glued else many(s, e), d) for s, e, glued, d in out]
     at, kept = 0, []
     for s, e, *_ in out:
         kept.append(text[at:s])

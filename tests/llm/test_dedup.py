@@ -31,6 +31,14 @@ def test_exact_against_grouping(spark, docs, cut):
     assert sorted(map(tuple, two), key=str) == want
 
 
+@pytest.mark.parametrize("cut", [0, 1, 100])
+def test_exact_over_many_shards(docs, cut, monkeypatch):
+    """Shards come from all rows: an empty or tiny history doesn't bring the new rows to one task."""
+    want = sorted(map(tuple, exact.exact_dedup_at(docs, F.col("doc_id") <= cut).collect()), key=str)
+    monkeypatch.setattr(exact, "SHARD_ROWS", 3)
+    assert sorted(map(tuple, exact.exact_dedup_at(docs, F.col("doc_id") <= cut).collect()), key=str) == want
+
+
 def test_exact_empty(empty):
     assert exact.exact_dedup_at(empty, F.lit(True)).count() == 0
 
@@ -130,15 +138,26 @@ def test_units_against_a_regular_expression(text):
     assert lines.units(text) == [u[:3] for u in units(text)]
 
 
-def test_lines_against_brute_force(sample):
+def whole_lines(text):
+    """(start, end, words, normalised text) of the lines that hold words, a line's end its own."""
+    at = 0
+    for line in re.findall(r"[^\n]*\n|[^\n]+", text):
+        if word := line.lower().split():
+            yield at, at + len(line), len(word), "line " + " ".join(word)
+        at += len(line)
+
+
+@pytest.mark.parametrize("least", [lines.MIN_WORDS, 1])
+def test_lines_against_brute_force(sample, least):
+    """Every whole line that stands earlier goes, and the sentences in runs of `least` words; with 1 no repeated one is left."""
     rows = [(r.doc_id, r.text) for r in sample.collect()]
     first: dict = {}
     for i, t in sorted(rows):
-        for *_, p in units(t):
+        for *_, p in [*units(t), *whole_lines(t)]:
             first.setdefault(p, i)
-    for r in lines.dedup_passages(sample).collect():
+    for r in lines.dedup_passages(sample, least).collect():
         text = dict(rows)[r.doc_id]
-        runs, seen, last = [], set(), None
+        runs, whole, seen, last = [], [], set(), None
         for k, (a, b, w, p) in enumerate(units(text)):
             if w and (p in seen or first[p] < r.doc_id):
                 if last == k - 1:
@@ -147,12 +166,24 @@ def test_lines_against_brute_force(sample):
                     runs.append((a, b, w))
                 last = k
             seen.add(p)
-        runs = [x for x in runs if x[2] >= lines.MIN_WORDS]
-        assert [(s.start, s.end, s.words) for s in r.spans] == runs
-        out, at = "", 0
-        for a, b, _ in runs:
-            out, at = out + text[at:a], b
-        assert r.text == out + text[at:] and r.n_removed == sum(b - a for a, b, _ in runs)
+        for a, b, w, p in whole_lines(text):
+            if p in seen or first[p] < r.doc_id:
+                whole.append((a, b, w))
+            seen.add(p)
+        gone = np.zeros(len(text), bool)
+        for a, b, _ in [x for x in runs if x[2] >= least] + whole:
+            gone[a:b] = True
+        marked = np.zeros(len(text), bool)
+        for x in r.spans:
+            assert not marked[x.start : x.end].any() and x.words == len(text[x.start : x.end].split())
+            marked[x.start : x.end] = True
+        assert (gone == marked).all()
+        assert r.text == "".join(c for c, g in zip(text, gone, strict=True) if not g) and r.n_removed == gone.sum()
+
+
+def test_repeated_lines_go_at_any_length(spark):
+    df = spark.createDataFrame([(1, "Menu\nHello there. Yes.\nOne"), (2, "Menu\nYes. Hello again.\nTwo\nTwo"), (3, "hello  there.  yes.\nYes.")], "doc_id long, text string")
+    assert {r.doc_id: r.text for r in lines.dedup_substrings(df).collect()} == {1: "Menu\nHello there. Yes.\nOne", 2: "Yes. Hello again.\nTwo\n", 3: "Yes."}
 
 
 def test_lines_odd_rows(docs, empty):
