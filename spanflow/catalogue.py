@@ -340,21 +340,26 @@ def plan_summary(spark, d):
     return sampling.plan_summary(R.assign_chunks(event_frames(spark, d), 16), 5)
 
 
-P3 = EMB + ", p0 AS (SELECT rec_id, frame_idx, [abs(CAST(embedding[{0}] AS DOUBLE)) + 0.001, abs(CAST(embedding[{1}] AS DOUBLE)) + 0.001, abs(CAST(embedding[{2}] AS DOUBLE)) + 0.001] AS v FROM emb)"
+def _pred(i: int) -> str:
+    """Unnormalised posterior i: 1 to 3 of the first predictor, 4 to 6 of the second; every third number of the vector, by
+    magnitude or squared."""
+    x = "CAST(embedding[j] AS DOUBLE)"
+    one = f"abs({x})" if i < 4 else f"{x} * {x}"
+    return f"(list_sum([{one} FOR j IN range({(i - 1) % 3 + 1}, 65, 3)]) + 0.001)"
 
 
-def _probs(first: int):
-    return fn.normalize(F.transform(F.slice("feat", first, 3), lambda x: F.abs(x) + 0.001))
+P3 = EMB + f", p0 AS (SELECT rec_id, frame_idx, [{_pred(1)}, {_pred(2)}, {_pred(3)}] AS v FROM emb)"
 
 
-def _posteriors(spark, d):
-    df = embedding_frames(spark, d)
-    one = lambda k, first: df.select("rec_id", "frame_idx", F.lit(k).alias("predictor"), _probs(first).alias("probs"))
-    return one(0, 1).unionByName(one(1, 4))
+def _probs(one):
+    total = lambda k: F.aggregate(F.filter(F.transform("feat", lambda x, i: F.struct(x.alias("x"), i.alias("i"))), lambda t: t["i"] % 3 == k), F.lit(0.0), lambda a, t: a + one(t["x"])) + 0.001
+    return fn.normalize(F.array(*(total(k) for k in range(3))))
 
 
-def _pred(i: int) -> str:
-    return f"(abs(CAST(embedding[{i}] AS DOUBLE)) + 0.001)"
+def _posteriors(spark, d):
+    df = embedding_frames(spark, d)
+    made = lambda k, one: df.select("rec_id", "frame_idx", F.lit(k).alias("predictor"), _probs(one).alias("probs"))
+    return made(0, F.abs).unionByName(made(1, lambda x: x * x))
 
 
 MERGED = ", ".join(f"{_pred(i)} / ({_pred(1)} + {_pred(2)} + {_pred(3)}) + 2 * {_pred(i + 3)} / ({_pred(4)} + {_pred(5)} + {_pred(6)}) AS m{i}" for i in (1, 2, 3))
@@ -367,7 +372,7 @@ def merge_posteriors(spark, d):
     return done.select("rec_id", "frame_idx", *(_r(F.col("probs")[i], f"p{i + 1}") for i in range(3)))
 
 
-VITERBI = P3.format(1, 2, 3) + """, p AS (SELECT rec_id, frame_idx, v[1] / (v[1] + v[2] + v[3]) / {0} AS a0, v[2] / (v[1] + v[2] + v[3]) / {1} AS b0, v[3] / (v[1] + v[2] + v[3]) / {2} AS c0 FROM p0),
+VITERBI = P3 + """, p AS (SELECT rec_id, frame_idx, v[1] / (v[1] + v[2] + v[3]) / {0} AS a0, v[2] / (v[1] + v[2] + v[3]) / {1} AS b0, v[3] / (v[1] + v[2] + v[3]) / {2} AS c0 FROM p0),
     o AS (SELECT rec_id, frame_idx, ln(greatest(1e-15, a0 / (a0 + b0 + c0))) AS a, ln(greatest(1e-15, b0 / (a0 + b0 + c0))) AS b, ln(greatest(1e-15, c0 / (a0 + b0 + c0))) AS c FROM p),
     w AS (SELECT rec_id, CAST(frame_idx AS BIGINT) AS t, ln(0.6) + a AS x, ln(0.2) + b AS y, ln(0.2) + c AS z, [0] AS px, [1] AS py, [2] AS pz FROM o WHERE frame_idx = 0 UNION ALL
         SELECT w.rec_id, t + 1, a + greatest(x + ln(0.8), y + ln(0.1), z + ln(0.1)), b + greatest(x + ln(0.1), y + ln(0.8), z + ln(0.1)), c + greatest(x + ln(0.1), y + ln(0.1), z + ln(0.8)),
@@ -437,10 +442,11 @@ def pick_recordings(spark, d):
     return S.pick_recordings(event_frames(spark, d), at=(3, 8)).select("rec_id", "frame_idx", "class")
 
 
-@query("SELECT count(DISTINCT c_custkey) AS pins, min(c_custkey) AS least_pin, max(c_custkey) AS most_pin FROM customer")
+@query("SELECT count(DISTINCT (c_nationkey, c_mktsegment)) AS records, count(DISTINCT c_nationkey) AS pins, min(c_nationkey) AS least_pin, max(c_nationkey) AS most_pin FROM customer")
 def speaker_counts(spark, d):
-    calls = _read(spark, d, "customer").select(F.array(F.struct(F.col("c_custkey").alias("pin"))).alias("speakers"))
-    return stats.speaker_counts(calls).select("pins", "least_pin", "most_pin")
+    """Nations as pins, segments as what is told of them: a pin has several records."""
+    told = F.struct(F.col("c_nationkey").alias("pin"), F.col("c_mktsegment").alias("gender"))
+    return stats.speaker_counts(_read(spark, d, "customer").select(F.array(told).alias("speakers")))
 
 
 @query("SELECT o_custkey AS rec_id, CASE WHEN bool_or(o_orderpriority LIKE '1%') AND bool_or(o_orderpriority LIKE '2%') THEN 12 ELSE max(CASE WHEN o_orderpriority LIKE '1%' THEN 4 WHEN o_orderpriority LIKE '2%' THEN 6 ELSE 2 END) END AS rate FROM orders GROUP BY o_custkey")
@@ -465,12 +471,6 @@ def batch_plan(spark, d):
     return sampling.batch_plan(R.assign_chunks(event_frames(spark, d), 16), 2, 7, start=(0, 5))
 
 
-@query()
-def training_batches(spark, d):
-    df = R.assign_chunks(embedding_frames(spark, d).withColumn("class", (F.col("class") % 3).cast("int")), 25)
-    return sampling.training_batches(df, 2, {0: 0.5}, 7, 3).select("rec_id", "frame_idx", "class", "row_pos", "step")
-
-
 @query()
 def classifier_scores(spark, d):
     from .plans.annotate import classify, fit_frame_classifier
@@ -479,14 +479,4 @@ def classifier_scores(spark, d):
     return classify(df, fit_frame_classifier(df, iterations=10)).select("rec_id", "frame_idx", "class", fn.argmax("probs").alias("pred"))
 
 
-@query()
-def logmel_events(spark, d):
-    """Log-mel features of the event values of each user, taken as samples."""
-    from .sources.audio import logmel
-
-    df = event_frames(spark, d).withColumn("block", F.floor(F.col("frame_idx") / 64))
-    rows = F.transform(F.sort_array(F.collect_list(F.struct("frame_idx", F.col("value").alias("v")))), lambda x: x["v"])
-    return logmel(df.groupBy("rec_id", "block").agg(rows.alias("samples")), 8000, 32, 8, 8)
-
-
-from . import catalogue_files, catalogue_more  # noqa: E402,F401 - they add their queries
+from . import catalogue_files, catalogue_more, catalogue_plans  # noqa: E402,F401 - they add their queries

@@ -99,16 +99,6 @@ def tiers_appended(spark, d):
     return _number(spark.read.parquet(path)).select("rec_id", "tier", "start", "end")
 
 
-@query(f"WITH {CONV} SELECT 'transcript' AS kind, count(*) AS n FROM conv UNION ALL SELECT 'tiers', count(*) FROM conv")
-def mixed_annotations(spark, d):
-    path = store.scratch(spark)
-    _transcripts(spark, d, f"{path}/a")
-    documents = A.tier_documents(A.tier_rows(turn_segments(spark, d), F.col("label")))
-    _write_lines(documents.withColumnRenamed("document", "value"), f"{path}/b")
-    both = A.read_transcripts(spark, f"{path}/a").unionByName(A.read_eaf(spark, f"{path}/b", glob="*.txt"), allowMissingColumns=True)
-    return both.groupBy(F.when(F.col("tier").isNull(), "transcript").otherwise("tiers").alias("kind")).agg(F.count(F.lit(1)).alias("n"))
-
-
 def _little(x, n):
     """n bytes of a number, the smallest first."""
     h = F.lpad(F.hex(x), 2 * n, "0")
@@ -163,7 +153,7 @@ def results_once(spark, d):
     path, ids = store.scratch(spark), _read(spark, d, "events").select("event_id")
     store.append_results(ids.where("event_id % 2 = 0").withColumn("mark", F.lit("first")), path, ["event_id"])
     store.append_results(ids.withColumn("mark", F.lit("second")), path, ["event_id"])
-    return spark.read.parquet(path)
+    return store.read_results(spark, path)
 
 
 @query(f"WITH {EV} SELECT CASE WHEN rec_id % 3 = 0 THEN 'val' ELSE 'train' END AS split, class AS state, CAST(sum(CASE WHEN frame_idx = 0 THEN 1 ELSE 0 END) AS BIGINT) AS init, count(*) AS prior FROM ev GROUP BY ALL")

@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import functions as F
 
-from .catalogue import CONV, EMB, EV, LONGS, RUNS, SEG, SEG0, _day, _posteriors, _r, _read, embedding_frames, event_frames, order_segments, query, turn_segments
+from .catalogue import CONV, EMB, EV, LONGS, RUNS, SEG, SEG0, _day, _posteriors, _pred, _r, _read, embedding_frames, event_frames, order_segments, query, turn_segments
 from .functions import scalar as fn
 from .operators import evaluate, sampling, stats
 from .operators import frames as R
@@ -55,7 +55,7 @@ def frame_count_checks(spark, d):
     return R.check_frames(frames, catalog, 80, 256)
 
 
-@query(f"WITH {EMB} SELECT rec_id, frame_idx, CASE WHEN class % 3 = 0 THEN 1.0 ELSE round((abs(CAST(embedding[1] AS DOUBLE)) + 0.001) / (abs(CAST(embedding[1] AS DOUBLE)) + abs(CAST(embedding[2] AS DOUBLE)) + abs(CAST(embedding[3] AS DOUBLE)) + 0.003), 4) END AS p0 FROM emb")
+@query(f"WITH {EMB}, v AS (SELECT *, {_pred(1)} AS a, {_pred(2)} AS b, {_pred(3)} AS c FROM emb) SELECT rec_id, frame_idx, CASE WHEN class % 3 = 0 THEN 1.0 ELSE round(a / (a + b + c), 4) END AS p0 FROM v")
 def forced_silence(spark, d):
     truth = embedding_frames(spark, d).select("rec_id", "frame_idx", (F.col("class") % 3).alias("true"))
     rows = _posteriors(spark, d).where("predictor = 0").join(truth, ["rec_id", "frame_idx"])
@@ -222,23 +222,22 @@ def scalar_functions_more(spark, d):
     )
 
 
-W = np.array([[0.5, -1.0], [1.0, 0.25], [-0.5, 0.75]])
-Z = [f"(CAST(embedding[1] AS DOUBLE) * {a} + CAST(embedding[2] AS DOUBLE) * {b} + {c})" for (a, b), c in zip(W.tolist(), (0.1, 0.0, -0.1), strict=True)]
+Z = [f"list_sum([CAST(embedding[j] AS DOUBLE) * (((j - 1) * {k + 2} % 7 - 3) / 10.0) FOR j IN range(1, 65)]) + {k / 10}" for k in range(3)]
 
 
 @query(f"WITH {EMB} SELECT rec_id, frame_idx, round(exp({Z[0]}) / (exp({Z[0]}) + exp({Z[1]}) + exp({Z[2]})), 3) AS p0 FROM emb")
 def predictor_scores(spark, d):
-    frames = embedding_frames(spark, d).select("rec_id", "frame_idx", F.array(F.slice("feat", 1, 2)).alias("context"))
-    return score(frames, predictor_of(W, np.array([0.1, 0.0, -0.1])), 2).select("rec_id", "frame_idx", _r(F.col("probs")[0], "p0", 3))
+    """A linear predictor of whole vectors."""
+    weights = np.array([[(j * (k + 2) % 7 - 3) / 10 for j in range(64)] for k in range(3)])
+    frames = embedding_frames(spark, d).select("rec_id", "frame_idx", F.array("feat").alias("context"))
+    return score(frames, predictor_of(weights, np.arange(3) / 10), 64).select("rec_id", "frame_idx", _r(F.col("probs")[0], "p0", 3))
 
 
-@query(f"WITH {EMB} SELECT rec_id, frame_idx, round(greatest(abs(CAST(embedding[1] AS DOUBLE)) + 0.001, 0.5) / (greatest(abs(CAST(embedding[1] AS DOUBLE)) + 0.001, 0.5) + 1.0), 4) AS p0 FROM emb")
+@query(f"""WITH {EMB}, v AS (SELECT rec_id, frame_idx, [{_pred(1)}, {_pred(2)}, {_pred(3)}] AS x, [{_pred(4)}, {_pred(5)}, {_pred(6)}] AS y FROM emb),
+    m AS (SELECT rec_id, frame_idx, [greatest(x[i] / list_sum(x), y[i] / list_sum(y)) FOR i IN range(1, 4)] AS m FROM v) SELECT rec_id, frame_idx, round(m[1] / list_sum(m), 4) AS p0 FROM m""")
 def merge_by_function(spark, d):
     """Two predictors, merged by the larger of their numbers instead of a sum."""
-    df = embedding_frames(spark, d)
-    first = df.select("rec_id", "frame_idx", F.lit(0).alias("predictor"), F.array(F.abs(F.col("feat")[0]) + 0.001, F.lit(0.0)).alias("probs"))
-    second = df.select("rec_id", "frame_idx", F.lit(1).alias("predictor"), F.array(F.lit(0.5), F.lit(1.0)).alias("probs"))
     from .operators.decode import merge_posteriors
 
-    both = merge_posteriors(first.unionByName(second), merge=lambda v: F.zip_with(v[0], v[1], lambda a, b: F.greatest(a, b)))
+    both = merge_posteriors(_posteriors(spark, d), merge=lambda v: F.zip_with(v[0], v[1], lambda a, b: F.greatest(a, b)))
     return both.select("rec_id", "frame_idx", _r(F.col("probs")[0], "p0"))

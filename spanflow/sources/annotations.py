@@ -177,6 +177,19 @@ def write_eaf(tiers: DataFrame, path: str, media: str | None = None, mode: str =
     tier_documents(tiers, media).select("rec_id", F.col("document").alias("value")).repartition("rec_id").write.mode(mode).partitionBy("rec_id").text(path)
 
 
+def add_to_eaf(spark: SparkSession, path: str, tiers: DataFrame, out: str, glob: str = "*.eaf", rec_id: Column | None = None, media: str | None = None) -> None:
+    """The ELAN documents below path with more tiers (rec_id, tier, start, end in ms, content, and perhaps annotator and
+    participant), written below out. A tier that a document has already is an error; a recording without a document gets
+    one. rec_id: the recording of a document, an expression of `source` (None: by the file's name)."""
+    had = read_eaf(spark, path, glob=glob, strict=False)
+    had = had.withColumn("rec_id", rec_id) if rec_id is not None else had
+    told = ("annotator", "participant")
+    both = had.select("rec_id", "tier", "start", "end", "content", *told, F.lit(0).alias("_new")).unionByName(tiers.withColumn("_new", F.lit(1)), allowMissingColumns=True)
+    own = F.collect_set("_new").over(Window.partitionBy("rec_id", "tier"))
+    clash = F.raise_error(F.concat(F.lit("the document has this tier: "), "tier"))
+    write_eaf(both.withColumn("tier", F.when(F.size(own) > 1, clash).otherwise(F.col("tier"))).drop("_new"), out, media)
+
+
 def folder_id(source: str = "source") -> Column:
     """The recording of a file that was written into a folder of its own."""
     return F.regexp_extract(source, r"rec_id=([^/]+)/", 1)

@@ -87,11 +87,78 @@ def catalog_of(files: DataFrame, format: str = "wav", strict: bool = True) -> Da
     return found.withColumn("rec_id", F.regexp_extract("path", r"([^/.]+)\.[^/]*$", 1))
 
 
-def audio_catalog(spark: SparkSession, path: str, format: str = "wav", strict: bool = True, head: int = 1 << 16) -> DataFrame:
+def _opened(path: str):
+    """A file that can be sought in, whatever file system its path names."""
+    if path.startswith("file:"):
+        return open("/" + path[5:].lstrip("/"), "rb")
+    from pyarrow import fs
+
+    system, at = fs.FileSystem.from_uri(path)
+    return system.open_input_file(at)
+
+
+def _wav_head(f, whole: int) -> bytes:
+    """The beginning of a WAV file and its chunks' heads up to the data, with the chunks in between left out: what
+    _wav_parts() needs, however long a chunk is. Also the bytes left out."""
+    head, skipped = f.read(12), 0
+    while True:
+        chunk = f.read(8)
+        head += chunk
+        if len(chunk) < 8 or chunk[:4] == b"data":
+            return head, skipped
+        size = int.from_bytes(chunk[4:], "little")
+        size += size % 2
+        if chunk[:4] == b"fmt ":
+            head += f.read(min(size, 64))
+            f.seek(max(0, size - 64), 1)
+            skipped += max(0, size - 64)
+        else:
+            head = head[:-8]
+            skipped += 8 + size
+            f.seek(min(size, whole), 1)
+
+
+def wav_catalog_of(files: DataFrame, strict: bool = True) -> DataFrame:
+    """catalog_of() for rows (path, length), with the columns kind, bits, at and bytes of the samples: headers are read by
+    seeking, so that what is read of a file doesn't depend on its length."""
+
+    def run(frames):
+        for pdf in frames:
+            rows = []
+            for p, length in zip(pdf["path"], pdf["length"], strict=True):
+                try:
+                    with _opened(p) as f:
+                        head, skipped = _wav_head(f, int(length))
+                    kind, channels, rate, bits, at, size = _wav_parts(head, int(length) - skipped)
+                    n = size // (bits // 8 * channels)
+                    rows.append((p, "wav", rate, channels, n / rate, n, None, kind, bits, at + skipped, size))
+                except ValueError as e:
+                    if strict:
+                        raise
+                    rows.append((p, "wav", None, None, None, None, str(e), None, None, None, None))
+            whole = ["rate", "channels", "samples", "kind", "bits", "at", "bytes"]
+            yield pd.DataFrame(rows, columns=["path", "format", "rate", "channels", "seconds", "samples", "problem", "kind", "bits", "at", "bytes"]).astype(dict.fromkeys(whole, "Int64"))
+
+    found = files.select("path", "length").mapInPandas(run, f"{CATALOG}, kind int, bits int, at bigint, bytes bigint")
+    return found.withColumn("rec_id", F.regexp_extract("path", r"([^/.]+)\.[^/]*$", 1))
+
+
+def audio_catalog(spark: SparkSession, path: str, format: str = "wav", strict: bool = True) -> DataFrame:
     """A row for each WAV or SPHERE file from its header; strict: a broken file is an error, else it is a row with a problem.
+    Tasks get paths and lengths and read headers alone."""
+    found = _files(spark, path, f"*.{format}").select("path", "length")
+    if format == "wav":
+        return wav_catalog_of(found, strict).drop("kind", "bits", "at", "bytes")
+
+    def heads(frames):
+        for pdf in frames:
+            first = []
+            for p in pdf["path"]:
+                with _opened(p) as f:
+                    first.append(f.read(1024))
+            yield pdf.assign(head=first)
 
-    Only the first `head` bytes leave the reader; a WAV file whose data begin later is read whole by read_samples()."""
-    return catalog_of(_files(spark, path, f"*.{format}").select("path", "length", F.substring("content", 1, head).alias("head")), format, strict)
+    return catalog_of(found.mapInPandas(heads, "path string, length bigint, head binary"), format, strict)
 
 
 def wav_header(content: str = "content"):
@@ -126,8 +193,31 @@ def samples_of(files: DataFrame, mono: bool = True, block: int = 1 << 16, strict
 
 
 def read_samples(spark: SparkSession, path: str, mono: bool = True, block: int = 1 << 16, strict: bool = True) -> DataFrame:
-    """samples_of() the WAV files below path."""
-    return samples_of(_files(spark, path, "*.wav"), mono, block, strict)
+    """What samples_of() gives for the WAV files below path, each block read by itself from its place in the file, so that
+    a long recording is dealt over tasks and none holds more than a block of it."""
+    files = wav_catalog_of(_files(spark, path, "*.wav").select("path", "length"), strict)
+    width = F.floor(F.col("bits") / 8) * F.col("channels")
+    last = F.floor((F.greatest(F.col("samples"), F.lit(1)) - 1) / block).cast("int")
+    ranges = files.select("path", "rec_id", "rate", "channels", "kind", "bits", "problem", "at", width.alias("width"), "samples", F.explode(F.sequence(F.lit(0), F.coalesce(last, F.lit(0)))).alias("block"))
+    ranges = ranges.withColumns({"at": F.col("at") + F.col("block").cast("long") * block * F.col("width"), "n": F.least(F.lit(block), F.col("samples") - F.col("block").cast("long") * block)})
+    ranges = ranges.where("problem is not null or n > 0").drop("samples").repartition("path", "block")
+
+    def run(frames):
+        names = ["path", "rec_id", "channel", "block", "rate", "samples", "problem"]
+        whole = dict.fromkeys(("channel", "block", "rate"), "Int32")
+        for pdf in frames:
+            for r in pdf.itertuples(index=False):
+                if isinstance(r.problem, str):
+                    yield pd.DataFrame([(r.path, r.rec_id, None, None, None, None, r.problem)], columns=names).astype(whole)
+                    continue
+                with _opened(r.path) as f:
+                    f.seek(int(r.at))
+                    x = pcm(f.read(int(r.n * r.width)), int(r.bits), int(r.channels), int(r.kind))
+                x = x.mean(1, keepdims=True) if mono else x
+                rows = [(r.path, r.rec_id, c, int(r.block), int(r.rate), x[:, c], None) for c in range(x.shape[1])]
+                yield pd.DataFrame(rows, columns=names).astype(whole)
+
+    return ranges.mapInPandas(run, "path string, rec_id string, channel int, block int, rate int, samples array<double>, problem string")
 
 
 def mel_bank(rate: int, n_fft: int, n_mels: int) -> np.ndarray:
@@ -152,26 +242,27 @@ def logmel_frames(x: np.ndarray, bank: np.ndarray, win: int, hop: int) -> np.nda
     return np.log10(np.maximum(1e-8, power @ bank.T))
 
 
-def logmel(samples: DataFrame, rate: int = 8000, win: int = 256, hop: int = 80, n_mels: int = 64, key: str = "rec_id") -> DataFrame:
-    """key, frame_idx, feat from rows (key, block, samples) with blocks of one length but the last.
-
-    A block's frames need the first samples of the next block; they come by a window over blocks, so that a recording
-    is worked on block by block and never as a whole."""
-    w = Window.partitionBy(key).orderBy("block")
-    size = F.size("samples")
-    ready = samples.select(key, "block", "samples", F.coalesce(F.slice(F.lead("samples").over(w), 1, win - 1), F.expr("cast(array() as array<double>)")).alias("_more"), (F.sum(size).over(w) - size).alias("_at"))
+def logmel(samples: DataFrame, rate: int = 8000, win: int = 256, hop: int = 80, n_mels: int = 64, key: str = "rec_id", frames: int = 4096) -> DataFrame:
+    """key, frame_idx, feat from rows (key, block, samples) with blocks of any lengths, also shorter than a window.
+
+    Samples are dealt anew into stretches of `frames` frames and the samples that their last frames reach into, so that a
+    recording is worked on by stretches and never as a whole."""
+    over = Window.partitionBy(key).orderBy("block")
+    size, span = F.size("samples").cast("long"), frames * hop
+    placed = samples.where(F.size("samples") > 0).select(key, "samples", size.alias("_n"), (F.sum(size).over(over) - size).alias("_at"))
+    first = F.greatest(F.lit(0).cast("long"), F.ceil((F.col("_at") - (span - hop + win - 1)) / span))
+    dealt = placed.withColumn("_k", F.explode(F.sequence(first, F.floor((F.col("_at") + F.col("_n") - 1) / span))))
+    lo = F.greatest(F.lit(0).cast("long"), F.col("_k") * span - F.col("_at"))
+    hi = F.least(F.col("_n"), (F.col("_k") + 1) * span - hop + win - F.col("_at"))
+    part = F.slice("samples", lo.cast("int") + 1, F.greatest(F.lit(0), (hi - lo).cast("int")))
+    dealt = dealt.select(key, "_k", (F.col("_at") + lo).alias("_at"), part.alias("part")).where(F.size("part") > 0)
     bank = mel_bank(rate, win, n_mels)
 
-    def run(parts):
-        for pdf in parts:
-            for k, x, more, at in zip(pdf[key], pdf["samples"], pdf["_more"], pdf["_at"], strict=True):
-                first = -(-int(at) // hop)  # the first frame that starts in this block
-                skip = first * hop - int(at)
-                y = np.concatenate((x, more))[skip:]
-                n = max(0, -(-(len(x) - skip) // hop))  # frames that start in it
-                feat = logmel_frames(y, bank, win, hop)[:n]
-                if len(feat):
-                    yield pd.DataFrame({key: [k] * len(feat), "frame_idx": np.arange(first, first + len(feat)), "feat": list(feat)})
+    def run(names, pdf):
+        x = np.concatenate(pdf.sort_values("_at")["part"].tolist())
+        feat = logmel_frames(x, bank, win, hop)[:frames]
+        start = int(names[1]) * frames
+        return pd.DataFrame({key: [names[0]] * len(feat), "frame_idx": np.arange(start, start + len(feat)), "feat": pd.Series(list(feat), dtype=object)})
 
     kind = samples.schema[key].dataType.simpleString()
-    return ready.mapInPandas(run, f"{key} {kind}, frame_idx bigint, feat array<double>")
+    return dealt.groupBy(key, "_k").applyInPandas(run, f"{key} {kind}, frame_idx bigint, feat array<double>")

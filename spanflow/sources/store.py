@@ -5,8 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, Observation, SparkSession
+from py4j.protocol import Py4JJavaError
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -31,18 +31,104 @@ def read_frames(spark: SparkSession, path: str, only_labels: bool = False) -> Da
     return df.drop("feat") if only_labels else df
 
 
-def append_results(df: DataFrame, path: str, keys: list[str]) -> int:
-    """Adds the rows whose keys the store doesn't have yet, and tells how many. What is there stays as it is."""
-    df = df.dropDuplicates(keys)
-    try:
-        df = df.join(df.sparkSession.read.parquet(path).select(*keys), keys, "left_anti")
-    except AnalysisException as e:
-        if "PATH_NOT_FOUND" not in str(e):
+def _files_of(spark: SparkSession, path: str):
+    """The Hadoop file system of a path, and a function that makes paths."""
+    make = spark._jvm.org.apache.hadoop.fs.Path
+    return make(path).getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()), make
+
+
+def _committed(spark: SparkSession, path: str) -> list[str]:
+    """Names of the batches that count, a log entry each."""
+    fs, make = _files_of(spark, path)
+    if not fs.exists(make(f"{path}/log")) or not fs.listStatus(make(f"{path}/log")):
+        return []
+    return [r["value"] for r in spark.read.text(f"{path}/log").collect()]
+
+
+def _commit(spark: SparkSession, path: str, number: int, batch: str) -> bool:
+    """Makes a batch the log's entry of this number; false if another has it. The entry is written in full under a hidden
+    name first; then one call of the file system, which never replaces a file, gives it its number."""
+    fs, make = _files_of(spark, path)
+    entry, staged = make(f"{path}/log/{number:012d}"), make(f"{path}/log/.{batch}")
+    fs.mkdirs(make(f"{path}/log"))
+    out = fs.create(staged, True)
+    out.write(bytearray(batch.encode()))
+    out.close()
+    if not fs.getUri().toString().startswith("file"):
+        return fs.rename(staged, entry)
+    jvm = spark._jvm
+    local = lambda p: jvm.java.io.File(fs.makeQualified(p).toUri()).toPath()
+    try:  # a local rename does replace a file, a link doesn't
+        jvm.java.nio.file.Files.createLink(local(entry), local(staged))
+        return True
+    except Py4JJavaError as e:
+        if "FileAlreadyExists" not in str(e.java_exception):
             raise
-    seen = F.count(F.lit(1)).alias("n")
-    watch = Observation()
-    df.observe(watch, seen).write.mode("append").parquet(path)
-    return watch.get["n"]
+        return False
+    finally:
+        fs.delete(staged, False)
+
+
+def _unknown(df: DataFrame, known: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows whose keys the other table doesn't have; null is a key like others."""
+    a, b = df.alias("a"), known.select(*keys).alias("b")
+    on = [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in keys]
+    return a.join(b, on, "left_anti")
+
+
+def append_results(df: DataFrame, path: str, keys: list[str]) -> int:
+    """Adds the rows whose keys the store doesn't have yet, and tells how many. What is there stays as it is; of rows with
+    equal keys the smallest in order of the other columns is added.
+
+    A batch is written to a folder of its own and counts once it has an entry in the log. A writer that finds the next
+    number taken leaves out the keys of the batches that came in between and tries again, so that each key is stored
+    once, however many write at a time; what a killed writer leaves has no entry and is never read."""
+    spark, rest = df.sparkSession, [c for c in df.columns if c not in keys]
+    if rest:
+        one = df.groupBy(*keys).agg(F.min(F.struct(*rest)).alias("_rest"))
+        new = one.select(*(F.col(c) if c in keys else F.col("_rest")[c].alias(c) for c in df.columns))
+    else:
+        new = df.distinct()
+    done: list[str] = []
+    batch = None
+    while True:
+        now = _committed(spark, path)
+        late = [b for b in now if b not in done]
+        if batch is None or late:
+            new = _unknown(new, _batches(spark, path, late), keys) if late else new
+            batch, done = uuid.uuid4().hex, now
+            new.write.parquet(f"{path}/data/{batch}")
+            new = spark.read.schema(df.schema).parquet(f"{path}/data/{batch}")
+        if _commit(spark, path, len(done) + 1, batch):
+            return new.count()
+
+
+def _batches(spark: SparkSession, path: str, names: list[str]) -> DataFrame:
+    return spark.read.parquet(*(f"{path}/data/{b}" for b in names))
+
+
+def read_results(spark: SparkSession, path: str) -> DataFrame:
+    """All rows that append_results() has stored."""
+    if not (names := _committed(spark, path)):
+        raise FileNotFoundError(f"no results in {path}")
+    return _batches(spark, path, names)
+
+
+def write_files(rows: DataFrame, folder: str) -> int:
+    """Writes each row (name, content) as a file below a folder that all executors share, and tells how many."""
+
+    def run(frames):
+        from pyarrow import fs
+
+        system, at = fs.FileSystem.from_uri("file:///" + folder[5:].lstrip("/") if folder.startswith("file:") else folder)
+        system.create_dir(at)
+        for pdf in frames:
+            for name, content in zip(pdf["name"], pdf["content"], strict=True):
+                with system.open_output_stream(f"{at}/{name}") as f:
+                    f.write(content)
+            yield pdf[["name"]]
+
+    return rows.select("name", F.col("content").cast("binary").alias("content")).mapInPandas(run, "name string").count()
 
 
 def write_priors(states: DataFrame, moves: DataFrame, path: str, split: str) -> None:
