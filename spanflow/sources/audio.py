@@ -262,7 +262,9 @@ def logmel(samples: DataFrame, rate: int = 8000, win: int = 256, hop: int = 80,
         x = np.concatenate(pdf.sort_values("_at")["part"].tolist())
         feat = logmel_frames(x, bank, win, hop)[:frames]
         start = int(names[1]) * frames
-        return pd.DataFrame({key: [names[0]] * len(feat), "frame_idx": np.arange(start, start + len(feat)), "feat": pd.Series(list(feat), dtype=object)})
+        if not len(feat):  # a row to drop: Arrow takes no table without rows here
+            return pd.DataFrame({key: [names[0]], "frame_idx": [-1], "feat": [None]})
+        return pd.DataFrame({key: [names[0]] * len(feat), "frame_idx": np.arange(start, start + len(feat)), "feat": list(feat)})
 
     kind = samples.schema[key].dataType.simpleString()
-    return dealt.groupBy(key, "_k").applyInPandas(run, f"{key} {kind}, frame_idx bigint, feat array<double>")
+    return dealt.groupBy(key, "_k").applyInPandas(run, f"{key} {kind}, frame_idx bigint, feat array<double>").where("frame_idx >= 0")
