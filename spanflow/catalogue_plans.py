@@ -82,6 +82,20 @@ def class_hook(spark, d):
     return sampling.subsample(event_frames(spark, d), {2: 0.4, 1: 0.0}, cls=F.length("class") % 3).select("rec_id", "frame_idx", "class")
 
 
+@query(f"""WITH {EV}, f AS (SELECT rec_id, frame_idx, class, frame_idx // 8 AS chunk_id, frame_idx // 32 AS chunk_range FROM ev), c AS (SELECT DISTINCT rec_id, chunk_id, chunk_range FROM f),
+    p AS (SELECT c.*, pass FROM c CROSS JOIN (SELECT unnest([0, 1]) AS pass)),
+    n AS (SELECT *, row_number() OVER (PARTITION BY pass ORDER BY md5('7:' || pass || ':' || chunk_range), md5('7:' || pass || ':' || chunk_range || ':' || rec_id || ':' || chunk_id)) - 1 AS chunk_pos FROM p)
+    SELECT n.pass, CAST(chunk_pos AS INTEGER) AS chunk_pos, rec_id, frame_idx, class FROM n JOIN f USING (rec_id, chunk_id, chunk_range) WHERE pass > 1 OR pass = 1 AND chunk_pos >= 100""")
+def resumed_pass(spark, d):
+    """Labels of the frames that are left of the second pass over a bucketed store, from its chunk 100 on."""
+    path = store.scratch(spark)
+    table = f"frames_{path.rsplit('-', 1)[1]}"
+    frames = R.assign_chunks(event_frames(spark, d).select("rec_id", "frame_idx", "class", F.array("value").alias("feat")), 8)
+    store.write_frame_table(frames, table, path, 8, 4)
+    plan = sampling.batch_plan(spark.table(table), 2, 7, keys=("chunk_range", "rec_id", "chunk_id"), start=(1, 100), first=1)
+    return store.read_plan(plan, table, only_labels=True).select("pass", "chunk_pos", "rec_id", "frame_idx", "class")
+
+
 # --- statistics and pairing
 
 

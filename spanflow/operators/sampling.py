@@ -13,9 +13,10 @@ def _draw(seed: int, *columns: str) -> Column:
     return F.md5(F.concat_ws(":", F.lit(str(seed)), *(F.col(c).cast("string") for c in columns)))
 
 
-def batch_plan(frames: DataFrame, passes: int, seed: int | None = None, keys: tuple = ("rec_id", "chunk_id"), start: tuple = (0, 0), steps: int | None = None) -> DataFrame:
+def batch_plan(frames: DataFrame, passes: int, seed: int | None = None, keys: tuple = ("rec_id", "chunk_id"), start: tuple = (0, 0), steps: int | None = None, first: int = 0) -> DataFrame:
     """pass, chunk_pos and keys: in which order each pass takes the chunks; from (pass, chunk) `start` on. With steps also
-    step and its number of rows, as assign_steps() makes them.
+    step and its number of rows, as assign_steps() makes them. first: so many of the keys are drawn by themselves before the
+    others, so that a pass takes all chunks of one value (such as a range of a store's chunks) before those of the next.
 
     Chunks are numbered within parts (recordings, or the first digits of the draw), and the parts' sizes are summed up, so
     that no task orders all chunks."""
@@ -23,7 +24,8 @@ def batch_plan(frames: DataFrame, passes: int, seed: int | None = None, keys: tu
     if seed is None:
         chunks, order = chunks.withColumn("_part", F.col(keys[0])), [*keys]
     else:
-        chunks, order = chunks.withColumn("_draw", _draw(seed, "pass", *keys)).withColumn("_part", F.substring("_draw", 1, 3)), ["_draw", *keys]
+        chunks = chunks.withColumns({"_first": _draw(seed, "pass", *keys[:first]) if first else F.lit(""), "_draw": _draw(seed, "pass", *keys)})
+        chunks, order = chunks.withColumn("_part", F.substring("_first" if first else "_draw", 1, 3)), ["_first", "_draw", *keys]
     parts = chunks.groupBy("pass", "_part").agg(F.count(F.lit(1)).alias("_n"))
     parts = parts.select("pass", "_part", (F.sum("_n").over(Window.partitionBy("pass").orderBy("_part")) - F.col("_n")).alias("_before"))
     here = F.row_number().over(Window.partitionBy("pass", "_part").orderBy(*order)) - 1

@@ -70,7 +70,8 @@ MPEG7 = """
 def read_mpeg7(spark: SparkSession, path: str, glob: str = "*.xml", strict: bool = True, dialect: str | None = None) -> DataFrame:
     """AudioSegment elements that have a descriptor, with ticks at the least common multiple of their file's rates.
     dialect: the prefix of the tags that count; without it any prefix does.
-    Segments without a descriptor or of no length are left out; strict: a file without any is an error."""
+    Segments without a descriptor or of no length are left out; strict: a file without any is an error that names it, raised
+    when the result is used."""
     raw = spark.read.format("xml").option("rowTag", "AudioSegment").option("ignoreNamespace", "true").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").schema(MPEG7).load(path).withColumn("source", F.col("_metadata.file_path"))
     if dialect is not None:  # files that use the prefix at all; rowTag with a prefix and ignoreNamespace don't go together
         tagged = spark.read.option("wholetext", "true").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").text(path)
@@ -83,9 +84,14 @@ def read_mpeg7(spark: SparkSession, path: str, glob: str = "*.xml", strict: bool
         fn.file_stem("source").alias("rec_id"), (F.col("t.start") * by).cast("long").alias("start"), (F.col("t.end") * by).cast("long").alias("end"), F.col("common").alias("rate"),
         F.col("d.Speaker._id").alias("speaker"), F.col("d.Speaker._gender").alias("gender"), F.col("d.Speaker.GivenName").alias("name"), F.col("d._confidence").alias("confidence"), F.col("d.SpokenContent").alias("content"), "source",
     )
-    if strict and out.limit(1).count() == 0:
-        raise ValueError(f"no annotation in {path}")
-    return out
+    if not strict:
+        return out
+    every = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").load(path).select(F.col("_metadata.file_path").alias("source"))
+    name = F.regexp_replace("source", "^file:/+", "/").alias("_name")  # the readers write it with one slash or three
+    # a condition on both sides of the join, so that it isn't tried before the join
+    found = every.withColumn("_name", name).join(out.select(name, F.lit(True).alias("_ok")).distinct(), "_name", "left")
+    bare = found.where(F.when(F.col("_ok"), False).otherwise(F.raise_error(F.concat(F.lit("no annotation in "), "source")).cast("boolean")))
+    return out.unionByName(bare.select("source"), allowMissingColumns=True)
 
 
 EAF = """

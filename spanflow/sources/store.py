@@ -25,6 +25,23 @@ def write_frames(frames: DataFrame, path: str, mode: str = "error") -> None:
     frames.repartitionByRange("split", "group_id", "rec_id").sortWithinPartitions("split", "group_id", "rec_id", "frame_idx").write.mode(mode).partitionBy("split", "group_id").parquet(path)
 
 
+def write_frame_table(frames: DataFrame, table: str, path: str, buckets: int, chunks: int, mode: str = "error") -> None:
+    """Frames with chunk_id as a table below path: by ranges of `chunks` chunks (chunk_range), and in each range in buckets by
+    recording and chunk, in order. A join with a batch plan then needs no shuffle of the frames, and a long recording lies in
+    many buckets."""
+    ranged = frames.withColumn("chunk_range", F.floor(F.col("chunk_id") / chunks).cast("int")).repartition(buckets, "rec_id", "chunk_id")
+    ranged.write.mode(mode).option("path", path).partitionBy("chunk_range").bucketBy(buckets, "rec_id", "chunk_id").sortBy("rec_id", "frame_idx").saveAsTable(table)
+
+
+def read_plan(plan: DataFrame, table: str, only_labels: bool = False) -> DataFrame:
+    """The frames of a table by write_frame_table() that a plan (chunk_range, rec_id, chunk_id, ...) takes, with the plan's
+    columns. Files of ranges that the plan doesn't name are not opened: a plan that is resumed late, made with first=1,
+    reads few. The names of ranges go through the driver, and nothing else."""
+    wanted = [r[0] for r in plan.select("chunk_range").distinct().collect()]
+    frames = plan.sparkSession.table(table).where(F.col("chunk_range").isin(wanted))
+    return (frames.drop("feat") if only_labels else frames).join(plan.drop("chunk_range"), ["rec_id", "chunk_id"])
+
+
 def read_frames(spark: SparkSession, path: str, only_labels: bool = False) -> DataFrame:
     """The stored frames; only_labels: the features are never read."""
     df = spark.read.parquet(path)

@@ -42,6 +42,10 @@ def test_mpeg7(spark, tmp_path):
     (tmp_path / "one.xml").write_text(f'<m:Mpeg7 xmlns:m="urn:x">{body}</m:Mpeg7>')
     got = [(r.start, r.end, r.rate, r.speaker) for r in A.read_mpeg7(spark, str(tmp_path)).orderBy("start").collect()]
     assert got == [(4500, 11250, 3000, "s1"), (13000, 16000, 3000, "s1")]
+    (tmp_path / "two.xml").write_text('<m:Mpeg7 xmlns:m="urn:x"></m:Mpeg7>')
+    assert A.read_mpeg7(spark, str(tmp_path), strict=False).count() == 2
+    with pytest.raises(PySparkException, match="no annotation in .*two.xml"):
+        A.read_mpeg7(spark, str(tmp_path)).collect()
 
 
 def test_eaf_round_trip(spark, tmp_path):

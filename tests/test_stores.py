@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from spanflow.operators import sampling
 from spanflow.plans.annotate import classify, fit_frame_classifier
 from spanflow.sources import annotations as A
 from spanflow.sources import audio, store
@@ -131,3 +132,29 @@ def test_classifier_against_its_coefficients(spark):
     p = np.exp(z - z.max(1, keepdims=True))
     p /= p.sum(1, keepdims=True)
     assert np.allclose([r.probs for r in got], p) and (p.argmax(1) == cls).mean() > 0.97
+
+
+def test_a_resumed_pass_skips_files(spark, tmp_path):
+    """No shuffle of the frames; what is read falls with the start position; the plan's parts make up the whole."""
+    df = spark.range(2000).select((F.col("id") % 5).cast("string").alias("rec_id"), F.floor(F.col("id") / 5).alias("frame_idx"), F.floor(F.col("id") / 50).alias("chunk_id"), F.array(F.lit(1.0)).alias("feat"))
+    store.write_frame_table(df, "kept_frames", f"file:{tmp_path}/frames", 4, 5)
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        keys = ("chunk_range", "rec_id", "chunk_id")
+        rows, files = [], []
+        for start in ((0, 0), (0, 120), (0, 195)):
+            plan = sampling.batch_plan(spark.table("kept_frames"), 1, 3, keys, start, first=1)
+            plan = spark.createDataFrame(plan.collect(), plan.schema)
+            taken = store.read_plan(plan, "kept_frames")
+            shuffles = [x for x in taken._jdf.queryExecution().executedPlan().toString().splitlines() if "Exchange" in x]
+            assert len(shuffles) == 1  # the plan's
+            rows.append(taken.count())
+            files.append(taken.select("chunk_range").distinct().count())
+        assert rows == [2000, 800, 50] and files[0] == 8 and files[1] < 5 and files[2] == 1
+        whole = sampling.batch_plan(spark.table("kept_frames"), 1, 3, keys, first=1).orderBy("chunk_pos").collect()
+        assert [r.chunk_pos for r in whole] == [*range(200)]
+        assert sum(a.chunk_range != b.chunk_range for a, b in zip(whole, whole[1:], strict=False)) == 7
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+        spark.sql("drop table kept_frames")
