@@ -1,7 +1,8 @@
 """Blocks of long recordings, so that no task needs a whole one.
 
 A block is what a recording has in one stretch of its order column: frame numbers or ticks. Work goes on in every block by
-itself; what must cross a border is worked out on a table of one row for each block and joined back.
+itself; what must cross a border is worked out on a table of one row for each block and joined back. Rows without a
+recording (null keys) or without a place in its order belong to no block and are left out.
 """
 
 from __future__ import annotations
