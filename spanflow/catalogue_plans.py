@@ -125,6 +125,46 @@ def turn_at_border(spark, d):
     return S.label_at(segs.select("rec_id", "turn", (F.col("end") - 1e-12).alias("t")), segs, default="outside", width=500).select("rec_id", "turn", "label")
 
 
+# --- checks, and what stores keep
+
+
+@query(f"""WITH {CONV}, k AS (SELECT * FROM conv WHERE turn % 5 <> 3), n AS (SELECT *, lead(s) OVER (PARTITION BY rec_id ORDER BY s, e) AS after FROM k)
+    SELECT rec_id, CAST(s AS BIGINT) AS start, CAST(e AS BIGINT) AS "end", 'the next segment starts elsewhere' AS problem FROM n WHERE after <> e""")
+def gaps_between_turns(spark, d):
+    return S.check_segments(turn_segments(spark, d).where("turn % 5 <> 3"), contiguous=True).select("rec_id", *_day("start", "end"), "problem")
+
+
+@query(f"""WITH {EV}, r AS (SELECT rec_id, count(*) AS n, max(abs(value - 40)) / 50 AS peak, avg((value - 40) / 50) AS mean FROM ev GROUP BY rec_id),
+    f AS (SELECT rec_id, unnest([CASE WHEN rec_id % 4 = 0 THEN 'rate' END, CASE WHEN rec_id % 5 = 0 THEN 'channels' END, CASE WHEN rec_id % 3 = 0 THEN 'shorter than its labels' END,
+        CASE WHEN peak > 1 THEN 'amplitude' END, CASE WHEN abs(mean) > 0.2 THEN 'mean' END]) AS "check" FROM r) SELECT rec_id, "check" FROM f WHERE "check" IS NOT NULL""")
+def sound_checks(spark, d):
+    """Rate, channels, length against labels, amplitude and mean of each user's values, taken as samples."""
+    blocks = event_frames(spark, d).groupBy("rec_id", F.floor(F.col("frame_idx") / 7).alias("block")).agg(F.collect_list((F.col("value") - 40) / 50).alias("samples"))
+    rate, rec = F.when(F.col("rec_id") % 4 == 0, 16000).otherwise(8000), F.col("rec_id")
+    catalog = blocks.groupBy("rec_id").agg(F.sum(F.size("samples")).alias("samples")).select("rec_id", "samples", rate.alias("rate"), F.when(rec % 5 == 0, 2).otherwise(1).alias("channels"))
+    labels = catalog.select("rec_id", F.lit(0.0).alias("start"), (F.col("samples") + F.when(rec % 3 == 0, 1).otherwise(0)).cast("double").alias("end"), "rate")
+    return R.check_recordings(catalog, labels, blocks, tolerance=0.2)
+
+
+@query(f"""WITH {EMB}, k AS (SELECT rec_id, frame_idx, frame_idx // 20 AS chunk_id, (rec_id + frame_idx) % 13 = 0 AS wide FROM emb WHERE (rec_id * 3 + frame_idx) % 17 <> 0),
+    c AS (SELECT rec_id, chunk_id, count(*) AS n, max(frame_idx) - min(frame_idx) + 1 AS span, bool_or(wide) AS wide FROM k GROUP BY ALL),
+    f AS (SELECT rec_id, chunk_id, n, unnest([CASE WHEN n <> 20 THEN 'size' END, CASE WHEN span <> n THEN 'gap' END, CASE WHEN wide THEN 'dimensions' END]) AS problem FROM c) SELECT * FROM f WHERE problem IS NOT NULL""")
+def chunk_checks(spark, d):
+    """Chunks of a wrong size, with gaps, or with vectors of other lengths."""
+    frames = embedding_frames(spark, d).where((F.col("rec_id") * 3 + F.col("frame_idx")) % 17 != 0)
+    cut = F.when((F.col("rec_id") + F.col("frame_idx")) % 13 == 0, F.slice("feat", 1, 63)).otherwise(F.col("feat"))
+    return R.check_chunks(R.assign_chunks(frames.withColumn("feat", cut), 20), 20, feat="feat", dims=64)
+
+
+@query(f"""WITH {EV}, x AS (SELECT CASE WHEN rec_id % 3 = 0 THEN 'val' ELSE 'train' END AS split, class, lag(class) OVER (PARTITION BY rec_id ORDER BY frame_idx) AS was FROM ev)
+    SELECT split, was AS from_state, class AS to_state, count(*) AS n FROM x WHERE was IS NOT NULL GROUP BY ALL""")
+def stored_transitions(spark, d):
+    path, frames = store.scratch(spark), event_frames(spark, d)
+    for split, part in (("val", "rec_id % 3 = 0"), ("train", "rec_id % 3 <> 0")):
+        store.write_priors(*decode.priors_from_frames(frames.where(part), size=16), path, split)
+    return store.read_priors(spark, path, ["val", "train"])[1].select("split", "from_state", "to_state", "n")
+
+
 # --- sound
 
 BANK = ", ".join(f"({m}, {k}, CAST({w!r} AS DOUBLE))" for m, row in enumerate(audio.mel_bank(8000, 32, 8).tolist()) for k, w in enumerate(row) if w)

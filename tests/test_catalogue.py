@@ -9,8 +9,15 @@ from spanflow import catalogue
 DATA = "/root/testdata/sf0.001"
 
 
+NAMES = (
+    "event_runs", "transition_priors", "flatten_orders", "overlay_flags", "labels_at_orders", "turn_at_offset", "confusion_by_source", "subsample_runs",
+    "overlap_chunks", "merge_posteriors", "calls_read", "mpeg7_read", "eaf_round_trip", "viterbi_states", "batch_plan", "labels_at_repeated_points", "runs_streamed",
+    "logmel_events", "stereo_context_batches", "mixed_annotations", "wav_files_read", "resumed_pass", "overlap_by_combination", "turn_at_border",
+)
+
+
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
-@pytest.mark.parametrize("name", ["event_runs", "transition_priors", "flatten_orders", "overlay_flags", "labels_at_orders", "turn_at_offset", "confusion_by_source", "subsample_runs", "overlap_chunks", "merge_posteriors", "calls_read", "mpeg7_read", "eaf_round_trip", "viterbi_states", "batch_plan", "labels_at_repeated_points", "runs_streamed"])
+@pytest.mark.parametrize("name", NAMES)
 def test_query_matches_sql(spark, name):
     import duckdb
 
