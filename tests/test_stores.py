@@ -7,8 +7,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from spanflow.operators import sampling
-from spanflow.plans.annotate import classify, fit_frame_classifier
+from spanflow.operators import decode, sampling
+from spanflow.plans.annotate import annotate, classify, fit_frame_classifier, predictor_of
 from spanflow.sources import annotations as A
 from spanflow.sources import audio, store
 
@@ -158,3 +158,29 @@ def test_a_resumed_pass_skips_files(spark, tmp_path):
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
         spark.sql("drop table kept_frames")
+
+
+def test_annotation_against_numpy(spark, tmp_path):
+    """The whole chain, from a sound file to tiers in milliseconds, and a file that can't be read."""
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=6000) * np.repeat(rng.choice([0.02, 0.2, 0.6], 12), 500)
+    x = np.clip(x, -1, 1)
+    wav(tmp_path / "one.wav", x)
+    (tmp_path / "bad.wav").write_bytes(b"RIFF nothing")
+    win, hop, mels, norm, c = 256, 80, 8, 12, 2
+    weights, bias = rng.normal(size=(3, (2 * c + 1) * mels)), np.array([0.1, 0.0, -0.1])
+    init, stay = [0.5, 0.3, 0.2], [[0.8, 0.1, 0.1], [0.1, 0.8, 0.1], [0.1, 0.1, 0.8]]
+    got = annotate(spark, str(tmp_path), predictor_of(weights, bias), init, stay, win=win, hop=hop, n_mels=mels, norm=norm, context=c).collect()
+
+    feat = audio.logmel_frames((x * 32767).astype("<i2") / 32768, audio.mel_bank(8000, win, mels), win, hop)
+    part = [feat[max(0, i - norm + 1) : i + 1] if i >= norm - 1 else feat[:norm] for i in range(len(feat))]
+    normed = np.array([(f - p.mean(0)) / p.std(0) for f, p in zip(feat, part, strict=True)])
+    stacked = np.stack([normed[i - c : i + c + 1].reshape(-1) for i in range(c, len(normed) - c)])
+    z = stacked @ weights.T + bias
+    p = np.exp(z - z.max(1, keepdims=True))
+    states = decode.best_path(p / p.sum(1, keepdims=True), np.array(init), np.array(stay))
+    cuts = [0, *(np.flatnonzero(np.diff(states)) + 1).tolist(), len(states)]
+    tick = lambda k: int(np.rint((k + (win // 2 + c * hop) / hop) * 1000 * hop / 8000))
+    want = [("one", ("none", "single", "multiple")[states[a]], tick(a), tick(b)) for a, b in zip(cuts, cuts[1:], strict=False)]
+    assert sorted((r.rec_id, r.tier, r.start, r.end) for r in got if r.problem is None) == sorted(want) and len(want) > 3
+    assert [(r.rec_id, r.tier) for r in got if r.problem] == [("bad", None)]
