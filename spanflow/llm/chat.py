@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -53,6 +54,14 @@ def _in_order(rows: DataFrame, *order) -> DataFrame:
     return rows.withColumn("conv_id", F.col("conv_id").cast("string")).repartition("conv_id").sortWithinPartitions("conv_id", *order)
 
 
+@lru_cache(maxsize=2)
+def _encoder(vocabulary: str | None):
+    """A vocabulary is read once by a Python worker, whatever number of tasks it runs."""
+    from .packing import Encoder
+
+    return Encoder(vocabulary)
+
+
 def _ids(column: pd.Series) -> list:
     return [None if pd.isna(x) else x for x in column]
 
@@ -65,9 +74,7 @@ def format_conversations(conversations: DataFrame, vocabulary: str | None = None
     rows = _in_order(rows, F.col("turn").asc_nulls_first(), "role", "text")
 
     def run(frames):
-        from .packing import Encoder
-
-        encode = Encoder(vocabulary).encode
+        encode = _encoder(vocabulary).encode
         last, place, before = object(), 0, 0  # of the conversation that the batch before ended in
         for pdf in frames:
             names = ["" if role in AROUND else escape(role) for role in pdf["role"]]
@@ -115,9 +122,7 @@ def read_back(formatted: DataFrame, vocabulary: str | None = None) -> DataFrame:
     rows = _in_order(formatted.select("conv_id", "place", "ids", "mask"), "place")
 
     def run(frames):
-        from .packing import Encoder
-
-        decode = Encoder(vocabulary).bpe.decode_bytes
+        decode = _encoder(vocabulary).bpe.decode_bytes
         none = object()
         last, turns, loss, counts = none, None, None, [0, 0, 0]
 
