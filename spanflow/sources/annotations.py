@@ -157,8 +157,9 @@ def tier_rows(segments: DataFrame, tier: Column, label: str = "label") -> DataFr
 
 
 def write_tiers(segments: DataFrame, path: str, tier: Column, label: str = "label", mode: str = "error") -> None:
-    """Tiers as a table by recording; mode append adds to what is there."""
-    tier_rows(segments, tier, label).repartition("rec_id").write.mode(mode).partitionBy("rec_id").parquet(path)
+    """Tiers as a table, a recording's rows together and in order; mode append adds to what is there. The number of files
+    follows the size of the table and not the number of recordings."""
+    tier_rows(segments, tier, label).repartition("rec_id").sortWithinPartitions("rec_id", "tier", "start").write.mode(mode).parquet(path)
 
 
 def tier_documents(tiers: DataFrame, media: str | None = None) -> DataFrame:

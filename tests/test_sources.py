@@ -164,3 +164,13 @@ def test_split_operators(spark):
     assert [r[0] for r in S.check_disjoint(a, b).collect()] == ["y"]
     assert sorted((r.rec_id, r.side) for r in S.check_same(a, b).collect()) == [("x", "left"), ("z", "right")]
     assert {r.rec_id: r.status for r in S.pair_recordings(a, b).collect()} == {"x": "left_only", "y": "both", "z": "right_only"}
+
+
+def test_tiers_in_few_files(spark, tmp_path):
+    path = str(tmp_path / "tiers")
+    df = spark.range(300).select(F.concat(F.lit("r"), "id").alias("rec_id"), F.lit(0.0).alias("start"), F.lit(2.0).alias("end"), F.lit(1.0).alias("rate"), F.lit("x").alias("label"))
+    A.write_tiers(df, path, F.col("label"))
+    A.write_tiers(df.where("rec_id < 'r2'").withColumn("label", F.lit("y")), path, F.col("label"), mode="append")
+    got = sorted((r.rec_id, r.tier, r.start, r.end) for r in spark.read.parquet(path).collect())
+    assert got == sorted((f"r{k}", t, 0, 2000) for k in range(300) for t in "xy" if t == "x" or f"r{k}" < "r2")
+    assert len(list((tmp_path / "tiers").rglob("*.parquet"))) < 50  # one for each recording before
