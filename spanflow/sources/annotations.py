@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from ..functions import scalar as fn
 from ..operators import segments as S
+from . import store
 
 
 def list_files(spark: SparkSession, root: str, glob: str = "*") -> DataFrame:
@@ -180,8 +181,8 @@ def tier_documents(tiers: DataFrame, media: str | None = None) -> DataFrame:
 
 
 def write_eaf(tiers: DataFrame, path: str, media: str | None = None, mode: str = "error") -> None:
-    """One ELAN file for each recording, in a folder of its own (rec_id=...) below path."""
-    tier_documents(tiers, media).select("rec_id", F.col("document").alias("value")).repartition("rec_id").write.mode(mode).partitionBy("rec_id").text(path)
+    """One ELAN file for each recording, rec_id=<rec_id>.eaf in some folder below path."""
+    store.write_texts(tier_documents(tiers, media).select("rec_id", F.col("document").alias("value")), path, "eaf", mode)
 
 
 def add_to_eaf(spark: SparkSession, path: str, tiers: DataFrame, out: str, glob: str = "*.eaf", rec_id: Column | None = None, media: str | None = None) -> None:
@@ -198,5 +199,5 @@ def add_to_eaf(spark: SparkSession, path: str, tiers: DataFrame, out: str, glob:
 
 
 def folder_id(source: str = "source") -> Column:
-    """The recording of a file that was written into a folder of its own."""
-    return F.regexp_extract(source, r"rec_id=([^/]+)/", 1)
+    """The recording of a file by write_texts(), or of one that was written into a folder of its own."""
+    return F.regexp_extract(source, r"rec_id=([^/]+?)(?:/|\.[^./]*$)", 1)

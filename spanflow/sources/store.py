@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
+import pandas as pd
 from py4j.protocol import Py4JJavaError
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -131,13 +134,18 @@ def read_results(spark: SparkSession, path: str) -> DataFrame:
     return _batches(spark, path, names)
 
 
+def _system(folder: str):
+    """The file system of a folder for use in a task, and the folder's path there."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri("file:///" + folder[5:].lstrip("/") if folder.startswith("file:") else folder)
+
+
 def write_files(rows: DataFrame, folder: str) -> int:
     """Writes each row (name, content) as a file below a folder that all executors share, and tells how many."""
 
     def run(frames):
-        from pyarrow import fs
-
-        system, at = fs.FileSystem.from_uri("file:///" + folder[5:].lstrip("/") if folder.startswith("file:") else folder)
+        system, at = _system(folder)
         system.create_dir(at)
         for pdf in frames:
             for name, content in zip(pdf["name"], pdf["content"], strict=True):
@@ -148,6 +156,52 @@ def write_files(rows: DataFrame, folder: str) -> int:
     return rows.select("name", F.col("content").cast("binary").alias("content")).mapInPandas(run, "name string").count()
 
 
+_UNSAFE = re.compile(r"""[\x00-\x1f"#%'*/:=?\\\x7f{}\[\]^]""")
+
+
+def write_texts(lines: DataFrame, folder: str, extension: str = "txt", mode: str = "error") -> int:
+    """A text file for each rec_id with its rows (value) as lines, by the name rec_id=<rec_id>.<extension>, and how many there
+    are. A task writes its files one after the other into a folder of its own, line by line and each under a hidden name
+    first, so that folders follow the tasks and no commit goes through all files. mode: as of Spark's writers."""
+    spark = lines.sparkSession
+    fs, make = _files_of(spark, folder)
+    if fs.exists(make(folder)):
+        if mode in ("error", "errorifexists"):
+            raise FileExistsError(folder)
+        if mode == "ignore":
+            return 0
+        if mode == "overwrite":
+            fs.delete(make(folder), True)
+    root, run_id = fs.makeQualified(make(folder)).toString(), uuid.uuid4().hex
+
+    def run(frames):
+        system, at = _system(root)
+        at = f"{at}/part-{TaskContext.get().partitionId():05d}-{run_id}"
+        now, out, done = None, None, 0
+
+        def close():
+            out.close()
+            system.move(f"{at}/.{now}.{extension}", f"{at}/{now}.{extension}")
+
+        for pdf in frames:
+            for rec, value in zip(pdf["rec_id"].tolist(), pdf["value"].tolist(), strict=True):
+                name = "rec_id=" + (_UNSAFE.sub(lambda m: f"%{ord(m[0]):02X}", rec) if rec else "__HIVE_DEFAULT_PARTITION__")
+                if name != now:
+                    if out is None:
+                        system.create_dir(at)
+                    else:
+                        close()
+                    now, out, done = name, system.open_output_stream(f"{at}/.{name}.{extension}"), done + 1
+                out.write(((value or "") + "\n").encode())
+        if out is not None:
+            close()
+        yield pd.DataFrame({"files": [done]})
+
+    rows = lines.select(F.coalesce(F.col("rec_id").cast("string"), F.lit("")).alias("rec_id"), "value")
+    made = rows.repartition("rec_id").sortWithinPartitions("rec_id").mapInPandas(run, "files bigint")
+    return made.agg(F.sum("files")).first()[0] or 0
+
+
 def write_priors(states: DataFrame, moves: DataFrame, path: str, split: str) -> None:
     """Both tables of raw counts for one split, in place of an earlier one."""
     for name, table in (("states", states), ("moves", moves)):

@@ -174,3 +174,20 @@ def test_tiers_in_few_files(spark, tmp_path):
     got = sorted((r.rec_id, r.tier, r.start, r.end) for r in spark.read.parquet(path).collect())
     assert got == sorted((f"r{k}", t, 0, 2000) for k in range(300) for t in "xy" if t == "x" or f"r{k}" < "r2")
     assert len(list((tmp_path / "tiers").rglob("*.parquet"))) < 50  # one for each recording before
+
+
+def test_texts_of_many_recordings(spark, tmp_path):
+    """A file for each recording, whatever its name, in as many folders as there are tasks."""
+    path, ids = str(tmp_path / "texts"), [*(f"r{k}" for k in range(200)), "a.b", "a/b", "ä c"]
+    rows = spark.createDataFrame([(r, f"{k} {k + 1} said") for r in ids for k in range(3)], "rec_id string, value string")
+    assert store.write_texts(rows, path) == 203
+    files = [f.name for f in (tmp_path / "texts").rglob("*.txt")]
+    assert len(files) == 203 and len(list((tmp_path / "texts").iterdir())) <= 4  # a folder for each recording before
+    got = A.read_sample_labels(spark, path, rec_id=A.folder_id()).groupBy("rec_id").count().collect()
+    assert {r["count"] for r in got} == {3} and {r.rec_id for r in got} >= {"r0", "r199", "a.b"}
+    with pytest.raises(FileExistsError):
+        store.write_texts(rows, path)
+    assert store.write_texts(rows.where("rec_id = 'r0'").withColumn("value", F.lit("9 10 x")), path, mode="append") == 1
+    assert sorted(r.start for r in A.read_sample_labels(spark, path, rec_id=A.folder_id()).where("rec_id = 'r0'").collect()) == [0, 1, 2, 9, 9, 9]
+    store.write_texts(rows.where("rec_id = 'r1'"), path, mode="overwrite")
+    assert A.list_files(spark, path).count() == 1
