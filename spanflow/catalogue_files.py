@@ -17,15 +17,11 @@ def _number(df):
     return df.withColumn("rec_id", F.col("rec_id").cast("long"))
 
 
-def _write_lines(df, path, rec="rec_id", line="value"):
-    df.select(F.col(rec).alias("rec_id"), F.col(line).alias("value")).repartition("rec_id").write.partitionBy("rec_id").text(path)
-
-
 def _transcripts(spark, d, path):
     seconds = lambda c: F.format_string("%d.%02d", F.floor(F.col(c) / 100).cast("long"), (F.col(c) % 100).cast("long"))
     turns = turn_segments(spark, d).join(_read(spark, d, "conversations").select(F.col("conv_id").alias("rec_id"), "turn", "text"), ["rec_id", "turn"])
     said = F.regexp_replace("text", "[\\r\\n:]", " ")
-    _write_lines(turns.withColumn("value", F.concat(seconds("start"), F.lit(" "), seconds("end"), F.when(F.col("turn") % 2 == 0, " A: ").otherwise(" B: "), said)), path)
+    store.write_texts(turns.withColumn("value", F.concat(seconds("start"), F.lit(" "), seconds("end"), F.when(F.col("turn") % 2 == 0, " A: ").otherwise(" B: "), said)), path)
 
 
 @query(f"WITH {CONV} SELECT c.rec_id, CAST(s AS BIGINT) AS start, CAST(e AS BIGINT) AS \"end\", CAST(100 AS BIGINT) AS rate, CAST(c.turn % 2 AS VARCHAR) AS speaker, trim(regexp_replace(text, '[\\r\\n:]', ' ', 'g')) AS content FROM conv c JOIN conversations v ON v.conv_id = c.rec_id AND v.turn = c.turn")
@@ -59,7 +55,7 @@ def calls_read(spark, d):
 def sample_labels_read(spark, d):
     path = store.scratch(spark)
     runs = R.runs(event_frames(spark, d), "class")
-    _write_lines(runs.withColumn("value", F.concat_ws(" ", "start", "end", "key", F.lit("run"), "run")), path)
+    store.write_texts(runs.withColumn("value", F.concat_ws(" ", "start", "end", "key", F.lit("run"), "run")), path)
     return _number(A.read_sample_labels(spark, path, rec_id=A.folder_id())).select("rec_id", "start", "end", "rate", "label")
 
 
@@ -71,7 +67,7 @@ def _mpeg7(spark, d, path):
     who = F.when(F.col("turn") % 5 != 4, F.concat(F.lit('<m:AudioDescriptor confidence="0.5"><m:SpokenContent>said</m:SpokenContent><m:Speaker id="'), "label", F.lit('" gender="f"><m:GivenName>Ann</m:GivenName></m:Speaker></m:AudioDescriptor>'))).otherwise("")
     one = F.concat(F.lit("<m:AudioSegment><m:MediaTime><m:MediaTimePoint>"), point, F.lit("</m:MediaTimePoint><m:MediaDuration>"), length, F.lit("</m:MediaDuration></m:MediaTime>"), who, F.lit("</m:AudioSegment>"))
     pages = turn_segments(spark, d).withColumn("x", one).groupBy("rec_id").agg(F.concat(F.lit('<m:Mpeg7 xmlns:m="urn:x">'), F.array_join(F.sort_array(F.collect_list("x")), ""), F.lit("</m:Mpeg7>")).alias("value"))
-    _write_lines(pages, path)
+    store.write_texts(pages, path)
 
 
 @query(f"""WITH {CONV}, k AS (SELECT *, CASE WHEN turn % 2 = 0 THEN 10 ELSE 4 END AS n FROM conv WHERE turn % 5 <> 4), r AS (SELECT rec_id, CASE WHEN count(DISTINCT n) = 2 THEN 20 ELSE max(n) END AS rate FROM k GROUP BY rec_id)
