@@ -192,6 +192,10 @@ def samples_of(files: DataFrame, mono: bool = True, block: int = 1 << 16, strict
     return found.withColumn("rec_id", F.regexp_extract("path", r"([^/.]+)\.[^/]*$", 1))
 
 
+#: Samples that a task holds before it hands them on.
+HELD = 1 << 18
+
+
 def read_samples(spark: SparkSession, path: str, mono: bool = True, block: int = 1 << 16, strict: bool = True) -> DataFrame:
     """What samples_of() gives for the WAV files below path, each block read by itself from its place in the file, so that
     a long recording is dealt over tasks and none holds more than a block of it."""
@@ -200,22 +204,33 @@ def read_samples(spark: SparkSession, path: str, mono: bool = True, block: int =
     last = F.floor((F.greatest(F.col("samples"), F.lit(1)) - 1) / block).cast("int")
     ranges = files.select("path", "rec_id", "rate", "channels", "kind", "bits", "problem", "at", width.alias("width"), "samples", F.explode(F.sequence(F.lit(0), F.coalesce(last, F.lit(0)))).alias("block"))
     ranges = ranges.withColumns({"at": F.col("at") + F.col("block").cast("long") * block * F.col("width"), "n": F.least(F.lit(block), F.col("samples") - F.col("block").cast("long") * block)})
-    ranges = ranges.where("problem is not null or n > 0").drop("samples").repartition("path", "block")
+    ranges = ranges.where("problem is not null or n > 0").drop("samples").repartition("path", "block").sortWithinPartitions("path", "block")
 
     def run(frames):
         names = ["path", "rec_id", "channel", "block", "rate", "samples", "problem"]
-        whole = dict.fromkeys(("channel", "block", "rate"), "Int32")
+        table = lambda rows: pd.DataFrame(rows, columns=names).astype(dict.fromkeys(("channel", "block", "rate"), "Int32"))
         for pdf in frames:
+            rows, held, path, f = [], 0, None, None
             for r in pdf.itertuples(index=False):
                 if isinstance(r.problem, str):
-                    yield pd.DataFrame([(r.path, r.rec_id, None, None, None, None, r.problem)], columns=names).astype(whole)
+                    rows.append((r.path, r.rec_id, None, None, None, None, r.problem))
                     continue
-                with _opened(r.path) as f:
-                    f.seek(int(r.at))
-                    x = pcm(f.read(int(r.n * r.width)), int(r.bits), int(r.channels), int(r.kind))
+                if r.path != path:
+                    if f is not None:
+                        f.close()
+                    path, f = r.path, _opened(r.path)
+                f.seek(int(r.at))
+                x = pcm(f.read(int(r.n * r.width)), int(r.bits), int(r.channels), int(r.kind))
                 x = x.mean(1, keepdims=True) if mono else x
-                rows = [(r.path, r.rec_id, c, int(r.block), int(r.rate), x[:, c], None) for c in range(x.shape[1])]
-                yield pd.DataFrame(rows, columns=names).astype(whole)
+                rows += [(r.path, r.rec_id, c, int(r.block), int(r.rate), x[:, c], None) for c in range(x.shape[1])]
+                held += x.size
+                if held >= HELD:  # a table for many short blocks, and no more than these at once
+                    yield table(rows)
+                    rows, held = [], 0
+            if f is not None:
+                f.close()
+            if rows:
+                yield table(rows)
 
     return ranges.mapInPandas(run, "path string, rec_id string, channel int, block int, rate int, samples array<double>, problem string")
 
@@ -237,16 +252,25 @@ def logmel_frames(x: np.ndarray, bank: np.ndarray, win: int, hop: int) -> np.nda
     """log10 of the mel power of each full frame, floored at 1e-8."""
     if len(x) < win:
         return np.zeros((0, len(bank)))
+    return _logmel_rows(np.lib.stride_tricks.sliding_window_view(x, win)[::hop], bank)
+
+
+def _logmel_rows(rows: np.ndarray, bank: np.ndarray) -> np.ndarray:
+    win = rows.shape[1]
     hann = 0.5 - 0.5 * np.cos(2 * np.pi * np.arange(win) / win)
-    power = np.abs(np.fft.rfft(np.lib.stride_tricks.sliding_window_view(x, win)[::hop] * hann, axis=1)) ** 2
+    power = np.abs(np.fft.rfft(rows * hann, axis=1)) ** 2
     return np.log10(np.maximum(1e-8, power @ bank.T))
 
 
+#: Samples of a row that goes to Python, so that an Arrow batch of many rows stays small.
+PART = 1 << 10
+
+
 def logmel(samples: DataFrame, rate: int = 8000, win: int = 256, hop: int = 80, n_mels: int = 64, key: str = "rec_id", frames: int = 4096) -> DataFrame:
     """key, frame_idx, feat from rows (key, block, samples) with blocks of any lengths, also shorter than a window.
 
     Samples are dealt anew into stretches of `frames` frames and the samples that their last frames reach into, so that a
-    recording is worked on by stretches and never as a whole."""
+    recording is worked on by stretches and never as a whole. A task works on many short stretches at once."""
     over = Window.partitionBy(key).orderBy("block")
     size, span = F.size("samples").cast("long"), frames * hop
     placed = samples.where(F.size("samples") > 0).select(key, "samples", size.alias("_n"), (F.sum(size).over(over) - size).alias("_at"))
@@ -258,13 +282,35 @@ def logmel(samples: DataFrame, rate: int = 8000, win: int = 256, hop: int = 80,
     dealt = dealt.select(key, "_k", (F.col("_at") + lo).alias("_at"), part.alias("part")).where(F.size("part") > 0)
     bank = mel_bank(rate, win, n_mels)
 
-    def run(names, pdf):
-        x = np.concatenate(pdf.sort_values("_at")["part"].tolist())
-        feat = logmel_frames(x, bank, win, hop)[:frames]
-        start = int(names[1]) * frames
-        if not len(feat):  # a row to drop: Arrow takes no table without rows here
-            return pd.DataFrame({key: [names[0]], "frame_idx": [-1], "feat": [None]})
-        return pd.DataFrame({key: [names[0]] * len(feat), "frame_idx": np.arange(start, start + len(feat)), "feat": list(feat)})
-
-    kind = samples.schema[key].dataType.simpleString()
-    return dealt.groupBy(key, "_k").applyInPandas(run, f"{key} {kind}, frame_idx bigint, feat array<double>").where("frame_idx >= 0")
+    def features(pdf, first):
+        """Features of the stretches that begin at the rows `first`."""
+        bounds = np.concatenate(([0], np.cumsum([len(p) for p in pdf["part"]])))[np.append(first, len(pdf))]
+        many = np.clip((np.diff(bounds) - win) // hop + 1, 0, frames)
+        which = np.repeat(np.arange(len(first)), many)
+        place = np.arange(len(which)) - np.repeat(np.cumsum(many) - many, many)
+        x, keys, number, step = np.concatenate(pdf["part"].tolist()), pdf["_key"].to_numpy()[first], pdf["_k"].to_numpy()[first], max(1, (1 << 20) // win)
+        for i in range(0, len(which), step):
+            w, j = which[i : i + step], place[i : i + step]
+            feat = _logmel_rows(np.lib.stride_tricks.sliding_window_view(x, win)[bounds[w] + j * hop], bank)
+            yield pd.DataFrame({"_key": keys[w], "frame_idx": number[w] * frames + j, "feat": list(feat)})
+
+    def run(tables):
+        held = None  # the rows of the last stretch, which may go on
+        for pdf in tables:
+            pdf = pdf if held is None else pd.concat([held, pdf], ignore_index=True)
+            if not len(pdf):
+                continue
+            code = pd.factorize(pdf["_key"], use_na_sentinel=False)[0]
+            new = np.ones(len(pdf), bool)
+            new[1:] = (code[1:] != code[:-1]) | (pdf["_k"].to_numpy()[1:] != pdf["_k"].to_numpy()[:-1])
+            first = np.flatnonzero(new)
+            held = pdf.iloc[first[-1] :]
+            if len(first) > 1:
+                yield from features(pdf.iloc[: first[-1]], first[:-1])
+        if held is not None:
+            yield from features(held, np.array([0]))
+
+    kind = samples.schema[key].dataType
+    cut = F.transform(F.sequence(F.lit(0), F.floor((F.size("part") - 1) / PART).cast("int")), lambda i: F.struct((F.col("_at") + i * PART).alias("_at"), F.slice("part", i * PART + 1, PART).alias("part")))
+    rows = dealt.select(F.col(key).cast("string").alias("_key"), "_k", F.inline(cut)).repartition("_key", "_k").sortWithinPartitions("_key", "_k", "_at")
+    return rows.mapInPandas(run, "_key string, frame_idx bigint, feat array<double>").select(F.col("_key").cast(kind).alias(key), "frame_idx", "feat")

@@ -184,3 +184,33 @@ def test_annotation_against_numpy(spark, tmp_path):
     want = [("one", ("none", "single", "multiple")[states[a]], tick(a), tick(b)) for a, b in zip(cuts, cuts[1:], strict=False)]
     assert sorted((r.rec_id, r.tier, r.start, r.end) for r in got if r.problem is None) == sorted(want) and len(want) > 3
     assert [(r.rec_id, r.tier) for r in got if r.problem] == [("bad", None)]
+
+
+def test_logmel_of_many_short_stretches(spark):
+    """Stretches of many recordings are worked on together, also of recordings without a name or shorter than a window."""
+    bank, made = audio.mel_bank(8000, 32, 8), {}
+    rng = np.random.default_rng(3)
+    rows = []
+    for rec, n in [(None, 90), *((k, 10 + 7 * k) for k in range(40)), (2**60 + 1, 3000)]:
+        x = rng.normal(size=n)
+        made[rec] = audio.logmel_frames(x, bank, 32, 8)
+        rows += [(rec, b, x[k : k + 1100].tolist()) for b, k in enumerate(range(0, n, 1100))]
+    df = spark.createDataFrame(rows, "rec_id bigint, block int, samples array<double>")
+    for frames in (2, 4096):
+        feats = audio.logmel(df, 8000, 32, 8, 8, frames=frames)
+        assert not any(w in feats._jdf.queryExecution().toString() for w in ("FlatMapGroupsInPandas", "FlatMapGroupsInArrow"))  # a group for each stretch before
+        got = {}
+        for r in feats.orderBy("frame_idx").collect():
+            got.setdefault(r.rec_id, []).append(r.feat)
+        assert {k: len(v) for k, v in got.items()} == {k: len(v) for k, v in made.items() if len(v)}
+        assert all(np.allclose(v, made[k]) for k, v in got.items())
+
+
+def test_many_blocks_in_one_table(spark, tmp_path):
+    """Short blocks leave a task together, and those with a problem among them."""
+    for k in range(5):
+        (tmp_path / f"f{k}.wav").write_bytes(b"RIFF" + bytes(4) + b"WAVEfmt " + (16).to_bytes(4, "little") + b"\x01\0\x01\0" + (8000).to_bytes(4, "little") + bytes(6) + b"\x08\0data" + (950).to_bytes(4, "little") + bytes([128 + k]) * 950)
+    (tmp_path / "bad.wav").write_bytes(b"no")
+    got = {(r.rec_id, r.block): r for r in audio.read_samples(spark, str(tmp_path), block=100, strict=False).collect()}
+    assert len(got) == 51 and all(len(got[f"f{k}", b].samples) == (50 if b == 9 else 100) and got[f"f{k}", b].samples[0] == k / 128 for k in range(5) for b in range(10))
+    assert [r.problem for r in got.values() if r.problem] == ["not a WAV file"]
