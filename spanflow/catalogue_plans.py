@@ -257,7 +257,7 @@ def tiers_added_to_documents(spark, d):
 
 @query(f"WITH {RUNS} SELECT rec_id, s AS start, e AS \"end\", class AS key FROM runs")
 def runs_of_late_frames(spark, d):
-    """A stream whose second file holds the frames between those of the first: with a watermark the runs are those of all."""
+    """A stream whose second part holds the frames between those of the first: with a watermark the runs are those of all."""
     path = store.scratch(spark)
     frames = event_frames(spark, d).select("rec_id", "frame_idx", "class", F.timestamp_seconds(F.col("frame_idx") + 1000).alias("ts"))
     end = frames.limit(1).select(F.lit(-1).cast(frames.schema["rec_id"].dataType).alias("rec_id"), F.lit(0).cast("long").alias("frame_idx"), "class")
@@ -265,9 +265,9 @@ def runs_of_late_frames(spark, d):
     before, spark_conf = spark.conf.get("spark.sql.streaming.stateStore.providerClass", None), spark.conf
     stateful.use_rocksdb(spark)
     try:
-        for part in parts:  # a restart from the checkpoint after each file
-            part.coalesce(1).write.mode("append").parquet(f"{path}/in")
-            stream = stateful.runs_stream(stateful.stream_frames(spark, f"{path}/in", frames.schema, 1), watermark=("ts", "1000000 seconds"))
+        for part in parts:  # a restart from the checkpoint after each part
+            part.write.mode("append").parquet(f"{path}/in")
+            stream = stateful.runs_stream(stateful.stream_frames(spark, f"{path}/in", frames.schema), watermark=("ts", "1000000 seconds"))
             stream.writeStream.outputMode("append").option("checkpointLocation", f"{path}/state").option("path", f"{path}/out").format("parquet").trigger(availableNow=True).start().awaitTermination()
     finally:
         if before is None:

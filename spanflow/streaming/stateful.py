@@ -35,8 +35,13 @@ def use_rocksdb(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
 
 
+#: Frames of an entry of state, and an event time after all others.
+HELD, NEVER = 10_000, 1 << 62
+
+
 class InOrder(StatefulProcessor):
-    """Hands a recording's frames on in order of frame_idx once the watermark has passed them.
+    """Hands a recording's frames on in order of frame_idx once the watermark has passed them. Waiting frames are kept in
+    lists, an entry for what a batch brings, so that calls of the state follow the batches and not the frames.
 
     work(carry, frames) takes the tuple of what was kept (None at first) and a list of (frame_idx, value), and returns what
     to keep and rows to emit; end(carry) returns the rows that a recording's end emits."""
@@ -46,45 +51,53 @@ class InOrder(StatefulProcessor):
 
     def init(self, handle) -> None:
         self.handle = handle
-        self.held = handle.getMapState("held", "frame_idx bigint", self.held_schema)
+        self.held = handle.getListState("held", self.held_schema)
         self.carry = handle.getValueState("carry", self.carry_schema)
-        self.last = handle.getValueState("last", "ms bigint")
-
-    def _ripe(self, before: int | None) -> list[tuple]:
-        """Rows of the frames whose event time is before a time (None: all)."""
-        ready = sorted((k[0], v[0]) for k, v in self.held.iterator() if before is None or v[1] < before)
+        self.span = handle.getValueState("span", "first bigint, last bigint")
+
+    def _ripe(self, before: int | None, span: tuple) -> tuple[list[tuple], tuple]:
+        """Rows of the frames whose event time is before a time (None: all), and the event times that are left. State is read
+        only when a frame is ripe; of a frame that came twice the later one counts."""
+        if before is not None and span[0] >= before:
+            return [], span
+        held = {}
+        for part in self.held.get():
+            held.update(zip(part[0], zip(part[1], part[2], strict=True), strict=True))
+        ready = sorted((k, v) for k, (v, t) in held.items() if before is None or t < before)
+        late = [(k, v, t) for k, (v, t) in held.items() if before is not None and t >= before]
+        parts = [tuple(map(list, zip(*late[i : i + HELD], strict=True))) for i in range(0, len(late), HELD)]
+        self.held.put(parts) if parts else self.held.clear()
+        span = min((t for *_, t in late), default=NEVER), span[1]
         if not ready:
-            return []
+            return [], span
         kept, rows = self.work(self.carry.get() if self.carry.exists() else None, ready)
-        for k, _ in ready:
-            self.held.removeKey((k,))
         self.carry.update(kept)
-        return rows
+        return rows, span
 
     def _table(self, key, rows: list[tuple]) -> pd.DataFrame:
         return pd.DataFrame([(key[0], *r) for r in rows], columns=["rec_id", *self.names])
 
     def handleInputRows(self, key, rows, timerValues):
-        newest = self.last.get()[0] if self.last.exists() else None
+        was = self.span.get() if self.span.exists() else None
+        first, last = was or (NEVER, -NEVER)
         for pdf in rows:
             ms = pdf["event_time"].astype("datetime64[ms]").astype("int64")
-            for k, v, t in zip(pdf["frame_idx"].tolist(), pdf["value"].tolist(), ms.tolist(), strict=True):
-                self.held.updateValue((k,), (v, t))
-                if newest is None or t > newest:
-                    newest = t
-        for t in list(self.handle.listTimers()):
-            self.handle.deleteTimer(t)
-        self.last.update((newest,))
-        self.handle.registerTimer(newest + 1)  # fires when the watermark is past the last frame
-        yield self._table(key, self._ripe(timerValues.getCurrentWatermarkInMs()))
+            self.held.appendValue((pdf["frame_idx"].tolist(), pdf["value"].tolist(), ms.tolist()))
+            first, last = min(first, int(ms.min())), max(last, int(ms.max()))
+        if not was or last != was[1]:
+            if was:
+                self.handle.deleteTimer(was[1] + 1)
+            self.handle.registerTimer(last + 1)  # fires when the watermark is past the last frame
+        out, span = self._ripe(timerValues.getCurrentWatermarkInMs(), (first, last))
+        self.span.update(span)
+        yield self._table(key, out)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        rows = self._ripe(None)
+        rows, _ = self._ripe(None, self.span.get())
         if self.end:
             rows += self.end(self.carry.get())
             self.carry.clear()
-        self.held.clear()
-        self.last.clear()
+        self.span.clear()
         yield self._table(key, rows)
 
     def close(self) -> None:
@@ -96,7 +109,7 @@ def _in_order(frames: DataFrame, value: str, watermark: tuple, carry: str, out:
     # names that Python takes for fields, which a column called class is not
     rows = frames.withWatermark(*watermark).select("rec_id", "frame_idx", F.col(value).alias("value"), F.col(watermark[0]).alias("event_time"))
     names = [part.strip().split(" ")[0] for part in out.split(",")]
-    step = InOrder(f"value {kind}, ms bigint", carry, names, work, end)
+    step = InOrder(f"frame_idx array<bigint>, value array<{kind}>, ms array<bigint>", carry, names, work, end)
     return rows.groupBy("rec_id").transformWithStateInPandas(step, f"rec_id {rec}, {out}", "Append", "EventTime")
 
 

@@ -1,7 +1,9 @@
 import datetime
 import random
 from collections import Counter
+from types import SimpleNamespace
 
+import pandas as pd
 import pytest
 
 from spanflow.operators import decode
@@ -100,3 +102,43 @@ def test_frames_out_of_order(spark, tmp_path):
     for r in got:
         sums[r.from_state, r.to_state] += r.n
     assert sums == {(r.from_state, r.to_state): r.n for r in decode.priors_from_frames(batch)[1].collect()}
+
+
+class Kept:
+    """State of a stream in memory that counts its calls."""
+
+    def __init__(self):
+        self.x, self.calls, self.timers = {}, 0, set()
+
+    def _of(self, name):
+        self.calls += 1
+        return self.x.get(name)
+
+    def _set(self, name, value):
+        self.calls += 1
+        self.x[name] = value
+
+    def getValueState(self, name, _):
+        return SimpleNamespace(exists=lambda: self._of(name) is not None, get=lambda: self._of(name), update=lambda v: self._set(name, v), clear=lambda: self._set(name, None))
+
+    def getListState(self, name, _):
+        return SimpleNamespace(get=lambda: iter(self._of(name) or []), appendValue=lambda v: self._set(name, [*(self.x.get(name) or []), v]), put=lambda v: self._set(name, v), clear=lambda: self._set(name, None))
+
+    def registerTimer(self, t):
+        self.timers.add(t)
+
+    def deleteTimer(self, t):
+        self.timers.discard(t)
+
+
+def test_calls_of_state_follow_batches():
+    kept = Kept()
+    step = T.InOrder("", "", ["at"], lambda carry, ready: ((1,), [(k,) for k, _ in ready]))
+    step.init(kept)
+    out = []
+    for part, mark in ((range(0, 3000, 2), 0), (range(1, 3000, 2), 0), (range(3000, 3001), 1500)):
+        pdf = pd.DataFrame({"frame_idx": list(part), "value": 0, "event_time": pd.to_datetime(list(part), unit="ms")})
+        out += pd.concat(step.handleInputRows(("a",), iter([pdf]), SimpleNamespace(getCurrentWatermarkInMs=lambda m=mark: m)))["at"].tolist()
+        assert kept.timers == {max(part) + 1} if len(part) > 1 else kept.timers == {3001}
+    assert out == list(range(1500)) and kept.calls < 30  # more than 3,000 when each frame had an entry
+    assert pd.concat(step.handleExpiredTimer(("a",), None, None))["at"].tolist() == list(range(1500, 3001))
