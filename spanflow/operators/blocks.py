@@ -21,6 +21,16 @@ def block_of(order: str | Column, size: float) -> Column:
     return F.floor((F.col(order) if isinstance(order, str) else order) / size).cast("long")
 
 
+#: Tasks for each of Spark's shuffle partitions where a step makes many rows of one.
+FINER = 4
+
+
+def dealt(df: DataFrame, *keys: str) -> DataFrame:
+    """df dealt by keys over more tasks than other shuffles have, which Spark doesn't merge: what its small shuffled rows
+    grow to in the later steps then fits into a task's memory and isn't spilled."""
+    return df.repartition(FINER * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def before(per_block: DataFrame, keys: Sequence[str], **sums: str) -> DataFrame:
     """per_block (keys, _b, ...) with the sums of columns over all earlier blocks of the same keys, by new name."""
     w = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)

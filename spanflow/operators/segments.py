@@ -101,7 +101,7 @@ def flatten(segments: DataFrame, label: str = "label", width: float | None = Non
         edge(F.when(starts_here, F.col("s")), F.when(starts_here, 0).otherwise(-1), 0, F.col("label")),
         edge(F.when(ends_here, F.col("e")), F.when(ends_here, 0).otherwise(1), 1, F.when(none.isNotNull(), F.col("label"))),
     )
-    events = segs.select("rec_id", "_b", "i", F.inline(edges)).repartition("rec_id", "_b")
+    events = B.dealt(segs.select("rec_id", "_b", "i", F.inline(edges)), "rec_id", "_b")
     w = Window.partitionBy("rec_id", "_b").orderBy("side", "t")
     new = (F.col("side") == 0) & ~F.lag("t").over(w).eqNullSafe(F.col("t"))
     ranked = events.withColumn("_new", new.cast("int")).withColumn("_r", F.sum("_new").over(w))

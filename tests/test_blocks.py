@@ -208,3 +208,12 @@ def test_overlap_of_combinations(spark):
 def test_pairs_with_counts(spark):
     left, right = (spark.createDataFrame([(x,) for x in s], "rec_id string") for s in ("aabc", "abdd"))
     assert sorted(map(tuple, S.pair_recordings(left, right, counts=True).collect())) == [("a", "mismatch", 2, 1), ("b", "both", 1, 1), ("c", "left_only", 1, 0), ("d", "right_only", 0, 2)]
+
+
+def test_growing_steps_are_dealt_finely(spark):
+    """What flatten's rows grow to is dealt over more tasks than a shuffle has, which are not merged."""
+    df = spark.createDataFrame([("a", 0.0, 4.0, 0, "x"), ("a", 2.0, 6.0, 1, "y")], "rec_id string, start double, end double, seg_idx int, label string")
+    flat = S.flatten(df, width=10)
+    many = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert f", {many}), REPARTITION_BY_NUM" in flat._jdf.queryExecution().executedPlan().toString()  # of Spark's choice before
+    assert sorted((r.start, r.end, r.labels) for r in flat.collect()) == [(0, 2, ["x"]), (2, 4, ["x", "y"]), (4, 6, ["y"])]
