@@ -55,9 +55,9 @@ def gcd(x, y) -> Column:
 
 
 def lcm(x, y) -> Column:
-    """Least common multiple, 0 if either is 0."""
+    """Least common multiple, 0 if either is 0. Of equal numbers, and of 1 and another, no divisor is looked for."""
     g = gcd(x, y)
-    return F.when(g == 0, F.lit(0).cast("long")).otherwise((F.abs(_c(x)) / F.greatest(g, F.lit(1))).cast("long") * F.abs(_c(y)))
+    return F.when(_c(x) == _c(y), F.abs(_c(x)).cast("long")).when(_c(x) == 1, F.abs(_c(y)).cast("long")).when(g == 0, F.lit(0).cast("long")).otherwise((F.abs(_c(x)) / F.greatest(g, F.lit(1))).cast("long") * F.abs(_c(y)))
 
 
 def combine_time(point, length) -> Column:

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import codecs
+import re
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -14,8 +17,8 @@ from . import store
 
 
 def list_files(spark: SparkSession, root: str, glob: str = "*") -> DataFrame:
-    """path and length of the files below root; contents are not read."""
-    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(root).select("path", "length")
+    """path and length of the files below root; contents are not read, and tasks list the folders."""
+    return store.files_below(spark, root, glob)
 
 
 def _lines(spark: SparkSession, path: str, glob: str | None) -> DataFrame:
@@ -68,31 +71,94 @@ MPEG7 = """
 """
 
 
+#: Comments, character data, and the tags of AudioSegment elements with any prefix; the last one of a text may be open.
+_MARKS = re.compile(r"""<!--(?:.*?-->|.*\Z)|<!\[CDATA\[(?:.*?\]\]>|.*\Z)|<(/?)(?:[^\s<>/:!?"']+:)?AudioSegment(?:\s(?:[^>"']|"[^"]*"|'[^']*')*?)?(/?)>""", re.S)
+
+
+def _decoder(head: bytes):
+    """What decodes an XML file that begins with these bytes."""
+    told = re.match(rb"""<\?xml[^>]*?encoding\s*=\s*["']([\w.-]+)""", head)
+    name = "utf-16" if head[:2] in (b"\xff\xfe", b"\xfe\xff") else told[1].decode() if told else "utf-8-sig"
+    try:
+        return codecs.getincrementaldecoder(name)("replace")
+    except LookupError:
+        return codecs.getincrementaldecoder("utf-8")("replace")
+
+
+def _audio_segments(f, tag: str | None, size: int = 1 << 20):
+    """The text of each outermost AudioSegment of an open file; then None, if the file has the tag. No more is held than
+    `size` bytes and the segment they lie in."""
+    head = f.read(size)
+    decode, text, at, start, depth, tagged = _decoder(head), "", 0, None, 0, tag is None
+    while True:
+        old = max(0, len(text) - len(tag or ""))
+        text += decode.decode(head, final=not head)
+        tagged = tagged or text.find(tag, old) >= 0
+        while m := _MARKS.search(text, at):
+            if m[0][:2] == "<!":
+                if not m[0].endswith(("-->", "]]>")) and head:
+                    break
+            elif m[1]:
+                depth = max(0, depth - 1)
+            elif not m[2]:
+                depth += 1
+                start = m.start() if depth == 1 else start
+            at = m.end()
+            if not m[0].startswith("<!") and depth == 0 and (start is not None or m[2]):
+                yield text[m.start() if start is None else start : at]
+                start = None
+        if not head:
+            break
+        if m is None:  # a mark may be cut
+            last = text.rfind("<", at)
+            at = last if last >= 0 and ">" not in text[last:] else len(text)
+        else:
+            at = m.start()
+        cut = at if start is None else start
+        text, at, start = text[cut:], at - cut, None if start is None else 0
+        head = f.read(size)
+    if tagged:
+        yield None
+
+
 def read_mpeg7(spark: SparkSession, path: str, glob: str = "*.xml", strict: bool = True, dialect: str | None = None) -> DataFrame:
     """AudioSegment elements that have a descriptor, with ticks at the least common multiple of their file's rates.
     dialect: the prefix of the tags that count; without it any prefix does.
     Segments without a descriptor or of no length are left out; strict: a file without any is an error that names it, raised
-    when the result is used."""
-    raw = spark.read.format("xml").option("rowTag", "AudioSegment").option("ignoreNamespace", "true").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").schema(MPEG7).load(path).withColumn("source", F.col("_metadata.file_path"))
-    if dialect is not None:  # files that use the prefix at all; rowTag with a prefix and ignoreNamespace don't go together
-        tagged = spark.read.option("wholetext", "true").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").text(path)
-        raw = raw.join(tagged.where(F.contains("value", F.lit(f"<{dialect}:AudioSegment"))).select(F.col("_metadata.file_path").alias("source")), "source", "left_semi")
-    df = raw.select("MediaTime", F.get("AudioDescriptor", F.lit(0)).alias("d"), "source")
-    df = df.select("source", "d", fn.combine_time(fn.time_point("MediaTime.MediaTimePoint"), fn.duration("MediaTime.MediaDuration")).alias("t")).where("d is not null and t.end > t.start")
-    rates = S.common_rate_of(df.select("source", F.col("t.rate").alias("rate")))
+    when the result is used. Each file is opened once, by one of the tasks that the files are dealt over."""
+    tag = None if dialect is None else f"<{dialect}:AudioSegment"
+
+    def run(frames):
+        for pdf in frames:
+            rows, held = [], 0
+            for p in pdf["path"]:
+                source = store.uri_of(p)
+                rows.append((source, None, False))  # for files without a segment
+                with store.opened(p) as f:
+                    for x in _audio_segments(f, tag):
+                        rows.append((source, x, x is None))
+                        held += len(x or "") + 100
+                        if held >= 1 << 22:
+                            yield pd.DataFrame(rows, columns=["source", "x", "tagged"])
+                            rows, held = [], 0
+            if rows:
+                yield pd.DataFrame(rows, columns=["source", "x", "tagged"])
+
+    raw = store.files_below(spark, path, glob).mapInPandas(run, "source string, x string, tagged boolean")
+    raw = raw.select("source", "tagged", F.col("x").isNull().alias("_mark"), F.from_xml("x", MPEG7, {"ignoreNamespace": "true"}).alias("x"))
+    df = raw.select("source", "tagged", "_mark", F.get("x.AudioDescriptor", F.lit(0)).alias("d"), F.col("x.MediaTime").alias("m"))
+    times = F.when(F.col("d").isNotNull(), fn.combine_time(fn.time_point("m.MediaTimePoint"), fn.duration("m.MediaDuration")))
+    df = df.withColumn("t", times).withColumn("_ok", F.coalesce(F.col("t.end") > F.col("t.start"), F.lit(False)))
+    df, file = df.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "source"), Window.partitionBy("source")
+    df = df.withColumns({"_r": F.collect_set(F.when(F.col("_ok"), F.col("t.rate"))).over(file), "_has": F.max("tagged").over(file), "_n": F.row_number().over(file.orderBy(F.desc("_mark")))})
+    df = df.withColumn("common", F.aggregate("_r", F.lit(1).cast("long"), fn.lcm))
+    bare = (F.col("_n") == 1) & ((F.size("_r") == 0) | ~F.col("_has"))
+    missing = F.raise_error(F.concat(F.lit("no annotation in "), "source")).cast("boolean") if strict else F.lit(False)
     by = F.col("common") / F.col("t.rate")
-    out = df.join(rates, "source").select(
+    return df.where(F.when(F.col("_ok") & F.col("_has"), True).when(bare, missing).otherwise(False)).select(
         fn.file_stem("source").alias("rec_id"), (F.col("t.start") * by).cast("long").alias("start"), (F.col("t.end") * by).cast("long").alias("end"), F.col("common").alias("rate"),
         F.col("d.Speaker._id").alias("speaker"), F.col("d.Speaker._gender").alias("gender"), F.col("d.Speaker.GivenName").alias("name"), F.col("d._confidence").alias("confidence"), F.col("d.SpokenContent").alias("content"), "source",
     )
-    if not strict:
-        return out
-    every = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").load(path).select(F.col("_metadata.file_path").alias("source"))
-    name = F.regexp_replace("source", "^file:/+", "/").alias("_name")  # the readers write it with one slash or three
-    # a condition on both sides of the join, so that it isn't tried before the join
-    found = every.withColumn("_name", name).join(out.select(name, F.lit(True).alias("_ok")).distinct(), "_name", "left")
-    bare = found.where(F.when(F.col("_ok"), False).otherwise(F.raise_error(F.concat(F.lit("no annotation in "), "source")).cast("boolean")))
-    return out.unionByName(bare.select("source"), allowMissingColumns=True)
 
 
 EAF = """

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import fnmatch
 import re
 import tempfile
 import uuid
@@ -138,14 +139,85 @@ def _system(folder: str):
     """The file system of a folder for use in a task, and the folder's path there."""
     from pyarrow import fs
 
-    return fs.FileSystem.from_uri("file:///" + folder[5:].lstrip("/") if folder.startswith("file:") else folder)
+    if folder.startswith("file:"):  # as it stands: Hadoop's names aren't escaped
+        return fs.LocalFileSystem(), "/" + folder[5:].lstrip("/")
+    return fs.FileSystem.from_uri(folder)
+
+
+def opened(path: str):
+    """A file that can be sought in, whatever file system its path names."""
+    if path.startswith("file:"):
+        return open("/" + path[5:].lstrip("/"), "rb")
+    system, at = _system(path)
+    return system.open_input_file(at)
+
+
+def uri_of(path: str) -> str:
+    """A path as Spark's readers give it in _metadata.file_path."""
+    return _ESCAPED.sub(lambda m: f"%{ord(m[0]):02X}", path)
+
+
+_ESCAPED = re.compile(r"""[\x00-\x20"#%<>?\[\\\]^`{|}\x7f]""")
+
+
+def _alternatives(glob: str) -> list[str]:
+    """A glob without its braces, once for each choice."""
+    m = re.search(r"\{([^{}]*)\}", glob)
+    return [x for one in m[1].split(",") for x in _alternatives(glob[: m.start()] + one + glob[m.end() :])] if m else [glob]
+
+
+def files_below(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
+    """path and length of the files below a path, by name and without hidden ones, as of Spark's readers. Tasks list: one the
+    path itself, others what is in its folders, so that no file costs the driver or a task of its own anything; contents are
+    not read. The rows are dealt by path over the shuffle partitions, which Spark doesn't merge, small as they are."""
+    fs, make = _files_of(spark, path)
+    found = fs.globStatus(make(path))
+    roots = [(fs.makeQualified(f.getPath()).toString(), None if f.isDirectory() else f.getLen()) for f in found or []]
+    if not roots:
+        raise FileNotFoundError(path)
+    fits = re.compile("|".join(fnmatch.translate(g) for g in _alternatives(glob.replace("[^", "[!"))))
+    hidden = lambda name: name[:1] == "." or (name[:1] == "_" and "=" not in name) or name.endswith("._COPYING_")
+
+    def listing(deep: bool):
+        def run(frames):
+            from pyarrow.fs import FileSelector, FileType
+
+            for pdf in frames:
+                rows, folders = [], []
+                for p, n in zip(pdf["path"], pdf["length"], strict=True):
+                    folders += [p] if pd.isna(n) else []
+                    rows += [] if pd.isna(n) else [(p, int(n))]
+                while folders:
+                    system, at = _system(folder := folders.pop())
+                    for f in system.get_file_info(FileSelector(at)):
+                        if hidden(f.base_name):
+                            continue
+                        below = f"{folder}/{f.base_name}"
+                        if f.type == FileType.Directory:
+                            (folders if deep else rows).append(below if deep else (below, None))
+                        elif fits.match(f.base_name):
+                            rows.append((below, f.size))
+                    if len(rows) >= 1 << 16:
+                        yield pd.DataFrame(rows, columns=["path", "length"]).astype({"length": "Int64"})
+                        rows = []
+                yield pd.DataFrame(rows, columns=["path", "length"]).astype({"path": object, "length": "Int64"})
+
+        return run
+
+    schema, n = "path string, length bigint", int(spark.conf.get("spark.sql.shuffle.partitions"))
+    files = [r for r in roots if r[1] is None or fits.match(r[0].rsplit("/", 1)[-1])]
+    top = spark.createDataFrame(files, schema).coalesce(1).mapInPandas(listing(False), schema)
+    return top.repartition(n, "path").mapInPandas(listing(True), schema).repartition(n, "path")
 
 
 def write_files(rows: DataFrame, folder: str) -> int:
-    """Writes each row (name, content) as a file below a folder that all executors share, and tells how many."""
+    """Writes each row (name, content) as a file below a folder that all executors share, and tells how many. A task's files
+    lie in a folder of its own, so that many tasks can list them."""
+    run_id = uuid.uuid4().hex
 
     def run(frames):
         system, at = _system(folder)
+        at = f"{at}/part-{TaskContext.get().partitionId():05d}-{run_id}"
         system.create_dir(at)
         for pdf in frames:
             for name, content in zip(pdf["name"], pdf["content"], strict=True):
@@ -198,7 +270,8 @@ def write_texts(lines: DataFrame, folder: str, extension: str = "txt", mode: str
         yield pd.DataFrame({"files": [done]})
 
     rows = lines.select(F.coalesce(F.col("rec_id").cast("string"), F.lit("")).alias("rec_id"), "value")
-    made = rows.repartition("rec_id").sortWithinPartitions("rec_id").mapInPandas(run, "files bigint")
+    # by number, so that Spark doesn't merge the parts: what a file costs doesn't follow its bytes
+    made = rows.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "rec_id").sortWithinPartitions("rec_id").mapInPandas(run, "files bigint")
     return made.agg(F.sum("files")).first()[0] or 0
 
 

@@ -48,6 +48,46 @@ def test_mpeg7(spark, tmp_path):
         A.read_mpeg7(spark, str(tmp_path)).collect()
 
 
+def test_mpeg7_files_are_read_once(spark, tmp_path):
+    """Few tasks open many files, once each; elements are found in any dialect, past comments, broken and nested ones."""
+    who = '<m:AudioDescriptor confidence="0.5"><m:SpokenContent>a &lt; <![CDATA[b]]></m:SpokenContent></m:AudioDescriptor>'
+    good = segment("T00:00:01:0F10", "PT1S0N10F", who)
+    bodies = {
+        "plain": (good, 1), "comment": (f"<!-- {good} -->{good}<![CDATA[{good}]]>", 1), "broken": (good + good.replace("&lt;", "&") + good, 2), "self": ("<m:AudioSegment/>" + good, 1),
+        "nested": (good.replace("</m:AudioSegment>", f"<m:TemporalDecomposition>{good}</m:TemporalDecomposition></m:AudioSegment>") + good, 2), "open": (good + "<m:AudioSegment>", 1), "other": (good.replace("m:", "q:"), 1),
+    }
+    for k, (body, _) in bodies.items():
+        (tmp_path / k).mkdir()
+        (tmp_path / k / f"{k} #%41.xml").write_text(f"<x>{body}</x>")
+    for hidden in ("_x.xml", ".x.xml", "x.txt"):
+        (tmp_path / "plain" / hidden).write_text("")
+    read = A.read_mpeg7(spark, str(tmp_path))
+    got = read.groupBy("source", "content").count().collect()
+    assert {r.source.rsplit("/", 2)[1]: r["count"] for r in got} == {k: n for k, (_, n) in bodies.items()}
+    assert {r.content for r in got} == {"a < b"} and all(r.source.endswith("%20%23%2541.xml") for r in got)
+    assert "FileScan" not in read._jdf.queryExecution().toString()  # a scan for each of five joined reads before
+    assert A.read_mpeg7(spark, str(tmp_path), strict=False, dialect="q").select("source").distinct().count() == 1
+    with pytest.raises(PySparkException, match="no annotation in .*plain"):
+        A.read_mpeg7(spark, str(tmp_path / "plain"), dialect="q").collect()
+    with pytest.raises(FileNotFoundError):
+        A.read_mpeg7(spark, str(tmp_path / "none"))
+    text = "<x>" + good * 50 + f"<!-- {good} --></x>"
+    for size in (1, 7, 100):  # elements and marks over the borders of what is read at once
+        assert [*A._audio_segments(io.BytesIO(text.encode()), "<m:AudioSegment", size)] == [good] * 50 + [None]
+
+
+def test_files_below(spark, tmp_path):
+    """The same files as by Spark's own reader."""
+    for name in ("a.wav", "b c.wav", "x.txt", "_h.wav", ".h.wav", "_k=1.wav", "p/q/d%20.wav", "_p/e.wav", "p=1/f.wav", "p/é.WAV", "p/g1.wav"):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_bytes(b"x" * len(name))
+    for glob in ("*", "*.wav", "{a,f}.*", "[^a]*.wav", "?.wav"):
+        own = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(str(tmp_path))
+        got = store.files_below(spark, str(tmp_path), glob)
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, own.select("path", "length").collect()))
+    assert got.rdd.getNumPartitions() == 4
+
+
 def test_eaf_round_trip(spark, tmp_path):
     df = spark.createDataFrame([("a", 0.0, 2.0, 2.0, "x & y"), ("a", 1.0, 3.0, 2.0, "z")], "rec_id string, start double, end double, rate double, label string")
     tiers = A.tier_rows(df, F.concat(F.lit("t-"), F.substring("label", 1, 1)))
