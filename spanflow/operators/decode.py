@@ -214,6 +214,28 @@ def best_path(probs: np.ndarray, init: np.ndarray, trans: np.ndarray, amin: floa
     return np.concatenate(([back[0][rest[0]]], rest))
 
 
+#: Frames of a recording up to which it is traced together with others.
+SHORT = 1 << 10
+
+
+def _together(obs: np.ndarray, first: np.ndarray, many: np.ndarray, step: np.ndarray, init: np.ndarray) -> np.ndarray:
+    """best_path() of several recordings side by side, whose `many` rows of obs begin at `first`."""
+    order = np.argsort(-many, kind="stable")  # those that still go on come first
+    first, many = first[order], many[order]
+    score, path, back = init + obs[first], np.empty(len(obs), np.int64), []
+    on = [int(np.searchsorted(-many, -t)) for t in range(int(many[0]))]  # recordings with more than t frames
+    for t in range(1, len(on)):
+        reach = score[: on[t], :, None] + step[None]
+        back.append(reach.argmax(1))
+        score[: on[t]] = reach.max(1) + obs[first[: on[t]] + t]
+    at = score.argmax(1)
+    for t in range(len(on) - 1, -1, -1):
+        path[first[: on[t]] + t] = at[: on[t]]
+        if t:
+            at[: on[t]] = back[t - 1][np.arange(on[t]), at[: on[t]]]
+    return path
+
+
 def viterbi(
     posteriors: DataFrame, init: list, trans: list, amin: float = 1e-15, trans_axis: str = "from_to", scale_priors: list | None = None, size: int = B.SIZE
 ) -> DataFrame:
@@ -222,7 +244,8 @@ def viterbi(
     Recordings are cut into blocks of `size` frame numbers, which are worked on side by side: each block but the last gives
     the max-plus product of its frames; a pass over a recording's blocks turns these into the scores before each block;
     each block but the first then tells where its pointers lead from every last state; a pass from the last block back
-    gives every block's last state, and the blocks are traced. A recording of one block takes the last pass alone. The few
+    gives every block's last state, and the blocks are traced. A recording of one block is traced alone, or if it is short,
+    together with others of its task. The few
     numbers of the model go along; logarithms are fixed-point numbers, so the result is that of an uncut recording."""
     m = np.array(trans, float)
     begin, step = fixed_log(init, amin), fixed_log(m if trans_axis == "from_to" else m.T, amin)
@@ -296,6 +319,34 @@ def viterbi(
             path = np.concatenate(([back[0][path[0]] if len(path) else end], path))
         return pd.DataFrame({"rec_id": pdf["rec_id"], "frame_idx": pdf["frame_idx"], "state": path})
 
+    def whole(tables):
+        """The states of recordings of one block, whose rows come in order."""
+
+        def states(pdf, first):
+            many, path = np.diff(np.append(first, len(pdf))), np.empty(len(pdf), np.int64)
+            obs, few = _observed(np.stack(pdf["probs"]), amin, scale), many <= SHORT
+            if few.any():
+                rows = np.flatnonzero(np.repeat(few, many))
+                path[rows] = _together(obs[rows], np.cumsum(many[few]) - many[few], many[few], step, begin)
+            for f, n in zip(first[~few], many[~few], strict=True):
+                back, last = _forward(obs[f + 1 : f + n], step, _start(obs[f : f + n], begin))
+                rest = _states(back, int(last.argmax()))
+                path[f : f + n] = np.concatenate(([back[0][rest[0]]], rest))
+            return pdf[["_key", "frame_idx"]].assign(state=path)
+
+        held = None  # the rows of the last recording, which may go on
+        for pdf in tables:
+            pdf = pdf if held is None else pd.concat([held, pdf], ignore_index=True)
+            if not len(pdf):
+                continue
+            code, at = (pd.factorize(pdf[c], use_na_sentinel=False)[0] for c in ("_key", "_b"))
+            first = np.flatnonzero(np.append(True, (code[1:] != code[:-1]) | (at[1:] != at[:-1])))
+            held = pdf.iloc[first[-1] :]
+            if len(first) > 1:
+                yield states(pdf.iloc[: first[-1]], first[:-1])
+        if held is not None:
+            yield states(held, np.array([0]))
+
     by = ["rec_id", "_b"]
     blocks = long.select(*by).distinct()
     before = blocks.withColumn("_before", F.lag("_b").over(Window.partitionBy("rec_id").orderBy("_b")))
@@ -306,4 +357,9 @@ def viterbi(
     led = long.where("_b > _first").groupBy(*by).cogroup(named(entered)).applyInPandas(leads, f"rec_id {rec}, _b bigint, lead array<bigint>, best bigint")
     closed = led.join(before, by).groupBy("rec_id").applyInPandas(ends, f"rec_id {rec}, _b bigint, end bigint")
     borders = closed.join(entered.select(*by, "enter"), by, "left")
-    return cut.groupBy(*by).cogroup(named(borders)).applyInPandas(trace, f"rec_id {rec}, frame_idx bigint, state bigint")
+    made = f"rec_id {rec}, frame_idx bigint, state bigint"
+    # as text, since pandas makes floating point of whole numbers beside a null
+    short = cut.join(many, "rec_id", "left_anti").select(F.col("rec_id").cast("string").alias("_key"), "_b", "frame_idx", "probs")
+    short = short.repartition("_key", "_b").sortWithinPartitions("_key", "_b", "frame_idx").mapInPandas(whole, "_key string, frame_idx bigint, state bigint")
+    short = short.select(F.col("_key").cast(rec).alias("rec_id"), "frame_idx", "state")
+    return short.unionByName(long.select(*cut.columns).groupBy(*by).cogroup(named(borders)).applyInPandas(trace, made))

@@ -145,26 +145,34 @@ def windows(values: str | Column, win: int | tuple, step: int | tuple) -> Column
 
 
 def normalize_rolling(
-    frames: DataFrame, win: int, std: bool = True, first: str | tuple = "skip", column: str = "value", keys: tuple = ("rec_id",), order: str = "frame_idx", size: int = B.SIZE
+    frames: DataFrame, win: int, std: bool = True, first: str | tuple = "skip", column: str = "value", keys: tuple = ("rec_id",), order: str = "frame_idx", size: int = B.SIZE, dims: int | None = None
 ) -> DataFrame:
     """Value less the mean of the last `win` rows, by their population deviation. The first win - 1 rows are dropped
     (skip), take the first full window's figures (copy), or given ones (mean, variance). A deviation of 0 gives null.
+    dims: the column holds vectors of so many numbers, each of which is a value by itself.
 
     Rows are worked on in blocks of `size` places, with the win - 1 rows before each block."""
     placed = B.with_halo(B.with_positions(frames, keys, order, size), "_at", size, back=win - 1)
     last = Window.partitionBy(*keys, "_b").orderBy("_at").rowsBetween(-(win - 1), 0)
-    df = placed.withColumns({"_m": F.avg(column).over(last), "_s": F.stddev_pop(column).over(last)}).where("_own")
+    values = [F.col(column)] if dims is None else [F.col(column)[i] for i in range(dims)]
+    figures = F.array(*(F.struct(F.avg(x).over(last).alias("m"), F.stddev_pop(x).over(last).alias("s")) for x in values))
+    df = placed.withColumn("_f", figures).where("_own")
     full = F.col("_at") >= win - 1
     if first == "skip":
         df = df.where(full)
     elif first == "copy":
-        figures = df.where(F.col("_at") == win - 1).select(*keys, F.col("_m").alias("_m0"), F.col("_s").alias("_s0"))
-        early = df.where(~full).join(figures, list(keys), "left").withColumns({"_m": F.col("_m0"), "_s": F.col("_s0")}).drop("_m0", "_s0")
-        df = df.where(full).unionByName(early)
+        if win <= size:  # the first full window ends in the block of the rows before it
+            copied = F.first(F.when(F.col("_at") == win - 1, F.col("_f")), ignorenulls=True).over(Window.partitionBy(*keys, "_b"))
+            df = df.withColumn("_f", F.when(full, F.col("_f")).otherwise(copied))
+        else:
+            known = df.where(F.col("_at") == win - 1).select(*keys, F.col("_f").alias("_f0"))
+            early = df.where(~full).join(known, list(keys), "left").withColumn("_f", F.col("_f0")).drop("_f0")
+            df = df.where(full).unionByName(early)
     else:
-        df = df.withColumns({"_m": F.when(full, F.col("_m")).otherwise(F.lit(float(first[0]))), "_s": F.when(full, F.col("_s")).otherwise(F.lit(float(first[1]) ** 0.5))})
-    centred = F.col(column) - F.col("_m")
-    return df.withColumn(column, F.try_divide(centred, F.col("_s")) if std else centred).drop("_at", "_b", "_own", "_m", "_s")
+        given = F.struct(F.lit(float(first[0])).alias("m"), F.lit(float(first[1]) ** 0.5).alias("s"))
+        df = df.withColumn("_f", F.when(full, F.col("_f")).otherwise(F.array(*[given] * len(values))))
+    done = [F.try_divide(x - f["m"], f["s"]) if std else x - f["m"] for x, f in ((x, F.col("_f")[i]) for i, x in enumerate(values))]
+    return df.withColumn(column, done[0] if dims is None else F.array(*done)).drop("_at", "_b", "_own", "_f")
 
 
 def assign_chunks(frames: DataFrame, size: int, overlap: int = 0, drop_tail: bool = True, rec: str = "rec_id") -> DataFrame:

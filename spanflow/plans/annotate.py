@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 from ..functions import scalar as fn
 from ..operators import decode, evaluate
 from ..operators import frames as R
-from ..sources import audio
+from ..sources import audio, store
 
 
 def score(frames: DataFrame, predict_fn, size: int, batch: int = 256, context: str = "context") -> DataFrame:
@@ -54,19 +54,20 @@ def annotate(spark: SparkSession, path: str, predict_fn, init: list, trans: list
     """rec_id, tier, start, end (ms), problem: features, rolling normalisation, contexts, scores, merging, smoothing, runs, tiers.
 
     predict_fn: one predictor or a list of them, merged with `weights` or `merge` (see merge_posteriors). A file that can't
-    be read, or that has another rate, is one row that says its problem."""
-    sound = audio.read_samples(spark, path, strict=False)
+    be read, or that has another rate, is one row that says its problem. Posteriors are stored on the way."""
+    files = audio.sound_files(spark, path, strict=False)
     wrong = F.concat(F.lit("rate is "), F.col("rate").cast("string"))
-    sound = sound.withColumn("problem", F.coalesce("problem", F.when(F.col("rate") != rate, wrong)))
-    failed = sound.where("problem is not null").groupBy("rec_id").agg(F.min("problem").alias("problem"))
-    feats = audio.logmel(sound.where("problem is null"), rate, win, hop, n_mels)
-    flat = feats.select("rec_id", "frame_idx", F.posexplode("feat").alias("bin", "value"))
-    normed = R.normalize_rolling(flat, norm, first="copy", keys=("rec_id", "bin")).groupBy("rec_id", "frame_idx").agg(F.transform(F.sort_array(F.collect_list(F.struct("bin", F.coalesce("value", F.lit(0.0)).alias("v")))), lambda x: x["v"]).alias("feat"))
+    files = files.withColumn("problem", F.coalesce("problem", F.when((F.col("rate") != rate) & (F.col("samples") > 0), wrong)))
+    failed = files.where("problem is not null").groupBy("rec_id").agg(F.min("problem").alias("problem"))  # by headers alone
+    feats = audio.logmel(audio.samples_from(files.where("problem is null")), rate, win, hop, n_mels)
+    normed = R.normalize_rolling(feats, norm, first="copy", column="feat", dims=n_mels).withColumn("feat", F.transform("feat", lambda x: F.coalesce(x, F.lit(0.0))))
     stacked, size = R.stack_context(normed, context, keys=("rec_id",)), (2 * context + 1) * n_mels
     many = predict_fn if isinstance(predict_fn, list) else [predict_fn]
     scored = [score(stacked, f, size).select("rec_id", "frame_idx", F.lit(k).alias("predictor"), "probs") for k, f in enumerate(many)]
     scored = scored[0] if len(many) == 1 else decode.merge_posteriors(reduce(DataFrame.unionByName, scored), weights, merge)
-    states = decode.viterbi(scored, init, trans)
+    kept = store.scratch(spark)  # smoothing reads the posteriors several times
+    scored.select("rec_id", "frame_idx", "probs").write.parquet(kept)
+    states = decode.viterbi(spark.read.schema("rec_id string, frame_idx bigint, probs array<double>").parquet(kept), init, trans)
     found = R.runs(states, "state")
     # the first output frame is the centre of the first full context
     tick = lambda c: F.rint((F.col(c) + (win // 2 + context * hop) / hop) * 1000 * hop / rate).cast("long")

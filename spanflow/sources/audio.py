@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from . import store
+
 CATALOG = "path string, format string, rate int, channels int, seconds double, samples bigint, problem string"
 
 
@@ -59,10 +61,6 @@ def _sphere(raw: bytes) -> tuple[int, int, int]:
         raise ValueError("a header field is missing") from None
 
 
-def _files(spark: SparkSession, path: str, glob: str) -> DataFrame:
-    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(path)
-
-
 def catalog_of(files: DataFrame, format: str = "wav", strict: bool = True) -> DataFrame:
     """A catalogue row for each row of files (path, length, head: the file's first bytes)."""
 
@@ -87,16 +85,6 @@ def catalog_of(files: DataFrame, format: str = "wav", strict: bool = True) -> Da
     return found.withColumn("rec_id", F.regexp_extract("path", r"([^/.]+)\.[^/]*$", 1))
 
 
-def _opened(path: str):
-    """A file that can be sought in, whatever file system its path names."""
-    if path.startswith("file:"):
-        return open("/" + path[5:].lstrip("/"), "rb")
-    from pyarrow import fs
-
-    system, at = fs.FileSystem.from_uri(path)
-    return system.open_input_file(at)
-
-
 def _wav_head(f, whole: int) -> bytes:
     """The beginning of a WAV file and its chunks' heads up to the data, with the chunks in between left out: what
     _wav_parts() needs, however long a chunk is. Also the bytes left out."""
@@ -127,7 +115,7 @@ def wav_catalog_of(files: DataFrame, strict: bool = True) -> DataFrame:
             rows = []
             for p, length in zip(pdf["path"], pdf["length"], strict=True):
                 try:
-                    with _opened(p) as f:
+                    with store.opened(p) as f:
                         head, skipped = _wav_head(f, int(length))
                     kind, channels, rate, bits, at, size = _wav_parts(head, int(length) - skipped)
                     n = size // (bits // 8 * channels)
@@ -146,7 +134,7 @@ def wav_catalog_of(files: DataFrame, strict: bool = True) -> DataFrame:
 def audio_catalog(spark: SparkSession, path: str, format: str = "wav", strict: bool = True) -> DataFrame:
     """A row for each WAV or SPHERE file from its header; strict: a broken file is an error, else it is a row with a problem.
     Tasks get paths and lengths and read headers alone."""
-    found = _files(spark, path, f"*.{format}").select("path", "length")
+    found = store.files_below(spark, path, f"*.{format}")
     if format == "wav":
         return wav_catalog_of(found, strict).drop("kind", "bits", "at", "bytes")
 
@@ -154,7 +142,7 @@ def audio_catalog(spark: SparkSession, path: str, format: str = "wav", strict: b
         for pdf in frames:
             first = []
             for p in pdf["path"]:
-                with _opened(p) as f:
+                with store.opened(p) as f:
                     first.append(f.read(1024))
             yield pdf.assign(head=first)
 
@@ -199,12 +187,21 @@ HELD = 1 << 18
 def read_samples(spark: SparkSession, path: str, mono: bool = True, block: int = 1 << 16, strict: bool = True) -> DataFrame:
     """What samples_of() gives for the WAV files below path, each block read by itself from its place in the file, so that
     a long recording is dealt over tasks and none holds more than a block of it."""
-    files = wav_catalog_of(_files(spark, path, "*.wav").select("path", "length"), strict)
+    return samples_from(sound_files(spark, path, strict), mono, block)
+
+
+def sound_files(spark: SparkSession, path: str, strict: bool = True) -> DataFrame:
+    """wav_catalog_of() the WAV files below path."""
+    return wav_catalog_of(store.files_below(spark, path, "*.wav"), strict)
+
+
+def samples_from(files: DataFrame, mono: bool = True, block: int = 1 << 16) -> DataFrame:
+    """read_samples() of rows of sound_files()."""
     width = F.floor(F.col("bits") / 8) * F.col("channels")
     last = F.floor((F.greatest(F.col("samples"), F.lit(1)) - 1) / block).cast("int")
     ranges = files.select("path", "rec_id", "rate", "channels", "kind", "bits", "problem", "at", width.alias("width"), "samples", F.explode(F.sequence(F.lit(0), F.coalesce(last, F.lit(0)))).alias("block"))
     ranges = ranges.withColumns({"at": F.col("at") + F.col("block").cast("long") * block * F.col("width"), "n": F.least(F.lit(block), F.col("samples") - F.col("block").cast("long") * block)})
-    ranges = ranges.where("problem is not null or n > 0").drop("samples").repartition("path", "block").sortWithinPartitions("path", "block")
+    ranges = ranges.where("problem is not null or n > 0").drop("samples").repartition(int(files.sparkSession.conf.get("spark.sql.shuffle.partitions")), "path", "block").sortWithinPartitions("path", "block")
 
     def run(frames):
         names = ["path", "rec_id", "channel", "block", "rate", "samples", "problem"]
@@ -218,7 +215,7 @@ def read_samples(spark: SparkSession, path: str, mono: bool = True, block: int =
                 if r.path != path:
                     if f is not None:
                         f.close()
-                    path, f = r.path, _opened(r.path)
+                    path, f = r.path, store.opened(r.path)
                 f.seek(int(r.at))
                 x = pcm(f.read(int(r.n * r.width)), int(r.bits), int(r.channels), int(r.kind))
                 x = x.mean(1, keepdims=True) if mono else x

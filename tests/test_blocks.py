@@ -49,6 +49,27 @@ def test_best_path_of_any_length():
         assert decode.best_path(p, init, trans).tolist() == plain_path(decode.fixed_log(p), decode.fixed_log(init), decode.fixed_log(trans))
 
 
+def test_viterbi_of_many_recordings(spark):
+    """Short recordings are traced side by side, whatever their lengths and however Arrow cuts their rows."""
+    rng = np.random.default_rng(8)
+    init, trans = np.array([0.5, 0.3, 0.2]), np.array([[0.8, 0.1, 0.1], [0.1, 0.8, 0.1], [0.2, 0.2, 0.6]])
+    made = {k: rng.dirichlet([1, 1, 1], n) for k, n in [(None, 9), *((k, 1 + k * k % 41) for k in range(60)), (2**60 + 1, decode.SHORT + 60), (-5, 700)]}
+    made[3] = np.full((9, 3), 1 / 3)  # ties
+    df = spark.createDataFrame([(k, i, p.tolist()) for k, v in made.items() for i, p in enumerate(v)], "rec_id bigint, frame_idx bigint, probs array<double>").repartition(7)
+    batch = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        for rows in ("50", batch):
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+            out, got = decode.viterbi(df, init.tolist(), trans.tolist()), {}
+            for r in out.orderBy("frame_idx").collect():
+                got.setdefault(r.rec_id, []).append(r.state)
+            assert got == {k: decode.best_path(v, init, trans).tolist() for k, v in made.items()}
+        plan = out._jdf.queryExecution().optimizedPlan().toString()
+        assert any(line.strip(" +-:|").startswith("MapInPandas") for line in plan.splitlines())  # before, a group for each recording
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+
+
 def test_viterbi_with_a_gap(spark):
     """Blocks without frames in between, frame numbers that don't start at 0."""
     rng = np.random.default_rng(1)

@@ -170,3 +170,15 @@ def test_scalars(spark):
 def test_rescale_ignores_nan(spark):
     df = spark.createDataFrame([(1.0,), (3.0,), (float("nan"),), (None,)], "v double")
     assert sorted(r.v for r in stats.rescale(df, "v").collect() if r.v is not None) == [0.0, 1.0]
+
+
+def test_rolling_of_vectors(spark):
+    """Vectors get the figures of their numbers one by one, also where the first full window is longer than a block."""
+    rng = np.random.default_rng(6)
+    df = spark.createDataFrame([(r, k, rng.normal(size=3).tolist()) for r in ("a", "b") for k in range(30)], "rec_id string, frame_idx bigint, feat array<double>")
+    flat = df.select("rec_id", "frame_idx", F.posexplode("feat").alias("bin", "value"))
+    for first, size in (("skip", 64), ("copy", 64), ("copy", 4), ((0.5, 4.0), 7)):
+        want = {(r.rec_id, r.frame_idx, r.bin): r.value for r in R.normalize_rolling(flat, 6, first=first, keys=("rec_id", "bin"), size=size).collect()}
+        got = R.normalize_rolling(df, 6, first=first, column="feat", size=size, dims=3)
+        assert {(r.rec_id, r.frame_idx, b): x for r in got.collect() for b, x in enumerate(r.feat)} == pytest.approx(want)
+    assert got.columns == df.columns

@@ -214,3 +214,15 @@ def test_many_blocks_in_one_table(spark, tmp_path):
     got = {(r.rec_id, r.block): r for r in audio.read_samples(spark, str(tmp_path), block=100, strict=False).collect()}
     assert len(got) == 51 and all(len(got[f"f{k}", b].samples) == (50 if b == 9 else 100) and got[f"f{k}", b].samples[0] == k / 128 for k in range(5) for b in range(10))
     assert [r.problem for r in got.values() if r.problem] == ["not a WAV file"]
+
+
+def test_annotation_reads_few_times(spark, tmp_path):
+    """Tasks list the files, problems come from headers, and smoothing starts from stored posteriors."""
+    for k in range(12):
+        wav(tmp_path / f"f{k}.wav", np.sin(np.arange(400 + k) / (k + 2)))
+    (tmp_path / "bad.wav").write_bytes(b"RIFF nothing")
+    made = annotate(spark, str(tmp_path), predictor_of(np.ones((3, 24)), np.zeros(3)), [0.6, 0.2, 0.2], [[0.8, 0.1, 0.1]] * 3, win=64, hop=32, n_mels=8, norm=5, context=1)
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    assert "binaryFile" not in plan and "predict" not in plan and "ArrowEvalPython" not in plan
+    got = made.collect()
+    assert {r.rec_id for r in got if r.tier} == {f"f{k}" for k in range(12)} and [r.rec_id for r in got if r.problem] == ["bad"]
