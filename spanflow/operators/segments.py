@@ -174,6 +174,10 @@ def overlay(left: DataFrame, right: DataFrame) -> DataFrame:
     return runs.groupBy("rec_id", "_run", "a", "b").agg(F.min("t").alias("start"), F.max("e").alias("end")).select("rec_id", "start", "end", "a", "b")
 
 
+#: Stretches up to which a segment is put in each that it touches.
+NEAR = 64
+
+
 def labels_at(
     points: DataFrame, segments: DataFrame, label: str = "label", width: float | None = None, digits: int = 10, default: list | None = None, strict: bool = False
 ) -> DataFrame:
@@ -181,40 +185,40 @@ def labels_at(
     (empty unless given) if none does, or an error if strict. Times are rounded to `digits` first; equal points are looked up
     once and all keep their rows.
 
-    An as-of merge: distinct points are ranked, starts and ends learn how many points lie before them, and a segment then
-    meets the points of these ranks by equality, so the work is that of the result. The sorted pass is cut into stretches of
-    `width` ticks, or else such that each has a bounded number of points."""
+    An as-of merge: a segment is in each stretch that it touches, its starts and ends learn how many distinct points lie
+    before them there, and it meets the points of these ranks by equality, so the work is that of the result and all of it
+    is done in the stretch, with one shuffle. Stretches are `width` ticks long, or else such that each has a bounded number
+    of points; a segment that touches many is put in those alone that have points."""
     rounded = lambda c: F.bround(F.col(c).cast("double"), digits)
-    tagged = points.drop("labels").withColumn("_t", rounded("t"))
-    s = segments.select("rec_id", rounded("start").alias("s"), rounded("end").alias("e"), F.col("seg_idx").alias("i"), F.col(label).alias("label")).where("e > s")
+    points = points.drop("labels")
+    tagged = points.select("rec_id", rounded("t").alias("t"), F.struct(*points.columns).alias("_row"))
+    s = segments.where("rec_id is not null").select("rec_id", rounded("start").alias("s"), rounded("end").alias("e"), F.col("seg_idx").alias("i"), F.col(label).alias("label")).where("e > s")
     if width:
         tagged, s = (B.with_stretches(df, ["rec_id"], None, None, width) for df in (tagged, s))
     else:
-        asked = B.with_stretches(points.select("rec_id", rounded("t").alias("t")).where("t is not null"), ["rec_id"], F.col("t"), F.col("t"))
+        asked = B.with_stretches(tagged.select("rec_id", "t").where("t is not null"), ["rec_id"], F.col("t"), F.col("t"))
         facts = asked.select("rec_id", "_lo", "_w", "_many").distinct()
         tagged, s = tagged.join(facts, "rec_id", "left"), s.join(facts, "rec_id")
-    tagged = tagged.withColumn("_b", B.stretch_of(F.col("_t"))).drop("_lo", "_w", "_many")
-    edge = lambda t, kind: F.struct(F.col(t).alias("t"), F.lit(kind).alias("kind"))
-    edges = s.select("rec_id", "_lo", "_w", "_many", F.struct("s", "e", "i", "label").alias("seg"), F.inline(F.array(edge("s", 0), edge("e", 1))))
-    edges = edges.select("rec_id", B.stretch_of(F.col("t")).alias("_b"), "t", "kind", "seg")
-    dots = tagged.select("rec_id", "_b", F.col("_t").alias("t"), F.lit(2).alias("kind"), F.lit(None).cast(edges.schema["seg"].dataType).alias("seg")).where("rec_id is not null and t is not null")
-    events = edges.unionByName(dots).repartition("rec_id", "_b")
+    dots = tagged.select("rec_id", B.stretch_of(F.col("t")).alias("_b"), "t", "_row")
+    s = s.select("rec_id", B.stretch_of(F.col("s")).alias("_f"), B.stretch_of(F.col("e")).alias("_l"), F.struct("s", "e", "i", "label").alias("seg"))
+    near = F.col("_l") - F.col("_f") < NEAR
+    short = s.where(near).withColumn("_b", F.explode(F.sequence("_f", "_l")))
+    long = s.where(~near).join(dots.select("rec_id", "_b").distinct(), "rec_id").where("_b between _f and _l")
+    edge = lambda here, at, beyond, kind: F.struct(F.when(F.col("_b") == F.col(here), F.col("seg")[at]).otherwise(F.lit(beyond)).alias("t"), F.lit(kind).alias("kind"))
+    edges = short.unionByName(long).select("rec_id", "_b", "seg", F.inline(F.array(edge("_f", "s", float("-inf"), 0), edge("_l", "e", float("inf"), 1))))
+    events = edges.unionByName(dots.withColumn("kind", F.lit(2)), allowMissingColumns=True).repartition("rec_id", "_b")
     w = Window.partitionBy("rec_id", "_b").orderBy("t", "kind")
     dot = F.col("kind") == 2
     new = dot & ~(F.coalesce(F.lag("kind").over(w) == 2, F.lit(False)) & F.lag("t").over(w).eqNullSafe(F.col("t")))
-    many = B.before(events.groupBy("rec_id", "_b").agg(F.count_distinct(F.when(dot, F.col("t"))).alias("_n")), ["rec_id"], _before="_n").drop("_n")
-    ranked = events.withColumn("_new", new.cast("int")).withColumn("_k", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0))).where("kind < 2")
-    ranked = ranked.join(many, ["rec_id", "_b"]).withColumn("_r", F.col("_before") + F.col("_k"))
-    side = lambda kind: F.max(F.when(F.col("kind") == kind, F.col("_r")))
-    covers = ranked.groupBy("rec_id", "seg").agg(side(0).alias("_lo"), side(1).alias("_hi"), F.count_if(F.col("kind") == 0).cast("int").alias("_times")).where("_hi > _lo")
-    met = covers.select("rec_id", "seg", F.explode(F.flatten(F.array_repeat(F.sequence(F.col("_lo") + 1, "_hi"), F.col("_times")))).alias("_r"))
-    found = met.groupBy("rec_id", "_r").agg(F.sort_array(F.collect_list("seg"))["label"].alias("labels"))
-    placed = tagged.withColumn("_k", F.dense_rank().over(Window.partitionBy("rec_id", "_b").orderBy("_t"))).join(many, ["rec_id", "_b"], "left")
-    placed = placed.withColumn("_r", F.when(F.col("_t").isNotNull(), F.col("_before") + F.col("_k")))
-    none = F.array(*map(F.lit, default or [])).cast(found.schema["labels"].dataType)
-    none = F.raise_error(F.lit("a point lies outside of all segments")).cast(found.schema["labels"].dataType) if strict else none
-    done = placed.join(found, ["rec_id", "_r"], "left").withColumn("labels", F.when(F.col("labels").isNull(), none).otherwise(F.col("labels")))
-    return done.drop("_t", "_b", "_k", "_before", "_r")
+    ranked = events.withColumn("_new", new.cast("int")).withColumn("_k", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    until = F.max(F.when(F.col("kind") == 1, F.col("_k"))).over(Window.partitionBy("rec_id", "_b", "seg"))
+    met = F.when(dot, F.array("_k")).when((F.col("kind") == 0) & (F.col("_until") > F.col("_k")), F.sequence(F.col("_k") + 1, F.greatest(F.col("_k") + 1, "_until")))
+    placed = ranked.withColumn("_until", until).select("rec_id", "_b", "seg", "_row", "kind", F.explode(met).alias("_r"))
+    found = placed.withColumn("_s", F.collect_list("seg").over(Window.partitionBy("rec_id", "_b", "_r"))).where(dot)
+    labels = F.sort_array("_s")["label"]
+    kind = segments.select(F.array(label)).schema[0].dataType
+    none = F.raise_error(F.lit("a point lies outside of all segments")).cast(kind) if strict else F.array(*map(F.lit, default or [])).cast(kind)
+    return found.select("_row.*", F.when(F.size("_s") == 0, none).otherwise(labels).alias("labels"))
 
 
 def label_at(points: DataFrame, segments: DataFrame, label: str = "label", default=None, strict: bool = False, width: float | None = None, digits: int = 10) -> DataFrame:

@@ -152,3 +152,18 @@ def test_pick_unknown_is_an_error(spark):
     assert {r.rec_id for r in S.pick_recordings(df, groups=["c"], ids=["c0"]).collect()} == {"c0"}
     assert {r.group_id for r in S.pick_recordings(df, at=(0, 2), column="group_id").collect()} == {"a", "b"}
     assert {r[0] for r in S.union_ids(df.where("group_id = 'a'"), df, key="group_id").collect()} == {*"abc"}
+
+
+def test_labels_at_with_few_shuffles(spark):
+    """One shuffle of points and segments, also where segments cross borders or more stretches than can be counted."""
+    segs = spark.createDataFrame([("a", 0.0, 1e12, 0, "all"), ("a", 3.0, 9.0, 1, "x"), ("a", 3.0, 9.0, 1, "x"), ("a", 5.0, 400.0, 2, "y"), (None, 0.0, 9.0, 3, "z"), ("b", 0.0, 1.0, 4, "b")], "rec_id string, start double, end double, seg_idx int, label string")
+    points = spark.createDataFrame([("a", t, k) for k, t in enumerate((-1.0, 0.0, 3.0, 3.0, 5.0, 9.0, 399.0, 400.0, 1e12 - 4, 1e12, None))] + [(None, 4.0, 90), ("c", 4.0, 91), ("b", 0.5, 92)], "rec_id string, t double, k int")
+    want = {0: [], 1: ["all"], 2: ["all", "x", "x"], 3: ["all", "x", "x"], 4: ["all", "x", "x", "y"], 5: ["all", "y"], 6: ["all", "y"], 7: ["all"], 8: ["all"], 9: [], 10: [], 90: [], 91: [], 92: ["b"]}
+    for width in (4, 1e6, None):
+        made = S.labels_at(points, segs, width=width)
+        rows = made.collect()
+        assert {r.k: r.labels for r in rows} == want and len(rows) == len(want)
+        assert made.columns == ["rec_id", "t", "k", "labels"]
+    plan = S.labels_at(points, segs, width=1e6)._jdf.queryExecution().executedPlan().toString()
+    initial = plan.split("Initial Plan")[-1]
+    assert sum("Exchange" in line for line in initial.splitlines()) <= 5  # of which four are for segments over many stretches
