@@ -9,6 +9,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from spanflow.llm import exact, lines, near
+from spanflow.llm.common import tune
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -93,6 +94,39 @@ def test_near_against_all_pairs(spark, sample, size, similarity):
     assert got == want
 
 
+def broadcast_of_exploded(plan):
+    """Whether a broadcast in a plan's text is made from rows that the same plan has multiplied."""
+    line = [(len(x) - len(x.lstrip(" :+-")), x) for x in plan.splitlines()]
+    for i, (deep, x) in enumerate(line):
+        if "BroadcastExchange" in x:
+            for d, y in line[i + 1 :]:
+                if d <= deep:
+                    break
+                if "Generate " in y:
+                    return True
+    return False
+
+
+def test_near_large_templates(spark, monkeypatch):
+    """Texts of one template on both sides of the bound: no step broadcasts rows that it has dealt out to many blocks."""
+    tune(spark)
+    rng = np.random.default_rng(11)
+    base, rows = [f"w{x}" for x in range(90)], []
+    for i in range(500):
+        word = list(base if i % 5 else base[:60])
+        for k in rng.choice(len(word), rng.integers(0, 7), replace=False):
+            word[k] = f"v{rng.integers(4)}"
+        rows.append((i, " ".join(word)))
+    plans, write = [], near.materialise
+    monkeypatch.setattr(near, "materialise", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or write(df))
+    monkeypatch.setattr(near, "BLOCK", 8)
+    monkeypatch.setattr(near, "FEW", 20, raising=False)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near.near_duplicates(df, 3, 0.85).collect()}
+    assert got == components(rows, 3, 85)
+    assert len({c for _, c in got.values()}) > 50 and not any(map(broadcast_of_exploded, plans))
+
+
 @pytest.mark.parametrize("order", ["shuffled", "falling"])
 def test_components_of_long_chains(spark, order):
     ids = [0, *range(999, 0, -1)] if order == "falling" else np.random.default_rng(1).permutation(1000).tolist()
