@@ -107,7 +107,8 @@ def broadcast_of_exploded(plan):
     return False
 
 
-def test_near_large_templates(spark, monkeypatch):
+@pytest.mark.parametrize(("size", "similarity"), [(3, 0.85), (5, 0.8)])  # op9's and the pipeline's
+def test_near_large_templates(spark, monkeypatch, size, similarity):
     """Texts of one template on both sides of the bound: no step broadcasts rows that it has dealt out to many blocks."""
     tune(spark)
     rng = np.random.default_rng(11)
@@ -122,8 +123,8 @@ def test_near_large_templates(spark, monkeypatch):
     monkeypatch.setattr(near, "BLOCK", 8)
     monkeypatch.setattr(near, "FEW", 20, raising=False)
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near.near_duplicates(df, 3, 0.85).collect()}
-    assert got == components(rows, 3, 85)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near.near_duplicates(df, size, similarity).collect()}
+    assert got == components(rows, size, round(100 * similarity))
     assert len({c for _, c in got.values()}) > 50 and not any(map(broadcast_of_exploded, plans))
 
 
